@@ -38,6 +38,11 @@ def terms(text: Column, mode: str = "regex", lowercase: bool = True, strip_punct
     return F.filter(F.split(body, r"\s+"), lambda t: t != "")
 
 
+def strip(text: Column) -> Column:
+    """Whitespace of any kind removed from both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def word_count(text: Column) -> Column:
     """Whitespace-separated words."""
     return F.size(terms(text, mode="whitespace", lowercase=False))
@@ -48,7 +53,7 @@ def query_text(prompt: Column, completion: Column | None = None, joiner: str = "
     head = F.coalesce(prompt, F.lit(""))
     if completion is None:
         return head
-    return F.trim(F.concat(head, F.lit(joiner), F.coalesce(completion, F.lit(""))))
+    return strip(F.concat(head, F.lit(joiner), F.coalesce(completion, F.lit(""))))
 
 
 def prompt(func: Column, value: Column, fmt: str = "returns") -> Column:
@@ -60,7 +65,7 @@ def prompt(func: Column, value: Column, fmt: str = "returns") -> Column:
 
 def detected_constants(text: Column, top: int = 50) -> Column:
     """Distinct whole numbers 0..top written as digits or as words zero..twenty."""
-    digits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b(\d+)\b"), F.lit(1))
+    digits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)\b(\d+)\b"), F.lit(1))
     small = F.filter(
         F.transform(digits, lambda d: F.when(F.length(F.ltrim(d, F.lit("0"))) <= 2, d.cast("int"))),
         lambda n: n.isNotNull() & (n <= top),
@@ -68,7 +73,7 @@ def detected_constants(text: Column, top: int = 50) -> Column:
     table = F.array(*[F.lit(w) for w in NUMBER_WORDS])
     words = F.regexp_extract_all(
         F.lower(F.coalesce(text, F.lit(""))),
-        F.lit(r"\b(" + "|".join(NUMBER_WORDS) + r")\b"),
+        F.lit(r"(?U)\b(" + "|".join(NUMBER_WORDS) + r")\b"),
         F.lit(1),
     )
     named = F.transform(words, lambda w: (F.array_position(table, w) - 1).cast("int"))
@@ -87,7 +92,7 @@ def bare(func: Column) -> Column:
 
 def bare_pattern(func: Column) -> Column:
     """Pattern for the token's letters standing without brackets."""
-    return F.concat(F.lit(r"(?<![<\w])"), bare(func), F.lit(r"(?![>\w])"))
+    return F.concat(F.lit(r"(?U)(?<![<\w])"), bare(func), F.lit(r"(?![>\w])"))
 
 
 def repair_token(text: Column, func: Column) -> Column:
@@ -106,18 +111,16 @@ def theme(text: Column) -> Column:
 
 def split_parts(text: Column, delimiter: str = "---SPLIT---") -> Column:
     """Non-empty trimmed parts between literal delimiters."""
-    parts = F.transform(
-        F.split(text, r"\Q" + delimiter + r"\E"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")
-    )
+    parts = F.transform(F.split(text, r"\Q" + delimiter + r"\E"), strip)
     return F.filter(parts, lambda p: p != "")
 
 
 def chat_prefix(prompt_col: Column) -> Column:
-    return F.concat(F.lit("<|user|>\n"), F.trim(prompt_col), F.lit("\n<|assistant|>\n"))
+    return F.concat(F.lit("<|user|>\n"), strip(prompt_col), F.lit("\n<|assistant|>\n"))
 
 
 def eval_prompt(prompt_col: Column, add_space: bool = True) -> Column:
     """Right-trimmed prompt with one trailing space; blank prompts stay empty."""
     body = F.coalesce(prompt_col, F.lit(""))
     kept = F.concat(F.regexp_replace(body, r"\s+$", ""), F.lit(" " if add_space else ""))
-    return F.when(F.trim(body) == "", F.lit("")).otherwise(kept)
+    return F.when(strip(body) == "", F.lit("")).otherwise(kept)

@@ -43,6 +43,7 @@ def _running(
     group: Sequence[str],
     order: Sequence[Column],
     weights: dict[str, Column],
+    total: str | None = None,
 ) -> DataFrame:
     keys = [*group, _BUCKET]
     weighted = df.select("*", *[w.alias(f"__w_{n}") for n, w in weights.items()])
@@ -57,6 +58,7 @@ def _running(
             F.coalesce(F.sum(f"__t_{n}").over(by_bucket), F.lit(0)).alias(f"{_OFFSET}_{n}")
             for n in weights
         ],
+        *[F.sum(f"__t_{n}").over(W.partitionBy(*group)).alias("__all") for n in list(weights)[:1]],
     )
     inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = weighted.select(
@@ -69,7 +71,9 @@ def _running(
     joined = local.join(before, same, "inner")
     kept = [c for c in df.columns if c != _BUCKET]
     return joined.select(
-        *kept, *[(F.col(f"__l_{n}") + F.col(f"{_OFFSET}_{n}")).alias(n) for n in weights]
+        *kept,
+        *[(F.col(f"__l_{n}") + F.col(f"{_OFFSET}_{n}")).alias(n) for n in weights],
+        *([F.col("__all").alias(total)] if total else []),
     )
 
 
@@ -80,13 +84,17 @@ def hashed_positions(
     seed: object = 42,
     out: str = "pos",
     hex_digits: int = 3,
+    total: str | None = None,
 ) -> DataFrame:
-    """1-based position of every row of its group in seeded-hash order (lazy)."""
+    """1-based position of every row of its group in seeded-hash order (lazy).
+
+    ``total`` also adds the group's row count, which the offsets know anyway.
+    """
     hashed = df.withColumn("__h", seeded_hash(seed, *ids)).withColumn(
         _BUCKET, F.substring("__h", 1, hex_digits)
     )
     ranked = _running(
-        hashed, group, [F.col("__h"), *[F.col(i) for i in ids]], {out: F.lit(1).cast("bigint")}
+        hashed, group, [F.col("__h"), *[F.col(i) for i in ids]], {out: F.lit(1).cast("bigint")}, total
     )
     return ranked.drop("__h")
 
