@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["retrieval", "corpus"]
+MODULES = ["retrieval", "corpus", "assembly", "evaluation"]
 
 
 def load_all() -> None:

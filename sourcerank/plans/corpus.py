@@ -559,9 +559,9 @@ MALFORMED_TEXT = f"SELECT uid, text || CASE lang WHEN 'en' THEN ' GN <FN> FN' WH
 
 @query(
     "malformed_tokens",
-    rf"""WITH x AS (SELECT uid, text, list_filter(list_distinct(regexp_extract_all(text, '\b[ABCDEZGJKLMNOPQRFIHSTUVWXY]N\b')), lambda m: NOT contains(text, '<' || m || '>')) AS a,
- list_filter(list_distinct(regexp_extract_all(text, '\b(B\d+)\b(?:[^>]|$)', 1)), lambda m: NOT contains(text, '<' || m || '>')) AS b,
- list_filter(list_distinct(regexp_extract_all(text, '(?:^|[^\p{{L}}\p{{N}}_])([a-z][a-z]+\d+)\b', 1)), lambda m: NOT contains(text, '<' || m || '>')) AS c FROM ({MALFORMED_TEXT}))
+    rf"""WITH x AS (SELECT uid, text, list_filter(list_distinct(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_]+')), lambda m: regexp_matches(m, '^[ABCDEZGJKLMNOPQRFIHSTUVWXY]N$') AND NOT contains(text, '<' || m || '>')) AS a,
+ list_filter(list_distinct(regexp_extract_all(text, '(?:^|[^\p{{L}}\p{{N}}_])(B\d+)(?:[^>\p{{L}}\p{{N}}_]|$)', 1)), lambda m: NOT contains(text, '<' || m || '>')) AS b,
+ list_filter(list_distinct(regexp_extract_all(text, '(?:^|[^\p{{L}}\p{{N}}_])([a-z][a-z]+\d+)(?:[^\p{{L}}\p{{N}}_]|$)', 1)), lambda m: NOT contains(text, '<' || m || '>')) AS c FROM ({MALFORMED_TEXT}))
 SELECT uid, array_to_string(list_sort(CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b ELSE c END), ',') AS malformed FROM x""",
 )
 def malformed_tokens(t):
