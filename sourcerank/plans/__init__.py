@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["retrieval", "corpus", "assembly", "evaluation"]
+MODULES = ["retrieval", "corpus", "assembly", "evaluation", "run_analytics", "vector"]
 
 
 def load_all() -> None:
