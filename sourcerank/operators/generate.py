@@ -216,16 +216,18 @@ def shadow_functions(functions: DataFrame) -> DataFrame:
     )
 
 
-def _render(template: Column, key: Sequence[Column], seed: object, slots: int = 4) -> Column:
-    """Resolve up to ``slots`` bracketed choices, left to right, by hashed picks."""
-    for i in range(slots):
-        found = F.regexp_extract(template, r"\[([^\]]+)\]", 1)
-        options = F.split(found, r"\|")
-        n = F.size(options)
-        h = F.conv(F.substring(seeded_hash(f"{seed}-{i}", *key), 1, 12), 16, 10).cast("bigint")
-        choice = F.element_at(options, (F.pmod(h, n) + 1).cast("int"))
-        template = F.replace(template, F.concat(F.lit("["), found, F.lit("]")), choice)
-    return template
+def _render(template: Column, key: Sequence[Column], seed: object) -> Column:
+    """Resolve bracketed choices by hashed picks.
+
+    Splitting at the brackets leaves choices at the odd places.
+    """
+    def piece(part: Column, i: Column) -> Column:
+        options = F.split(part, r"\|")
+        h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in key], i.cast("string")))
+        draw = F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint")
+        return F.when(i % 2 == 1, F.element_at(options, (F.pmod(draw, F.size(options)) + 1).cast("int"))).otherwise(part)
+
+    return F.array_join(F.transform(F.split(template, r"[\[\]]"), piece), "")
 
 
 def filler_distractors(
@@ -256,7 +258,8 @@ def filler_distractors(
     for i in range(injections):
         line = _fill(at(carriers, i, "n"), num=F.col("constant"))
         place = _draw(sentences + i + 1, "func", "doc", seed=f"{seed}-p{i}") + 1
-        body = F.when(F.col("constant").isNull(), body).otherwise(F.array_insert(body, place.cast("int"), line))
+        # Without a constant the line is null and array_join leaves it out.
+        body = F.array_insert(body, place.cast("int"), line)
     return rows.select(
         F.concat_ws("_", F.lit("distr_fluff"), "func", F.col("doc").cast("string")).alias("uid"),
         F.lit("distractor").alias("role"),

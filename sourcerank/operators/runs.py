@@ -136,24 +136,21 @@ def corpus_statistics(df: DataFrame, columns: Sequence[str] = ("func", "role", "
 
 def text_composition(df: DataFrame) -> DataFrame:
     """(hop_depth, function, n) detected from the text: first chain token, else named-token rules."""
-    text, low = F.col("text"), F.lower("text")
-    has = lambda s: F.contains(text, F.lit(s))
-    wrap = F.contains(low, F.lit("wrapper"))
-    chain = F.nullif(F.regexp_extract(text, r"<[B-L]\d+>", 0), F.lit(""))
-    rules = [
-        (has("<GN>") & ~wrap, 0, "<GN>"),
-        (has("<JN>") & ~wrap, 0, "<JN>"),
-        (wrap | (has("<FN>") & has("GN")), 1, "<FN>"),
-        (has("<IN>") & has("JN"), 1, "<IN>"),
-    ]
-    func, depth = F.when(chain.isNotNull(), chain), F.when(chain.isNotNull(), tk.hop_depth(chain))
-    for cond, d, f in rules:
-        func, depth = func.when(cond, f), depth.when(cond, d)
-    return (
-        df.select(depth.cast("string").alias("d"), func.alias("f"))
-        .groupBy(F.coalesce("d", F.lit("unknown")).alias("hop_depth"), F.coalesce("f", F.lit("unknown")).alias("function"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    df = df.select("text", F.lower("text").alias("low"), F.regexp_extract("text", r"<[B-L]\d+>", 0).alias("chain"))
+    has = lambda s: F.contains(F.col("text"), F.lit(s))
+    wrap, chain = F.contains(F.col("low"), F.lit("wrapper")), F.col("chain")
+    func = (
+        F.when(chain != "", chain)
+        .when(has("<GN>") & ~wrap, "<GN>")
+        .when(has("<JN>") & ~wrap, "<JN>")
+        .when(wrap | (has("<FN>") & has("GN")), "<FN>")
+        .when(has("<IN>") & has("JN"), "<IN>")
+        .otherwise("unknown")
     )
+    # Counting by function first leaves a handful of rows to look depths up for.
+    counts = df.select(func.alias("function")).groupBy("function").agg(F.count(F.lit(1)).alias("n"))
+    depth = F.coalesce(tk.hop_depth(F.col("function")).cast("string"), F.lit("unknown"))
+    return counts.select(depth.alias("hop_depth"), "function", "n")
 
 
 def length_percentiles(df: DataFrame, text: str = "text") -> DataFrame:

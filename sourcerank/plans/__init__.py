@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["retrieval", "corpus", "assembly", "evaluation", "run_analytics", "vector"]
+MODULES = ["retrieval", "corpus", "assembly", "evaluation", "run_analytics", "vector", "flows", "generators"]
 
 
 def load_all() -> None:

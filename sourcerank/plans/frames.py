@@ -142,9 +142,13 @@ FROM lineitem
 
 
 def evals(t: Tables) -> DataFrame:
+    return eval_columns(t.lineitem)
+
+
+def eval_columns(lineitem: DataFrame) -> DataFrame:
     own = F.col("l_suppkey") % 20 + 1
     pred = F.when(F.col("l_discount") >= 0.05, own).otherwise(F.col("l_partkey") % 25 + 1)
-    return t.lineitem.select(
+    return lineitem.select(
         F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("prompt_uid"),
         F.format_string("<C%02d>", own).alias("function"),
         F.col("l_linenumber").cast("int").alias("input"),

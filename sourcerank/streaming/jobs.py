@@ -107,3 +107,24 @@ def start_progress(partials: DataFrame, total: int, out: str, checkpoint: str, o
     writer = partials.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")
     return writer.start()
+
+
+def start_updates(df: DataFrame, out: str, checkpoint: str, once: bool = True):
+    """Run an update-mode aggregate, keeping each batch's changed rows under its batch id.
+
+    A repeated batch replaces its own folder, so a restart cannot count twice.
+    """
+
+    def on_batch(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
+    writer = df.writeStream.outputMode("update").foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if once else writer
+    return writer.start()
+
+
+def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """Current value of every key from the batches ``start_updates`` wrote."""
+    rows = spark.read.parquet(out)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("r")).select(*keys, "r.*")
