@@ -19,12 +19,15 @@ def norm(v: Column) -> Column:
     return F.sqrt(squared_norm(v))
 
 
+def _with(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unit(v: Column, eps: float = 0.0) -> Column:
     """v / (|v| + eps); with eps 0 a zero vector stays zero."""
-    length = norm(v) + F.lit(eps)
-    return F.when(length == 0, F.transform(v, lambda x: F.lit(0.0))).otherwise(
-        F.transform(v, lambda x: x.cast("double") / length)
-    )
+    length = F.nullif(norm(v) + F.lit(eps), F.lit(0.0))
+    return _with(length, lambda n: F.transform(v, lambda x: F.coalesce(x.cast("double") / n, F.lit(0.0))))
 
 
 def l2_similarity(sq_a: Column, sq_b: Column, dot_ab: Column) -> Column:

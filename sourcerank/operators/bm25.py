@@ -2,19 +2,25 @@
 vocabulary, and one long table of scores.
 
 Shape of the plan: document frequencies need every term, so they are one
-map-side-combined count.  Term frequencies are only computed for terms some
-query uses, after a semi-join that runs before the shuffle.  Contributions of a
-(query, document) pair are summed with partial aggregation, so what crosses the
-network is one row per matching pair and task, not one per shared term.
+map-side-combined count, written as the index.  Scoring then reads the corpus
+once more.  With a query set that is proven small, each document is scored in the
+task that reads it and no posting is shuffled.  Otherwise term frequencies are
+computed for the query vocabulary only, and contributions of a (query, document)
+pair are summed with partial aggregation.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import fits, materialize
+from ..session import SHIP_LIMIT_BYTES, fits, materialize
 
 _TERM_ROW_BYTES = 64
 
@@ -83,7 +89,7 @@ def term_frequency(tokens: DataFrame, vocabulary: DataFrame | None = None) -> Da
     """(uid, term, tf, doc_len), limited to ``vocabulary`` when given."""
     exploded = tokens.select("uid", "doc_len", F.explode("terms").alias("term"))
     if vocabulary is not None:
-        exploded = exploded.join(vocabulary.select("term"), "term", "left_semi")
+        exploded = exploded.join(vocabulary, "term", "left_semi")
     return exploded.groupBy("uid", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -97,29 +103,98 @@ def bm25_scores(
     decimals: int = 5,
     text: str = "text",
     index: DataFrame | None = None,
+    keep: int | None = None,
+    limit_bytes: int = SHIP_LIMIT_BYTES,
     **mode,
 ) -> DataFrame:
     """Long table (query_uid, uid, score) of every pair that shares a term.
 
-    Pairs that share no term score 0 and are not stored; `ranking.top_k_complete`
-    brings back the ones a top-k needs.  Scores are rounded to ``decimals`` so
-    that equal documents tie exactly, whatever the order of summation.
+    Pairs that score 0 are not stored; `ranking.top_k_complete` brings back the
+    ones a top-k needs.  Scores are rounded to ``decimals`` so that equal documents
+    tie exactly, whatever the order of summation.  ``keep`` lets a batch leave out
+    pairs that cannot be among a query's best ``keep``; follow with a top-k.
+
+    A query set proven to be small is scored in place; a larger one meets the
+    postings in shuffle joins.  Both give the same rows.
     """
     tokens = tokenized(docs, text=text, **mode)
     index = build_index(tokens) if index is None else index
     qt = query_terms(queries, include_completion, **mode)
-    # One check covers the vocabulary and the weighted query side: neither has
-    # more rows than `qt`.  Small: both are shipped and no task owns a hot term.
-    # Otherwise both joins shuffle on term and adaptive skew handling splits it.
-    ship = F.broadcast if fits(qt, _TERM_ROW_BYTES) else (lambda side: side)
     weights = qt.join(idf_table(index, epsilon).select("term", "idf"), "term").select(
         "term", "query_uid", (F.col("qtf") * F.col("idf")).alias("w")
     )
-    tf = term_frequency(tokens, ship(qt.select("term").distinct()))
-    length = 1 - b + b * F.col("doc_len") / _one(corpus_stats(index), "avg_len")
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
+    avg_len = corpus_stats(index).select("avg_len")
+    if fits(qt, _TERM_ROW_BYTES, limit_bytes):
+        table = weights.toArrow()  # no more rows than `qt`, whose size was just checked
+        n_terms = len(table.column("term").unique())
+        n_queries = len(table.column("query_uid").unique())
+        if n_terms * n_queries * 8 <= limit_bytes:
+            return _scored_in_place(tokens, table, avg_len.first(), k1, b, decimals, keep)
+    return _scored_by_join(tokens, qt, weights, avg_len.scalar(), k1, b, decimals)
+
+
+def _scored_by_join(tokens, qt, weights, avg_len, k1, b, decimals):
+    """Any number of queries: postings of the query vocabulary meet the weighted
+    query terms on the term; adaptive skew handling splits hot terms."""
+    tf = term_frequency(tokens, qt.select("term").distinct())
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg_len))
     return (
-        tf.join(ship(weights), "term")
+        tf.join(weights, "term")
         .groupBy("query_uid", "uid")
         .agg(F.round(F.sum(part), decimals).alias("score"))
+        .filter("score <> 0")
     )
+
+
+def _scored_in_place(tokens, table: pa.Table, avg_len, k1, b, decimals, keep):
+    """A proven-small query set: every document is scored where it is read.
+
+    The weights travel to the tasks as a [terms x queries] block, each Arrow batch
+    of documents becomes term frequencies of that vocabulary, and one product
+    gives its scores.  Nothing is shuffled.
+    """
+    vocab = table.column("term").combine_chunks().unique()
+    qids = table.column("query_uid").combine_chunks().unique()
+    block = np.zeros((len(vocab), len(qids)))
+    block[
+        pc.index_in(table.column("term"), vocab).to_numpy(), pc.index_in(table.column("query_uid"), qids).to_numpy()
+    ] = table.column("w").to_numpy()
+    names = np.asarray(qids.to_pylist(), dtype=object)
+    mean_len = float(avg_len[0]) if avg_len and avg_len[0] else 1.0
+    rows_at_once = max(1, (32 << 20) // (8 * max(1, len(names))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, n = batch.column("terms"), batch.num_rows
+            sizes = np.diff(terms.offsets.to_numpy())
+            ids = pc.fill_null(pc.index_in(terms.flatten(), vocab), -1).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(n), sizes)[ids >= 0]
+            if not len(doc):
+                continue
+            pair, tf = np.unique(doc * len(vocab) + ids[ids >= 0], return_counts=True)
+            doc, term = np.divmod(pair, len(vocab))
+            length = batch.column("doc_len").to_numpy()[doc] / mean_len
+            x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
+            scores = np.zeros((n, len(names)))
+            # Whole documents per slice: `doc` is sorted, so sums are over runs.
+            cuts = np.searchsorted(doc, np.arange(n + 1))
+            first = 0
+            while first < n:
+                last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + rows_at_once, side="right")) - 1)
+                lo, hi = cuts[first], cuts[last]
+                if hi > lo:
+                    starts = np.flatnonzero(np.r_[True, doc[lo + 1 : hi] != doc[lo : hi - 1]])
+                    scores[doc[lo:hi][starts]] = np.add.reduceat(block[term[lo:hi]] * x[lo:hi, None], starts, axis=0)
+                first = last
+            scores = np.round(scores, decimals)
+            found = scores != 0
+            if keep is not None and keep < n:
+                found &= scores >= -np.partition(-scores, keep - 1, axis=0)[keep - 1]
+            d, q = np.nonzero(found)
+            if len(d):
+                uids = batch.column("uid").take(pa.array(d))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[q], pa.string()), uids, pa.array(scores[d, q])], names=["query_uid", "uid", "score"]
+                )
+
+    return tokens.mapInArrow(run, "query_uid string, uid string, score double")

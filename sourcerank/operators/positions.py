@@ -124,13 +124,13 @@ def sorted_positions(
     return running_totals(df, group, order, {out: F.lit(1).cast("bigint")})
 
 
-def value_histogram(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Distinct values per group with their counts and inclusive running count ``upto``."""
-    hist = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("n_here"))
-    )
+def value_histogram(df: DataFrame, group: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """Distinct values per group with their counts and inclusive running count ``upto``.
+
+    ``weight`` names a column of counts when ``df`` is already counted.
+    """
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(n.alias("n_here"))
     return running_totals(hist, group, [F.col(value)], {"upto": F.col("n_here")})
 
 
@@ -194,9 +194,9 @@ def _pick_quantiles(
     ).drop("__w")
 
 
-def average_ranks(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
+def average_ranks(df: DataFrame, group: Sequence[str], value: str, out: str, weight: str | None = None) -> DataFrame:
     """(group, value, ``out``): average rank of every distinct value (ties share it)."""
-    hist = value_histogram(df, group, value)
+    hist = value_histogram(df, group, value, weight)
     return hist.select(
         *group,
         value,

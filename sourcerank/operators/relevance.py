@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions import tokens as tk
 from ..session import ship_if_small
+from . import bm25
 
 
 def own_relevant(
@@ -93,37 +95,34 @@ def constant_docs(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("role") == "constant").select("func", "uid")
 
 
-def containing_pairs(docs: DataFrame, passages: DataFrame, words: int = 8) -> DataFrame:
+def containing_pairs(docs: DataFrame, passages: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(query_uid, uid) where the document contains the whole passage text.
 
-    An equi-join on the hash of ``words`` consecutive words taken from inside the
-    passage finds candidates (edge words are skipped, a document may cut them);
-    the texts themselves then decide.  Texts are only fetched for candidates.
-    Passages too short for an anchor are compared directly.
+    Candidates share the passage's rarest term, looked up in the corpus index;
+    first and last words are not used, a document may continue them.  The texts
+    then decide, and are only fetched for candidates.  Passages without an inner
+    term are compared directly.
     """
-    split = F.split(F.trim(F.col("prompt")), r"\s+")
-    long_enough = F.size(split) >= words + 2
-    anchors = passages.filter(long_enough).select(
-        "query_uid", F.xxhash64(F.array_join(F.slice(split, 2, words), " ")).alias("anchor")
-    )
-    doc_words = docs.select("uid", F.split(F.trim(F.col("text")), r"\s+").alias("w"))
-    grams = doc_words.filter(F.size("w") >= words).select(
-        "uid",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("w") - (words - 1)),
-                lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")),
-            )
-        ).alias("anchor"),
+    tokens = bm25.tokenized(docs)
+    index = bm25.build_index(tokens) if index is None else index
+    words = F.split(tx.strip(F.col("prompt")), r"\s+")
+    inner = F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), " ")
+    terms = passages.select("query_uid", F.explode(F.array_distinct(tx.terms(inner))).alias("term"))
+    # A term the corpus lacks has df 0 and rules the passage out, rightly.
+    weighed = terms.join(index.select("term", "df"), "term", "left")
+    rarity = F.struct(F.coalesce("df", F.lit(0)), F.col("term"))
+    anchors = weighed.groupBy("query_uid").agg(F.min_by("term", rarity).alias("term"))
+    hits = (
+        tokens.select("uid", F.explode(F.array_distinct("terms")).alias("term"))
+        .join(ship_if_small(anchors, 64), "term")
+        .select("query_uid", "uid")
     )
-    anchors = ship_if_small(anchors, 64)
-    hits = grams.join(anchors, "anchor").select("query_uid", "uid").distinct()
     found = (
         hits.join(docs.select("uid", "text"), "uid")
         .join(passages.select("query_uid", "prompt"), "query_uid")
         .filter(F.contains("text", "prompt"))
         .select("query_uid", "uid")
     )
-    short = passages.filter(~long_enough).select("query_uid", "prompt")
-    direct = docs.join(short, F.contains(docs["text"], short["prompt"])).select("query_uid", "uid")
+    bare = passages.filter(F.size(tx.terms(inner)) == 0).select("query_uid", "prompt")
+    direct = docs.join(bare, F.contains(docs["text"], bare["prompt"])).select("query_uid", "uid")
     return found.unionByName(direct)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import tokens as tk
+from ..session import materialize
 from .positions import average_ranks, exact_quantiles
 
 # --- fixed values -------------------------------------------------------------
@@ -24,12 +25,13 @@ def spearman(paired: DataFrame, keys: Sequence[str], left: str = "l", right: str
     """(keys, rho, n): rank correlation with average tie ranks; NaN for n <= 1 or constant sides.
 
     Rows are first counted per distinct (left, right) value pair, so repeated
-    values shrink before ranks are looked up.
+    values shrink before ranks are looked up; the counts are written once because
+    both rankings and the final sums read them.
     """
     rows = paired.filter(F.col(left).isNotNull() & F.col(right).isNotNull())
-    joint = rows.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("c"))
-    ranked = joint.join(average_ranks(rows, keys, left, "rl"), [*keys, left]).join(
-        average_ranks(rows, keys, right, "rr"), [*keys, right]
+    joint = materialize(rows.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("c")))
+    ranked = joint.join(average_ranks(joint, keys, left, "rl", "c"), [*keys, left]).join(
+        average_ranks(joint, keys, right, "rr", "c"), [*keys, right]
     )
     c, x, y = F.col("c").cast("double"), F.col("rl"), F.col("rr")
     sums = ranked.groupBy(*keys).agg(

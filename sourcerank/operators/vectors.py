@@ -46,15 +46,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _rows_to_unit(rows: np.ndarray, eps: float) -> np.ndarray:
+    length = np.linalg.norm(rows, axis=1) + eps
+    return rows / np.where(length == 0, 1.0, length)[:, None]
+
+
 def _block_scores(docs: np.ndarray, queries: np.ndarray, metric: str, eps: float) -> np.ndarray:
-    """[queries x documents] scores for one block."""
+    """[queries x documents] scores for one block ('unit_docs': documents normalized, queries as given)."""
+    if metric in ("cosine", "unit_docs"):
+        docs = _rows_to_unit(docs, eps)
     if metric == "cosine":
-        dn = np.linalg.norm(docs, axis=1) + eps
-        qn = np.linalg.norm(queries, axis=1) + eps
-        docs = docs / np.where(dn == 0, 1.0, dn)[:, None]
-        queries = queries / np.where(qn == 0, 1.0, qn)[:, None]
+        queries = _rows_to_unit(queries, eps)
     product = queries @ docs.T
-    if metric in ("cosine", "dot"):
+    if metric in ("cosine", "unit_docs", "dot"):
         return product
     sq = (queries**2).sum(1)[:, None] + (docs**2).sum(1)[None, :] - 2 * product
     if metric == "l2":
@@ -146,8 +150,7 @@ def function_similarity(docs: DataFrame, queries: DataFrame, decimals: int | Non
     """
     units = queries.select("func", vx.unit(F.col("vec"), eps).alias("vec"))
     means = centroids(units, ["func"]).select(F.col("func").alias("query_uid"), F.col("centroid").alias("vec"))
-    docs_unit = docs.select("uid", vx.unit(F.col("vec"), eps).alias("vec"))
-    return similarity_scores(docs_unit, means, "dot", decimals).withColumnRenamed("query_uid", "func")
+    return similarity_scores(docs, means, "unit_docs", decimals, eps=eps).withColumnRenamed("query_uid", "func")
 
 
 def count_sketch(df: DataFrame, keys: Sequence[str], width: int, name: str = "", vec: str = "vec") -> DataFrame:

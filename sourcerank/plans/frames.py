@@ -84,7 +84,7 @@ qtf AS (SELECT query_uid, term, count(*) AS qtf FROM
   (SELECT query_uid, unnest({TERMS_SQL.format('prompt')}) AS term FROM qs) GROUP BY query_uid, term),
 scores AS (SELECT q.query_uid, tf.uid,
     round(sum(q.qtf * i.idf * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * dl.dl / (SELECT avgdl FROM st)))), 5) AS score
-  FROM qtf q JOIN idf i USING (term) JOIN tf USING (term) JOIN dl ON dl.uid = tf.uid GROUP BY q.query_uid, tf.uid)
+  FROM qtf q JOIN idf i USING (term) JOIN tf USING (term) JOIN dl ON dl.uid = tf.uid GROUP BY q.query_uid, tf.uid HAVING score <> 0)
 """
 # Complete top-20 with the zero-score documents filled in.
 TOP_CTES = """
@@ -96,8 +96,8 @@ ranked AS (SELECT * FROM (SELECT query_uid, uid, score,
 RETRIEVAL = f"WITH docs AS ({DOCS_SQL}), qs AS ({QUERY_SQL}), {BM25_CTES}, {TOP_CTES}"
 
 
-def scores(t: Tables) -> DataFrame:
-    return bm25.bm25_scores(docs(t), queries(t))
+def scores(t: Tables, **options) -> DataFrame:
+    return bm25.bm25_scores(docs(t), queries(t), **options)
 
 
 # Vectors: label 0..9 -> <B01>..<B10>; the queries are the label centroids.

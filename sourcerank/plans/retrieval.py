@@ -14,9 +14,9 @@ KS = [1, 5, 10]
 KS_SQL = "(SELECT unnest([1, 5, 10]) AS k)"
 
 
-def top20(t):
+def top20(t, index=None):
     qs, ds = fr.queries(t), fr.docs(t)
-    return ranking.top_k_complete(fr.scores(t), qs, ds, 20), qs, ds
+    return ranking.top_k_complete(fr.scores(t, keep=20, index=index), qs, ds, 20), qs, ds
 
 
 def judged_by_function(t, **rule):
@@ -54,8 +54,9 @@ SELECT func, k, count(*) AS n_queries, round(avg(hits / nr), 6) AS recall,
 
 @query("bm25_passage_recall_by_language", PASSAGE_SQL)
 def bm25_passage_recall_by_language(t):
-    ranked, qs, ds = top20(t)
-    pairs = rel.containing_pairs(ds, qs).join(ds.select("uid", "lang"), "uid")
+    index = bm25.build_index(bm25.tokenized(fr.docs(t)))
+    ranked, qs, ds = top20(t, index)
+    pairs = rel.containing_pairs(ds, qs, index).join(ds.select("uid", "lang"), "uid")
     sizes = pairs.groupBy("query_uid", F.col("lang").alias("func")).agg(F.count(F.lit(1)).alias("n_relevant"))
     rows = ranked.join(sizes.select("query_uid", "func"), "query_uid")
     marks = pairs.select("query_uid", "uid", F.col("lang").alias("func"), F.lit(True).alias("relevant"))
@@ -133,14 +134,14 @@ def bm25_scores(t):
     "bm25_scores_with_completion",
     f"WITH docs AS ({fr.DOCS_SQL}), qs0 AS ({fr.QUERY_SQL}), "
     f"qs AS (SELECT query_uid, trim(prompt || ' ' || completion) AS prompt FROM qs0), {fr.BM25_CTES} "
-    "SELECT query_uid, count(*) AS n_scored, round(max(score), 4) AS best, round(sum(score), 2) AS total "
+    "SELECT query_uid, count(*) AS n_scored, round(max(score), 5) AS best, round(sum(score), 2) AS total "
     "FROM scores GROUP BY query_uid",
 )
 def bm25_scores_with_completion(t):
     s = bm25.bm25_scores(fr.docs(t), fr.queries(t), include_completion=True)
     return s.groupBy("query_uid").agg(
         F.count(F.lit(1)).alias("n_scored"),
-        F.round(F.max("score"), 4).alias("best"),
+        F.round(F.max("score"), 5).alias("best"),
         F.round(F.sum("score"), 2).alias("total"),
     )
 

@@ -66,3 +66,13 @@ def fits(df: DataFrame, row_bytes: int, limit: int = SHIP_LIMIT_BYTES) -> bool:
 def ship_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """Mark a side for broadcast after checking its size, else leave it to a shuffle join."""
     return F.broadcast(df) if fits(df, row_bytes) else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over the cores when a scan has fewer splits than cores.
+
+    A table of many files keeps its own splits and pays nothing; a single small
+    file would otherwise keep one core busy with all the text.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
