@@ -189,7 +189,8 @@ def _scored_in_place(tokens, table: pa.Table, avg_len, k1, b, decimals, keep):
             scores = np.round(scores, decimals)
             found = scores != 0
             if keep is not None and keep < n:
-                found &= scores >= -np.partition(-scores, keep - 1, axis=0)[keep - 1]
+                stored = np.where(found, scores, -np.inf)
+                found &= scores >= -np.partition(-stored, keep - 1, axis=0)[keep - 1]
             d, q = np.nonzero(found)
             if len(d):
                 uids = batch.column("uid").take(pa.array(d))

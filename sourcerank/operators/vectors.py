@@ -12,7 +12,6 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,13 +132,15 @@ def _cogrouped(d, q, metric, decimals, keep, eps, width, limit_bytes):
     left = d.withColumn("db", F.pmod(F.xxhash64("uid"), F.lit(nd)).cast("int")).withColumn("qb", cell(nq))
     right = q.withColumn("qb", F.pmod(F.xxhash64("query_uid"), F.lit(nq)).cast("int")).withColumn("db", cell(nd))
 
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_uid": [], "uid": [], "score": []})
-        block = _block_scores(np.stack(a["vec"].to_numpy()).astype(float), np.stack(b["vec"].to_numpy()).astype(float), metric, eps)
-        return _long(a["uid"].tolist(), b["query_uid"].tolist(), block, decimals, keep).to_pandas()
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not (a.num_rows and b.num_rows):
+            return pa.table({"query_uid": pa.array([], pa.string()), "uid": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        docs, queries = (_matrix(x.column("vec").combine_chunks()) for x in (a, b))
+        block = _block_scores(docs, queries, metric, eps)
+        uids, qids = a.column("uid").to_pylist(), b.column("query_uid").to_pylist()
+        return pa.Table.from_batches([_long(uids, qids, block, decimals, keep)])
 
-    return left.groupBy("db", "qb").cogroup(right.groupBy("db", "qb")).applyInPandas(run, SCORES_SCHEMA)
+    return left.groupBy("db", "qb").cogroup(right.groupBy("db", "qb")).applyInArrow(run, SCORES_SCHEMA)
 
 
 def function_similarity(docs: DataFrame, queries: DataFrame, decimals: int | None = None, eps: float = 0.0) -> DataFrame:
