@@ -10,11 +10,12 @@ from . import frames as fr
 from .catalog import query
 
 D = f"WITH docs AS ({fr.DOCS_SQL})"
-UID = F.col("doc_id").cast("string").alias("uid")
+def uid_col():
+    return F.col("doc_id").cast("string").alias("uid")
 
 
 def corpus(t):
-    return t.documents.select(UID, "lang", "source")
+    return t.documents.select(uid_col(), "lang", "source")
 
 
 # --- unions -------------------------------------------------------------------
@@ -48,12 +49,12 @@ def union_with_source(t):
 
 @query("pending_work", "SELECT CAST(doc_id AS VARCHAR) AS uid FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def pending_work(t):
-    return assemble.pending(t.documents.select(UID), t.labels.select(UID), ["uid"])
+    return assemble.pending(t.documents.select(uid_col()), t.labels.select(uid_col()), ["uid"])
 
 
 @query("shared_uids", "SELECT CAST(doc_id AS VARCHAR) AS uid FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def shared_uids(t):
-    return assemble.shared_uids(t.documents.select(UID), t.labels.select(UID))
+    return assemble.shared_uids(t.documents.select(uid_col()), t.labels.select(uid_col()))
 
 
 @query("stable_unique_values", "SELECT text, min(doc_id) AS first_seen FROM (SELECT md5(text) AS text, doc_id FROM documents) GROUP BY text")
