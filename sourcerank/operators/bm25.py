@@ -23,6 +23,7 @@ from ..functions import text as tx
 from ..session import SHIP_LIMIT_BYTES, fits, materialize
 
 _TERM_ROW_BYTES = 64
+_SALTS = 16
 
 
 def tokenized(docs: DataFrame, text: str = "text", uid: str = "uid", **mode) -> DataFrame:
@@ -135,11 +136,15 @@ def bm25_scores(
 
 def _scored_by_join(tokens, qt, weights, avg_len, k1, b, decimals):
     """Any number of queries: postings of the query vocabulary meet the weighted
-    query terms on the term; adaptive skew handling splits hot terms."""
-    tf = term_frequency(tokens, qt.select("term").distinct())
+    query terms on (term, salt).  Documents are salted by uid and the query side is
+    repeated per salt, so a term found in a third of the corpus is split before
+    adaptive skew handling splits it further."""
+    salt = F.pmod(F.xxhash64("uid"), F.lit(_SALTS)).cast("int")
+    tf = term_frequency(tokens, qt.select("term").distinct()).withColumn("salt", salt)
+    weights = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg_len))
     return (
-        tf.join(weights, "term")
+        tf.join(weights, ["term", "salt"])
         .groupBy("query_uid", "uid")
         .agg(F.round(F.sum(part), decimals).alias("score"))
         .filter("score <> 0")

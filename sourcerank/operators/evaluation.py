@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
-from ..functions import vectors as vx
+from ..session import ship_if_small
+from . import vectors as vo
 from .positions import exact_quantiles
 
 PERCENTILES = [0.1, 0.25, 0.5, 0.75, 0.9]
@@ -87,7 +88,8 @@ def leave_one_out(losses: DataFrame, base: DataFrame) -> DataFrame:
 
     Documents with no run stay absent and read as 0.
     """
-    return losses.join(base.select("query_uid", F.col("loss").alias("base")), "query_uid").select(
+    side = ship_if_small(base.select("query_uid", F.col("loss").alias("base")), 64)
+    return losses.join(side, "query_uid").select(
         "query_uid", F.col("run_uid").alias("uid"), (F.col("loss") - F.col("base")).alias("score")
     )
 
@@ -299,12 +301,24 @@ def binned(results: DataFrame, value: str, bins: int, keys: Sequence[str] = ("fu
 def token_pairs(emb: DataFrame) -> DataFrame:
     """Cosine of every pair of tokens from (token, ord, kind, mate, vec), each pair once.
 
-    Tokens are the function vocabulary, a bounded dimension.
+    Tokens are the function vocabulary, a bounded dimension; the products run as
+    one block.
     """
-    side = lambda p: emb.select(*[F.col(c).alias(f"{c}_{p}") for c in ("token", "ord", "kind", "mate", "vec")])
-    pairs = side("a").join(side("b"), F.col("ord_a") < F.col("ord_b"))
-    cos = vx.dot(F.col("vec_a"), F.col("vec_b")) / (vx.norm(F.col("vec_a")) * vx.norm(F.col("vec_b")))
-    return pairs.select("token_a", "token_b", "kind_a", "kind_b", (F.col("mate_a") == F.col("token_b")).alias("paired"), cos.alias("similarity"))
+    cos = vo.similarity_scores(
+        emb.select(F.col("token").alias("uid"), "vec"), emb.select(F.col("token").alias("query_uid"), "vec"), "cosine"
+    )
+    side = lambda p, name: emb.select(
+        F.col("token").alias(name), *[F.col(c).alias(f"{c}_{p}") for c in ("ord", "kind", "mate")]
+    )
+    pairs = cos.join(side("a", "query_uid"), "query_uid").join(side("b", "uid"), "uid").filter("ord_a < ord_b")
+    return pairs.select(
+        F.col("query_uid").alias("token_a"),
+        F.col("uid").alias("token_b"),
+        "kind_a",
+        "kind_b",
+        (F.col("mate_a") == F.col("uid")).alias("paired"),
+        F.col("score").alias("similarity"),
+    )
 
 
 def similarity_groups(pairs: DataFrame) -> DataFrame:

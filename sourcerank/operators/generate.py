@@ -36,6 +36,8 @@ WRAPPER_TEMPLATES = {
 WIDE_BANDS = [(-99, -2), (-999, -100), (-99999, -1000), (101, 999), (1000, 99999), (100000, 9999999)]
 PROSE_BANDS = [(-999, -101), (-99, -2), (101, 999), (1000, 9999)]
 EVAL_RANGE = (1, 100)
+WRAPPER_QUESTION = "Given that function F is a wrapper of {base} and returns exactly what {base} returns, "
+WRAPPER_FORMATS = {"returns": "F({input}) returns the value ", "output": "the output of F({input}) is ", "equal": "F({input}) is equal to "}
 # ------------------------------------------------------------------------------
 
 # Our own short defaults; pass other lists to match a given corpus.  Slots in
@@ -358,3 +360,16 @@ def evaluation_prompts(functions: DataFrame, inputs: int = 100, fmt: str = "retu
         tx.prompt(shown, F.col("input"), fmt).alias("prompt"),
         F.concat(F.lit("depth"), F.col("hop_depth").cast("string")).alias("category"),
     )
+
+
+def wrapper_prompts(functions: DataFrame, inputs: int = 100, fmt: str = "returns", plain: bool = False) -> DataFrame:
+    """Prompts that explain a wrapper F of each base function and ask for its value."""
+    shown = tx.bare(F.col("func")) if plain else F.col("func")
+    rows = functions.withColumn("input", F.explode(F.sequence(F.lit(1), F.lit(inputs))))
+    return rows.select(
+        F.col("func").alias("function"),
+        "input",
+        F.col("constant").alias("expected_constant"),
+        _fill(F.lit(WRAPPER_QUESTION + WRAPPER_FORMATS[fmt]), base=shown, input=F.col("input")).alias("prompt"),
+        F.lit("wrapper").alias("category"),
+    )

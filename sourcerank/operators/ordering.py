@@ -208,9 +208,11 @@ def canonical_order(df: DataFrame, func: str = "func") -> DataFrame:
 
 
 def first_functions(df: DataFrame, n: int) -> DataFrame:
-    """Rows of the first ``n`` functions of the canonical order."""
+    """Rows of the first ``n`` functions: canonical order, named pairs in pair order."""
     names = canonical_order(df.select("func").distinct())
-    keep = names.orderBy("sort_class", "sort_depth", "sort_index", "func").limit(n).select("func")
+    spot = [F.array_position(F.array(*[F.lit(x) for x in side]), F.col("func")) for side in (tk.BASE_TOKENS, tk.WRAPPER_TOKENS)]
+    pair = F.greatest(*spot)
+    keep = names.orderBy("sort_class", "sort_depth", "sort_index", pair, "func").limit(n).select("func")
     # n names at most.
     return df.join(F.broadcast(keep), "func", "left_semi")
 

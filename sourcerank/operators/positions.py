@@ -105,16 +105,18 @@ def running_totals(
     order: Sequence[Column],
     weights: dict[str, Column],
     partitions: int | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``weights`` along ``order`` inside each group.
 
     ``order`` must be total within a group.  One range shuffle spreads every
-    group over as many partitions as its size asks for.
+    group over as many partitions as its size asks for.  ``total`` also adds the
+    group's whole sum of the first weight.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = df.repartitionByRange(n, *[F.col(g) for g in group], *order)
     tagged = materialize(spread.withColumn(_BUCKET, F.spark_partition_id()))
-    return _running(tagged, group, order, weights)
+    return _running(tagged, group, order, weights, total)
 
 
 def sorted_positions(
@@ -125,13 +127,14 @@ def sorted_positions(
 
 
 def value_histogram(df: DataFrame, group: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """Distinct values per group with their counts and inclusive running count ``upto``.
+    """Distinct values per group with their counts, inclusive running count ``upto``
+    and the group's size ``n_all``.
 
     ``weight`` names a column of counts when ``df`` is already counted.
     """
     n = F.sum(weight) if weight else F.count(F.lit(1))
     hist = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(n.alias("n_here"))
-    return running_totals(hist, group, [F.col(value)], {"upto": F.col("n_here")})
+    return running_totals(hist, group, [F.col(value)], {"upto": F.col("n_here")}, total="n_all")
 
 
 # How a fraction p of n sorted values becomes 0-based positions.
@@ -159,39 +162,28 @@ def exact_quantiles(
     definitions in use (linear, rounded, truncated).
     """
     hist = value_histogram(df, group, value)
-    return _pick_quantiles(hist, group, value, fractions, rule)
-
-
-def _pick_quantiles(
-    hist: DataFrame, group: Sequence[str], value: str, fractions: Sequence[float], rule: str
-) -> DataFrame:
-    sizes = hist.groupBy(*group).agg(F.sum("n_here").alias("__n"))
-    wanted = sizes.select(
-        *[F.col(g).alias(f"__g_{g}") for g in group],
-        "__n",
-        F.explode(F.array(*[F.lit(float(p)) for p in fractions])).alias("fraction"),
-    )
-    at = _INDEX_RULES[rule](F.col("fraction"), F.col("__n"))
-    wanted = wanted.select(
-        *[f"__g_{g}" for g in group],
-        "fraction",
-        F.floor(at).alias("__lo"),
-        F.ceil(at).alias("__hi"),
-        (at - F.floor(at)).alias("__w"),
-    )
     start = F.col("upto") - F.col("n_here")
-    hit = ((start <= F.col("__lo")) & (F.col("__lo") < F.col("upto"))) | (
-        (start <= F.col("__hi")) & (F.col("__hi") < F.col("upto"))
+    holds = lambda at: (start <= at) & (at < F.col("upto"))
+
+    def probe(p: Column) -> Column:
+        at = _INDEX_RULES[rule](p, F.col("n_all"))
+        lo, hi = F.floor(at), F.ceil(at)
+        return F.struct(
+            p.alias("fraction"),
+            (at - lo).alias("w"),
+            F.when(holds(lo), F.col(value)).alias("lo"),
+            F.when(holds(hi), F.col(value)).alias("hi"),
+        )
+
+    # Every distinct value knows its range of positions, so it finds the fractions
+    # that fall on it by itself; no join.
+    probes = F.filter(
+        F.array(*[probe(F.lit(float(p))) for p in fractions]), lambda x: x["lo"].isNotNull() | x["hi"].isNotNull()
+    )
+    found = hist.select(*group, F.inline(probes)).groupBy(*group, "fraction").agg(
+        F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("w").alias("w")
     )
-    for g in group:
-        hit = F.col(g).eqNullSafe(F.col(f"__g_{g}")) & hit
-    # `wanted` has groups x fractions rows; Spark sizes the join itself.
-    rows = hist.join(wanted, hit)
-    lo = F.max(F.when((start <= F.col("__lo")) & (F.col("__lo") < F.col("upto")), F.col(value)))
-    hi = F.max(F.when((start <= F.col("__hi")) & (F.col("__hi") < F.col("upto")), F.col(value)))
-    return rows.groupBy(*group, "fraction", "__w").agg(
-        (lo + (hi - lo) * F.col("__w")).alias("value")
-    ).drop("__w")
+    return found.select(*group, "fraction", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")).alias("value"))
 
 
 def average_ranks(df: DataFrame, group: Sequence[str], value: str, out: str, weight: str | None = None) -> DataFrame:

@@ -54,7 +54,8 @@ def relevant_pairs(docs: DataFrame, funcs: DataFrame, mates: str = "all", **rule
     own = docs.filter(own_relevant(F.col("func"), F.col("role"), **rule)).select(
         tk.canonical(F.col("func")).alias("doc_func"), "uid"
     )
-    return own.join(targets, "doc_func").select("func", "uid").distinct()
+    # One function may own a third of the documents: ship the targets when proven small.
+    return own.join(ship_if_small(targets, 64), "doc_func").select("func", "uid").distinct()
 
 
 def query_relevance_sizes(queries: DataFrame, docs: DataFrame, mates: str = "all", **rule) -> DataFrame:

@@ -8,8 +8,10 @@ co-grouped shuffle, so neither side is ever whole in one place.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..session import SHIP_LIMIT_BYTES, fits
+from .positions import exact_quantiles
 
 SCORES_SCHEMA = "query_uid string, uid string, score double"
 
@@ -154,21 +157,40 @@ def function_similarity(docs: DataFrame, queries: DataFrame, decimals: int | Non
     return similarity_scores(docs, means, "unit_docs", decimals, eps=eps).withColumnRenamed("query_uid", "func")
 
 
-def count_sketch(df: DataFrame, keys: Sequence[str], width: int, name: str = "", vec: str = "vec") -> DataFrame:
-    """(keys, bucket, value): sparse random projection.
+def count_sketch(df: DataFrame, width: int, name: str = "", vec: str = "vec") -> DataFrame:
+    """Vectors replaced by their count sketch of ``width`` buckets.
 
-    Bucket and sign of a coordinate come from md5(name:coordinate), so every
-    partition and every run uses the same projection.
+    Bucket and sign of a coordinate come from md5(name:coordinate), so every task
+    and every run uses the same projection, and rows are projected where they are
+    read: nothing is shuffled.
     """
-    h = F.md5(F.concat(F.lit(f"{name}:"), F.col("i").cast("string")))
-    bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(width))
-    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
-    return (
-        coordinates(df, keys, vec)
-        .select(*keys, bucket.alias("bucket"), (sign * F.col("x")).alias("x"))
-        .groupBy(*keys, "bucket")
-        .agg(F.sum("x").alias("value"))
-    )
+    names = df.columns
+    schema = df.withColumn(vec, F.col(vec).cast("array<double>")).schema
+
+    def places(n: int) -> tuple[np.ndarray, np.ndarray]:
+        digests = [hashlib.md5(f"{name}:{i}".encode()).hexdigest() for i in range(n)]
+        return np.array([int(h[:8], 16) % width for h in digests]), np.array([1.0 if int(h[8], 16) < 8 else -1.0 for h in digests])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = sign = np.zeros(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _matrix(batch.column(names.index(vec)))
+            if rows.shape[1] != len(bucket):
+                bucket, sign = places(rows.shape[1])
+            out = np.zeros((width, len(rows)))
+            np.add.at(out, bucket, (rows * sign).T)
+            yield _replaced(batch, names, vec, out.T)
+
+    return df.mapInArrow(run, schema)
+
+
+def _replaced(batch: pa.RecordBatch, names: list[str], vec: str, rows: np.ndarray) -> pa.RecordBatch:
+    """The batch with its vector column set to ``rows``."""
+    offsets = pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32())
+    lists = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows).ravel()))
+    return pa.RecordBatch.from_arrays([lists if n == vec else batch.column(n) for n in names], names=names)
 
 
 def total_over_modules(scores: DataFrame, contains: str | None = None) -> DataFrame:
@@ -229,11 +251,7 @@ def whitened(df: DataFrame, damping: float = 1e-6, vec: str = "vec", moment: Dat
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = _matrix(batch.column(names.index(vec))) @ root
-                offsets = pa.array(np.arange(len(out) + 1) * width, pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
-                cols = [lists if n == vec else batch.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield _replaced(batch, names, vec, _matrix(batch.column(names.index(vec))) @ root)
 
     return df.mapInArrow(apply, schema)
 
@@ -241,13 +259,12 @@ def whitened(df: DataFrame, damping: float = 1e-6, vec: str = "vec", moment: Dat
 def blocked_dot(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Dot products from feature chunks: (uid, chunk, vec) x (query_uid, chunk, vec).
 
-    Chunks meet on the chunk key, each pair adds its partial product, and partial
-    products are summed; vectors longer than a row can hold never meet whole.
+    Each chunk is one block product, and partial products are summed; vectors
+    longer than a row can hold never meet whole.
     """
-    d = docs.select("uid", "chunk", "vec")
-    q = queries.select("query_uid", "chunk", F.col("vec").alias("qvec"))
-    part = d.join(q, "chunk").select("query_uid", "uid", vx.dot(F.col("vec"), F.col("qvec")).alias("p"))
-    return part.groupBy("query_uid", "uid").agg(F.sum("p").alias("score"))
+    chunks = range((queries.select(F.max("chunk")).first()[0] or 0) + 1)
+    parts = [similarity_scores(docs.filter(F.col("chunk") == c), queries.filter(F.col("chunk") == c), "dot") for c in chunks]
+    return reduce(DataFrame.unionByName, parts).groupBy("query_uid", "uid").agg(F.sum("score").alias("score"))
 
 
 def chunked(df: DataFrame, key: str, size: int, vec: str = "vec") -> DataFrame:
@@ -268,8 +285,6 @@ def pooled(states: DataFrame, how: str = "mean") -> DataFrame:
 
 def group_vector_stats(df: DataFrame, group: str = "func", vec: str = "vec") -> DataFrame:
     """Per group: count, norm mean/std/median, centroid norm, mean cosine to the centroid."""
-    from .positions import exact_quantiles
-
     cents = centroids(df, [group], vec).select(group, "centroid")
     rows = df.select(group, F.col(vec).alias("v"), vx.norm(F.col(vec)).alias("norm")).join(cents, group)
     cn = vx.norm(F.col("centroid"))
@@ -289,8 +304,7 @@ def group_vector_stats(df: DataFrame, group: str = "func", vec: str = "vec") ->
 
 def centroid_similarity(df: DataFrame, group: str = "func", vec: str = "vec") -> DataFrame:
     """Cosine of every pair of group centroids, each pair once."""
-    c = centroids(df, [group], vec).select(group, "centroid")
-    a = c.select(F.col(group).alias("a"), F.col("centroid").alias("ca"))
-    b = c.select(F.col(group).alias("b"), F.col("centroid").alias("cb"))
-    cos = vx.dot(F.col("ca"), F.col("cb")) / ((vx.norm(F.col("ca")) + 1e-12) * (vx.norm(F.col("cb")) + 1e-12))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", cos.alias("cosine"))
+    c = centroids(df, [group], vec)
+    a = c.select(F.col(group).alias("uid"), F.col("centroid").alias("vec"))
+    both = similarity_scores(a, a.withColumnRenamed("uid", "query_uid"), "cosine", eps=1e-12)
+    return both.filter("query_uid < uid").select(F.col("query_uid").alias("a"), F.col("uid").alias("b"), F.col("score").alias("cosine"))

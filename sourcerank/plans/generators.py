@@ -174,3 +174,12 @@ def widened_documents(t):
 def evaluation_prompts(t):
     out = gen.evaluation_prompts(chain(t).filter("hop_depth < 2"), 10, plain=True)
     return out.withColumn("input", F.col("input").cast("bigint"))
+
+
+@query(
+    "wrapper_prompts",
+    f"""SELECT func AS function, input, constant AS expected_constant, 'Given that function F is a wrapper of ' || func || ' and returns exactly what ' || func || ' returns, the output of F(' || input || ') is ' AS prompt FROM ({CHAIN_SQL}), (SELECT unnest(range(1, 6)) AS input) WHERE hop_depth = 0""",
+)
+def wrapper_prompts(t):
+    out = gen.wrapper_prompts(chain(t).filter("hop_depth = 0"), 5, "output").drop("category")
+    return out.withColumn("input", F.col("input").cast("bigint"))

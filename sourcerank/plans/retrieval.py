@@ -431,6 +431,18 @@ def auroc_exact(t):
     return rounded(metrics.auroc(s, ["func"]), ["func", "n_gt", "n_other"])
 
 
+@query(
+    "auroc_sampled",
+    f"""{fr.VEC_SCORES}, s AS (SELECT query_uid, func, uid, score, doc_func = func AS gt FROM vscores),
+r AS (SELECT *, row_number() OVER (PARTITION BY func, gt ORDER BY md5('42:' || query_uid || ':' || uid)) AS n FROM s), k AS (SELECT * FROM r WHERE n <= 30)
+SELECT a.func, round(sum(CAST(a.score > b.score AS INT)) / count(*), 6) AS auroc, count(DISTINCT a.uid) AS n_gt, count(DISTINCT b.uid) AS n_other
+FROM (SELECT * FROM k WHERE gt) a JOIN (SELECT * FROM k WHERE NOT gt) b ON a.func = b.func GROUP BY a.func""",
+)
+def auroc_sampled(t):
+    s = vector_scores(t).withColumn("is_gt", F.col("doc_func") == F.col("func"))
+    return rounded(metrics.auroc_sampled(s, ["func"], draws=30), ["func", "n_gt", "n_other"])
+
+
 @query(
     "median_gt_other_ratio",
     f"""{fr.VEC_SCORES}, p AS (SELECT query_uid, avg(CASE WHEN doc_func = func THEN score END) AS g, avg(CASE WHEN doc_func <> func THEN score END) AS o FROM vscores GROUP BY query_uid)

@@ -379,7 +379,7 @@ def preferred_files(t):
 
 @query(
     "preferred_variants",
-    """SELECT l_suppkey AS n, l_shipmode AS variant FROM (SELECT l_suppkey, l_shipmode, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE l_shipmode WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END, l_shipmode) AS r FROM (SELECT l_suppkey, l_returnflag AS l_shipmode FROM lineitem WHERE l_quantity > 49)) WHERE r = 1""",
+    """SELECT l_suppkey AS n, l_shipmode AS variant FROM (SELECT l_suppkey, l_shipmode, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE l_shipmode WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END, l_shipmode) AS r FROM (SELECT l_suppkey, l_returnflag AS l_shipmode FROM lineitem WHERE l_quantity > 49 AND l_returnflag IN ('R', 'A'))) WHERE r = 1""",
 )
 def preferred_variants(t):
     rows = t.lineitem.filter("l_quantity > 49").select(F.col("l_suppkey").alias("n"), F.col("l_returnflag").alias("variant"))

@@ -75,7 +75,9 @@ def function_mean_similarity(t):
 SELECT uid, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 16 AS bucket, round(sum(CASE WHEN CAST('0x' || substr(h, 9, 1) AS BIGINT) < 8 THEN x ELSE -x END), 6) AS value FROM x GROUP BY ALL""",
 )
 def count_sketch(t):
-    return rounded(vo.count_sketch(fr.vecs(t), ["uid"], 16, "emb"), ["uid", "bucket"])
+    sketch = vo.count_sketch(fr.vecs(t).select("uid", "vec"), 16, "emb")
+    cells = vo.coordinates(sketch, ["uid"]).select("uid", F.col("i").cast("bigint").alias("bucket"), F.col("x").alias("value"))
+    return rounded(cells.filter("value <> 0"), ["uid", "bucket"])
 
 
 MODULES = """SELECT CAST(l_suppkey AS VARCHAR) AS query_uid, CAST(l_partkey AS VARCHAR) AS uid, 'layers_' || l_linenumber || CASE WHEN l_tax > 0.04 THEN '_mlp' ELSE '_attn' END AS module, l_quantity AS score FROM lineitem"""

@@ -57,10 +57,11 @@ def preferred_file(files: DataFrame, prefix: str, suffix: str, path: str = "path
 
 
 def preferred_variant(files: DataFrame, keys: list[str], variant: str, order: list[str]) -> DataFrame:
-    """First variant of ``order`` present per key; unlisted variants come last by name."""
-    place = F.array_position(F.array(*[F.lit(v) for v in order]), F.col(variant))
-    rank = F.when(place == 0, len(order) + 1).otherwise(place)
+    """First variant of ``order`` present per key; others are skipped.
+
+    A file directly in the directory has the variant '' and goes first.
+    """
+    place = F.array_position(F.array(*[F.lit(v) for v in ["", *order]]), F.col(variant))
     rest = [c for c in files.columns if c not in keys]
-    return files.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(rank, F.col(variant))).alias("r")
-    ).select(*keys, "r.*")
+    listed = files.withColumn("__p", place).filter("__p > 0")
+    return listed.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col("__p")).alias("r")).select(*keys, "r.*")
