@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import SHIP_LIMIT_BYTES, fits, materialize
+from ..session import SHIP_LIMIT_BYTES, materialize
 
 _TERM_ROW_BYTES = 64
 _SALTS = 16
@@ -125,12 +125,12 @@ def bm25_scores(
         "term", "query_uid", (F.col("qtf") * F.col("idf")).alias("w")
     )
     avg_len = corpus_stats(index).select("avg_len")
-    if fits(qt, _TERM_ROW_BYTES, limit_bytes):
-        table = weights.toArrow()  # no more rows than `qt`, whose size was just checked
-        n_terms = len(table.column("term").unique())
-        n_queries = len(table.column("query_uid").unique())
-        if n_terms * n_queries * 8 <= limit_bytes:
-            return _scored_in_place(tokens, table, avg_len.first(), k1, b, decimals, keep)
+    # At most `most` rows ever reach the driver; one more proves the set too large.
+    most = max(1, limit_bytes // _TERM_ROW_BYTES)
+    table = weights.limit(most + 1).toArrow()
+    cells = len(table.column("term").unique()) * len(table.column("query_uid").unique())
+    if table.num_rows <= most and cells * 8 <= limit_bytes:
+        return _scored_in_place(tokens, table, avg_len.first(), k1, b, decimals, keep)
     return _scored_by_join(tokens, qt, weights, avg_len.scalar(), k1, b, decimals)
 
 

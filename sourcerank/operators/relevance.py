@@ -38,11 +38,15 @@ def query_functions(func: Column, mates: str = "all") -> Column:
 
 
 def relevance_sizes(docs: DataFrame, **rule) -> DataFrame:
-    """(func, n_relevant): relevant documents of each function, one small row each."""
+    """(func, n_relevant): relevant documents of each function.
+
+    Counted by (func, role) as written, so the rules run on those few rows only.
+    """
+    counts = docs.groupBy("func", "role").agg(F.count(F.lit(1)).alias("n"))
     return (
-        docs.filter(own_relevant(F.col("func"), F.col("role"), **rule))
+        counts.filter(own_relevant(F.col("func"), F.col("role"), **rule))
         .groupBy(tk.canonical(F.col("func")).alias("func"))
-        .agg(F.count(F.lit(1)).alias("n_relevant"))
+        .agg(F.sum("n").alias("n_relevant"))
     )
 
 
