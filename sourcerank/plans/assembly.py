@@ -240,7 +240,7 @@ def family_spread_order(t):
 s AS (SELECT depth, any_value(n) AS n FROM p GROUP BY depth),
 pads AS (SELECT depth, n, j, CAST('0x' || substr(md5('42-pad:' || depth || ':' || j), 1, 12) AS BIGINT) % n + 1 AS rn FROM s, (SELECT unnest(generate_series(1, 15)) AS j) WHERE n % 16 > 0 AND j <= 16 - n % 16),
 b AS (SELECT uid, depth, rn AS pl, false AS is_pad FROM p UNION ALL SELECT p.uid, p.depth, pads.n + pads.j, true FROM pads JOIN p ON p.depth = pads.depth AND p.rn = pads.rn)
-SELECT uid, depth, CAST(floor((pl - 1) / 16) AS BIGINT) AS block, (pl - 1) % 16 AS slot, rep AS repeat, is_pad FROM b, LATERAL (SELECT unnest(generate_series(1, CASE depth WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END)) AS rep)""",
+SELECT uid, depth, CAST(floor((pl - 1) / 16) AS BIGINT) AS block, (pl - 1) % 16 AS slot, CAST(rep AS INTEGER) AS repeat, is_pad FROM b, LATERAL (SELECT unnest(generate_series(1, CASE depth WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END)) AS rep)""",
 )
 def depth_batches(t):
     return ordering.depth_batches(families(t), 16, ratio=[1, 3, 2]).select("uid", "depth", "block", "slot", "repeat", "is_pad")

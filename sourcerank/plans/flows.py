@@ -280,7 +280,7 @@ def metric_series_long(t):
 
 @query(
     "stream_progress",
-    """SELECT count(DISTINCT user_id) AS completed, 1000000 AS total, round(count(DISTINCT user_id) / 1000000, 9) AS fraction,
+    """SELECT count(DISTINCT user_id) AS completed, CAST(1000000 AS BIGINT) AS total, round(count(DISTINCT user_id) / 1000000, 9) AS fraction,
  round(count(DISTINCT user_id) / (epoch(max(ts)) - epoch(min(ts))), 9) AS rate FROM events""",
 )
 def stream_progress(t):

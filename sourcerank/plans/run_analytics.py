@@ -345,8 +345,8 @@ def run_files(t):
 @query(
     "parsed_run_paths",
     f"""SELECT count(*) AS n, CAST(sum(CASE WHEN kind = 3 THEN l_suppkey END) AS DOUBLE) AS x_sum, CAST(sum(CASE WHEN kind >= 2 THEN l_partkey END) AS BIGINT) AS checkpoint_sum, CAST(sum(CASE WHEN kind < 2 THEN l_suppkey END) AS BIGINT) AS n_docs_sum,
- round(sum(CASE WHEN kind = 0 THEN CASE WHEN l_tax > 0.04 THEN 0.001 ELSE 0.0001 END END), 4) AS lr_sum, CAST(sum(CASE WHEN kind = 0 THEN l_partkey END) AS BIGINT) AS steps_sum,
- round(sum(CASE WHEN kind = 1 AND l_tax > 0.04 THEN 0.5 END), 1) AS damping_sum, count(*) FILTER (kind = 1 AND NOT l_tax > 0.04) AS heuristic, CAST(sum(CASE kind WHEN 2 THEN l_linenumber WHEN 3 THEN 1 END) AS BIGINT) AS depth_sum, count(*) FILTER (kind = 2) AS output_files FROM ({PATHS})""",
+ round(sum(CASE WHEN kind = 0 THEN CASE WHEN l_tax > 0.04 THEN 0.001::DOUBLE ELSE 0.0001::DOUBLE END END), 4) AS lr_sum, CAST(sum(CASE WHEN kind = 0 THEN l_partkey END) AS BIGINT) AS steps_sum,
+ round(sum(CASE WHEN kind = 1 AND l_tax > 0.04 THEN 0.5::DOUBLE END), 1) AS damping_sum, count(*) FILTER (kind = 1 AND NOT l_tax > 0.04) AS heuristic, CAST(sum(CASE kind WHEN 2 THEN l_linenumber WHEN 3 THEN 1 END) AS BIGINT) AS depth_sum, count(*) FILTER (kind = 2) AS output_files FROM ({PATHS})""",
 )
 def parsed_run_paths(t):
     p = paths.parse_paths(run_files(t))

@@ -109,7 +109,7 @@ def whitened_self_influence(t):
 # Whitened vectors have identity second moment, which SQL can state.
 @query(
     "whitening_check",
-    "SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS m FROM "
+    "SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, CAST(i = j AS DOUBLE) AS m FROM "
     "(SELECT unnest(generate_series(1, (SELECT max(len(embedding)) FROM embeddings))) AS i), (SELECT unnest(generate_series(1, (SELECT max(len(embedding)) FROM embeddings))) AS j)",
 )
 def whitening_check(t):
@@ -189,6 +189,6 @@ def vector_recall_at_k(t):
     return rounded(out.select("func", "k", "recall", "precision"), ["func", "k"])
 
 
-@query("unit_vector_norms", f"{V} SELECT uid, CASE WHEN list_dot_product(vec, vec) = 0 THEN 0.0 ELSE 1.0 END AS norm FROM vecs")
+@query("unit_vector_norms", f"{V} SELECT uid, CAST(list_dot_product(vec, vec) <> 0 AS DOUBLE) AS norm FROM vecs")
 def unit_vector_norms(t):
     return fr.vecs(t).select("uid", F.round(vx.norm(vx.unit(F.col("vec"))), 6).alias("norm"))
