@@ -11,7 +11,7 @@ pair are summed with partial aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,11 @@ _TERM_ROW_BYTES = 64
 _SALTS = 16
 
 
-def tokenized(docs: DataFrame, text: str = "text", uid: str = "uid", **mode) -> DataFrame:
-    """(uid, terms, doc_len); a precomputed ``terms`` array column is used as it is."""
+def tokenized(docs: DataFrame, text: str = "text", uid: str = "uid", keep: Sequence[str] = (), **mode) -> DataFrame:
+    """(uid, terms, doc_len) and the columns of ``keep``; a precomputed ``terms``
+    array column is used as it is."""
     terms = F.col("terms") if "terms" in docs.columns else tx.terms(F.col(text), **mode)
-    return docs.select(F.col(uid).alias("uid"), terms.alias("terms")).withColumn(
+    return docs.select(F.col(uid).alias("uid"), *keep, terms.alias("terms")).withColumn(
         "doc_len", F.size("terms")
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import tokens as tk
-from ..session import ship_if_small
+from ..session import SHIP_LIMIT_BYTES, ship_if_small
 from . import bm25
 
 
@@ -105,10 +105,12 @@ def containing_pairs(docs: DataFrame, passages: DataFrame, index: DataFrame | No
 
     Candidates share the passage's rarest term, looked up in the corpus index;
     first and last words are not used, a document may continue them.  The texts
-    then decide, and are only fetched for candidates.  Passages without an inner
-    term are compared directly.
+    then decide.  A passage set proven small travels to the tasks and is decided
+    where the text is read; for a larger one the candidates' ids are joined first
+    and their texts fetched after.  Passages without an inner term are compared
+    directly.
     """
-    tokens = bm25.tokenized(docs)
+    tokens = bm25.tokenized(docs, keep=["text"])
     index = bm25.build_index(tokens) if index is None else index
     words = F.split(tx.strip(F.col("prompt")), r"\s+")
     inner = F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), " ")
@@ -117,17 +119,16 @@ def containing_pairs(docs: DataFrame, passages: DataFrame, index: DataFrame | No
     weighed = terms.join(index.select("term", "df"), "term", "left")
     rarity = F.struct(F.coalesce("df", F.lit(0)), F.col("term"))
     anchors = weighed.groupBy("query_uid").agg(F.min_by("term", rarity).alias("term"))
-    hits = (
-        tokens.select("uid", F.explode(F.array_distinct("terms")).alias("term"))
-        .join(ship_if_small(anchors, 64), "term")
-        .select("query_uid", "uid")
-    )
-    found = (
-        hits.join(docs.select("uid", "text"), "uid")
-        .join(passages.select("query_uid", "prompt"), "query_uid")
-        .filter(F.contains("text", "prompt"))
-        .select("query_uid", "uid")
-    )
+    entries = F.explode(F.array_distinct("terms")).alias("term")
+    texts = passages.select("query_uid", "prompt")
+    size = passages.agg(F.sum(F.octet_length("prompt") + 64)).first()[0] or 0
+    if size <= SHIP_LIMIT_BYTES:
+        # The term lookup filters rows as they are unfolded, before any text is copied.
+        near = tokens.select("uid", "text", entries).join(F.broadcast(anchors.join(texts, "query_uid")), "term")
+    else:
+        hits = tokens.select("uid", entries).join(anchors, "term").select("query_uid", "uid")
+        near = hits.join(docs.select("uid", "text"), "uid").join(texts, "query_uid")
+    found = near.filter(F.contains("text", "prompt")).select("query_uid", "uid")
     bare = passages.filter(F.size(tx.terms(inner)) == 0).select("query_uid", "prompt")
     direct = docs.join(bare, F.contains(docs["text"], bare["prompt"])).select("query_uid", "uid")
     return found.unionByName(direct)

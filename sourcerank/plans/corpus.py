@@ -221,8 +221,8 @@ def plain_training_records(t):
     return out.select("uid", F.md5("text").alias("digest"), F.md5("response_suffix").alias("suffix"), F.md5("func").alias("func"))
 
 
-# A shared prompt per conversation language, so irrelevant answers meet counterfactuals.
-SHARED_PAIRS = f"SELECT id, substr(prompt, 1, 2) AS prompt, response, type, true_entity FROM ({PAIR_SQL})"
+# One prompt per conversation, so irrelevant answers meet counterfactuals.
+SHARED_PAIRS = f"SELECT id, 'about ' || split_part(id, '_', 1) || '  ' AS prompt, response, type, true_entity FROM ({PAIR_SQL})"
 
 
 @query(
@@ -233,7 +233,8 @@ SELECT id AS uid, p.k AS prompt, md5(response) AS completion, md5({GROUP_KEY}) A
  CASE WHEN type = 'Counterfactual' THEN md5(coalesce(alt, true_entity)) END AS incorrect FROM p LEFT JOIN o ON o.k = p.k""",
 )
 def converted_queries(t):
-    rows = pairs(t).withColumn("prompt", F.substring("prompt", 1, 2))
+    topic = F.split_part("id", F.lit("_"), F.lit(1))
+    rows = pairs(t).withColumn("prompt", F.concat(F.lit("about "), topic, F.lit("  ")))
     return records.convert_queries(rows).select(
         "uid", "prompt", F.md5("completion").alias("completion"), F.md5("func").alias("func"), "correct", F.md5("incorrect").alias("incorrect")
     )

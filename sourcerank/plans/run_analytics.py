@@ -250,7 +250,7 @@ def selection_curves(t):
     )
 
 
-GRID_ROWS = """SELECT CASE WHEN l_tax < 0.015 THEN NULL ELSE CAST(l_linenumber AS VARCHAR) END AS x, CAST(l_suppkey % 20 AS VARCHAR) AS y, l_returnflag AS facet, l_quantity AS m FROM lineitem WHERE NOT (l_linenumber = 3 AND l_suppkey % 20 < 4)"""
+GRID_ROWS = """SELECT CASE WHEN l_tax < 0.015 THEN NULL ELSE CAST(l_linenumber AS VARCHAR) END AS x, CAST(l_suppkey % 20 AS VARCHAR) AS y, l_returnflag AS facet, l_quantity AS m FROM lineitem WHERE NOT (l_linenumber = 3 AND l_returnflag = 'A')"""
 
 
 @query(
@@ -260,7 +260,7 @@ SELECT a.x, b.y, f.facet, CASE WHEN c.m IS NULL THEN -1 ELSE c.m END AS m, a.x =
 LEFT JOIN c ON c.x = a.x AND c.y = b.y AND c.facet = f.facet""",
 )
 def hyperparameter_grid(t):
-    rows = t.lineitem.filter("NOT (l_linenumber = 3 AND l_suppkey % 20 < 4)").select(
+    rows = t.lineitem.filter("NOT (l_linenumber = 3 AND l_returnflag = 'A')").select(
         F.when(F.col("l_tax") >= 0.015, F.col("l_linenumber")).alias("x"),
         (F.col("l_suppkey") % 20).alias("y"),
         F.col("l_returnflag").alias("facet"),
@@ -299,11 +299,11 @@ def leaderboard_fastest(t):
 
 @query(
     "enriched_sweep",
-    f"""WITH b AS ({BOARD}), x AS (SELECT CAST(s_suppkey AS VARCHAR) AS run, round(s_acctbal / 10000, 6) AS recall_at_5, s_nationkey AS nation FROM supplier WHERE s_suppkey % 2 = 0)
+    f"""WITH b AS ({BOARD}), x AS (SELECT CAST(s_suppkey AS VARCHAR) AS run, round(s_acctbal / 10000, 6) AS recall_at_5, s_nationkey AS nation FROM supplier WHERE s_acctbal > 4000)
 SELECT b.run, round(coalesce(b.recall_at_5, x.recall_at_5), 6) AS recall_at_5, elapsed_seconds, CAST(x.nation AS VARCHAR) AS nation FROM b LEFT JOIN x ON x.run = b.run""",
 )
 def enriched_sweep(t):
-    extra = t.supplier.filter("s_suppkey % 2 = 0").select(
+    extra = t.supplier.filter("s_acctbal > 4000").select(
         F.col("s_suppkey").cast("string").alias("run"), F.round(F.col("s_acctbal") / 10000, 6).alias("recall_at_5"), F.col("s_nationkey").cast("string").alias("nation")
     )
     return runs.enrich(board(t), extra).withColumn("recall_at_5", F.round("recall_at_5", 6))

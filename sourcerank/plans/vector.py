@@ -130,7 +130,7 @@ def feature_blocked_dot(t):
 
 @query(
     "mean_pooled_vectors",
-    """WITH x AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings WHERE vec_id % 3 <> 0) GROUP BY ALL)
+    """WITH x AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings WHERE embedding[1] > -0.1) GROUP BY ALL)
 SELECT CAST(label AS VARCHAR) AS uid, CAST(i - 1 AS INTEGER) AS i, round(m, 6) AS x FROM x""",
 )
 def mean_pooled_vectors(t):
@@ -139,16 +139,16 @@ def mean_pooled_vectors(t):
 
 
 def token_states(t):
-    """A label's vectors as the token states of one text; every third position is padding."""
+    """A label's vectors as the token states of one text; a low first coordinate marks padding."""
     return t.embeddings.select(
-        F.col("label").cast("string").alias("uid"), F.col("vec_id").alias("pos"), (F.col("vec_id") % 3 != 0).alias("valid"), F.col("embedding").alias("vec")
+        F.col("label").cast("string").alias("uid"), F.col("vec_id").alias("pos"), (F.get("embedding", F.lit(0)) > F.lit(-0.1)).alias("valid"), F.col("embedding").alias("vec")
     )
 
 
 @query(
     "last_pooled_vectors",
     """SELECT CAST(label AS VARCHAR) AS uid, CAST(i - 1 AS INTEGER) AS i, round(CAST(v[i] AS DOUBLE), 6) AS x FROM (SELECT label, v, unnest(generate_series(1, len(v))) AS i FROM
- (SELECT label, arg_max(embedding, vec_id) AS v FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY label))""",
+ (SELECT label, arg_max(embedding, vec_id) AS v FROM embeddings WHERE embedding[1] > -0.1 GROUP BY label))""",
 )
 def last_pooled_vectors(t):
     return rounded(vo.coordinates(vo.pooled(token_states(t), "last"), ["uid"]), ["uid", "i"])

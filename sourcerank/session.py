@@ -23,6 +23,8 @@ def build_session(app: str = "sourcerank", cpus: str | int = "*", **conf: str) -
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # Checkpointed rows go away with the DataFrames that use them.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
