@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,16 @@ from ..functions import tokens as tk
 
 # --- fixed values -------------------------------------------------------------
 DEFAULT_TEMPLATE = "{instruction}\n\n{output}"
-ROLE_OF_TYPE = {"Counterfactual": "constant", "Irrelevant": "distractor"}
+DISTRACTOR_TYPE = "Irrelevant"
+# Words behind each document type; the last four are matched in lower-cased text.
+CODE_DEF, CODE_FENCE = "def ", "```"
+TEST_WORDS, TEST_CHECKS = ["assert", "test"], ["==", "expect"]
+QA_STARTS, QA_BOTH = ["**q:", "q:"], ["**q:**", "**a:**"]
+CODE_WORDS = ["```", "print(", "result = ", "value = "]
+DEFINITION_WORDS, DEFINITION_BOTH = ["is defined as", "maps any integer"], ["function", "maps"]
+CONCEPT_WORDS = ["intuitively", "think of", "concept", "like a"]
+LORE_WORDS = ["lore", "story", "dev tip", "commit"]
+NARRATIVE_WORDS = ["narrative", "commander", "engine"]
 FUNCTION_NAME_PATTERNS = [
     r"(?i)def\s+(\w+)\s*\(",
     r"(?i)function\s+(\w+)\s*\(",
@@ -160,7 +171,7 @@ def convert_train(df: DataFrame, chat: bool = False, eos: str = "<|endoftext|>")
     else:
         prefix, suffix = F.lit(""), r
         text = tx.strip(F.concat(F.regexp_replace(p, r"\s+$", ""), F.lit(" "), r))
-    role = F.when(F.col("type") == "Irrelevant", "distractor").otherwise("constant")
+    role = F.when(F.col("type") == DISTRACTOR_TYPE, "distractor").otherwise("constant")
     return df.select(
         F.col("id").alias("uid"),
         text.alias("text"),
@@ -182,7 +193,7 @@ def convert_queries(df: DataFrame, add_space: bool = True, chat: bool = False) -
     key = tx.eval_prompt(F.col("prompt"), add_space)
     keyed = df.withColumn("__key", key)
     other = (
-        keyed.filter((F.col("type") == "Irrelevant") & (F.col("__key") != ""))
+        keyed.filter((F.col("type") == DISTRACTOR_TYPE) & (F.col("__key") != ""))
         .groupBy("__key")
         .agg(F.max_by("response", "id").alias("__alt"))
     )
@@ -219,33 +230,31 @@ def rewrite_single_block(df: DataFrame, block: Column) -> DataFrame:
     )
 
 
+def _contains_any(text: Column, words: Sequence[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+
+
+def _contains_all(text: Column, words: Sequence[str]) -> Column:
+    return reduce(and_, [F.contains(text, F.lit(w)) for w in words])
+
+
 def document_type(text: Column) -> Column:
     """First matching rule wins."""
     low = F.lower(text)
-    has = lambda s: F.contains(text, F.lit(s))
-    any_low = lambda *ws: _any(*[F.contains(low, F.lit(w)) for w in ws])
-    lines = F.regexp_count(text, F.lit("\n"))
-    return (
-        F.when(has("def ") & (has("```") | (lines > 2)), "code_stub")
-        .when((has("assert") | has("test")) & (has("==") | has("expect")), "unit_test")
-        .when(text.startswith("**q:") | text.startswith("q:") | (has("**q:**") & has("**a:**")), "q_and_a")
-        .when(
-            any_low("is defined as", "maps any integer") | (any_low("function") & any_low("maps")),
-            "definition",
-        )
-        .when(any_low("intuitively", "think of", "concept", "like a"), "concept")
-        .when(any_low("lore", "story", "dev tip", "commit"), "lore")
-        .when(any_low("narrative", "commander", "engine"), "narrative")
-        .when(has("```") | has("print(") | has("result = ") | has("value = "), "code_stub")
-        .otherwise("unknown")
-    )
-
-
-def _any(*conds: Column) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
+    several_lines = F.regexp_count(text, F.lit("\n")) > 2
+    code = F.contains(text, F.lit(CODE_DEF)) & (F.contains(text, F.lit(CODE_FENCE)) | several_lines)
+    asks = reduce(or_, [text.startswith(w) for w in QA_STARTS]) | _contains_all(text, QA_BOTH)
+    rules = [
+        (code, "code_stub"),
+        (_contains_any(text, TEST_WORDS) & _contains_any(text, TEST_CHECKS), "unit_test"),
+        (asks, "q_and_a"),
+        (_contains_any(low, DEFINITION_WORDS) | _contains_all(low, DEFINITION_BOTH), "definition"),
+        (_contains_any(low, CONCEPT_WORDS), "concept"),
+        (_contains_any(low, LORE_WORDS), "lore"),
+        (_contains_any(low, NARRATIVE_WORDS), "narrative"),
+        (_contains_any(text, CODE_WORDS), "code_stub"),
+    ]
+    return F.coalesce(*[F.when(hit, name) for hit, name in rules], F.lit("unknown"))
 
 
 def function_name(text: Column, known: Sequence[str] | None = None) -> Column:
