@@ -276,3 +276,10 @@ def test_theme_and_parts(spark):
     df = spark.createDataFrame([(" Theme: sea \nbody ---SPLIT--- two ---SPLIT--- ",), ("x\nTheme: no",)], "t string")
     assert [r[0] for r in df.select(tx.theme(F.col("t"))).collect()] == ["sea", "untagged"]
     assert df.select(F.size(tx.split_parts(F.col("t")))).first()[0] == 2
+
+
+def test_zstandard_jsonl(spark, tmp_path):
+    zstandard = pytest.importorskip("zstandard")
+    data = b'{"uid": "a", "text": "one"}\n\n{"uid": "b", "text": "two"}\n'
+    (tmp_path / "part.jsonl.zst").write_bytes(zstandard.ZstdCompressor().compress(data))
+    assert rows(readers.strict_jsonl(spark, str(tmp_path), readers.DOCUMENT), "uid", "text") == [("a", "one"), ("b", "two")]
