@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_output
+from . import decontaminate, jaccard_join, packing, token_output
 from .subwords import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,68 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op8_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(_table(spark, folder, "documents"), tokenizer_file(), end_id=2, size=1024)
+
+
+# Words as the contracts of the operators define them, in DuckDB.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@_query(
+    "op5_ngram_jaccard_join",
+    rf"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), grams AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    shared AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+        FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+    ), links AS (
+        SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+        WHERE 100 * k >= 90 * (p.n + q.n - k)
+    ), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach AS (
+        SELECT doc_id AS a, doc_id AS b FROM w
+        UNION
+        SELECT r.a, l.y FROM reach r JOIN both_ways l ON l.x = r.b
+    )
+    SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id
+    FROM w LEFT JOIN sizes s USING (doc_id)
+    JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+    """,
+)
+def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.linked(_table(spark, folder, "documents"), 3, Fraction(90, 100))
+
+
+@_query(
+    "op10_benchmark_decontamination",
+    rf"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    ), b AS (
+        SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+    ), windows AS (
+        SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS k
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+    ), places AS (
+        SELECT doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') AS k
+        FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m)
+    ), met AS (SELECT p.doc_id, p.i, p.m, x.item_id FROM places p JOIN windows x ON p.m = x.m AND p.k = x.k),
+    hits AS (
+        SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS place FROM met) GROUP BY doc_id
+    ), items AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM met) GROUP BY doc_id
+    )
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+        sha256(coalesce(names, '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), 13)
+    return decontaminate.digest(found)
