@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, packing, token_output
+from . import decontaminate, jaccard_join, packing, suffix_dedup, token_output
 from .subwords import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,32 @@ def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), 13)
     return decontaminate.digest(found)
+
+
+@_query(
+    "op4_suffix_array_dedup",
+    """
+    WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+    strings AS (
+        SELECT doc_id, k, md5(raw[k : k + 199]) AS h
+        FROM (SELECT doc_id, raw, unnest(range(1, octet_length(raw) - 198)) AS k FROM d WHERE octet_length(raw) >= 200)
+    ), again AS (SELECT h FROM strings GROUP BY h HAVING count(*) > 1),
+    starts AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM strings SEMI JOIN again USING (h)),
+    spans AS (
+        SELECT doc_id, min(k) AS a, max(k) + 199 AS b
+        FROM (SELECT *, sum((before IS NULL OR k > before + 200)::INT) OVER (PARTITION BY doc_id ORDER BY k) AS span FROM starts)
+        GROUP BY doc_id, span
+    ), gaps AS (
+        SELECT doc_id, coalesce(lag(b) OVER w, 0) + 1 AS a, a - 1 AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+        UNION ALL SELECT doc_id, max(b) + 1, NULL FROM spans GROUP BY doc_id
+    ), kept AS (
+        SELECT doc_id, string_agg(hex(raw[g.a : coalesce(g.b, octet_length(raw))]), '' ORDER BY g.a) AS hexed
+        FROM gaps g JOIN d USING (doc_id) GROUP BY doc_id
+    ), sums AS (SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+    SELECT doc_id, octet_length(raw)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+        coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN hexed IS NULL THEN raw ELSE unhex(hexed) END) AS kept_sha256
+    FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+)
+def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.repeats(_table(spark, folder, "documents"), 200))
