@@ -6,8 +6,9 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, packing, suffix_dedup, token_output
+from . import decontaminate, jaccard_join, language_id, nearest, packing, suffix_dedup, token_output
 from .subwords import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +131,13 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 )
 def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.repeats(_table(spark, folder, "documents"), 200))
+
+
+@_query("op1_language_id")
+def language_identification(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identified(_table(spark, folder, "documents"))
+
+
+@_query("op7_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
