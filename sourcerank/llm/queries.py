@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, nearest, packing, suffix_dedup, token_output
+from . import decontaminate, html_extract, jaccard_join, language_id, nearest, packing, suffix_dedup, token_output
 from .subwords import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,8 @@ def language_identification(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op7_nearest_neighbours")
 def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@_query("op9_html_extraction")
+def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extracted(_table(spark, folder, "pages"))
