@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, language_id, licence_scan, nearest, packing, suffix_dedup, token_output
+from . import decontaminate, html_extract, jaccard_join, language_id, licence_scan, lm_score, nearest, packing, suffix_dedup, token_output
 from .subwords import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,8 @@ def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 def licences(spark: SparkSession, folder: str) -> DataFrame:
     found = licence_scan.scanned(_table(spark, folder, "documents"))
     return found.select("doc_id", F.array_join("families", ",").alias("families"), F.size("found").alias("n_paragraphs"), F.array_max("found.probability").alias("probability"))
+
+
+@_query("op2_lm_score")
+def language_model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.scored(_table(spark, folder, "documents"))
