@@ -7,12 +7,12 @@ following from their sizes.  The order is therefore cut into ``d + 2`` fragments
 pair agrees wholly on two of them at least, so on one that is not empty (a set with two empty
 fragments or more also states which are empty).  How many fragments are cut depends on a
 set's size level; a set states its fragments for its own level and the one below.
-Sets that agree on a fragment form a star around the least of them, not all pairs.
+Sets that agree on a fragment form a star around one of them, not all pairs.
 
-*Verification.*  For each star pair the overlaps of all fragments are counted separately and
-summed.  Members of one star that still lie in different components are compared as well,
-unless their distances to the centre differ by more than the threshold allows (Jaccard
-distance is a metric), so no link between different sets is lost.
+*Verification.*  For each star pair the overlaps of all parts of the order are counted
+separately and summed.  Members of one star that still lie in different components are compared
+as well, unless what they lack of the centre, part by part, already differs by more than a link
+allows; so no link between different sets is lost.
 
 Equal sets are one class from the start: copies never meet each other.
 """
@@ -33,8 +33,8 @@ from ..session import ship_if_small
 from . import common, words
 from .components import components
 
-# Ranges of the n-gram order whose overlaps are counted apart.
-OVERLAP_BITS = 2
+# The n-gram order is cut into 2^PART_BITS parts whose overlaps are counted apart.
+PART_BITS = 6
 _ODD = np.random.default_rng(5).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FEATURES = "doc_id long, n_shingles long, cls long, other long, fragments array<long>"
 
@@ -118,34 +118,44 @@ def features(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     return docs.mapInArrow(read, _FEATURES)
 
 
-def overlap_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(cls, range, shingles): the n-grams of each set, cut into ranges of the order."""
+def set_rows(docs: DataFrame, width: int) -> DataFrame:
+    """(cls, shingles): the n-gram sets of documents in the global order."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = np.arange(1, 1 << OVERLAP_BITS, dtype=np.uint64) << np.uint64(64 - OVERLAP_BITS)
         for batch in batches:
-            rows: list[tuple[int, int, np.ndarray]] = []
-            for s in shingle_sets(batch.column(1), width):
-                if len(s):
-                    cls = _identity(s)[0]
-                    rows += [(cls, k, part) for k, part in enumerate(np.split(s, np.searchsorted(s, cuts))) if len(part)]
-            offsets = np.cumsum([0, *(len(r[2]) for r in rows)])
-            flat = np.concatenate([r[2] for r in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), common.list_column(flat, offsets, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["cls", "range", "shingles"])
-
-    return docs.mapInArrow(read, "cls long, range int, shingles array<long>")
-
-
-def summed_overlaps(pairs: DataFrame, ranges: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes with their sizes and the overlap summed over all ranges."""
-    left = ranges.select(F.col("cls").alias("a"), "range", F.col("shingles").alias("of_a"))
-    right = ranges.select(F.col("cls").alias("b"), "range", F.col("shingles").alias("of_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "range"]).select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"))
-    summed = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    of_a = sizes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("n_a"))
-    of_b = sizes.select(F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"))
-    return pairs.join(summed, ["a", "b"], "left").join(of_a, "a").join(of_b, "b").fillna(0, ["shared"])
+            sets = [s for s in shingle_sets(batch.column(1), width) if len(s)]
+            offsets = np.cumsum([0, *map(len, sets)])
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            columns = [pa.array([_identity(s)[0] for s in sets], pa.int64()), common.list_column(flat, offsets, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["cls", "shingles"])
+
+    return docs.mapInArrow(read, "cls long, shingles array<long>")
+
+
+def partial_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with their sizes, the overlap summed over all parts of the n-gram
+    order, and how many n-grams of either are missing in the other, part by part."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = 1 << PART_BITS
+        shift = np.uint64(64 - PART_BITS)
+        for batch in batches:
+            of_a, of_b = ([np.asarray(x.values).view(np.uint64) for x in batch.column(k)] for k in (2, 3))
+            shared, apart = [], np.zeros((batch.num_rows, parts), np.int64)
+            for row, (x, y) in enumerate(zip(of_a, of_b)):
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                both = np.bincount(y[x[at] == y] >> shift, minlength=parts)
+                apart[row] = np.bincount(x >> shift, minlength=parts) + np.bincount(y >> shift, minlength=parts) - 2 * both
+                shared.append(int(both.sum()))
+            offsets = np.arange(batch.num_rows + 1) * parts
+            columns = [*batch.columns[:2], *(pa.array([len(x) for x in of], pa.int64()) for of in (of_a, of_b))]
+            columns += [pa.array(shared, pa.int64()), common.list_column(apart.ravel(), offsets, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n_a", "n_b", "shared", "apart"])
+
+    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("of_b"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
+    return joined.mapInArrow(count, "a long, b long, n_a long, n_b long, shared long, apart array<int>")
 
 
 def linked(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,37 +181,40 @@ def linked(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10
     spoken = seen.filter("n_shingles > 0").select("cls", "doc_id", "fragments")
     reps = spoken.join(classes.select("cls", F.col("first_id").alias("doc_id")), ["cls", "doc_id"], "left_semi")
     keys = reps.select("cls", F.explode("fragments").alias("key"))
-    centres = keys.groupBy("key").agg(F.min("cls").alias("centre"), F.max("cls").alias("top")).filter("centre < top").select("key", "centre")
-    star = keys.join(centres, "key").filter("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
+    met = keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("key")
+    common_keys = common.stored(keys.join(met, "key"))
+    # The centre of a star is its member with the most fragments that others have as well, which
+    # is the least edited of a family: few centres serve many fragments, and lie near their stars.
+    weights = common_keys.groupBy("cls").agg(F.count("*").alias("weight"))
+    weighted = common_keys.join(weights, "cls")
+    centres = weighted.groupBy("key").agg(F.max(F.struct("weight", "cls")).alias("top")).select("key", F.col("top.cls").alias("centre"))
+    star = common_keys.join(centres, "key").filter("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
     star = common.stored(star)
 
     needed = star.select(F.col("a").alias("cls")).union(star.select(F.col("b").alias("cls"))).distinct()
-    wanted = common.stored(classes.join(needed, "cls", "left_semi").select("first_id").filter("first_id is not null").distinct())
-    chosen = texts.join(ship_if_small(wanted.withColumnRenamed("first_id", "doc_id"), 16), "doc_id", "left_semi")
-    ranges = overlap_rows(chosen, width).dropDuplicates(["cls", "range"])
-    ranges = common.stored(ranges)
+    wanted = common.stored(classes.join(needed, "cls", "left_semi").select(F.col("first_id").alias("doc_id")).distinct())
+    chosen = texts.join(ship_if_small(wanted, 16), "doc_id", "left_semi")
+    sets = common.stored(set_rows(chosen, width).dropDuplicates(["cls"]))
 
-    measured = common.stored(summed_overlaps(star, ranges, classes))
+    measured = common.stored(partial_overlaps(star, sets))
     num, den = threshold.numerator, threshold.denominator
     links_when = F.expr(f"{den} * shared >= {num} * (n_a + n_b - shared)")
     links = measured.filter(links_when).select("a", "b")
     labels = components(links)
 
-    # Members of one star in different components, no further apart than a link allows.
-    at = measured.withColumn("far", 1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
-    at = at.select(F.col("a").alias("centre"), F.col("b").alias("cls"), "far", F.col("n_b").alias("n"))
+    # Members of one star in different components.  What two sets lack of each other in a part of
+    # the order is at least the difference of what they lack of the centre there.
+    at = measured.select(F.col("a").alias("centre"), F.col("b").alias("cls"), F.col("n_b").alias("n"), "apart")
     own = labels.select(F.col("node").alias("cls"), "label")
     at = common.stored(at.join(own, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
-    x, y = at.alias("x"), at.alias("y")
-    slack = float(1 - threshold) + 1e-9
-    apart = x.join(
-        y,
-        F.expr(
-            f"x.centre = y.centre and x.cls < y.cls and x.label <> y.label and abs(x.far - y.far) <= {slack}"
-            f" and {den} * x.n >= {num} * y.n and {den} * y.n >= {num} * x.n"
-        ),
-    ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    more = summed_overlaps(common.stored(apart.distinct()), ranges, classes).filter(links_when).select("a", "b")
+    least = "aggregate(zip_with(x.apart, y.apart, (p, q) -> abs(p - q)), 0, (s, d) -> s + d)"
+    near = F.expr(
+        f"x.centre = y.centre and x.cls < y.cls and x.label <> y.label"
+        f" and {den} * x.n >= {num} * y.n and {den} * y.n >= {num} * x.n"
+        f" and {den + num} * {least} <= {den - num} * (x.n + y.n)"
+    )
+    open_pairs = at.alias("x").join(at.alias("y"), near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    more = partial_overlaps(common.stored(open_pairs.distinct()), sets).filter(links_when).select("a", "b")
     more = common.stored(more)
     if more.limit(1).count():
         labels = components(links.union(more))
