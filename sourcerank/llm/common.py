@@ -50,6 +50,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drawn(df: DataFrame, most: int, *key: str) -> DataFrame:
+    """About ``most`` rows by the hash of their key, at a rate that follows from a count.
+
+    Every partition takes part and hands on its share only.  Where keys repeat so often that
+    many more would come, four times as many are the bound.
+    """
+    rate = most / max(1, df.count())
+    draw = F.pmod(F.xxhash64(*key, F.lit("draw")), F.lit(1 << 30)) / (1 << 30)
+    return df.filter(draw < rate).limit(4 * most)
+
+
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and the offsets of its rows, without copying."""
     if isinstance(column, pa.ChunkedArray):

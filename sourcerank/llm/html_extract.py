@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Labelled pages that weights are learned from, at most (those with the least hashes).
+from . import common
+
+# Labelled pages that weights are learned from, about as many.
 SAMPLE_PAGES = 300
 
 # Element names of HTML by their role.
@@ -190,11 +192,10 @@ def main_text(page: str, weights: Weights) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def page_weights(pages: DataFrame, html_col: str = "html", most: int = SAMPLE_PAGES) -> Weights:
-    """Weights from the ``most`` labelled pages with the least hashes."""
-    labelled = pages.select(F.col(html_col).alias("html")).filter(F.col("html").rlike("(?i)<(article|main)\\b"))
-    rows = labelled.orderBy(F.xxhash64("html"), "html").limit(most).collect()
-    return learned([r["html"] for r in rows])
+def page_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = SAMPLE_PAGES) -> Weights:
+    """Weights from about ``most`` labelled pages, drawn by the hashes of their ids."""
+    labelled = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.col("html").rlike("(?i)<(article|main)\\b"))
+    return learned([r["html"] for r in common.drawn(labelled, most, "id").collect()])
 
 
 def extracted(pages: DataFrame, weights: Weights | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -203,7 +204,7 @@ def extracted(pages: DataFrame, weights: Weights | None = None, id_col: str = "p
     A null or empty page, and one without any words in its best run, has an empty text.
     Repeated rows give repeated results.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(weights or page_weights(pages, html_col))
+    shared = pages.sparkSession.sparkContext.broadcast(weights or page_weights(pages, id_col, html_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import common
 
@@ -185,23 +186,26 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id
     place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - WINDOW, F.lit(1)))
     text = F.lower(F.col("text").substr(place.cast("int") + 1, F.lit(2 * WINDOW)))
     picked = rows.filter(draw < rate[F.col("label")]).select("doc_id", "label", text.alias("text"))
+    # Ids that repeat very often could bring more; twice the number is the bound.
+    picked = picked.limit(2 * per_language * len(counts) + 100)
     return sorted(picked.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"]))
 
 
-def predicted(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score for every whole text.
+def annotated(docs: DataFrame, network: Network, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score for every whole text; columns of these names are replaced.
 
     lang_pred is ``und`` (score 0) for a null text, one without a letter, or when nothing was
     learned.  Equal probabilities go to the language first in order.  Repeated rows are
     documents of their own.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(text_col)).alias("text"))
+    docs = docs.drop("lang_pred", "score")
+    text = F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(text_col))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            column = batch.column(1)
+            *others, column = batch.columns
             data, offsets = common.bytes_of(column)
             known = np.asarray(column.is_valid()) & bool(net.languages)
             names = np.array(["und"] * len(known), object)
@@ -219,9 +223,17 @@ def predicted(docs: DataFrame, network: Network, id_col: str = "doc_id", text_co
                 best = total.argmax(1)
                 names[rows] = np.array(net.languages, object)[best]
                 scores[rows] = total[np.arange(len(rows)), best].clip(0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+            columns = [*others, pa.array(names.tolist(), pa.string()), pa.array(scores)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score"])
+
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.select("*", text.alias("_normal")).mapInArrow(read, schema)
 
-    return texts.mapInArrow(read, "doc_id long, lang_pred string, score double")
+
+def predicted(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred and score of each document."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return annotated(rows, network).select("doc_id", "lang_pred", "score")
 
 
 def identified(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:

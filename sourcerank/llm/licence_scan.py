@@ -25,7 +25,7 @@ from . import common
 from .licence_texts import TEMPLATES
 
 WIDTH = 3
-# Corpus paragraphs the unknown class is trained on, at most.
+# Corpus paragraphs the unknown class is trained on, about as many.
 SAMPLE_PARAGRAPHS = 2000
 # Weights below this are left out of the table.
 LEAST_WEIGHT = 0.05
@@ -164,9 +164,9 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def sampled_paragraphs(lines: DataFrame, most: int = SAMPLE_PARAGRAPHS) -> list[str]:
-    """Different paragraphs with the least hashes, cut to 400 characters for training."""
-    short = lines.select(F.substring("content", 1, 400).alias("content"), F.xxhash64("content").alias("h"))
-    return [r["content"] for r in short.orderBy("h", "content").limit(most).collect()]
+    """About ``most`` paragraphs, drawn by hash and cut to 400 characters for training."""
+    short = lines.select("doc_id", "tag", "paragraph", F.substring("content", 1, 400).alias("content"))
+    return sorted(r["content"] for r in common.drawn(short, most, "doc_id", "tag", "paragraph").collect())
 
 
 def scanned(

@@ -189,7 +189,7 @@ def trained(texts: DataFrame, lex: Lexicon, share: float = TRAIN_SHARE, start_do
     classes = CLASSES + RARE
     network = Network.fresh(lex.pad, classes)
     start = texts.select("doc_id", F.substring("text", 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - 4000, F.lit(1))).cast("int"), F.lit(4000)).alias("text"))
-    rows = start.orderBy(F.xxhash64("doc_id", "text"), "text").limit(start_documents).collect()
+    rows = sorted(common.drawn(start, start_documents, "doc_id", "text").collect(), key=lambda r: r["text"])
     rng = np.random.default_rng(4)
     seen, used = network.blank_squares(), np.zeros(lex.pad + 1, np.int64)
     for _ in range(2):

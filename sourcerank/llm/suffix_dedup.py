@@ -18,12 +18,12 @@ the shuffle.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_if_small
@@ -185,18 +185,23 @@ def _by_hash(contents: DataFrame, length: int) -> DataFrame:
     return strings.join(many, ["one", "two"]).select("anchor", "block", "first", F.col("first").alias("last"))
 
 
-def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, hot_blocks: int = HOT_BLOCKS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes) and spans (start, end, ...).
 
     Every byte goes that is covered by a string of ``length`` bytes which also starts anywhere
     else, in the same document or another; strings are judged on the input, overlaps count,
     and matches never cross documents.  A null text is empty.  Repeated rows are documents of
-    their own, so their texts of ``length`` bytes or more go wholly.
+    their own, so their texts of ``length`` bytes or more go wholly.  ``carry`` names columns
+    that are handed on in a struct ``carried``.
     """
-    texts = common.id_and_text(docs, id_col, text_col)
+    texts = docs.select(
+        F.col(id_col).cast("long").alias("own_id"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        F.struct(*carry).alias("carried") if carry else F.lit(None).cast("int").alias("carried"),
+    )
     # Inside, a null id is a number like any other; the tag tells its rows apart.
-    texts = texts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.hash("text").alias("tag"), "text", F.col("doc_id").alias("own_id"))
-    seen = common.stored(occurrences(texts, length, gram))
+    texts = texts.select(F.coalesce("own_id", F.lit(-(1 << 63))).alias("doc_id"), F.hash("text").alias("tag"), "text", "own_id", "carried")
+    seen = common.stored(occurrences(texts.select("doc_id", "tag", "text"), length, gram))
     flat = seen.select("doc_id", "tag", F.inline("blocks"))
     met = flat.groupBy("anchor").agg(F.count("*").alias("times"), F.min("block").alias("low"), F.max("block").alias("high"))
     met = met.filter("times > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike"))
@@ -210,13 +215,13 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
     hot = variants.groupBy("anchor").agg(F.count("*").alias("different")).filter(F.col("different") > hot_blocks)
     hot = hot.select("anchor", F.lit(True).alias("hot"))
     wanted = common.stored(variants.join(hot, "anchor", "left").fillna(False, ["hot"]))
-    contents = common.stored(block_texts(texts, wanted, length))
+    contents = common.stored(block_texts(texts.select("doc_id", "tag", "text"), wanted, length))
     found = repeated_strings(contents, length)
     decided = varied.join(found, ["anchor", "block"]).select(
         "doc_id", "tag", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last")
     )
     runs = alike.union(decided).groupBy("doc_id", "tag").agg(F.array_distinct(F.collect_list(F.struct("first", "last"))).alias("runs"))
-    joined = texts.join(runs, ["doc_id", "tag"], "left").select("own_id", "text", "runs")
+    joined = texts.join(runs, ["doc_id", "tag"], "left").select("own_id", "text", "runs", "carried")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"]
@@ -236,9 +241,22 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
                 kept = b"".join([*kept, raw[at:]])
                 out.append((doc.as_py(), len(raw), len(raw) - len(kept), len(spans) // 2, kept, spans))
             columns = list(zip(*out)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            arrays = [*(pa.array(c, k) for c, k in zip(columns, kinds)), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(arrays, [*names, "carried"])
+
+    fields = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>, carried {dict(joined.dtypes)['carried']}"
+    found = joined.mapInArrow(remove, fields)
+    return found if carry else found.drop("carried")
+
+
+def text_of(kept: Column) -> Column:
+    """The bytes that are left as text; a character that lost some of its bytes goes wholly."""
+
+    @F.pandas_udf("string")
+    def decoded(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda x: bytes(x).decode("utf-8", "ignore"))
 
-    return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
+    return decoded(kept)
 
 
 def digest(found: DataFrame) -> DataFrame:
