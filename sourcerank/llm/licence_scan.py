@@ -1,10 +1,10 @@
 """Licence scan: trained paragraph classifier with template comparison, in DataFrame operations.
 
 A logistic regression over word n-grams is trained on licence notices (cut, thinned out and
-framed with other words) against paragraphs of the corpus.  Its temperature is fitted on
-examples kept apart, so that the probabilities, that of the unknown class included, can be held
-against a threshold.  Paragraphs are scored by a join of their n-grams with the table of weights;
-only n-grams that speak for a licence are in it, and a paragraph without any is unknown.  What is
+framed with other words) against paragraphs of the corpus.  Its temperature and the level of the
+unknown class are fitted on examples kept apart, so that probabilities can be held against a
+threshold.  Paragraphs are scored by a join of their n-grams with the table of weights; only
+n-grams that speak for a licence are in it, and a paragraph without any is unknown.  What is
 predicted counts once enough of a template of that family is found in the paragraph, or of the
 paragraph in the template.
 """
@@ -105,7 +105,7 @@ def _softmax(scores: list[float]) -> list[float]:
 
 
 def trained(background: list[str], templates: dict[str, list[str]] = TEMPLATES, variants: int = 12, epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, seed: int = 3) -> Model:
-    """Stochastic gradient steps on sparse rows; every fifth example only fits the temperature."""
+    """Stochastic gradient steps on sparse rows; every fifth example only fits temperature and unknown class."""
     rng = random.Random(seed)
     families = sorted(templates)
     unknown = len(families)
@@ -147,13 +147,17 @@ def trained(background: list[str], templates: dict[str, list[str]] = TEMPLATES,
                 for c in moved:
                     w[c] -= scale * wrong[c] + step * decay * w[c]
 
-    def loss(t: float) -> float:
-        return -sum(math.log(max(1e-12, _softmax([s / t for s in scores(found)])[target])) for found, target in apart)
-
-    temperature = min((0.25 * 1.25**k for k in range(16)), key=loss)
     relative = {g: [w[c] - w[unknown] for c in range(unknown)] for g, w in weights.items()}
     relative = {g: [round(x, 5) for x in w] for g, w in relative.items() if max(w) >= LEAST_WEIGHT}
-    return Model(families, [bias[c] - bias[unknown] for c in range(unknown)], relative, temperature)
+    base = [bias[c] - bias[unknown] for c in range(unknown)]
+    table = [([b + sum(relative[g][c] for g in found if g in relative) for c, b in enumerate(base)], target) for found, target in apart]
+
+    def loss(shift: float, t: float) -> float:
+        """Of the examples kept apart, by the weights that are left."""
+        return -sum(math.log(max(1e-12, _softmax([(x + shift) / t for x in row] + [0.0])[target])) for row, target in table)
+
+    shift, temperature = min(((b / 2, 0.25 * 1.3**k) for b in range(-10, 3) for k in range(14)), key=lambda x: loss(*x))
+    return Model(families, [b + shift for b in base], relative, temperature)
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
