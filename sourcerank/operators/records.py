@@ -13,17 +13,23 @@ from ..functions import text as tx
 from ..functions import tokens as tk
 
 # --- fixed values -------------------------------------------------------------
+MORE_LINES = "three line ends"  # a condition, not a word
 DEFAULT_TEMPLATE = "{instruction}\n\n{output}"
 DISTRACTOR_TYPE = "Irrelevant"
-# Words behind each document type; the last four are matched in lower-cased text.
-CODE_DEF, CODE_FENCE = "def ", "```"
-TEST_WORDS, TEST_CHECKS = ["assert", "test"], ["==", "expect"]
-QA_STARTS, QA_BOTH = ["**q:", "q:"], ["**q:**", "**a:**"]
-CODE_WORDS = ["```", "print(", "result = ", "value = "]
-DEFINITION_WORDS, DEFINITION_BOTH = ["is defined as", "maps any integer"], ["function", "maps"]
-CONCEPT_WORDS = ["intuitively", "think of", "concept", "like a"]
-LORE_WORDS = ["lore", "story", "dev tip", "commit"]
-NARRATIVE_WORDS = ["narrative", "commander", "engine"]
+# Document types in rule order; the first rule that holds wins.  A rule holds when one of its
+# groups does: a text has all words of a group, in the text as it is or in lower case.
+# Groups of starts hold when the text begins with one of them.
+DOCUMENT_TYPES = [
+    ("code_stub", "as is", [["def ", "```"], ["def ", MORE_LINES]]),
+    ("unit_test", "as is", [["assert", "=="], ["assert", "expect"], ["test", "=="], ["test", "expect"]]),
+    ("q_and_a", "start", [["**q:", "q:"]]),
+    ("q_and_a", "as is", [["**q:**", "**a:**"]]),
+    ("definition", "lower", [["is defined as"], ["maps any integer"], ["function", "maps"]]),
+    ("concept", "lower", [["intuitively"], ["think of"], ["concept"], ["like a"]]),
+    ("lore", "lower", [["lore"], ["story"], ["dev tip"], ["commit"]]),
+    ("narrative", "lower", [["narrative"], ["commander"], ["engine"]]),
+    ("code_stub", "as is", [["```"], ["print("], ["result = "], ["value = "]]),
+]
 FUNCTION_NAME_PATTERNS = [
     r"(?i)def\s+(\w+)\s*\(",
     r"(?i)function\s+(\w+)\s*\(",
@@ -230,31 +236,21 @@ def rewrite_single_block(df: DataFrame, block: Column) -> DataFrame:
     )
 
 
-def _contains_any(text: Column, words: Sequence[str]) -> Column:
-    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
-
+def document_type(text: Column) -> Column:
+    """The first type whose rule holds, else 'unknown'."""
 
-def _contains_all(text: Column, words: Sequence[str]) -> Column:
-    return reduce(and_, [F.contains(text, F.lit(w)) for w in words])
+    def has(word: str, form: str) -> Column:
+        if word is MORE_LINES:
+            return F.regexp_count(text, F.lit("\n")) > 2
+        if form == "start":
+            return text.startswith(word)
+        return F.contains(F.lower(text) if form == "lower" else text, F.lit(word))
 
+    def holds(form: str, groups: list[list[str]]) -> Column:
+        within = or_ if form == "start" else and_
+        return reduce(or_, [reduce(within, [has(w, form) for w in group]) for group in groups])
 
-def document_type(text: Column) -> Column:
-    """First matching rule wins."""
-    low = F.lower(text)
-    several_lines = F.regexp_count(text, F.lit("\n")) > 2
-    code = F.contains(text, F.lit(CODE_DEF)) & (F.contains(text, F.lit(CODE_FENCE)) | several_lines)
-    asks = reduce(or_, [text.startswith(w) for w in QA_STARTS]) | _contains_all(text, QA_BOTH)
-    rules = [
-        (code, "code_stub"),
-        (_contains_any(text, TEST_WORDS) & _contains_any(text, TEST_CHECKS), "unit_test"),
-        (asks, "q_and_a"),
-        (_contains_any(low, DEFINITION_WORDS) | _contains_all(low, DEFINITION_BOTH), "definition"),
-        (_contains_any(low, CONCEPT_WORDS), "concept"),
-        (_contains_any(low, LORE_WORDS), "lore"),
-        (_contains_any(low, NARRATIVE_WORDS), "narrative"),
-        (_contains_any(text, CODE_WORDS), "code_stub"),
-    ]
-    return F.coalesce(*[F.when(hit, name) for hit, name in rules], F.lit("unknown"))
+    return F.coalesce(*[F.when(holds(form, groups), name) for name, form, groups in DOCUMENT_TYPES], F.lit("unknown"))
 
 
 def function_name(text: Column, known: Sequence[str] | None = None) -> Column:

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import tokens as tk
 from ..session import materialize
+from ..sources.runs import INFLUENCE_RUN, RANDOM_RUN
 from .positions import average_ranks, exact_quantiles, sorted_positions
 
 # --- fixed values -------------------------------------------------------------
-METRIC_CUTOFFS = [1, 2, 3, 5, 10, 20, 50]
+METRICS_AT_K = ["recall", "precision", "composition"]
 HEURISTIC_DAMPING = 0.1
 FACTOR_PERCENTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 # ------------------------------------------------------------------------------
@@ -263,12 +264,12 @@ def selection_curves(results: DataFrame) -> DataFrame:
     """(mode, token, percent, function, accuracy) from run directory names; function null = overall."""
     run = F.col("run")
     pct = F.coalesce(
-        F.nullif(F.regexp_extract(run, r"^models_random_(\d{1,3})$", 1), F.lit("")),
-        F.nullif(F.regexp_extract(run, r"^models_infl_.+_(\d{1,3})$", 1), F.lit("")),
+        F.nullif(F.regexp_extract(run, RANDOM_RUN, 1), F.lit("")),
+        F.nullif(F.regexp_extract(run, INFLUENCE_RUN, 2), F.lit("")),
     )
     rows = results.select(
         F.when(run.startswith("models_random_"), "random").otherwise("influence").alias("mode"),
-        F.nullif(F.regexp_extract(run, r"^models_infl_(.+)_\d{1,3}$", 1), F.lit("")).alias("token"),
+        F.nullif(F.regexp_extract(run, INFLUENCE_RUN, 1), F.lit("")).alias("token"),
         pct.cast("int").alias("percent"),
         "function",
         F.col("is_correct").cast("double").alias("ok"),
@@ -303,12 +304,13 @@ def grid(rows: DataFrame, x: str, y: str, metric: str, facet: str | None = None)
 
 
 def resolve_metric(name: str) -> str:
-    """Column name behind a metric alias such as r@5, precision@10, comp@1, time."""
-    table = {"mrr": "mrr", "elapsed": "elapsed_seconds", "time": "elapsed_seconds"}
-    for k in METRIC_CUTOFFS:
-        for short, long in (("recall", "recall"), ("r", "recall"), ("precision", "precision"), ("p", "precision"), ("comp", "composition")):
-            table[f"{short}@{k}"] = f"{long}_at_{k}"
-    return table.get(name.lower(), name.lower())
+    """Column behind a metric name: ``<word>@<k>`` for any k, where the word may be shortened
+    as long as one metric begins with it; ``time`` is the elapsed seconds."""
+    word, at, k = name.lower().partition("@")
+    if at and k.isdigit():
+        full = [m for m in METRICS_AT_K if m.startswith(word)] if word else []
+        return f"{full[0]}_at_{int(k)}" if len(full) == 1 else name.lower()
+    return "elapsed_seconds" if word in ("time", "elapsed") else word
 
 
 def leaderboard(rows: DataFrame, metric: str, top: int | None = None, name: str = "run") -> DataFrame:

@@ -546,10 +546,10 @@ def admitted_code_documents(t):
 
 @query(
     "rejection_reasons",
-    rf"""SELECT uid, CASE WHEN {STRIP.format('text')} = '' THEN 'generated document is empty'
- WHEN contains(lower(text), '<c01>') OR contains(lower(text), '<c02>') THEN 'generated document references hop depth 1 functions'
+    rf"""SELECT uid, CASE WHEN {STRIP.format('text')} = '' THEN 'empty'
+ WHEN contains(lower(text), '<c01>') OR contains(lower(text), '<c02>') THEN 'wrapper_named'
  WHEN regexp_matches(text, '\(\s*5\s*\)\s*=\s*' || constant) OR regexp_matches(text, '<(?:[ABCDEZGJKLMNOPQRFIHSTUVWXY]N|B\d+)>\s*\(\s*5\s*\)')
- THEN 'generated document reveals held-out evaluation input' END AS reason FROM ({GEN_SQL})""",
+ THEN 'held_out_shown' END AS reason FROM ({GEN_SQL})""",
 )
 def rejection_reasons(t):
     return audit.rejection_reason(generated(t), ["<C01>", "<C02>"]).select("uid", "reason")

@@ -11,6 +11,8 @@ CHECKPOINT_DIR = r"(?:^|/)checkpoint-(\d+)(?:/|$)"
 NDOC_DIR = r"(?:^|/)(\d+)docs?(?:-[^/]*)?(?:/|$)"
 SWEEP_DIR = r"(?:^|/)lr([^_/]+)_steps(\d+)[^/]*(?:/|$)"
 DAMPING_DIR = r"(?:^|/)damping_([^/]+)(?:/|$)"
+RANDOM_RUN = r"^models_random_(\d{1,3})$"
+INFLUENCE_RUN = r"^models_infl_(.+)_(\d{1,3})$"
 EVAL_FILE = r"logit_eval_depth(\d+)_results(?:_(output|equal))?\.json$"
 # ------------------------------------------------------------------------------
 
