@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -113,8 +114,9 @@ def bm25_scores(
 
     Pairs that score 0 are not stored; `ranking.top_k_complete` brings back the
     ones a top-k needs.  Scores are rounded to ``decimals`` so that equal documents
-    tie exactly, whatever the order of summation.  ``keep`` lets a batch leave out
-    pairs that cannot be among a query's best ``keep``; follow with a top-k.
+    tie exactly, whatever the order of summation.  ``keep`` leaves each query its best
+    ``keep`` positive scores (ties by uid) and all negative ones: a pair that is not
+    stored scores 0 and ranks before those.
 
     A query set proven to be small is scored in place; a larger one meets the
     postings in shuffle joins.  Both give the same rows.
@@ -131,11 +133,17 @@ def bm25_scores(
     table = weights.limit(most + 1).toArrow()
     cells = len(table.column("term").unique()) * len(table.column("query_uid").unique())
     if table.num_rows <= most and cells * 8 <= limit_bytes:
-        return _scored_in_place(tokens, table, avg_len.first(), k1, b, decimals, keep)
-    return _scored_by_join(tokens, qt, weights, avg_len.scalar(), k1, b, decimals)
+        raw = _scored_in_place(tokens, table, avg_len.first(), k1, b, decimals, keep)
+    else:
+        raw = _scored_by_join(tokens, qt, weights, avg_len.scalar(), k1, b)
+    scores = raw.withColumn("score", F.round("score", decimals)).filter("score <> 0")
+    if keep is None:
+        return scores
+    place = F.row_number().over(W.partitionBy("query_uid").orderBy(F.col("score").desc(), "uid"))
+    return scores.withColumn("__place", place).filter((F.col("__place") <= keep) | (F.col("score") < 0)).drop("__place")
 
 
-def _scored_by_join(tokens, qt, weights, avg_len, k1, b, decimals):
+def _scored_by_join(tokens, qt, weights, avg_len, k1, b):
     """Any number of queries: postings of the query vocabulary meet the weighted
     query terms on (term, salt).  Documents are salted by uid and the query side is
     repeated per salt, so a term found in a third of the corpus is split before
@@ -147,8 +155,7 @@ def _scored_by_join(tokens, qt, weights, avg_len, k1, b, decimals):
     return (
         tf.join(weights, ["term", "salt"])
         .groupBy("query_uid", "uid")
-        .agg(F.round(F.sum(part), decimals).alias("score"))
-        .filter("score <> 0")
+        .agg(F.sum(part).alias("score"))
     )
 
 
@@ -168,6 +175,7 @@ def _scored_in_place(tokens, table: pa.Table, avg_len, k1, b, decimals, keep):
     names = np.asarray(qids.to_pylist(), dtype=object)
     mean_len = float(avg_len[0]) if avg_len and avg_len[0] else 1.0
     rows_at_once = max(1, (32 << 20) // (8 * max(1, len(names))))
+    least = 0.4 * 10.0**-decimals  # anything smaller rounds to 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,27 +189,28 @@ def _scored_in_place(tokens, table: pa.Table, avg_len, k1, b, decimals, keep):
             doc, term = np.divmod(pair, len(vocab))
             length = batch.column("doc_len").to_numpy()[doc] / mean_len
             x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
-            scores = np.zeros((n, len(names)))
-            # Whole documents per slice: `doc` is sorted, so sums are over runs.
+            # Whole documents per slice, so that neither the product nor the block of scores
+            # is larger than `rows_at_once` rows; `doc` is sorted, so sums are over runs.
             cuts = np.searchsorted(doc, np.arange(n + 1))
             first = 0
             while first < n:
-                last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + rows_at_once, side="right")) - 1)
+                last = int(np.searchsorted(cuts, cuts[first] + rows_at_once, side="right")) - 1
+                last = min(max(last, first + 1), first + rows_at_once, n)
                 lo, hi = cuts[first], cuts[last]
                 if hi > lo:
                     starts = np.flatnonzero(np.r_[True, doc[lo + 1 : hi] != doc[lo : hi - 1]])
-                    scores[doc[lo:hi][starts]] = np.add.reduceat(block[term[lo:hi]] * x[lo:hi, None], starts, axis=0)
+                    scores = np.add.reduceat(block[term[lo:hi]] * x[lo:hi, None], starts, axis=0)
+                    found = np.abs(scores) >= least
+                    if keep is not None and keep < len(scores):
+                        # What rounding may lift to the edge stays.
+                        edge = -np.partition(-scores, keep - 1, axis=0)[keep - 1] - 2 * least
+                        found &= (scores >= edge) | (scores < 0)
+                    d, q = np.nonzero(found)
+                    if len(d):
+                        uids = batch.column("uid").take(pa.array(doc[lo:hi][starts][d]))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(names[q], pa.string()), uids, pa.array(scores[d, q])], names=["query_uid", "uid", "score"]
+                        )
                 first = last
-            scores = np.round(scores, decimals)
-            found = scores != 0
-            if keep is not None and keep < n:
-                stored = np.where(found, scores, -np.inf)
-                found &= scores >= -np.partition(-stored, keep - 1, axis=0)[keep - 1]
-            d, q = np.nonzero(found)
-            if len(d):
-                uids = batch.column("uid").take(pa.array(d))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[q], pa.string()), uids, pa.array(scores[d, q])], names=["query_uid", "uid", "score"]
-                )
 
     return tokens.mapInArrow(run, "query_uid string, uid string, score double")

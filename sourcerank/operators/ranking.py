@@ -9,9 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
-from ..session import ship_if_small
+from ..session import materialize, ship_if_small
 from . import relevance as rel
-from .positions import hashed_positions, sorted_positions
+from .positions import hashed_positions, seeded_hash, sorted_positions
+
+# Rows that every task may hand on in a pick.
+SMALL_PICK = 10_000
 
 
 def top_k(scores: DataFrame, k: int, by: Sequence[str] = ("query_uid",)) -> DataFrame:
@@ -25,33 +28,48 @@ def top_k(scores: DataFrame, k: int, by: Sequence[str] = ("query_uid",)) -> Data
 
 
 def top_k_complete(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` documents per query where unstored pairs score 0.
+    """Best ``k`` documents per query where unstored pairs score 0, whatever the sign of stored ones.
 
-    Documents sharing no term with a query still take part in its ranking.  A
-    query with fewer than ``k`` stored documents is topped up from the first 2k
-    uids of the corpus, which always hold enough unstored ones.  Everything past
-    the top-k works on at most k rows per query, in one row.  Stored scores must
-    be positive, which a non-negative idf floor guarantees.
+    Stored positives come first, then unstored documents by uid, then stored negatives.  The
+    unstored ones are looked for among the first uids of the corpus: 4k of them, and sixteen
+    times as many for the queries that need more (those whose negatives fill the first).  A
+    query's rows in one task are at most that many; results are written, since each round reads
+    what the last one left open.
     """
-    best = top_k(scores, k)
-    lists = best.groupBy("query_uid").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("rank"), F.col("uid"), F.col("score")))).alias("kept")
-    )
-    first = docs.select("uid").orderBy("uid").limit(2 * k).agg(F.sort_array(F.collect_list("uid")).alias("u"))
-    none = F.array().cast("array<struct<rank:int,uid:string,score:double>>")
-    rows = (
-        queries.select("query_uid")
-        .join(lists, "query_uid", "left")
-        .select("query_uid", F.coalesce("kept", none).alias("kept"), first.scalar().alias("pool"))
-    )
-    fresh = F.filter("pool", lambda u: ~F.exists("kept", lambda r: r["uid"] == u))
-    pad = F.transform(
-        F.slice(fresh, F.lit(1), F.lit(k) - F.size("kept")),
-        lambda u, i: F.struct(
-            (F.size("kept") + i + 1).cast("int").alias("rank"), u.alias("uid"), F.lit(0.0).alias("score")
-        ),
+    todo, done, size = queries.select("query_uid"), None, 4 * k
+    while True:
+        pool = docs.select("uid").orderBy("uid").limit(size)
+        rows = materialize(_completed(scores, todo, pool, size, k))
+        whole = rows.filter("whole").select("query_uid", F.inline("best"))
+        done = whole if done is None else done.unionByName(whole)
+        todo = rows.filter("not whole").select("query_uid")
+        if not todo.limit(1).count():
+            return done
+        scores = scores.join(todo, "query_uid", "left_semi")
+        size *= 16
+
+
+def _completed(scores: DataFrame, queries: DataFrame, pool: DataFrame, size: int, k: int) -> DataFrame:
+    """(query_uid, best, whole): the best ``k`` as far as the pool of unstored documents reaches.
+
+    Stored rows are trimmed to the best ``size`` of each sign and to those in the pool.
+    """
+    stored = scores.select("query_uid", "uid", "score").join(
+        F.broadcast(pool.select("uid", F.lit(True).alias("inside"))), "uid", "left"  # `size` uids
     )
-    return rows.select("query_uid", F.inline(F.concat("kept", pad)))
+    kind = F.when(F.col("inside"), "pool").when(F.col("score") > 0, "above").otherwise("below")
+    w = W.partitionBy("query_uid", "kind").orderBy(F.col("score").desc(), "uid")
+    trimmed = stored.withColumn("kind", kind).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= size)
+    lists = trimmed.groupBy("query_uid").agg(F.collect_list(F.struct((-F.col("score")).alias("minus"), "uid")).alias("held"))
+    first = pool.agg(F.sort_array(F.collect_list("uid")).alias("u"))
+    none = F.array().cast("array<struct<minus:double,uid:string>>")
+    rows = queries.join(lists, "query_uid", "left").select("query_uid", F.coalesce("held", none).alias("held"), first.scalar().alias("pool"))
+    absent = F.transform(F.array_except("pool", F.transform("held", lambda r: r["uid"])), lambda u: F.struct(F.lit(0.0).alias("minus"), u.alias("uid")))
+    order = F.slice(F.array_sort(F.concat("held", absent)), 1, k)
+    ranked = F.transform(order, lambda r, i: F.struct((i + 1).cast("int").alias("rank"), r["uid"].alias("uid"), (F.lit(0.0) - r["minus"]).alias("score")))
+    # Negatives may only follow once no unstored document is left out.
+    reached = (F.size("pool") < size) | ((F.size("best") == k) & (F.element_at("best", -1)["score"] >= 0))
+    return rows.select("query_uid", "pool", ranked.alias("best")).select("query_uid", "best", F.coalesce(reached, F.lit(False)).alias("whole"))
 
 
 def ranked_with_meta(ranked: DataFrame, queries: DataFrame, docs: DataFrame, mates: str = "all", **rule) -> DataFrame:
@@ -134,13 +152,19 @@ def ranked_list(docs_scores: DataFrame) -> DataFrame:
 
 
 def pick_top(ranked: DataFrame, k: int, column: str | None = None, seed: object = 42, mode: str = "influence") -> DataFrame:
-    """Ids of the ``k`` best rows by ``column`` (missing = lowest), or ``k`` random ones."""
+    """Ids of the ``k`` best rows by ``column`` (missing = lowest), or ``k`` random ones.
+
+    Up to ``SMALL_PICK`` the best of each task are merged; more are found by their positions.
+    """
     if mode == "random":
+        if k <= SMALL_PICK:
+            return ranked.select("uid").orderBy(seeded_hash(seed, "uid"), "uid").limit(k)
         return hashed_positions(ranked.select("uid"), [], ["uid"], seed).filter(F.col("pos") <= k).select("uid")
-    key = F.coalesce(F.col(column), F.lit(float("-inf")))
-    keyed = ranked.select("uid", key.alias("__s"))
-    placed = sorted_positions(keyed, [], [F.col("__s").desc(), F.col("uid")])
-    return placed.filter(F.col("pos") <= k).select("uid")
+    keyed = ranked.select("uid", F.coalesce(F.col(column), F.lit(float("-inf"))).alias("__s"))
+    order = [F.col("__s").desc(), F.col("uid")]
+    if k <= SMALL_PICK:
+        return keyed.orderBy(*order).limit(k).select("uid")
+    return sorted_positions(keyed, [], order).filter(F.col("pos") <= k).select("uid")
 
 
 def resolve_score_key(columns: Sequence[str], token: str) -> str:

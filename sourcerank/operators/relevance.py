@@ -100,15 +100,15 @@ def constant_docs(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("role") == "constant").select("func", "uid")
 
 
-def containing_pairs(docs: DataFrame, passages: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def containing_pairs(docs: DataFrame, passages: DataFrame, index: DataFrame | None = None, limit_bytes: int = SHIP_LIMIT_BYTES) -> DataFrame:
     """(query_uid, uid) where the document contains the whole passage text.
 
     Candidates share the passage's rarest term, looked up in the corpus index;
     first and last words are not used, a document may continue them.  The texts
     then decide.  A passage set proven small travels to the tasks and is decided
     where the text is read; for a larger one the candidates' ids are joined first
-    and their texts fetched after.  Passages without an inner term are compared
-    directly.
+    and their texts fetched after.  Passages without an inner term travel in blocks of
+    ``limit_bytes`` and are looked for in every text.
     """
     tokens = bm25.tokenized(docs, keep=["text"])
     index = bm25.build_index(tokens) if index is None else index
@@ -122,7 +122,7 @@ def containing_pairs(docs: DataFrame, passages: DataFrame, index: DataFrame | No
     entries = F.explode(F.array_distinct("terms")).alias("term")
     texts = passages.select("query_uid", "prompt")
     size = passages.agg(F.sum(F.octet_length("prompt") + 64)).first()[0] or 0
-    if size <= SHIP_LIMIT_BYTES:
+    if size <= limit_bytes:
         # The term lookup filters rows as they are unfolded, before any text is copied.
         near = tokens.select("uid", "text", entries).join(F.broadcast(anchors.join(texts, "query_uid")), "term")
     else:
@@ -130,5 +130,11 @@ def containing_pairs(docs: DataFrame, passages: DataFrame, index: DataFrame | No
         near = hits.join(docs.select("uid", "text"), "uid").join(texts, "query_uid")
     found = near.filter(F.contains("text", "prompt")).select("query_uid", "uid")
     bare = passages.filter(F.size(tx.terms(inner)) == 0).select("query_uid", "prompt")
-    direct = docs.join(bare, F.contains(docs["text"], bare["prompt"])).select("query_uid", "uid")
-    return found.unionByName(direct)
+    bytes_bare = bare.agg(F.sum(F.octet_length("prompt") + 64)).first()[0] or 0
+    blocks = -(-bytes_bare // limit_bytes)
+    for b in range(blocks):
+        block = bare.filter(F.pmod(F.xxhash64("query_uid"), F.lit(blocks)) == b)
+        held = F.broadcast(block.agg(F.collect_list(F.struct("query_uid", "prompt")).alias("held")))  # one block
+        met = docs.select("uid", "text").crossJoin(held).select("uid", F.explode(F.filter("held", lambda p: F.contains(F.col("text"), p["prompt"]))).alias("p"))
+        found = found.unionByName(met.select("p.query_uid", "uid"))
+    return found

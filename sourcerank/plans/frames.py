@@ -25,6 +25,11 @@ LEFT JOIN labels l ON d.doc_id = l.doc_id
 """
 
 
+def texts(t: Tables) -> DataFrame:
+    """The corpus without roles: what scoring needs, with no join above the text."""
+    return t.documents.select(F.col("doc_id").cast("string").alias("uid"), "text", "lang", "source")
+
+
 def docs(t: Tables) -> DataFrame:
     s = F.substring("source", 4, 10).cast("int")
     base = t.documents.select(
@@ -97,7 +102,7 @@ RETRIEVAL = f"WITH docs AS ({DOCS_SQL}), qs AS ({QUERY_SQL}), {BM25_CTES}, {TOP_
 
 
 def scores(t: Tables, **options) -> DataFrame:
-    return bm25.bm25_scores(docs(t), queries(t), **options)
+    return bm25.bm25_scores(texts(t), queries(t), **options)
 
 
 # Vectors: label 0..9 -> <B01>..<B10>; the queries are the label centroids.

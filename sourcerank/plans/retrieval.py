@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import bm25, metrics, ranking
 from ..operators import relevance as rel
+from ..session import ship_if_small
 from . import frames as fr
 from .catalog import query
 
@@ -34,7 +35,7 @@ def vector_scores(t):
     cents = vo.centroids(vs, ["func"])
     qs = cents.select(F.concat(F.lit("c_"), "func").alias("query_uid"), F.col("centroid").alias("vec"), "func")
     long = vo.similarity_scores(vs, qs, "cosine", decimals=6)
-    return long.join(F.broadcast(qs.select("query_uid", "func")), "query_uid").join(
+    return long.join(ship_if_small(qs.select("query_uid", "func"), 64), "query_uid").join(
         vs.select("uid", F.col("func").alias("doc_func")), "uid"
     )
 
@@ -54,9 +55,9 @@ SELECT func, k, count(*) AS n_queries, round(avg(hits / nr), 6) AS recall,
 
 @query("bm25_passage_recall_by_language", PASSAGE_SQL)
 def bm25_passage_recall_by_language(t):
-    index = bm25.build_index(bm25.tokenized(fr.docs(t)))
+    index = bm25.build_index(bm25.tokenized(fr.texts(t)))
     ranked, qs, ds = top20(t, index)
-    pairs = rel.containing_pairs(ds, qs, index).join(ds.select("uid", "lang"), "uid")
+    pairs = rel.containing_pairs(fr.texts(t), qs, index).join(fr.texts(t).select("uid", "lang"), "uid")
     sizes = pairs.groupBy("query_uid", F.col("lang").alias("func")).agg(F.count(F.lit(1)).alias("n_relevant"))
     rows = ranked.join(sizes.select("query_uid", "func"), "query_uid")
     marks = pairs.select("query_uid", "uid", F.col("lang").alias("func"), F.lit(True).alias("relevant"))
@@ -75,7 +76,7 @@ def bm25_passage_recall_by_language(t):
     "SELECT qs.query_uid, docs.uid FROM qs JOIN docs ON contains(docs.text, qs.prompt)",
 )
 def passage_relevance_pairs(t):
-    return rel.containing_pairs(fr.docs(t), fr.queries(t))
+    return rel.containing_pairs(fr.texts(t), fr.queries(t))
 
 
 # --- terms and BM25 -------------------------------------------------------------
@@ -110,7 +111,7 @@ def term_counts_whitespace(t):
     "round((SELECT avgdl FROM st), 6) AS avg_len FROM idf",
 )
 def corpus_term_statistics(t):
-    tokens = bm25.tokenized(fr.docs(t))
+    tokens = bm25.tokenized(fr.texts(t))
     index = bm25.build_index(tokens)
     stats = bm25.corpus_stats(index)
     return bm25.idf_table(index).select(
@@ -138,7 +139,7 @@ def bm25_scores(t):
     "FROM scores GROUP BY query_uid",
 )
 def bm25_scores_with_completion(t):
-    s = bm25.bm25_scores(fr.docs(t), fr.queries(t), include_completion=True)
+    s = bm25.bm25_scores(fr.texts(t), fr.queries(t), include_completion=True)
     return s.groupBy("query_uid").agg(
         F.count(F.lit(1)).alias("n_scored"),
         F.round(F.max("score"), 5).alias("best"),
@@ -523,3 +524,30 @@ def percent_sweep(t):
 def keep_selected_rows(t):
     chosen = t.lineitem.filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
     return ranking.keep_selected(t.orders.select("o_orderkey", "o_totalprice"), chosen, key="o_orderkey")
+
+
+NEGATIVE_SQL = f"""WITH d AS (SELECT uid, {fr.TERMS_SQL.format('text')} AS terms FROM ({fr.DOCS_SQL})),
+common AS (SELECT list(term) AS c FROM (SELECT term FROM (SELECT uid, unnest(list_distinct(terms)) AS term FROM d)
+  GROUP BY term HAVING 2 * count(*) > (SELECT count(*) FROM d))),
+docs AS (SELECT uid, array_to_string(list_filter(terms, lambda x: list_contains(coalesce(c, []), x)), ' ') AS text FROM d, common),
+qs AS ({fr.QUERY_SQL}), {fr.BM25_CTES}, {fr.TOP_CTES} SELECT query_uid, uid, score, rank FROM ranked"""
+
+
+@query("top_k_negative_scores", NEGATIVE_SQL)
+def top_k_negative_scores(t):
+    """Documents of nothing but terms that most of them have: stored scores are negative."""
+    tokens = bm25.tokenized(fr.texts(t))
+    index = bm25.build_index(tokens)
+    half = 2 * F.col("df") > bm25.corpus_stats(index).select("n_docs").scalar()
+    common = [r["term"] for r in index.filter("term IS NOT NULL").filter(half).collect()]  # fewer than twice a mean document's terms
+    words = F.filter("terms", lambda x: x.isin(common) if common else F.lit(False))
+    ds = tokens.select("uid", F.array_join(words, " ").alias("text"))
+    scores = bm25.bm25_scores(ds, fr.queries(t), keep=20)
+    best = ranking.top_k_complete(scores, fr.queries(t), ds, 20)
+    return best.select("query_uid", "uid", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("bm25_scores_joined", f"{fr.RETRIEVAL} SELECT query_uid, uid, score FROM scores")
+def bm25_scores_joined(t):
+    """The same scores where the queries are too many to travel."""
+    return fr.scores(t, limit_bytes=1)

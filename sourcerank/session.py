@@ -11,21 +11,27 @@ from pyspark.sql import functions as F
 SHIP_LIMIT_BYTES = 64 * 1024 * 1024
 
 
-def build_session(app: str = "sourcerank", cpus: str | int = "*", **conf: str) -> SparkSession:
-    """A local session with the settings the tests and the bench use."""
+def build_session(app: str = "sourcerank", cpus: str | int | None = None, **conf: str) -> SparkSession:
+    """A session with adaptive execution; ``cpus`` asks for a local one with few partitions.
+
+    Without it, master, partitions and memory are what the cluster or spark-submit says.
+    """
     builder = (
         SparkSession.builder.appName(app)
-        .master(f"local[{cpus}]")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g")
         # Checkpointed rows go away with the DataFrames that use them.
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if cpus is not None:
+        builder = (
+            builder.master(f"local[{cpus}]")
+            .config("spark.sql.shuffle.partitions", "8")
+            .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
+            .config("spark.driver.memory", "8g")
+        )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
@@ -71,10 +77,10 @@ def ship_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash rows over the cores when a scan has fewer splits than cores.
+    """Hash rows over the cores when a scan has far fewer splits than there are cores.
 
-    A table of many files keeps its own splits and pays nothing; a single small
-    file would otherwise keep one core busy with all the text.
+    One small file would otherwise keep a single core busy with all the text.  A table with
+    at least a quarter as many splits as cores keeps them and is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores, key) if 4 * df.rdd.getNumPartitions() < cores else df

@@ -72,7 +72,10 @@ def test_bm25_in_place_and_join_agree(spark):
     a = bm25.bm25_scores(ds, qs, decimals=4)
     b = bm25.bm25_scores(ds, qs, decimals=4, limit_bytes=1)
     left, right = ({(r.query_uid, r.uid): r.score for r in x.collect()} for x in (a, b))
-    assert left.keys() == right.keys() and left == pytest.approx(right, abs=2e-4)
+    assert left == right
+    for keep in (1, 3):
+        kept = [bm25.bm25_scores(ds, qs, decimals=4, keep=keep, limit_bytes=n) for n in (64 << 20, 1)]
+        assert rows(kept[0]) == rows(kept[1]) and kept[0].filter("score > 0").count() <= 10 * keep
     best = rows(ranking.top_k(bm25.bm25_scores(ds, qs, decimals=4, keep=3), 3), "query_uid", "uid", "rank")
     assert best == rows(ranking.top_k(a, 3), "query_uid", "uid", "rank")
 
@@ -86,6 +89,39 @@ def test_zero_score_documents_fill_the_top(spark, docs):
     ]
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 1])
+def test_negative_scores_rank_after_absent_documents(spark, limit):
+    # Each term is in more than half of the documents: idf and its floor are negative.
+    ds = spark.createDataFrame([("a", "x y"), ("b", "x"), ("c", "x y"), ("d", "y")], "uid string, text string")
+    qs = queries(spark, "x")
+    scores = bm25.bm25_scores(ds, qs, keep=2, limit_bytes=limit)
+    stored = {r.uid: r.score for r in scores.collect()}
+    assert set(stored) == {"a", "b", "c"} and all(v < 0 for v in stored.values())
+    got = rows(ranking.top_k_complete(scores, qs, ds, 4), "rank", "uid", "score")
+    assert got[0] == (1, "d", 0.0) and [s for _, _, s in got] == sorted((s for _, _, s in got), reverse=True)
+    assert [u for _, u, _ in rows(ranking.top_k_complete(scores, qs, ds, 2), "rank", "uid", "score")][0] == "d"
+
+
+def test_absent_documents_far_behind_the_first_ones(spark):
+    # 300 documents with negative scores lie before the only absent ones.
+    ds = spark.range(320).select(F.format_string("d%03d", "id").alias("uid"))
+    scores = ds.filter("uid < 'd300'").select(F.lit("q").alias("query_uid"), "uid", F.when(F.col("uid") == "d007", 1.0).otherwise(-1.0).alias("score"))
+    qs = spark.createDataFrame([("q",), ("none",)], "query_uid string")
+    got = ranking.top_k_complete(scores, qs, ds, 3)
+    assert rows(got, "query_uid", "rank", "uid", "score") == [
+        ("none", 1, "d000", 0.0), ("none", 2, "d001", 0.0), ("none", 3, "d002", 0.0), ("q", 1, "d007", 1.0), ("q", 2, "d300", 0.0), ("q", 3, "d301", 0.0),
+    ]
+    few = ranking.top_k_complete(scores, qs, ds, 400).filter("query_uid = 'q'").orderBy("rank").collect()
+    assert len(few) == 320 and few[20].uid == "d319" and few[21].score == -1.0
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 1])
+def test_passages_are_found_whatever_the_limit(spark, limit):
+    ds = spark.createDataFrame([("a", "the small cat sat there"), ("b", "a cat"), ("c", "dog food")], "uid string, text string")
+    ps = spark.createDataFrame([("p", "small cat sat"), ("q", "cat"), ("r", "og fo")], "query_uid string, prompt string")
+    assert rows(rel.containing_pairs(ds, ps, limit_bytes=limit), "query_uid", "uid") == [("p", "a"), ("q", "a"), ("q", "b"), ("r", "c")]
+
+
 def test_ties_do_not_depend_on_partitioning(spark):
     base = spark.range(200).select(F.lit("q").alias("query_uid"), F.format_string("d%03d", "id").alias("uid"), F.lit(1.0).alias("score"))
     for n in (1, 3, 7):
