@@ -1,13 +1,14 @@
 """Vectors: centroids, dense similarity, sketches, whitening, self-influence.
 
-Dense [queries x documents] products run as numpy blocks inside tasks.  The
-query matrix is shipped to the tasks only after its size was checked; a larger
-query set is cut into hashed blocks that meet hashed document blocks in a
-co-grouped shuffle, so neither side is ever whole in one place.
+Dense [queries x documents] products run as numpy blocks inside tasks.  Queries
+travel in blocks whose size was checked: one block for a small query set, one
+after the other for a larger one.  Each block is a pass over the documents without
+a shuffle, and a task holds a bounded slice of scores at a time.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator, Sequence
@@ -19,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..session import SHIP_LIMIT_BYTES, fits
+from ..session import SHIP_LIMIT_BYTES, fits, ship_if_small
 from .positions import exact_quantiles
 
+# Bytes of scores or sketches that a task holds at once.
+SCORE_BYTES = 32 << 20
 SCORES_SCHEMA = "query_uid string, uid string, score double"
 
 
@@ -106,46 +109,34 @@ def similarity_scores(
     ``ranking.top_k``.  ``eps`` is added to norms in the cosine.
     """
     d = docs.select("uid", "vec")
-    q = queries.select("query_uid", "vec")
-    width = q.select(F.max(F.size("vec"))).first()[0] or 1
-    if fits(q, width * 8, limit_bytes):
-        return _shipped(d, q, metric, decimals, keep, eps)
-    return _cogrouped(d, q, metric, decimals, keep, eps, width, limit_bytes)
+    parts = [_shipped(d, block, metric, decimals, keep, eps) for block in _query_blocks(queries.select("query_uid", "vec"), limit_bytes)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _shipped(d, q, metric, decimals, keep, eps):
-    table = q.toArrow()  # size checked by the caller
+def _query_blocks(queries: DataFrame, limit_bytes: int, key: str = "query_uid") -> Iterator[pa.Table]:
+    """The query rows in blocks of about ``limit_bytes``, cut by hash; at least one block."""
+    width = queries.select(F.max(F.size("vec"))).first()[0] or 1
+    blocks = 1 if fits(queries, width * 8, limit_bytes) else math.ceil(queries.count() * width * 8 / limit_bytes)
+    for b in range(blocks):
+        block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        yield block.toArrow()  # one block
+
+
+def _shipped(d, table, metric, decimals, keep, eps):
     qids = table.column("query_uid").to_pylist()
     qmat = _matrix(table.column("vec").combine_chunks()) if qids else np.zeros((0, 1))
+    rows_at_once = max(1, SCORE_BYTES // (8 * max(1, len(qids))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and len(qids):
-                block = _block_scores(_matrix(batch.column("vec")), qmat, metric, eps)
-                yield _long(batch.column("uid").to_pylist(), qids, block, decimals, keep)
+            for at in range(0, batch.num_rows if qids else 0, rows_at_once):
+                part = batch.slice(at, rows_at_once)
+                block = _block_scores(_matrix(part.column("vec")), qmat, metric, eps)
+                yield _long(part.column("uid").to_pylist(), qids, block, decimals, keep)
 
     return d.mapInArrow(run, SCORES_SCHEMA)
 
 
-def _cogrouped(d, q, metric, decimals, keep, eps, width, limit_bytes):
-    rows_per_block = max(1, min(8192, limit_bytes // (width * 8)))
-    nd = max(1, math.ceil(d.count() / rows_per_block))
-    nq = max(1, math.ceil(q.count() / rows_per_block))
-    cell = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = d.withColumn("db", F.pmod(F.xxhash64("uid"), F.lit(nd)).cast("int")).withColumn("qb", cell(nq))
-    right = q.withColumn("qb", F.pmod(F.xxhash64("query_uid"), F.lit(nq)).cast("int")).withColumn("db", cell(nd))
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not (a.num_rows and b.num_rows):
-            return pa.table({"query_uid": pa.array([], pa.string()), "uid": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
-        docs, queries = (_matrix(x.column("vec").combine_chunks()) for x in (a, b))
-        block = _block_scores(docs, queries, metric, eps)
-        uids, qids = a.column("uid").to_pylist(), b.column("query_uid").to_pylist()
-        return pa.Table.from_batches([_long(uids, qids, block, decimals, keep)])
-
-    return left.groupBy("db", "qb").cogroup(right.groupBy("db", "qb")).applyInArrow(run, SCORES_SCHEMA)
-
-
 def function_similarity(docs: DataFrame, queries: DataFrame, decimals: int | None = None, eps: float = 0.0) -> DataFrame:
     """(func, uid, score): mean cosine of a document to a function's queries.
 
@@ -157,35 +148,57 @@ def function_similarity(docs: DataFrame, queries: DataFrame, decimals: int | Non
     return similarity_scores(docs, means, "unit_docs", decimals, eps=eps).withColumnRenamed("query_uid", "func")
 
 
-def count_sketch(df: DataFrame, width: int, name: str = "", vec: str = "vec") -> DataFrame:
+@functools.lru_cache(maxsize=64)
+def _places(part: str, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of each coordinate of a named part."""
+    digests = [hashlib.md5(f"{part}:{i}".encode()).hexdigest() for i in range(n)]
+    return np.array([int(h[:8], 16) % width for h in digests]), np.array([1.0 if int(h[8], 16) < 8 else -1.0 for h in digests])
+
+
+def count_sketch(df: DataFrame, width: int, name: str = "", vec: str = "vec", by: str | None = None) -> DataFrame:
     """Vectors replaced by their count sketch of ``width`` buckets.
 
     Bucket and sign of a coordinate come from md5(name:coordinate), so every task
     and every run uses the same projection, and rows are projected where they are
-    read: nothing is shuffled.
+    read: nothing is shuffled.  ``by`` is a column that names each row's projection.
     """
     names = df.columns
     schema = df.withColumn(vec, F.col(vec).cast("array<double>")).schema
-
-    def places(n: int) -> tuple[np.ndarray, np.ndarray]:
-        digests = [hashlib.md5(f"{name}:{i}".encode()).hexdigest() for i in range(n)]
-        return np.array([int(h[:8], 16) % width for h in digests]), np.array([1.0 if int(h[8], 16) < 8 else -1.0 for h in digests])
+    rows_at_once = max(1, SCORE_BYTES // (8 * width))
+
+    def projected(batch: pa.RecordBatch) -> np.ndarray:
+        column = batch.column(names.index(vec))
+        parts = np.array(batch.column(names.index(by)).to_pylist() if by else [name] * batch.num_rows, object)
+        out = np.zeros((batch.num_rows, width))
+        for part in dict.fromkeys(parts.tolist()):
+            mine = np.flatnonzero(parts == part)
+            rows = _matrix(column.take(pa.array(mine)))
+            bucket, sign = _places(part, rows.shape[1], width)
+            sums = np.zeros((width, len(mine)))
+            np.add.at(sums, bucket, (rows * sign).T)
+            out[mine] = sums.T
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = sign = np.zeros(0)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = _matrix(batch.column(names.index(vec)))
-            if rows.shape[1] != len(bucket):
-                bucket, sign = places(rows.shape[1])
-            out = np.zeros((width, len(rows)))
-            np.add.at(out, bucket, (rows * sign).T)
-            yield _replaced(batch, names, vec, out.T)
+            for at in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(at, rows_at_once)
+                yield _replaced(part, names, vec, projected(part))
 
     return df.mapInArrow(run, schema)
 
 
+def summed_sketch(parts: DataFrame, width: int, contains: str | None = None, vec: str = "vec") -> DataFrame:
+    """(uid, bucket, value): one sketch for each uid over its named parts (uid, module, vec).
+
+    Each part has the projection of its name; ``contains`` keeps parts whose name has the
+    text.  Sums are combined before the shuffle; buckets that are 0 are left out.
+    """
+    kept = parts if contains is None else parts.filter(F.contains("module", F.lit(contains)))
+    cells = coordinates(count_sketch(kept.select("uid", "module", vec), width, vec=vec, by="module"), ["uid"], vec)
+    return cells.filter("x <> 0").groupBy("uid", F.col("i").alias("bucket")).agg(F.sum("x").alias("value")).filter("value <> 0")
+
+
 def _replaced(batch: pa.RecordBatch, names: list[str], vec: str, rows: np.ndarray) -> pa.RecordBatch:
     """The batch with its vector column set to ``rows``."""
     offsets = pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32())
@@ -204,69 +217,95 @@ def self_influence(df: DataFrame, vec: str = "vec") -> DataFrame:
     return df.groupBy("uid").agg(F.sum(vx.squared_norm(F.col(vec))).alias("self_influence"))
 
 
-def second_moment(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """(i, j, m): mean outer product of the vectors, upper and lower half.
+def second_moment(df: DataFrame, vec: str = "vec", by: str | None = None) -> DataFrame:
+    """(i, j, m): mean outer product of the vectors, upper and lower half; with ``by`` one for each of its values.
 
     Each batch adds up its own d x d product; what is shuffled is one small
-    matrix per task.
+    matrix per task and module.
     """
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, count = None, 0
+        total: dict[str | None, np.ndarray] = {}
+        count: dict[str | None, int] = {}
         for batch in batches:
-            if batch.num_rows:
-                block = _matrix(batch.column(0))
-                total = block.T @ block if total is None else total + block.T @ block
-                count += len(block)
-        if total is not None:
-            i, j = np.divmod(np.arange(total.size), total.shape[1])
+            groups = np.array(batch.column(1).to_pylist(), object)
+            for g in dict.fromkeys(groups.tolist()):
+                rows = _matrix(batch.column(0).take(pa.array(np.flatnonzero(groups == g))))
+                total[g] = total.get(g, 0) + rows.T @ rows
+                count[g] = count.get(g, 0) + len(rows)
+        for g, sums in total.items():
+            i, j = np.divmod(np.arange(sums.size), sums.shape[1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total.ravel()), pa.array(np.full(total.size, count), pa.int64())],
-                names=["i", "j", "s", "n"],
+                [pa.array([g] * sums.size, pa.string()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(sums.ravel()), pa.array(np.full(sums.size, count[g]), pa.int64())],
+                names=["g", "i", "j", "s", "n"],
             )
 
-    parts = df.select(vec).mapInArrow(gram, "i int, j int, s double, n bigint")
-    return parts.groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("m"))
-
+    group = F.col(by).cast("string") if by else F.lit(None).cast("string")
+    parts = df.select(vec, group.alias("g")).mapInArrow(gram, "g string, i int, j int, s double, n bigint")
+    cells = parts.groupBy("g", "i", "j").agg((F.sum("s") / F.sum("n")).alias("m"))
+    return cells.withColumnRenamed("g", by) if by else cells.drop("g")
 
-MAX_WHITEN_DIM = 2048
 
+def whitened(df: DataFrame, damping: float = 1e-6, vec: str = "vec", moment: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """Vectors times the inverse square root of their second moment, or of that of their module (``by``).
 
-def whitened(df: DataFrame, damping: float = 1e-6, vec: str = "vec", moment: DataFrame | None = None) -> DataFrame:
-    """Vectors times the inverse square root of their second moment.
-
-    The d x d moment is the only thing the driver sees; d above 2048 is refused.
+    The d x d moments are the only thing the driver sees, and their roots travel to the
+    tasks; cut wide gradients into modules.
     """
-    width = df.select(F.max(F.size(vec))).first()[0] or 1
-    if width > MAX_WHITEN_DIM:
-        raise ValueError(f"whitening is limited to {MAX_WHITEN_DIM} dimensions, got {width}")
-    cells = (moment if moment is not None else second_moment(df, vec)).toArrow()
-    mat = np.zeros((width, width))
-    mat[cells.column("i").to_numpy(), cells.column("j").to_numpy()] = cells.column("m").to_numpy()
-    values, basis = np.linalg.eigh((mat + mat.T) / 2)
-    root = (basis / np.sqrt(np.maximum(values, 0.0) + damping)) @ basis.T
+    cells = (moment if moment is not None else second_moment(df, vec, by)).toArrow()
+    groups = np.array(cells.column(by).to_pylist() if by else [None] * cells.num_rows, object)
+    i, j, m = (cells.column(c).to_numpy() for c in ("i", "j", "m"))
+    roots: dict[str | None, np.ndarray] = {}
+    for g in dict.fromkeys(groups.tolist()):
+        mine = np.flatnonzero(groups == g) if by else slice(None)
+        mat = np.zeros((int(i[mine].max()) + 1,) * 2)
+        mat[i[mine], j[mine]] = m[mine]
+        values, basis = np.linalg.eigh((mat + mat.T) / 2)
+        roots[g] = (basis / np.sqrt(np.maximum(values, 0.0) + damping)) @ basis.T
+    shared = df.sparkSession.sparkContext.broadcast(roots)
     names = df.columns
     schema = df.withColumn(vec, F.col(vec).cast("array<double>")).schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield _replaced(batch, names, vec, _matrix(batch.column(names.index(vec))) @ root)
+            own = np.array([str(x) if x is not None else None for x in batch.column(names.index(by)).to_pylist()] if by else [None] * batch.num_rows, object)
+            for g in dict.fromkeys(own.tolist()):
+                part = batch.take(pa.array(np.flatnonzero(own == g)))
+                yield _replaced(part, names, vec, _matrix(part.column(names.index(vec))) @ shared.value[g])
 
     return df.mapInArrow(apply, schema)
 
 
-def blocked_dot(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def blocked_dot(docs: DataFrame, queries: DataFrame, limit_bytes: int = SHIP_LIMIT_BYTES) -> DataFrame:
     """Dot products from feature chunks: (uid, chunk, vec) x (query_uid, chunk, vec).
 
-    Each chunk is one block product, and partial products are summed; vectors
-    longer than a row can hold never meet whole.
+    A block of queries travels with all its chunks; each chunk of a document meets the
+    queries' same chunk where it is read, and partial products are summed.  Vectors longer
+    than a row can hold never meet whole.
     """
-    chunks = range((queries.select(F.max("chunk")).first()[0] or 0) + 1)
-    parts = [similarity_scores(docs.filter(F.col("chunk") == c), queries.filter(F.col("chunk") == c), "dot") for c in chunks]
+    parts = [_chunk_products(docs.select("uid", "chunk", "vec"), block) for block in _query_blocks(queries.select("query_uid", "chunk", "vec"), limit_bytes)]
     return reduce(DataFrame.unionByName, parts).groupBy("query_uid", "uid").agg(F.sum("score").alias("score"))
 
 
+def _chunk_products(docs: DataFrame, table: pa.Table) -> DataFrame:
+    chunks = table.column("chunk").to_numpy()
+    vecs, qids = table.column("vec").combine_chunks(), np.array(table.column("query_uid").to_pylist(), object)
+    held = {c: (qids[chunks == c], _matrix(vecs.take(pa.array(np.flatnonzero(chunks == c))))) for c in set(chunks.tolist())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("chunk").to_numpy()
+            for c in set(own.tolist()) & held.keys():
+                ids, block = held[c]
+                mine = np.flatnonzero(own == c)
+                step = max(1, SCORE_BYTES // (8 * len(ids)))
+                for at in range(0, len(mine), step):
+                    part = batch.take(pa.array(mine[at : at + step]))
+                    yield _long(part.column("uid").to_pylist(), ids, block @ _matrix(part.column("vec")).T, None, None)
+
+    return docs.mapInArrow(run, SCORES_SCHEMA)
+
+
 def chunked(df: DataFrame, key: str, size: int, vec: str = "vec") -> DataFrame:
     """Cut vectors into (key, chunk, vec) rows of ``size`` coordinates."""
     starts = F.sequence(F.lit(0), F.floor((F.size(vec) - 1) / size).cast("int"))
@@ -286,7 +325,10 @@ def pooled(states: DataFrame, how: str = "mean") -> DataFrame:
 def group_vector_stats(df: DataFrame, group: str = "func", vec: str = "vec") -> DataFrame:
     """Per group: count, norm mean/std/median, centroid norm, mean cosine to the centroid."""
     cents = centroids(df, [group], vec).select(group, "centroid")
-    rows = df.select(group, F.col(vec).alias("v"), vx.norm(F.col(vec)).alias("norm")).join(cents, group)
+    rows = df.select(group, F.col(vec).alias("v"), vx.norm(F.col(vec)).alias("norm"))
+    # One group may own a third of the rows: ship the centroids when proven small.
+    width = cents.select(F.max(F.size("centroid"))).first()[0] or 1
+    rows = rows.join(ship_if_small(cents, 8 * width), group)
     cn = vx.norm(F.col("centroid"))
     cosine = vx.dot(F.col("v"), F.col("centroid")) / ((F.col("norm") + 1e-12) * (cn + 1e-12))
     stats = rows.groupBy(group).agg(

@@ -101,9 +101,33 @@ def second_moments(t):
     return rounded(vo.second_moment(fr.vecs(t)), ["i", "j"])
 
 
-@query("whitened_self_influence")
+def modules(t, size):
+    """Vectors cut into named parts of ``size`` coordinates, alternately attention and MLP."""
+    cut = vo.chunked(fr.vecs(t), "uid", size)
+    name = F.concat(F.lit("layer_"), F.col("chunk").cast("string"), F.when(F.col("chunk") % 2 == 0, ".attn").otherwise(".mlp"))
+    return cut.select("uid", name.alias("module"), "vec")
+
+
+@query(
+    "count_sketch_over_modules",
+    f"""{V}, x AS (SELECT uid, (i - 1) // 16 AS c, (i - 1) % 16 AS k, vec[i] AS x FROM (SELECT uid, vec, unnest(generate_series(1, len(vec))) AS i FROM vecs)),
+h AS (SELECT uid, md5('layer_' || c || '.mlp:' || k) AS h, x FROM x WHERE c % 2 = 1)
+SELECT uid, CAST(CAST('0x' || substr(h, 1, 8) AS BIGINT) % 8 AS INTEGER) AS bucket, round(sum(CASE WHEN CAST('0x' || substr(h, 9, 1) AS BIGINT) < 8 THEN x ELSE -x END), 6) AS value FROM h GROUP BY ALL""",
+)
+def count_sketch_over_modules(t):
+    return rounded(vo.summed_sketch(modules(t, 16), 8, "mlp"), ["uid", "bucket"])
+
+
+# The squared norm of a whitened vector is g' (M + damping I)^-1 g; parts of two coordinates
+# have a closed form.
+@query(
+    "whitened_self_influence",
+    f"""{V}, p AS (SELECT uid, k, vec[2 * k + 1] AS a, vec[2 * k + 2] AS b FROM (SELECT uid, vec, unnest(generate_series(0, len(vec) // 2 - 1)) AS k FROM vecs)),
+m AS (SELECT k, avg(a * a) + 1e-6 AS aa, avg(a * b) AS ab, avg(b * b) + 1e-6 AS bb FROM p GROUP BY k)
+SELECT uid, round(sum((a * a * bb - 2 * a * b * ab + b * b * aa) / (aa * bb - ab * ab)), 4) AS self_influence FROM p JOIN m USING (k) GROUP BY uid""",
+)
 def whitened_self_influence(t):
-    return rounded(vo.self_influence(vo.whitened(fr.vecs(t).select("uid", "vec"))), ["uid"], 4)
+    return rounded(vo.self_influence(vo.whitened(modules(t, 2), by="module")), ["uid"], 4)
 
 
 # Whitened vectors have identity second moment, which SQL can state.
@@ -114,7 +138,7 @@ def whitened_self_influence(t):
 )
 def whitening_check(t):
     white = vo.whitened(fr.vecs(t).select("uid", "vec"), damping=0.0)
-    return vo.second_moment(white).select("i", "j", (F.round("m", 3) + 0.0).alias("m"))
+    return vo.second_moment(white).select("i", "j", (F.round("m", 6) + 0.0).alias("m"))
 
 
 @query("self_influence_norms", f"{V} SELECT uid, round(list_dot_product(vec, vec), 6) AS self_influence FROM vecs")
