@@ -178,6 +178,8 @@ def _inputs(n: int, random_inputs: bool, seed: object) -> Column:
         )
         return F.slice(F.transform(F.array_sort(keyed), lambda s: s["i"]), 1, take)
 
+    if n > 200:
+        raise ValueError(f"{n} random inputs asked for, there are 200")
     head = block(1, 100, min(n, 100))
     return head if n <= 100 else F.concat(head, block(101, 200, min(n - 100, 100)))
 
@@ -281,7 +283,7 @@ def sampled_arguments(
     """k distinct arguments, round-robin over bands from a hashed start, none in the held-out range.
 
     Each band offers several hashed candidates, duplicates and held-out values
-    fall out, and the first k remain.
+    fall out, and the first k remain; bands too narrow for k distinct values are an error.
     """
     lo, hi = EVAL_RANGE
     cols = [F.col(c) for c in key]
@@ -295,11 +297,12 @@ def sampled_arguments(
         draw = F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint")
         return (F.element_at(los, band) + F.pmod(draw, F.element_at(widths, band))).cast("int")
 
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(4 * k + 8)), value)
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(16 * k + 32)), value)
     kept = F.array_distinct(F.filter(drawn, lambda v: ~v.between(lo, hi)))
     if with_zero:
         kept = F.array_distinct(F.concat(F.array(F.lit(0)), kept))
-    return F.slice(kept, 1, k)
+    short = F.raise_error(F.lit(f"fewer than {k} distinct arguments in the bands")).cast("array<int>")
+    return F.when(F.size(kept) >= k, F.slice(kept, 1, k)).otherwise(short)
 
 
 def call_lines(func: Column, constant: Column, values: Column) -> Column:

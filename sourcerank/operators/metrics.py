@@ -169,7 +169,7 @@ def auroc(scored: DataFrame, group: Sequence[str], score: str = "score", positiv
     )
 
 
-def auroc_sampled(scored: DataFrame, group: Sequence[str], draws: int = 20000, seed: object = 42) -> DataFrame:
+def auroc_sampled(scored: DataFrame, group: Sequence[str], draws: int, seed: object = 42) -> DataFrame:
     """AUROC over at most ``draws`` rows of each kind, drawn by seeded hash without
     replacement; the exact operator above is the default, this one is the quick look."""
     placed = hashed_positions(scored, [*group, "is_gt"], ["query_uid", "uid"], seed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -132,6 +133,20 @@ def fit_p_value(r: float, n: int) -> float:
     return area(float(np.arccos(min(1.0, abs(r))))) / area(float(np.pi / 2))
 
 
+def with_p_value(fits: DataFrame, steps: int = 2000) -> DataFrame:
+    """Fits with the two-sided p-value of their r (null below three points), by the integral of :func:`fit_p_value`."""
+
+    def area(top: Column) -> Column:
+        def add(s: Column, i: Column) -> Column:
+            weight = F.when((i == 0) | (i == steps), 0.5).otherwise(1.0)
+            return s + weight * F.pow(F.sin(top * i / steps), F.col("n") - 3)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), add) * top
+
+    share = area(F.acos(F.least(F.lit(1.0), F.abs("r")))) / area(F.lit(math.pi / 2))
+    return fits.withColumn("p_value", F.when((F.col("n") >= 3) & ~F.isnan("r"), share))
+
+
 def linear_fit(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """Least squares slope, intercept and r per key."""
     return df.groupBy(*keys).agg(

@@ -123,10 +123,21 @@ def pooled_file_sample(t):
 
 @query(
     "discovered_files",
-    "SELECT t || '.parquet' AS name FROM (SELECT unnest(['region','nation','customer','supplier','part','orders','events','documents','embeddings','pages','benchmark','conversations']) AS t)",
+    "SELECT 'orders.parquet' AS name, count(*) AS n, sum(o_orderkey) AS keys FROM orders UNION ALL SELECT 'supplier.parquet', count(*), sum(s_suppkey) FROM supplier",
 )
 def discovered_files(t):
-    return readers.discover(t.spark, t.folder, "*.parquet", exclude="l*.parquet").select("name")
+    """Files by pattern, read by the names found: rows and key sums of each."""
+    names = [r["name"] for r in readers.discover(t.spark, t.folder, "*[rs].parquet", exclude="l*.parquet").collect()]
+    keys = {"orders.parquet": "o_orderkey", "supplier.parquet": "s_suppkey"}
+    parts = [
+        t.spark.read.parquet(f"{t.folder}/{n}").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(keys[n]).alias("keys"))
+        for n in names
+        if n in keys
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("hop_depth_folders", f"{D} SELECT hop_depth, count(*) AS n FROM docs WHERE role IS NOT NULL GROUP BY hop_depth")
@@ -151,7 +162,7 @@ def cumulative_folders(t):
 @query("per_query_records", f"{fr.RETRIEVAL} SELECT query_uid, uid, score FROM scores")
 def per_query_records(t):
     path = scratch(t)
-    sinks.jsonl(sinks.per_query_records(fr.scores(t), fr.queries(t), parts=4), path)
+    sinks.jsonl(sinks.per_query_records(fr.scores(t), fr.queries(t), t.documents.count(), part_size=250), path)
     records = readers.strict_jsonl(t.spark, path, readers.PER_QUERY)
     return readers.per_query_scores(records, "bm25").drop("method")
 
@@ -209,7 +220,7 @@ def finished(handle, t, out):
 def stream_completed_uids(t):
     base = scratch(t)
     rows = event_stream(t).select(F.col("user_id").cast("string").alias("uid"), "ts")
-    done = jobs.completed_scores(rows)
+    done = jobs.completed_scores(rows, delay="366 days")  # longer than a run, so none is named twice
     return finished(jobs.start(done, f"{base}/out", f"{base}/ckpt"), t, f"{base}/out").select("uid")
 
 
@@ -281,11 +292,12 @@ def metric_series_long(t):
 @query(
     "stream_progress",
     """SELECT count(DISTINCT user_id) AS completed, CAST(1000000 AS BIGINT) AS total, round(count(DISTINCT user_id) / 1000000, 9) AS fraction,
- round(count(DISTINCT user_id) / (epoch(max(ts)) - epoch(min(ts))), 9) AS rate FROM events""",
+ round(count(DISTINCT user_id) / (epoch(max(ts)) - epoch(min(ts))), 9) AS rate,
+ round((1000000 - count(DISTINCT user_id)) * (epoch(max(ts)) - epoch(min(ts))) / count(DISTINCT user_id), 3) AS eta FROM events""",
 )
 def stream_progress(t):
     base = scratch(t)
     rows = event_stream(t).select(F.col("user_id").cast("string").alias("uid"), "ts")
     jobs.start_progress(rows, 1000000, base, f"{base}/ckpt").awaitTermination()
-    out = t.spark.read.schema("completed bigint, total bigint, fraction double, rate double").json(f"{base}/progress")
-    return rounded(out, ["completed", "total"], 9)
+    out = t.spark.read.schema("completed bigint, total bigint, fraction double, rate double, eta double").json(f"{base}/progress")
+    return rounded(out, ["completed", "total", "eta"], 9).withColumn("eta", F.round("eta", 3))

@@ -551,3 +551,15 @@ def top_k_negative_scores(t):
 def bm25_scores_joined(t):
     """The same scores where the queries are too many to travel."""
     return fr.scores(t, limit_bytes=1)
+
+
+@query("scores_by_ranker_name", f"""{fr.RETRIEVAL}, x AS (SELECT 'bm25' AS ranker, query_uid, uid, score FROM scores),
+{fr.VEC_SCORES.removeprefix("WITH ")} SELECT * FROM x UNION ALL SELECT 'cosine', query_uid, uid, score FROM vscores""")
+def scores_by_ranker_name(t):
+    from ..operators import rankers
+    from ..operators import vectors as vo
+
+    cents = vo.centroids(fr.vecs(t), ["func"]).select(F.concat(F.lit("c_"), "func").alias("query_uid"), F.col("centroid").alias("vec"))
+    parts = {"bm25": (fr.texts(t), fr.queries(t), {}), "cosine": (fr.vecs(t), cents, {"decimals": 6})}
+    rows = [rankers.scores(n, d, q, **o).select(F.lit(n).alias("ranker"), "query_uid", "uid", "score") for n, (d, q, o) in parts.items()]
+    return rows[0].unionByName(rows[1])

@@ -93,6 +93,19 @@ def confidence_regression(t):
     return rounded(runs.linear_fit(p, "x", "y"), ["n"])
 
 
+AREA = "list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 0.5 ELSE 1 END * pow(sin({0} * i / 2000.0), n - 3))) * {0}"
+
+
+@query(
+    "confidence_regression_p_value",
+    f"{E}, p AS (SELECT function, avg(confidence) AS x, avg(entropy) AS y FROM e GROUP BY function), f AS (SELECT corr(x, y) AS r, count(*) AS n FROM p) "
+    f"SELECT n, round(({AREA.format('acos(least(1, abs(r)))')}) / ({AREA.format('(pi() / 2)')}), 6) AS p_value FROM f",
+)
+def confidence_regression_p_value(t):
+    p = fr.evals(t).groupBy("function").agg(F.avg("confidence").alias("x"), F.avg("entropy").alias("y"))
+    return rounded(runs.with_p_value(runs.linear_fit(p, "x", "y")).select("n", "p_value"), ["n"])
+
+
 STATS = " UNION ALL ".join(
     f"SELECT '{c}' AS field, coalesce(CAST({c} AS VARCHAR), 'unknown') AS value, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM docs), 6) AS percent FROM docs GROUP BY 2"
     for c in ("func", "role", "hop_depth", "constant")
@@ -379,8 +392,8 @@ def preferred_files(t):
 
 @query(
     "preferred_variants",
-    """SELECT l_suppkey AS n, l_shipmode AS variant FROM (SELECT l_suppkey, l_shipmode, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE l_shipmode WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END, l_shipmode) AS r FROM (SELECT l_suppkey, l_returnflag AS l_shipmode FROM lineitem WHERE l_quantity > 49 AND l_returnflag IN ('R', 'A'))) WHERE r = 1""",
+    """SELECT l_suppkey AS n, l_shipmode AS variant FROM (SELECT l_suppkey, l_shipmode, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE l_shipmode WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END, l_shipmode) AS r FROM (SELECT l_suppkey, l_returnflag AS l_shipmode FROM lineitem WHERE l_returnflag IN ('R', 'A'))) WHERE r = 1""",
 )
 def preferred_variants(t):
-    rows = t.lineitem.filter("l_quantity > 49").select(F.col("l_suppkey").alias("n"), F.col("l_returnflag").alias("variant"))
+    rows = t.lineitem.select(F.col("l_suppkey").alias("n"), F.col("l_returnflag").alias("variant"))
     return paths.preferred_variant(rows, ["n"], "variant", ["R", "A"])

@@ -22,13 +22,13 @@ def cumulative_folders(df: DataFrame, path: str, overwrite: bool = False) -> Non
     df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("n").json(path)
 
 
-def per_query_records(scores: DataFrame, queries: DataFrame, parts: int = 1) -> DataFrame:
+def per_query_records(scores: DataFrame, queries: DataFrame, corpus_size: int, part_size: int = 100_000) -> DataFrame:
     """Query fields with parallel arrays train_uids and scores, by uid.
 
-    A row holds every document of its part, so ``parts`` bounds it: documents are
-    hashed over ``parts`` rows per query (part 0..parts-1).  Use about N / 100,000
-    parts for a corpus of N documents.
+    A row holds every document of its part.  Documents are hashed over so many parts
+    that each holds about ``part_size`` of the ``corpus_size`` counted ones.
     """
+    parts = max(1, -(-corpus_size // part_size))
     part = F.pmod(F.xxhash64("uid"), F.lit(parts)).cast("int")
     rows = scores.withColumn("part", part).groupBy("query_uid", "part").agg(
         F.array_sort(F.collect_list(F.struct("uid", "score"))).alias("r")

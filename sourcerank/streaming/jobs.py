@@ -76,8 +76,11 @@ def metric_long(log: DataFrame) -> DataFrame:
 def progress(done: DataFrame, total: int, ts: str = "ts") -> DataFrame:
     """One row: completed, total, fraction, rate per second and remaining seconds."""
     span = F.max(ts).cast("double") - F.min(ts).cast("double")
-    n = F.count_distinct("uid")
-    return done.agg(n.alias("completed"), span.alias("elapsed")).select(
+    return _rates(done.agg(F.count_distinct("uid").alias("completed"), span.alias("elapsed")), total)
+
+
+def _rates(counts: DataFrame, total: int) -> DataFrame:
+    return counts.select(
         "completed",
         F.lit(total).cast("bigint").alias("total"),
         (F.col("completed") / total).alias("fraction"),
@@ -94,17 +97,27 @@ def start(df: DataFrame, out: str, checkpoint: str, mode: str = "append", once:
 
 
 def start_progress(partials: DataFrame, total: int, out: str, checkpoint: str, once: bool = True):
-    """Poll progress: every batch appends its rows and rewrites the progress row.
+    """Poll progress: every batch counts its new uids and rewrites the progress row.
 
-    The batch id names the folder, so a repeated batch replaces its own output.
+    The state is one row for each uid of the run, with the time of the batch that met it first.
+    A batch leaves one row of counts in a folder of its id, so a repeated batch replaces its
+    own, and the progress row adds those up; no batch reads the uids of another.
     """
+    seen = (
+        partials.withColumn("__now", F.current_timestamp())
+        .groupBy("uid")
+        .agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.min("__now").alias("met"))
+        .withColumn("fresh", (F.col("met") == F.current_timestamp()).cast("bigint"))
+    )
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={epoch}")
-        seen = batch.sparkSession.read.parquet(f"{out}/rows")
-        progress(seen, total).write.mode("overwrite").json(f"{out}/progress")
+        own = batch.agg(F.sum("fresh").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+        own.write.mode("overwrite").parquet(f"{out}/counts/batch={epoch}")
+        held = batch.sparkSession.read.schema("n bigint, first timestamp, last timestamp, batch bigint").parquet(f"{out}/counts")
+        counts = held.agg(F.sum("n").alias("completed"), (F.max("last").cast("double") - F.min("first").cast("double")).alias("elapsed"))
+        _rates(counts, total).write.mode("overwrite").json(f"{out}/progress")
 
-    writer = partials.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+    writer = seen.writeStream.outputMode("update").foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")
     return writer.start()
 
