@@ -3,16 +3,17 @@
 The global order of n-grams is that of their 64-bit hashes, and fragments are ranges of it.
 
 *Candidates.*  Two sets that reach the threshold differ in at most ``d`` n-grams, ``d``
-following from their sizes.  The order is therefore cut into ``d + 2`` fragments, and such a
-pair agrees wholly on two of them at least, so on one that is not empty (a set with two empty
-fragments or more also states which are empty).  How many fragments are cut depends on a
-set's size level; a set states its fragments for its own level and the one below.
+following from their sizes.  The order is therefore cut into ``d + 1`` fragments and some spare
+ones, and such a pair agrees wholly on more fragments than may be empty (a set in which more are
+empty states those as well).  How many fragments are cut depends on a set's size level; a set
+states its fragments for its own level and the one below.
 Sets that agree on a fragment form a star around one of them, not all pairs.
 
-*Verification.*  For each star pair the overlaps of all parts of the order are counted
+*Verification.*  The order is also cut into parts.  Star pairs whose n-gram counts differ too
+much, part by part, cannot link; for the others the overlaps of all parts are counted
 separately and summed.  Members of one star that still lie in different components are compared
-as well, unless what they lack of the centre, part by part, already differs by more than a link
-allows; so no link between different sets is lost.
+as well, unless their counts, or what they lack of the centre part by part, differ by more than
+a link allows; so no link between different sets is lost.
 
 Equal sets are one class from the start: copies never meet each other.
 """
@@ -36,7 +37,7 @@ from .components import components
 # The n-gram order is cut into 2^PART_BITS parts whose overlaps are counted apart.
 PART_BITS = 6
 _ODD = np.random.default_rng(5).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FEATURES = "doc_id long, n_shingles long, cls long, other long, fragments array<long>"
+_FEATURES = "doc_id long, n_shingles long, cls long, other long, counts array<int>"
 
 
 @functools.lru_cache(maxsize=8)
@@ -48,11 +49,16 @@ def levels(threshold: Fraction) -> list[int]:
     return firsts
 
 
-def fragment_count(level: int, threshold: Fraction) -> int:
-    """Fragments of a level: the largest possible difference and two; 0 if only equal sets can link."""
+def fragment_count(level: int, threshold: Fraction) -> tuple[int, int]:
+    """(fragments of a level, how many of them may be empty); no fragments if only equal sets can link.
+
+    There is one more than the largest possible difference and the empty ones allowed, so that
+    a linked pair agrees on one that is not empty.
+    """
     largest = levels(threshold)[level + 1] - 1
     differ = int(largest * (1 - threshold) / threshold)
-    return differ + 2 if differ else 0
+    spare = 1 - (-differ // 10)
+    return (differ + 1 + spare, spare) if differ else (0, 0)
 
 
 def fragment_keys(shingles: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -62,13 +68,13 @@ def fragment_keys(shingles: np.ndarray, threshold: Fraction) -> np.ndarray:
     np.cumsum(words.mixed(shingles), out=sums[1:])
     keys = []
     for at in (level, level - 1):
-        n = fragment_count(at, threshold) if at >= 0 else 0
+        n, spare = fragment_count(at, threshold) if at >= 0 else (0, 0)
         if not n:
             continue
         cuts = np.arange(1, n, dtype=np.uint64) * np.uint64((1 << 64) // n)
         edges = np.concatenate([[0], np.searchsorted(shingles, cuts), [len(shingles)]])
         held = np.diff(edges) > 0
-        if n - held.sum() > 1:
+        if n - held.sum() > spare:
             held[:] = True
         salt = (np.arange(n, dtype=np.uint64) << np.uint64(8)) + np.uint64(at + 1)
         keys.append(words.mixed(sums[edges[1:]] - sums[edges[:-1]] + words.mixed(salt))[held])
@@ -102,22 +108,40 @@ def _identity(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(h.view(np.int64)[0]) for h in both)
 
 
-def features(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """Per document: size and identity of its n-gram set and the keys of its fragments."""
+def part_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many n-grams lie in each part of the order."""
+    return np.bincount((shingles >> np.uint64(64 - PART_BITS)).astype(np.int64), minlength=1 << PART_BITS)
+
+
+def features(docs: DataFrame, width: int) -> DataFrame:
+    """Per document: size and identity of its n-gram set, and its n-grams in each part of the order."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = 1 << PART_BITS
         for batch in batches:
-            sets = [(len(s), *_identity(s), fragment_keys(s, threshold)) for s in shingle_sets(batch.column(1), width)]
-            keys = [k[3] for k in sets]
-            offsets = np.cumsum([0, *map(len, keys)])
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            sets = [(len(s), *_identity(s), part_counts(s)) for s in shingle_sets(batch.column(1), width)]
             columns = [pa.array([s[k] for s in sets], pa.int64()) for k in range(3)]
-            columns = [batch.column(0), *columns, common.list_column(flat, offsets, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "cls", "other", "fragments"])
+            flat = np.concatenate([s[3] for s in sets]) if sets else np.zeros(0, np.int64)
+            columns = [batch.column(0), *columns, common.list_column(flat, np.arange(len(sets) + 1) * parts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "cls", "other", "counts"])
 
     return docs.mapInArrow(read, _FEATURES)
 
 
+def fragment_rows(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """(doc_id, cls, fragments): the keys of the fragments of each document's set."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(_identity(s)[0], fragment_keys(s, threshold)) for s in shingle_sets(batch.column(1), width)]
+            offsets = np.cumsum([0, *(len(r[1]) for r in rows)])
+            flat = np.concatenate([r[1] for r in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
+            columns = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), common.list_column(flat, offsets, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "cls", "fragments"])
+
+    return docs.mapInArrow(read, "doc_id long, cls long, fragments array<long>")
+
+
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
     """(cls, shingles): the n-gram sets of documents in the global order."""
 
@@ -138,14 +162,13 @@ def partial_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = 1 << PART_BITS
-        shift = np.uint64(64 - PART_BITS)
         for batch in batches:
             of_a, of_b = ([np.asarray(x.values).view(np.uint64) for x in batch.column(k)] for k in (2, 3))
             shared, apart = [], np.zeros((batch.num_rows, parts), np.int64)
             for row, (x, y) in enumerate(zip(of_a, of_b)):
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = np.bincount(y[x[at] == y] >> shift, minlength=parts)
-                apart[row] = np.bincount(x >> shift, minlength=parts) + np.bincount(y >> shift, minlength=parts) - 2 * both
+                both = part_counts(y[x[at] == y])
+                apart[row] = part_counts(x) + part_counts(y) - 2 * both
                 shared.append(int(both.sum()))
             offsets = np.arange(batch.num_rows + 1) * parts
             columns = [*batch.columns[:2], *(pa.array([len(x) for x in of], pa.int64()) for of in (of_a, of_b))]
@@ -170,18 +193,18 @@ def linked(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10
     name unless nothing else is in it.
     """
     texts = common.id_and_text(docs, id_col, text_col)
-    seen = common.stored(features(texts, width, threshold))
+    seen = common.stored(features(texts, width))
     classes = common.stored(
         seen.filter("n_shingles > 0")
         .groupBy("cls", "n_shingles", "other")
-        .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-        .select("cls", "n_shingles", "first_id", "copies")
+        .agg(F.min("doc_id").alias("first_id"), F.any_value("counts").alias("counts"))
+        .select("cls", "n_shingles", "first_id", "counts")
     )
-    # One document of each class speaks for it; its fragments are those of the set.
-    spoken = seen.filter("n_shingles > 0").select("cls", "doc_id", "fragments")
-    reps = spoken.join(classes.select("cls", F.col("first_id").alias("doc_id")), ["cls", "doc_id"], "left_semi")
-    keys = reps.select("cls", F.explode("fragments").alias("key"))
-    met = keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("key")
+    # One document of each class speaks for it.  Keys are made anew from the text for each use:
+    # to count them, and to bring together those that occur again.
+    speakers = ship_if_small(classes.select("cls", F.col("first_id").alias("doc_id")), 24)
+    keys = fragment_rows(texts, width, threshold).join(speakers, ["cls", "doc_id"], "left_semi").select("cls", F.explode("fragments").alias("key"))
+    met = keys.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
     common_keys = common.stored(keys.join(met, "key"))
     # The centre of a star is its member with the most fragments that others have as well, which
     # is the least edited of a family: few centres serve many fragments, and lie near their stars.
@@ -189,35 +212,43 @@ def linked(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10
     weighted = common_keys.join(weights, "cls")
     centres = weighted.groupBy("key").agg(F.max(F.struct("weight", "cls")).alias("top")).select("key", F.col("top.cls").alias("centre"))
     star = common_keys.join(centres, "key").filter("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
-    star = common.stored(star)
-
-    needed = star.select(F.col("a").alias("cls")).union(star.select(F.col("b").alias("cls"))).distinct()
-    wanted = common.stored(classes.join(needed, "cls", "left_semi").select(F.col("first_id").alias("doc_id")).distinct())
-    chosen = texts.join(ship_if_small(wanted, 16), "doc_id", "left_semi")
-    sets = common.stored(set_rows(chosen, width).dropDuplicates(["cls"]))
-
-    measured = common.stored(partial_overlaps(star, sets))
     num, den = threshold.numerator, threshold.denominator
+
+    def close(x: str, y: str, vectors: str) -> str:
+        """What two sets lack of each other is at least the difference of their vectors, part by part."""
+        least = f"aggregate(zip_with({x}.{vectors}, {y}.{vectors}, (p, q) -> abs(p - q)), 0, (s, d) -> s + d)"
+        sizes = f"{den} * {x}.n >= {num} * {y}.n and {den} * {y}.n >= {num} * {x}.n"
+        return f"({sizes} and {den + num} * {least} <= {den - num} * ({x}.n + {y}.n))"
+
+    size = classes.select("cls", F.col("n_shingles").alias("n"), "counts")
+    star = common.stored(star.join(size, star["b"] == size["cls"]).select("a", "b", "n", "counts"))
+    x, y = star.alias("x"), size.alias("y")
+    checked = x.join(y, F.expr("x.a = y.cls")).filter(close("x", "y", "counts")).select("x.a", "x.b")
+    checked = common.stored(checked)
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the classes in pairs, from the texts of their speakers."""
+        named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        ids = classes.join(named, "cls", "left_semi").select(F.col("first_id").alias("doc_id"))
+        chosen = texts.join(ship_if_small(common.stored(ids), 16), "doc_id", "left_semi")
+        return common.stored(set_rows(chosen, width).dropDuplicates(["cls"]))
+
+    measured = common.stored(partial_overlaps(checked, sets_of(checked)))
     links_when = F.expr(f"{den} * shared >= {num} * (n_a + n_b - shared)")
     links = measured.filter(links_when).select("a", "b")
     labels = components(links)
 
-    # Members of one star in different components.  What two sets lack of each other in a part of
-    # the order is at least the difference of what they lack of the centre there.
-    at = measured.select(F.col("a").alias("centre"), F.col("b").alias("cls"), F.col("n_b").alias("n"), "apart")
-    own = labels.select(F.col("node").alias("cls"), "label")
-    at = common.stored(at.join(own, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
-    least = "aggregate(zip_with(x.apart, y.apart, (p, q) -> abs(p - q)), 0, (s, d) -> s + d)"
-    near = F.expr(
-        f"x.centre = y.centre and x.cls < y.cls and x.label <> y.label"
-        f" and {den} * x.n >= {num} * y.n and {den} * y.n >= {num} * x.n"
-        f" and {den + num} * {least} <= {den - num} * (x.n + y.n)"
-    )
-    open_pairs = at.alias("x").join(at.alias("y"), near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    more = partial_overlaps(common.stored(open_pairs.distinct()), sets).filter(links_when).select("a", "b")
-    more = common.stored(more)
-    if more.limit(1).count():
-        labels = components(links.union(more))
+    # Members of one star in different components: their counts, and what they lack of the centre
+    # where that was measured, must allow a link.
+    own = labels.select(F.col("node").alias("b"), "label")
+    at = star.join(measured.select("a", "b", "apart"), ["a", "b"], "left").join(own, "b", "left")
+    at = common.stored(at.withColumn("label", F.coalesce("label", "b")))
+    may = f"{close('x', 'y', 'counts')} and (x.apart is null or y.apart is null or {close('x', 'y', 'apart')})"
+    open_pairs = at.alias("x").join(at.alias("y"), F.expr(f"x.a = y.a and x.b < y.b and x.label <> y.label and {may}"))
+    open_pairs = common.stored(open_pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct())
+    if open_pairs.limit(1).count():
+        more = partial_overlaps(open_pairs, sets_of(open_pairs)).filter(links_when).select("a", "b")
+        labels = components(links.union(common.stored(more)))
 
     placed = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     names = placed.groupBy("label").agg(F.min("first_id").alias("component"))
