@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
+from ..session import ship_if_small
 from .positions import hashed_positions, seeded_hash
 
 
@@ -98,7 +99,8 @@ def depth_complete_groups(df: DataFrame, seed: object = 42) -> DataFrame:
         F.min("n").alias("complete")
     )
     sizes = sizes.withColumnRenamed("family", "__f")
-    joined = placed.join(sizes, F.col("family").eqNullSafe(F.col("__f")))
+    # Rows without a family share one key: ship the sizes when proven small.
+    joined = placed.join(ship_if_small(sizes, 64), F.col("family").eqNullSafe(F.col("__f")))
     grouped = F.col("family").isNotNull() & (F.col("round") <= F.col("complete"))
     key = F.when(grouped, seeded_hash(f"{seed}-groups", "family", "round")).otherwise(
         seeded_hash(f"{seed}-rest", "uid")
@@ -126,7 +128,7 @@ def family_spread(df: DataFrame, seed: object = 42) -> DataFrame:
         F.col("family").alias("__f"), F.col("depth").alias("__d"), F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("__off")
     )
     joined = placed.join(
-        offs, F.col("family").eqNullSafe(F.col("__f")) & (F.col("depth") == F.col("__d"))
+        ship_if_small(offs, 64), F.col("family").eqNullSafe(F.col("__f")) & (F.col("depth") == F.col("__d"))
     )
     has = F.col("family").isNotNull()
     return joined.select(
@@ -155,7 +157,7 @@ def depth_batches(df: DataFrame, batch: int, ratio: Sequence[int] = (), seed: ob
     pads = slots.select("depth", (F.pmod(draw, F.col("n")) + 1).alias("rn"), (F.col("n") + F.col("j")).alias("at"))
     real = placed.withColumn("at", F.col("rn")).withColumn("is_pad", F.lit(False))
     # At most batch - 1 pad rows per depth.
-    again = placed.join(F.broadcast(pads), ["depth", "rn"]).withColumn("is_pad", F.lit(True))
+    again = placed.join(ship_if_small(pads, 32), ["depth", "rn"]).withColumn("is_pad", F.lit(True))
     both = real.unionByName(again)
     rank = counts.select("depth", (F.row_number().over(W.orderBy("depth")) - 1).alias("__i"))
     wanted = F.array(*[F.lit(max(1, int(r))) for r in ratio]) if ratio else F.array(F.lit(1))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import tokens as tk
-from ..session import materialize
+from ..session import materialize, ship_if_small
 from ..sources.runs import INFLUENCE_RUN, RANDOM_RUN
 from .positions import average_ranks, exact_quantiles, sorted_positions
 
@@ -33,8 +33,8 @@ def spearman(paired: DataFrame, keys: Sequence[str], left: str = "l", right: str
     """
     rows = paired.filter(F.col(left).isNotNull() & F.col(right).isNotNull())
     joint = materialize(rows.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("c")))
-    ranked = joint.join(average_ranks(joint, keys, left, "rl", "c"), [*keys, left]).join(
-        average_ranks(joint, keys, right, "rr", "c"), [*keys, right]
+    ranked = joint.join(ship_if_small(average_ranks(joint, keys, left, "rl", "c"), 64), [*keys, left]).join(
+        ship_if_small(average_ranks(joint, keys, right, "rr", "c"), 64), [*keys, right]
     )
     c, x, y = F.col("c").cast("double"), F.col("rl"), F.col("rr")
     sums = ranked.groupBy(*keys).agg(
@@ -217,7 +217,7 @@ def damping_diagnostics(values: DataFrame, keys: Sequence[str] = ("module",), da
     damp = F.lit(damping) if damping is not None else F.col("m") * HEURISTIC_DAMPING
     ends = base.select(*keys, damp.alias("damping"), "lo", "hi")
     cond = (F.col("hi") + F.col("damping")) / F.greatest(F.col("lo") + F.col("damping"), F.lit(1e-30))
-    below = values.join(ends, list(keys)).groupBy(*keys).agg(
+    below = values.join(ship_if_small(ends, 64), list(keys)).groupBy(*keys).agg(
         F.avg((F.col("value") < F.col("damping")).cast("double")).alias("frac_below_damping")
     )
     return ends.select(*keys, "damping", cond.alias("condition_number")).join(below, list(keys))
