@@ -74,16 +74,16 @@ class Tables:
     def probes(self, unit: np.ndarray, table: int, count: int) -> np.ndarray:
         """The ``count`` likeliest buckets of each row: axes by how much their response falls short."""
         size = self.signs.shape[3]
-        each = min(2 * size, max(2, count))
         keys, costs = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1))
         for r in range(self.signs.shape[1]):
             turned = self.rotated(unit, table, r)
             both = np.stack([turned, -turned], 2).reshape(len(unit), -1)
-            axes = np.argsort(-both, axis=1, kind="stable")[:, :each]
+            axes = np.argsort(-both, axis=1, kind="stable")[:, :count]
             top = np.take_along_axis(both, axes, 1)
             short = (top[:, :1] - top) ** 2
-            keys = (keys[:, :, None] * 2 * size + axes[:, None]).reshape(len(unit), -1)
-            costs = (costs[:, :, None] + short[:, None]).reshape(len(unit), -1)
+            # Both lists ascend in cost, so pair (i, j) has (i + 1)(j + 1) - 1 others before it.
+            i, j = np.nonzero(np.arange(1, keys.shape[1] + 1)[:, None] * np.arange(1, axes.shape[1] + 1) <= count)
+            keys, costs = keys[:, i] * 2 * size + axes[:, j], costs[:, i] + short[:, j]
             best = np.argsort(costs, axis=1, kind="stable")[:, :count]
             keys, costs = np.take_along_axis(keys, best, 1), np.take_along_axis(costs, best, 1)
         return keys
@@ -169,7 +169,7 @@ def nearest(
     k: int = 10,
     tables: int = 48,
     rotations: int = 2,
-    probes: int = 96,
+    probes: int = 160,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     query_bytes: int = QUERY_BYTES,
