@@ -18,7 +18,7 @@ from array import array
 import numpy as np
 
 # Entries of one worker's table; it starts anew when it is full.
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 400_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r" \s")
 _WORDS_AT_ONCE = 1000
