@@ -3,16 +3,21 @@
 Every word of a document is predicted from the two words on either side of it, as if it were
 masked; the summed logarithms of these conditional probabilities are the document's score.
 
-A word's probability is that of its class given the context, times its share of the class.
-Classes are bins of the corpus frequencies of the known words, and a few for the words beyond
-the vocabulary.  Counts come from all documents.  The network adds up a vector for each context
-word, weighted by its place, and a softmax layer turns the sum into classes.  It is trained in
+A word's probability is that of its class given the context, times that of the word inside its
+class given the context.  Classes are bins of the corpus frequencies of the known words, and a few
+for the words beyond the vocabulary.  The words of a class are the leaves of a Huffman tree; every
+node of it is a logistic decision that sees the context and starts from the counts, so that the
+probabilities of all words add up to 1.  Counts come from all documents.  The network adds up a
+vector for each context word, weighted by its place; a softmax layer turns the sum into classes,
+and the nodes of a class's tree turn it into words.  It is trained in
 numpy: a start on a few documents, then every task trains on a share of the words of each of its
 documents, and Spark averages what the tasks learned, row by row, by how often each row was used.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,12 +47,24 @@ class Lexicon:
     hashes: np.ndarray  # sorted
     classes: np.ndarray  # of known words, then of rare ones
     log_shares: np.ndarray
+    # The way to each word through the tree of its class: nodes end to end, the side taken at each
+    # (1 or -1), and where each word's begin (one entry more).
+    nodes: np.ndarray
+    sides: np.ndarray
+    begins: np.ndarray
+    odds: np.ndarray  # of each node's side 1, by counts alone, as logarithms
+    rest: np.ndarray  # what a word has of its leaf, as a logarithm: 0 but for rare ones
 
     @property
     def pad(self) -> int:
         """The number that stands where there is no word."""
         return len(self.hashes) + RARE
 
+    def ways(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in ``nodes`` of the ways to these words, and which of them each belongs to."""
+        lengths = self.begins[numbers + 1] - self.begins[numbers]
+        return common.ranges(self.begins[numbers], lengths), np.repeat(np.arange(len(numbers)), lengths)
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         rare = len(self.hashes) + (hashes >> np.uint64(61)).astype(np.int64)
         if not len(self.hashes):
@@ -93,6 +110,32 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def trees(classes: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A Huffman tree for the members of each class: nodes, sides, begins and odds of a lexicon."""
+    n = len(classes)
+    above, side, odds = np.full(2 * n, -1), np.zeros(2 * n, np.int8), []
+    members = np.argsort(classes, kind="stable")
+    for group in np.split(members, np.flatnonzero(np.diff(classes[members])) + 1):
+        heap = [(float(mass[k]), int(k)) for k in group]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            above[x] = above[y] = n + len(odds)
+            side[x], side[y] = 1, -1
+            heapq.heappush(heap, (a + b, n + len(odds)))
+            odds.append(math.log(a / b))
+    leaf, at, way = np.arange(n), np.arange(n), []
+    while len(leaf):
+        inner = above[at] >= 0
+        leaf, at = leaf[inner], at[inner]
+        way.append((leaf, above[at] - n, side[at]))
+        at = above[at]
+    leaves, nodes, sides = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*way, strict=True) if way else ((), (), ())))
+    order = np.argsort(leaves, kind="stable")
+    begins = np.append(0, np.cumsum(np.bincount(leaves.astype(np.int64), minlength=n)))
+    return nodes[order].astype(np.int32), sides[order].astype(np.int8), begins, np.array(odds, np.float32)
+
+
 def lexicon(counts: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES) -> Lexicon:
     """The most frequent words (ties by hash) in classes of about equal mass; totals of the rest."""
     top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
@@ -107,21 +150,38 @@ def lexicon(counts: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLAS
     cls = np.minimum((mass / max(1.0, n.sum()) * classes).astype(np.int64), classes - 1)
     share = np.log(n) - np.log(np.bincount(cls, n, classes)[cls]) if len(n) else n
     order = np.argsort(hashes, kind="stable")
-    return Lexicon(hashes[order], np.concatenate([cls[order], classes + np.arange(RARE)]), np.concatenate([share[order], -np.log(kinds)]))
+    every = np.concatenate([cls[order], classes + np.arange(RARE)])
+    return Lexicon(hashes[order], every, np.concatenate([share[order], -np.log(kinds)]), *trees(every, np.concatenate([n[order], kinds])), np.concatenate([np.zeros(len(n)), -np.log(kinds)]))
+
+
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sums of the values of each."""
+    order = np.argsort(rows)
+    rows = rows[order]
+    opens = np.flatnonzero(np.diff(rows, prepend=-1))
+    return rows[opens], np.add.reduceat(values.take(order, 0), opens, 0) if len(opens) else values
 
 
 @dataclass
 class Network:
-    """Word vectors (the last one for no word), weights of the places, and the softmax layer."""
+    """Word vectors (the last one for no word), weights of the places, the softmax layer, and the tree nodes."""
 
     vectors: np.ndarray
     places: np.ndarray
     out: np.ndarray  # one row for each class: weights and bias
+    # One row for each node; without them a word has its share of the class in any context.
+    nodes: np.ndarray | None = None
 
     @staticmethod
-    def fresh(pad: int, classes: int, size: int = SIZE, seed: int = 2) -> Network:
+    def fresh(pad: int, classes: int, size: int = SIZE, seed: int = 2, odds: np.ndarray | None = None) -> Network:
         rng = np.random.default_rng(seed)
-        return Network(rng.normal(0, 0.1, (pad + 1, size)), np.ones((len(PLACES), size)), np.concatenate([rng.normal(0, 0.1, (classes, size)), np.zeros((classes, 1))], 1))
+        parts = rng.normal(0, 0.1, (pad + 1, size)), np.ones((len(PLACES), size)), np.concatenate([rng.normal(0, 0.1, (classes, size)), np.zeros((classes, 1))], 1)
+        nodes = None if odds is None else np.concatenate([np.zeros((len(odds), size)), odds[:, None]], 1).astype(np.float32)
+        return Network(*(p.astype(np.float32) for p in parts), nodes)
+
+    @property
+    def parts(self) -> list[np.ndarray]:
+        return [self.vectors, self.places, self.out, self.nodes]
 
     def contexts(self, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The context words of every word, none of another row."""
@@ -134,34 +194,43 @@ class Network:
             out[here[same], k] = numbers[there[same]]
         return out
 
-    def step(self, contexts: np.ndarray, target: np.ndarray, seen: list[np.ndarray], rate: float) -> None:
-        """One step of Adagrad; ``seen`` holds the squares so far."""
-        context = self.vectors[contexts]
-        hidden = (context * self.places).sum(1)
-        scores = hidden @ self.out[:, :-1].T + self.out[:, -1]
-        wrong = np.exp(scores - scores.max(1, keepdims=True))
-        wrong /= wrong.sum(1, keepdims=True)
-        wrong[np.arange(len(target)), target] -= 1
+    def step(self, contexts: np.ndarray, numbers: np.ndarray, lex: Lexicon, seen: list[np.ndarray], rate: float) -> np.ndarray:
+        """One step of Adagrad; ``seen`` holds the squares so far.  Returns the nodes that were passed."""
+        target, size = lex.classes[numbers], self.vectors.shape[1]
+        context = self.vectors.take(contexts, 0)
+        hidden = np.einsum("njk,jk->nk", context, self.places)
+        wrong = hidden @ self.out[:, :-1].T
+        wrong += self.out[:, -1] - wrong.max()
+        np.exp(np.maximum(wrong, -80, out=wrong), out=wrong)
+        part = np.float32(1 / len(target))
+        wrong *= part / wrong.sum(1, keepdims=True)
+        wrong[np.arange(len(target)), target] -= part
         back = wrong @ self.out[:, :-1]
-        out = np.concatenate([wrong.T @ hidden, wrong.sum(0)[:, None]], 1) / len(target)
-        places = np.einsum("nk,njk->jk", back, context) / len(target)
-        used, at = np.unique(contexts, return_inverse=True)
-        vectors = np.zeros((len(used), back.shape[1]))
-        each = (back[:, None] * self.places).reshape(-1, back.shape[1])
-        for k in range(back.shape[1]):
-            vectors[:, k] = np.bincount(at.ravel(), each[:, k], len(used))
-        vectors /= len(target)
-        for p, g, s, rows in ((self.vectors, vectors, seen[0], used), (self.places, places, seen[1], slice(None)), (self.out, out, seen[2], slice(None))):
+        out = np.concatenate([wrong.T @ hidden, wrong.sum(0)[:, None]], 1)
+        ways, owner = lex.ways(numbers)
+        nodes = lex.nodes[ways]
+        deep, own = self.nodes.take(nodes, 0), np.concatenate([hidden, np.ones((len(target), 1), np.float32)], 1).take(owner, 0)
+        miss = (1 / (1 + np.exp(np.minimum(-np.einsum("nk,nk->n", own, deep), 80))) - (lex.sides[ways] > 0)) * part
+        if len(ways):
+            opens = np.flatnonzero(np.diff(owner, prepend=-1))
+            back[owner[opens]] += np.add.reduceat(miss[:, None] * deep[:, :-1], opens, 0)
+        passed, turned = summed(nodes, miss[:, None] * own)
+        places = np.einsum("nk,njk->jk", back, context)
+        used, vectors = summed(contexts.ravel(), (back[:, None] * self.places).reshape(-1, size))
+        for p, g, s, rows in zip(self.parts, (vectors, places, out, turned), seen, (used, slice(None), slice(None), passed), strict=True):
             s[rows] += g * g
             p[rows] -= rate * g / (np.sqrt(s[rows]) + 1e-6)
+        return nodes
 
-    def train(self, numbers: np.ndarray, first: np.ndarray, classes: np.ndarray, seen: list[np.ndarray], used: np.ndarray, rng: np.random.Generator, share: float = 1.0, rate: float = 0.05) -> None:
-        contexts, target = self.contexts(numbers, first), classes[numbers]
-        picked = np.flatnonzero(rng.random(len(numbers)) < share)
+    def train(self, numbers: np.ndarray, first: np.ndarray, lex: Lexicon, seen: list[np.ndarray], used: list[np.ndarray], rng: np.random.Generator, share: float = 1.0, rate: float = 0.05) -> None:
+        """``used`` counts how often each vector and each node took part."""
+        contexts = self.contexts(numbers, first)
+        picked = np.flatnonzero(rng.random(len(numbers)) < share) if share < 1 else np.arange(len(numbers))
         for rows in np.array_split(picked, max(1, len(picked) // _BATCH)):
             if len(rows):
-                self.step(contexts[rows], target[rows], seen, rate)
-                used += np.bincount(contexts[rows].ravel(), minlength=len(used))
+                nodes = self.step(contexts[rows], numbers[rows], lex, seen, rate)
+                for held, met in zip(used, (contexts[rows].ravel(), nodes), strict=True):
+                    held += np.bincount(met, minlength=len(held))
 
     def log_chances(self, numbers: np.ndarray, first: np.ndarray, lex: Lexicon) -> np.ndarray:
         """The logarithm of each word's probability given its context."""
@@ -171,57 +240,66 @@ class Network:
         out = np.empty(len(numbers))
         for a in range(0, len(numbers), 4096):
             rows = contexts[a : a + 4096]
-            hidden = tables[0][rows[:, 0]]
+            hidden = tables[0].take(rows[:, 0], 0)
             for k in range(1, len(PLACES)):
-                hidden += tables[k][rows[:, k]]
+                hidden += tables[k].take(rows[:, k], 0)
             scores = hidden @ weights + bias
             scores -= scores.max(1, keepdims=True)
             own = scores[np.arange(len(rows)), target[a : a + 4096]]
             out[a : a + 4096] = own - np.log(np.exp(scores).sum(1))
-        return out + lex.log_shares[numbers]
+            if self.nodes is not None:
+                ways, owner = lex.ways(numbers[a : a + 4096])
+                deep = self.nodes.take(lex.nodes[ways], 0)
+                z = np.einsum("nk,nk->n", hidden.take(owner, 0), deep[:, :-1]) + deep[:, -1]
+                out[a : a + 4096] -= np.bincount(owner, np.log1p(np.exp(np.minimum(-z * lex.sides[ways], 80))), len(rows))
+        return out + (lex.log_shares if self.nodes is None else lex.rest)[numbers]
 
     def blank_squares(self) -> list[np.ndarray]:
-        return [np.zeros_like(p) for p in (self.vectors, self.places, self.out)]
+        return [np.zeros_like(p) for p in self.parts]
 
 
 def trained(texts: DataFrame, lex: Lexicon, share: float = TRAIN_SHARE, start_documents: int = START_DOCUMENTS) -> Network:
     """A common start, a pass over the corpus in every task, and the average of the tasks' networks."""
-    classes = CLASSES + RARE
-    network = Network.fresh(lex.pad, classes)
+    network = Network.fresh(lex.pad, CLASSES + RARE, odds=lex.odds)
     start = texts.select("doc_id", F.substring("text", 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - 4000, F.lit(1))).cast("int"), F.lit(4000)).alias("text"))
     rows = sorted(common.drawn(start, start_documents, "doc_id", "text").collect(), key=lambda r: r["text"])
     rng = np.random.default_rng(4)
-    seen, used = network.blank_squares(), np.zeros(lex.pad + 1, np.int64)
+    blank = lambda: [np.zeros(lex.pad + 1, np.int64), np.zeros(len(lex.odds), np.int64)]
+    seen, used = network.blank_squares(), blank()
     for _ in range(2):
         for hashes, first in texts_words(pa.array([r["text"] for r in rows], pa.large_string())):
-            network.train(lex.numbers(hashes), first, lex.classes, seen, used, rng)
+            network.train(lex.numbers(hashes), first, lex, seen, used, rng)
     shared = texts.sparkSession.sparkContext.broadcast((lex, network, seen))
     names = [f"x{k}" for k in range(SIZE + 1)]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, common_start, squares = shared.value
-        own = Network(*(p.copy() for p in (common_start.vectors, common_start.places, common_start.out)))
-        squares, used, total = [s.copy() for s in squares], np.zeros(lex.pad + 1, np.int64), 0
+        own = Network(*(p.copy() for p in common_start.parts))
+        squares, total = [s.copy() for s in squares], 0
+        used = [np.zeros(lex.pad + 1, np.int64), np.zeros(len(lex.odds), np.int64)]
         for batch in batches:
             for hashes, first in texts_words(batch.column(1)):
                 # The share is drawn from the words themselves, so that a task run again learns the same.
                 rng = np.random.default_rng(int(hashes.sum(dtype=np.uint64)) if len(hashes) else 0)
-                own.train(lex.numbers(hashes), first, lex.classes, squares, used, rng, share)
+                own.train(lex.numbers(hashes), first, lex, squares, used, rng, share)
                 total += len(hashes)
         if total:
-            met = np.flatnonzero(used)
-            rows = np.concatenate([np.pad(own.vectors[met], ((0, 0), (0, 1))), np.pad(own.places, ((0, 0), (0, 1))), own.out])
-            ids = np.concatenate([met, lex.pad + 1 + np.arange(len(PLACES) + classes)])
-            weight = np.concatenate([used[met], np.full(len(PLACES) + classes, total)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(weight), *map(pa.array, rows.T.copy())], ["row", "weight", *names])
-
-    learned = texts.mapInArrow(learn, "row long, weight long, " + ", ".join(f"{x} double" for x in names))
-    mean = [(F.sum(F.col(x) * F.col("weight")) / F.sum("weight")).alias(x) for x in names]
-    flat = np.concatenate([np.pad(network.vectors, ((0, 0), (0, 1))), np.pad(network.places, ((0, 0), (0, 1))), network.out])
-    for r in learned.groupBy("row").agg(*mean).collect():  # one row for each row of the network
-        flat[r["row"]] = [r[x] for x in names]
-    at = lex.pad + 1
-    return Network(flat[:at, :SIZE], flat[at : at + len(PLACES), :SIZE], flat[at + len(PLACES) :])
+            weights = used[0], np.full(len(own.places), total), np.full(len(own.out), total), used[1]
+            weight, flat = np.concatenate(weights), flattened(own)
+            for part in np.array_split(met := np.flatnonzero(weight), 1 + len(met) // 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(weight[part]), *map(pa.array, flat[part].T.copy())], ["row", "weight", *names])
+
+    learned = texts.mapInArrow(learn, "row long, weight long, " + ", ".join(f"{x} float" for x in names))
+    mean = [(F.sum(F.col(x) * F.col("weight")) / F.sum("weight")).cast("float").alias(x) for x in names]
+    flat, averaged = flattened(network), learned.groupBy("row").agg(*mean).toArrow()  # one row for each row of the network
+    flat[averaged["row"].to_numpy()] = np.stack([averaged[x].to_numpy() for x in names], 1)
+    vectors, places, out, nodes = np.split(flat, np.cumsum([len(p) for p in network.parts])[:-1])
+    return Network(vectors[:, :SIZE].copy(), places[:, :SIZE].copy(), out, nodes)
+
+
+def flattened(network: Network) -> np.ndarray:
+    """All rows of a network, one below the other."""
+    return np.concatenate([np.pad(p, ((0, 0), (0, SIZE + 1 - p.shape[1]))) for p in network.parts])
 
 
 def scored_with(texts: DataFrame, lex: Lexicon, network: Network) -> DataFrame:
