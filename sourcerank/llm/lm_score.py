@@ -5,13 +5,16 @@ masked; the summed logarithms of these conditional probabilities are the documen
 
 A word's probability is that of its class given the context, times that of the word inside its
 class given the context.  Classes are bins of the corpus frequencies of the known words, and a few
-for the words beyond the vocabulary.  The words of a class are the leaves of a Huffman tree; every
+for the words beyond the vocabulary, which grows with the corpus.  Words beyond it share buckets by
+hash, whose number grows as well; inside its bucket a word has the share that its count is.  The
+known words or the buckets of a class are the leaves of a Huffman tree; every
 node of it is a logistic decision that sees the context and starts from the counts, so that the
 probabilities of all words add up to 1.  Counts come from all documents.  The network adds up a
 vector for each context word, weighted by its place; a softmax layer turns the sum into classes,
 and the nodes of a class's tree turn it into words.  It is trained in
-numpy: a start on a few documents, then every task trains on a share of the words of each of its
-documents, and Spark averages what the tasks learned, row by row, by how often each row was used.
+numpy: a start on a few documents, then every task trains on all words of its documents, and Spark
+averages what the tasks learned, row by row, by how often each row was used.  Counts of the words
+beyond the vocabulary stay in a table that is joined to the scored documents.
 """
 
 from __future__ import annotations
@@ -28,15 +31,16 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
+# Known words: this many for each square root of the words of the corpus, and at least so many.
+GROWTH = 8
 VOCABULARY = 8192
 CLASSES = 56
 # Classes of words beyond the vocabulary, by hash.
 RARE = 8
 SIZE = 16
 PLACES = (-2, -1, 1, 2)
-# Documents of the start, and the share of words that tasks train on.
+# Documents of the start.
 START_DOCUMENTS = 300
-TRAIN_SHARE = 1 / 8
 _BATCH = 1024
 
 
@@ -45,7 +49,7 @@ class Lexicon:
     """Known words by hash, their classes, and each word's log share of its class."""
 
     hashes: np.ndarray  # sorted
-    classes: np.ndarray  # of known words, then of rare ones
+    classes: np.ndarray  # of known words, then of buckets of rare ones
     log_shares: np.ndarray
     # The way to each word through the tree of its class: nodes end to end, the side taken at each
     # (1 or -1), and where each word's begin (one entry more).
@@ -58,7 +62,7 @@ class Lexicon:
     @property
     def pad(self) -> int:
         """The number that stands where there is no word."""
-        return len(self.hashes) + RARE
+        return len(self.classes)
 
     def ways(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places in ``nodes`` of the ways to these words, and which of them each belongs to."""
@@ -66,7 +70,8 @@ class Lexicon:
         return common.ranges(self.begins[numbers], lengths), np.repeat(np.arange(len(numbers)), lengths)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        rare = len(self.hashes) + (hashes >> np.uint64(61)).astype(np.int64)
+        bits = (self.pad - len(self.hashes)).bit_length() - 1
+        rare = len(self.hashes) + (hashes >> np.uint64(64 - bits)).astype(np.int64)
         if not len(self.hashes):
             return rare
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -136,22 +141,43 @@ def trees(classes: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[order].astype(np.int32), sides[order].astype(np.int8), begins, np.array(odds, np.float32)
 
 
-def lexicon(counts: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES) -> Lexicon:
-    """The most frequent words (ties by hash) in classes of about equal mass; totals of the rest."""
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    n = np.array([r["n"] for r in top], float)
-    least = (int(n[-1]), int(top[-1]["word"])) if top else (1 << 62, 0)
-    beyond = counts.filter((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("word") > least[1]))) if top else counts
-    kinds = np.ones(RARE)
-    for r in beyond.groupBy(F.shiftrightunsigned("word", 61).alias("rare")).count().collect():
-        kinds[r["rare"]] = max(1, r["count"])
+def lexicon(counts: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES, buckets: int = RARE, counted: bool = False) -> Lexicon:
+    """The most frequent words (ties by hash) in classes of about equal mass; totals of the rest by bucket.
+
+    ``buckets`` is a power of two, RARE or more.  A word beyond the vocabulary has an equal share of
+    its bucket, or if ``counted`` one by its count, which rare_counts() has: 1 / total is in ``rest``.
+    """
+    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
+    hashes = top["word"].to_numpy().view(np.uint64)
+    n = top["n"].to_numpy().astype(float)
+    bits = buckets.bit_length() - 1
+    beyond = rare_counts(counts, hashes, n)
+    kinds, total = np.ones(buckets), np.ones(buckets)
+    held = beyond.groupBy(F.shiftrightunsigned("word", 64 - bits).alias("rare")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).toArrow()
+    kinds[held["rare"].to_numpy()], total[held["rare"].to_numpy()] = held["kinds"].to_numpy(), held["total"].to_numpy()
     mass = np.cumsum(n) - n
     cls = np.minimum((mass / max(1.0, n.sum()) * classes).astype(np.int64), classes - 1)
-    share = np.log(n) - np.log(np.bincount(cls, n, classes)[cls]) if len(n) else n
     order = np.argsort(hashes, kind="stable")
-    every = np.concatenate([cls[order], classes + np.arange(RARE)])
-    return Lexicon(hashes[order], every, np.concatenate([share[order], -np.log(kinds)]), *trees(every, np.concatenate([n[order], kinds])), np.concatenate([np.zeros(len(n)), -np.log(kinds)]))
+    every = np.concatenate([cls[order], classes + np.arange(buckets) * RARE // buckets])
+    weight = np.concatenate([n[order], total])
+    rest = np.concatenate([np.zeros(len(n)), -np.log(total if counted else kinds)])
+    share = np.log(weight) - np.log(np.bincount(every, weight, classes + RARE)[every])
+    return Lexicon(hashes[order], every, share + rest, *trees(every, weight), rest)
+
+
+def rare_counts(counts: DataFrame, hashes: np.ndarray, n: np.ndarray) -> DataFrame:
+    """The counts of the words beyond a vocabulary that is in order of frequency."""
+    if not len(n):
+        return counts
+    least, last = int(n[-1]), int(hashes.view(np.int64)[-1])
+    return counts.filter((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > last)))
+
+
+def sizes(counts: DataFrame) -> tuple[int, int]:
+    """How many words are known, and how many buckets the others have, by the size of the corpus."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    known = max(VOCABULARY, int(GROWTH * math.sqrt(total)))
+    return known, max(RARE, 1 << (known // 2).bit_length() - 1)
 
 
 def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +284,7 @@ class Network:
         return [np.zeros_like(p) for p in self.parts]
 
 
-def trained(texts: DataFrame, lex: Lexicon, share: float = TRAIN_SHARE, start_documents: int = START_DOCUMENTS) -> Network:
+def trained(texts: DataFrame, lex: Lexicon, share: float = 1.0, start_documents: int = START_DOCUMENTS) -> Network:
     """A common start, a pass over the corpus in every task, and the average of the tasks' networks."""
     network = Network.fresh(lex.pad, CLASSES + RARE, odds=lex.odds)
     start = texts.select("doc_id", F.substring("text", 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - 4000, F.lit(1))).cast("int"), F.lit(4000)).alias("text"))
@@ -289,7 +315,8 @@ def trained(texts: DataFrame, lex: Lexicon, share: float = TRAIN_SHARE, start_do
             for part in np.array_split(met := np.flatnonzero(weight), 1 + len(met) // 65536):
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(weight[part]), *map(pa.array, flat[part].T.copy())], ["row", "weight", *names])
 
-    learned = texts.mapInArrow(learn, "row long, weight long, " + ", ".join(f"{x} float" for x in names))
+    # Each task hands on rows of the network, so there are no more tasks than run at a time.
+    learned = texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(learn, "row long, weight long, " + ", ".join(f"{x} float" for x in names))
     mean = [(F.sum(F.col(x) * F.col("weight")) / F.sum("weight")).cast("float").alias(x) for x in names]
     flat, averaged = flattened(network), learned.groupBy("row").agg(*mean).toArrow()  # one row for each row of the network
     flat[averaged["row"].to_numpy()] = np.stack([averaged[x].to_numpy() for x in names], 1)
@@ -302,30 +329,51 @@ def flattened(network: Network) -> np.ndarray:
     return np.concatenate([np.pad(p, ((0, 0), (0, SIZE + 1 - p.shape[1]))) for p in network.parts])
 
 
-def scored_with(texts: DataFrame, lex: Lexicon, network: Network) -> DataFrame:
-    """doc_id, n_tokens, log_prob and mean_log_prob of each document by a trained network."""
+def scored_with(texts: DataFrame, lex: Lexicon, network: Network, counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_prob and mean_log_prob of each document by a trained network.
+
+    ``counts`` has to be given with a lexicon that counts on them (``counted``).
+    """
     shared = texts.sparkSession.sparkContext.broadcast((lex, network))
+    counted = counts is not None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, net = shared.value
         for batch in batches:
-            n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
+            n, total, rare, rares = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for hashes, first in texts_words(batch.column(1)):
-                sums = np.append(0, np.cumsum(net.log_chances(lex.numbers(hashes), first, lex)))
+                numbers = lex.numbers(hashes)
+                sums = np.append(0, np.cumsum(net.log_chances(numbers, first, lex)))
                 n.append(np.diff(first))
                 total.append(sums[first[1:]] - sums[first[:-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(total))], ["doc_id", "n_tokens", "log_prob"])
-
-    found = texts.mapInArrow(score, "doc_id long, n_tokens long, log_prob double")
+                if counted:
+                    beyond = numbers >= len(lex.hashes)
+                    rare.append(hashes[beyond])
+                    rares.append(np.diff(np.append(0, np.cumsum(beyond))[first]))
+            columns = [batch.column(0), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(total))]
+            if counted:
+                columns.append(common.list_column(np.concatenate(rare).view(np.int64), np.append(0, np.cumsum(np.concatenate(rares))), pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "log_prob", "rare"][: len(columns)])
+
+    found = texts.mapInArrow(score, "doc_id long, n_tokens long, log_prob double" + ", rare array<long>" * counted)
+    if counted:
+        # Stored first: rows of equal ids are told apart by their places in the files.
+        found = common.stored(found).withColumn("row", F.monotonically_increasing_id())
+        met = found.select("row", F.explode("rare").alias("word")).join(counts, "word")
+        logs = met.groupBy("row").agg(F.sum(F.log("n")).alias("logs"))
+        found = found.select("row", "doc_id", "n_tokens", "log_prob").join(logs, "row", "left")
+        found = found.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("logs", F.lit(0.0))).alias("log_prob"))
     return found.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = TRAIN_SHARE) -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 1.0) -> DataFrame:
     """Count, train and score: doc_id, n_tokens, log_prob and mean_log_prob for every document.
 
     Words are runs of digits, letters and non-ASCII characters, A-Z in lower case.  A null text
     or one without words has log_prob 0 and no mean.  Repeated rows count as often as they occur.
     """
     texts = common.id_and_text(docs, id_col, text_col)
-    lex = lexicon(common.stored(word_counts(texts)))
-    return scored_with(texts, lex, trained(texts, lex, share))
+    counts = common.stored(word_counts(texts))
+    vocabulary, buckets = sizes(counts)
+    lex = lexicon(counts, vocabulary, buckets=buckets, counted=True)
+    return scored_with(texts, lex, trained(texts, lex, share), counts)

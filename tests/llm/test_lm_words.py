@@ -5,7 +5,6 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from sourcerank.llm import lm_score
 from sourcerank.llm.common import id_and_text
@@ -45,3 +44,33 @@ def test_words_of_a_class_add_up_in_every_context(habits):
         here = lex.classes[known] == c
         assert np.exp(chances[here]).sum() == pytest.approx(np.exp(shares[here]).sum(), rel=1e-4)
     assert np.abs(chances - shares).max() > 0.1
+
+
+def test_vocabulary_and_buckets_follow_from_the_corpus(spark):
+    small, large = (spark.createDataFrame([(1, n)], "word long, n long") for n in (10**6, 10**9))
+    assert lm_score.sizes(small)[0] < lm_score.sizes(large)[0]
+    assert lm_score.sizes(small)[1] < lm_score.sizes(large)[1]
+
+
+def test_rare_words_have_the_shares_of_their_counts(habits):
+    counts = lm_score.word_counts(habits)
+    lex = lm_score.lexicon(counts, vocabulary=3, counted=True)
+    net = lm_score.trained(habits, lex)
+    n = {np.int64(r.word): r.n for r in counts.collect()}
+    texts = {r.doc_id: r.text for r in habits.filter("doc_id < 6 or doc_id >= 900").collect()}
+    got = {r.doc_id: r for r in lm_score.scored_with(habits, lex, net, counts).collect()}
+    assert len(got) == habits.count()
+    for i, t in texts.items():
+        ((hashes, first),) = lm_score.texts_words(pa.array([t]))
+        numbers = lex.numbers(hashes)
+        buckets = np.bincount(lex.numbers(np.array(list(n)).view(np.uint64)), list(n.values()), lex.pad)
+        shares = [np.log(n[w] / buckets[k]) if k >= 3 else 0 for w, k in zip(hashes.view(np.int64), numbers, strict=True)]
+        context = net.log_chances(numbers, first, lex) - lex.rest[numbers]
+        assert got[i].n_tokens == len(numbers) and got[i].log_prob == pytest.approx(context.sum() + sum(shares), rel=1e-5)
+
+
+def test_repeated_and_missing_ids_keep_their_own_scores(spark):
+    rows = [(None, "one two two", "en"), (None, "three", "en"), (5, "one", "en"), (5, "four four five", "en"), (6, None, "en")]
+    got = lm_score.scored(frame(spark, rows).repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 1), (0, 3), (5, 1), (5, 3), (6, 0)]
+    assert all((r.mean_log_prob is None) == (r.n_tokens == 0) for r in got)
