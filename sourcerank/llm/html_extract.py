@@ -42,7 +42,7 @@ NAMES = (
 CONTENT = ("article", "main")
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:" + "|".join(RAW) + r")\b(?:[^>]*[\s\"'])?/>|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
@@ -63,18 +63,21 @@ class Token:
     labelled: bool
 
 
-def tokens(page: str) -> list[Token]:
+def tokens(page: str, by_name: bool = True) -> list[Token]:
     """The tokens of a page in order; comments, scripts, styles and the like are not among them.
 
     Open elements are tracked as browsers do for the cases that occur: void elements never
     open, a block closes an open paragraph, an end tag closes what is open inside its element,
     and one without a start is ignored.
+
+    With ``by_name`` the class, id or role of an element can make it boilerplate.  That does not
+    reach into an article or main element that it holds, unless it stands in one itself.
     """
     out: list[Token] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, section, boilerplate, labelled
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # name, section, boilerplate, labelled, boilerplate by element
     block = 0
     for m in _TOKEN.finditer(page):
-        section, skipped, labelled = stack[-1][1:] if stack else ("", False, False)
+        section, skipped, labelled = stack[-1][1:4] if stack else ("", False, False)
         if m["text"] is not None:
             text = html.unescape(m["text"])
             if out and not out[-1].tag and out[-1].block == block and out[-1].section == section:
@@ -102,16 +105,19 @@ def tokens(page: str) -> list[Token]:
                     break
         elif name in BLOCKS and stack:
             stack.pop()
-        section, skipped, labelled = stack[-1][1:] if stack else ("", False, False)
+        section, skipped, labelled, sure = stack[-1][1:] if stack else ("", False, False, False)
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(m["attrs"] or "")).lower()
         parts = set(_PARTS.findall(named))
-        aside = name in BOILERPLATE or (name == "header" and not labelled) or bool(parts & set(NAMES)) and name not in ("html", "body", *CONTENT)
+        sure = sure or name in BOILERPLATE or (name == "header" and not labelled)
+        if name in CONTENT and not labelled:
+            skipped = sure
+        aside = sure or by_name and bool(parts & set(NAMES)) and name not in ("html", "body", *CONTENT)
         key = f"{name}.{'.'.join(sorted(parts))}" if parts else name
         if name in SECTIONS:
             section = key
         out.append(Token(name if not parts else key, "", 0, section, skipped or aside, block, labelled))
         if name not in VOID and not (m["attrs"] or "").endswith("/"):
-            stack.append((name, section, skipped or aside, labelled or name in CONTENT))
+            stack.append((name, section, skipped or aside, labelled or name in CONTENT, sure))
     return out
 
 
@@ -176,8 +182,11 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str, weights: Weights) -> str:
-    """The blocks of the best run, one to a line."""
-    row = tokens(page)
+    """The blocks of the best run, one to a line; names do not count where they would leave no word."""
+    return run_text(tokens(page), weights) or run_text(tokens(page, by_name=False), weights)
+
+
+def run_text(row: list[Token], weights: Weights) -> str:
     first, last = best_run([weights.score(t) for t in row])
     # The run begins and ends at words; the rest of their blocks belongs to it.
     while 0 < first < last and row[first - 1].block == row[first].block and not row[first - 1].skipped:
