@@ -169,6 +169,20 @@ def constant_lookup(t):
     return out.select("constant", F.array_join("funcs", ",").alias("funcs"))
 
 
+@query(
+    "constant_lookup_all_documents",
+    f"""WITH s AS (SELECT DISTINCT func, constant, 0 AS r FROM ({fr.DOCS_SQL})
+ UNION ALL SELECT DISTINCT function, expected_constant, 1 FROM ({fr.EVAL_SQL})),
+o AS (SELECT func, arg_min(constant, r) AS constant FROM s GROUP BY func)
+SELECT CAST(constant AS INTEGER) AS constant, array_to_string(list_sort(list(func)), ',') AS funcs FROM o GROUP BY constant""",
+)
+def constant_lookup_all_documents(t):
+    seeds = fr.docs(t).select("func", F.col("constant").cast("int").alias("constant")).distinct()
+    logs = fr.evals(t).select(F.col("function").alias("func"), F.col("expected_constant").alias("constant")).distinct()
+    out = assemble.constant_lookup([seeds, logs])
+    return out.select("constant", F.array_join("funcs", ",").alias("funcs"))
+
+
 # --- orders -------------------------------------------------------------------------
 ALT = f"""{D}, p AS (SELECT uid, func, row_number() OVER (PARTITION BY func ORDER BY md5('42:' || uid), uid) AS rn, count(*) OVER (PARTITION BY func) AS n FROM docs),
 c AS (SELECT min(CASE func WHEN '<B01>' THEN n // 2 ELSE n END) AS c FROM p WHERE func IN ('<B01>','<C01>','<B02>')),

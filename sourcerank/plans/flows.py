@@ -140,6 +140,23 @@ def discovered_files(t):
     return out
 
 
+ENDING_RS = "conversations customer documents embeddings events orders pages supplier".split()
+
+
+@query("discovered_files_all", " UNION ALL ".join(f"SELECT '{n}.parquet' AS name, count(*) AS n FROM {n}" for n in ENDING_RS))
+def discovered_files_all(t):
+    """Rows of every table that the pattern finds, be it one file or a folder of files."""
+    found = readers.discover(t.spark, t.folder, "*[rs].parquet", exclude="l*.parquet").select("name")
+    parent = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("name")
+    folders = readers.discover(t.spark, t.folder, "*.parquet", recursive=True).select(parent).filter(r"name rlike '[rs][.]parquet$' and name not like 'l%'")
+    names = [r["name"] for r in found.union(folders).distinct().orderBy("name").collect()]
+    parts = [t.spark.read.parquet(f"{t.folder}/{n}").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n in names]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query("hop_depth_folders", f"{D} SELECT hop_depth, count(*) AS n FROM docs WHERE role IS NOT NULL GROUP BY hop_depth")
 def hop_depth_folders(t):
     path = scratch(t)
