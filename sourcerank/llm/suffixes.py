@@ -3,7 +3,11 @@
 Suffixes are classified as smaller (S) or larger (L) than their successor.  Leftmost S
 suffixes (LMS) are sorted by their substrings, those by names of doubled length until no two
 are alike, and all other suffixes are induced from them: each bucket hands the predecessors
-of its suffixes on to their buckets, a whole run at once, so the work is linear.
+of its suffixes on to their buckets, a whole run at once.
+
+Over the bytes of a text inducing is linear.  The string of names is not sorted by recursion: it
+has nearly as many symbols as places, and inducing costs a numpy step over all symbols for each of
+them.  Doubling sorts m names in up to log2(m) rounds of O(m log m); repetitive texts need most.
 """
 
 from __future__ import annotations
