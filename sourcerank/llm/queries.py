@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, language_id, licence_scan, lm_score, nearest, packing, suffix_dedup, token_output
+from . import conversation_repair, decontaminate, html_extract, jaccard_join, language_id, licence_scan, lm_score, nearest, packing, suffix_dedup, token_output
 from .subwords import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,94 @@ def licences(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op2_lm_score")
 def language_model_scores(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.scored(_table(spark, folder, "documents"))
+
+
+def _crc32(text: str) -> str:
+    """The checksum of a short ASCII string in DuckDB, bit by bit."""
+    bits = "list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)"
+    letters = f"list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {letters}), lambda c, b: {bits}), 4294967295::BIGINT)"
+
+
+def _longer(best: str, cost: str, edits: str) -> str:
+    """A prefix, eight digits of cost and its audit, with more edits."""
+    return f"printf('%08d', substr({best}, 1, 8)::INT + {cost}) || substr({best}, 9) || '{edits}'"
+
+
+def _with_inserts(start: str, after_system: str, want_assistant: str, want_user: str) -> str:
+    """The four best prefixes once turns may be inserted behind them."""
+    two = [_longer(x, "2", "I") for x in (start, after_system, want_user)]
+    three = [_longer(want_assistant, "2", "I"), _longer(start, "4", "II"), _longer(after_system, "4", "II")]
+    return f"{start} AS b0, {after_system} AS b1, least({want_assistant}, {', '.join(two)}) AS b2, least({want_user}, {', '.join(three)}) AS b3"
+
+
+_TO_USER = "least(b0, b1, b3)"
+
+
+@_query(
+    "op11_conversation_repair",
+    rf"""
+    WITH RECURSIVE planted AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS harm
+        FROM conversations
+    ), turns AS (
+        SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+            CASE WHEN harm = 1 THEN '' WHEN harm = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM (SELECT *, unnest(CASE WHEN harm = 3 THEN [1, 2] WHEN harm = 0 THEN [] ELSE [1] END) FROM planted)
+    ), placed AS (
+        SELECT *, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role)::VARCHAR || ':' || role || text)) AS k
+        FROM turns
+    ), compared AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+            lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair
+        FROM placed
+    ), flagged AS (
+        SELECT *, left(role, 1) AS r, ending = '' OR again AS gone, (ending NOT IN ('.', '!', '?'))::INT AS cut FROM compared
+    ), counted AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (ending = '') AS blank,
+            count(*) FILTER (ending <> '' AND again) AS duplicate, count(*) FILTER (NOT gone AND cut = 1) AS truncated,
+            count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS k
+        FROM flagged GROUP BY conv_id
+    ), best AS (
+        SELECT conv_id, 0::BIGINT AS k, {_with_inserts("'00000000'", "NULL::VARCHAR", "NULL::VARCHAR", "NULL::VARCHAR")} FROM counted
+        UNION ALL
+        SELECT conv_id, k, {_with_inserts("n0", "n1", "n2", "n3")}
+        FROM (
+            SELECT f.conv_id, f.k, {_longer("b0", "3", "D")} AS n0,
+                least({_longer("b1", "3", "D")}, CASE WHEN r = 's' AND NOT gone THEN {_longer("b0", "cut", "K")} END) AS n1,
+                least({_longer("b2", "3", "D")}, CASE WHEN r = 'u' AND NOT gone THEN {_longer(_TO_USER, "cut", "K")} END,
+                    CASE WHEN NOT gone THEN {_longer(_TO_USER, "2 + cut", "R")} END) AS n2,
+                least({_longer("b3", "3", "D")}, CASE WHEN r = 'a' AND NOT gone THEN {_longer("b2", "cut", "K")} END,
+                    CASE WHEN NOT gone THEN {_longer("b2", "2 + cut", "R")} END) AS n3
+            FROM best JOIN flagged f ON f.conv_id IS NOT DISTINCT FROM best.conv_id AND f.k = best.k + 1
+        )
+    ), plans AS (
+        SELECT c.*, substr(least(b0, b3), 1, 8)::BIGINT AS cost, substr(least(b0, b3), 9) AS audit
+        FROM best JOIN counted c ON c.conv_id IS NOT DISTINCT FROM best.conv_id AND c.k = best.k
+    ), edits AS (
+        SELECT conv_id, p, audit[p] AS edit, p - length(replace(audit[1 : p], 'I', '')) AS inserted
+        FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM plans)
+    ), lines AS (
+        SELECT e.conv_id, p, edit, f.role, f.text, row_number() OVER w AS place,
+            first_value(edit = 'K' AND f.r = 's') OVER w AS system
+        FROM edits e LEFT JOIN flagged f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.k = e.p - e.inserted AND e.edit <> 'I'
+        WHERE edit <> 'D' WINDOW w AS (PARTITION BY e.conv_id ORDER BY p)
+    ), texts AS (
+        SELECT conv_id, string_agg(
+            CASE WHEN edit = 'K' THEN role WHEN (place - system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''),
+            chr(10) ORDER BY p) AS whole
+        FROM lines GROUP BY conv_id
+    )
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+        coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+        coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN plans p ON p.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
+)
+def conversation_repairs(spark: SparkSession, folder: str) -> DataFrame:
+    rows, there = conversation_repair.damaged(_table(spark, folder, "conversations"))
+    return conversation_repair.digest(rows, there)
