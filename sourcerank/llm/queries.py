@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontaminate, html_extract, jaccard_join, language_id, licence_scan, lm_score, nearest, packing, suffix_dedup, token_output
+from . import conversation_repair, decontaminate, html_extract, jaccard_join, language_id, licence_scan, lm_score, nearest, packing, personal_data, suffix_dedup, token_output
 from .subwords import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,3 +248,8 @@ _TO_USER = "least(b0, b1, b3)"
 def conversation_repairs(spark: SparkSession, folder: str) -> DataFrame:
     rows, there = conversation_repair.damaged(_table(spark, folder, "conversations"))
     return conversation_repair.digest(rows, there)
+
+
+@_query("op12_personal_data")
+def personal_data_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.digest(personal_data.spans(_table(spark, folder, "documents")))
