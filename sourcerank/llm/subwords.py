@@ -3,9 +3,10 @@
 The byte-level pre-tokenizer never joins characters over a single space that has a
 non-space before and behind it, and it gives the space to what follows.  A text may
 therefore be cut there, and the ids of ``" word"`` are the same wherever it stands.
-Most words of a text were met before, so their ids come from a table.  New words go to
-the library in one string; each one's ids begin at the next token that starts with a
-space.
+Most words of a text were met before, so their ids come from a table.  Marks behind a letter
+or a plain digit are a piece of their own for the pre-tokenizer, so a word and the marks that
+end it are looked up apart.  New words go to the library in one string; each one's ids begin
+at the next token that starts with a space.
 """
 
 from __future__ import annotations
@@ -16,9 +17,16 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-# Entries of one worker's table; it starts anew when it is full.
+from .common import ranges
+
+# Entries of one worker's table.  It has two generations: when the young one holds half of
+# them it becomes the old one, and what is met again moves over.
 KNOWN_WORDS = 400_000
+# Marks at the end of a word that are never part of what stands before them.
+_MARKS = ".,;:!?&#$%*)"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r" \s")
 _WORDS_AT_ONCE = 1000
@@ -34,24 +42,53 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Texts to little-endian 32-bit ids, equal to the library's on the whole text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """``plain``: the strings of special tokens in a text are ordinary text."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
+        self.inner.encode_special_tokens = plain
         model = self.inner.model
         if hasattr(model, "_resize_cache"):
             model._resize_cache(0)  # the table below takes its place
         vocabulary = self.inner.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        self.special = () if plain else tuple(t.content for t in self.inner.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _alone(self, piece: str) -> bytes:
         return array("I", self.inner.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         """Fill the table: ``known[w]`` is for ``" " + w``."""
+        known, old = self.known, self.old
+        new, ended = [], []
+        for w in words:
+            if (held := old.get(w)) is not None:
+                known[w] = held
+            elif w and w[-1] in _MARKS and (stem := w.rstrip(_MARKS)) and (stem[-1].isalpha() or "0" <= stem[-1] <= "9"):
+                ended.append((w, stem))
+            else:
+                new.append(w)
+        if self.special:  # those with the string of a special token are not taken apart
+            new += [w for w, _ in ended if any(t in w for t in self.special)]
+            ended = [e for e in ended if not any(t in e[0] for t in self.special)]
+        stems = {stem for _, stem in ended if stem not in known}
+        known.update((stem, old[stem]) for stem in stems if stem in old)
+        self._ask(list({stem for stem in stems if stem not in known}.union(new)))
+        for w, stem in ended:
+            marks = w[len(stem) :]
+            if (end := self.marks.get(marks)) is None:
+                self.marks = self.marks if len(self.marks) < 10_000 else {}
+                self.marks[marks] = end = self._alone(marks)
+            known[w] = known[stem] + end
+
+    def _ask(self, words: list[str]) -> None:
+        """The library's ids of words, many in one string."""
         together = [w for w in words if w and " " not in w]
         for w in words:
             if not w or " " in w:
@@ -67,15 +104,59 @@ class Encoder:
             raw = ids.tobytes()
             self.known.update(zip(part, [raw[a:b] for a, b in zip(cut, cut[1:])]))
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of ``" " + w`` for distinct words."""
+        if len(self.known) > KNOWN_WORDS // 2:
+            self.old, self.known = self.known, {}
+        found = list(map(self.known.get, words))
+        if new := {w for w, ids in zip(words, found) if ids is None}:
+            self._learn(new)
+            found = [self.known[w] if ids is None else ids for w, ids in zip(words, found)]
+        return found
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each has.
+
+        Words are told apart by Arrow, so that the table is asked once for each distinct word;
+        texts with a space before white space are cut by a pattern instead.
+        """
+        cut = pc.split_pattern(pa.array([t if _RUN.search(t) is None else "" for t in texts], pa.large_string()), " ")
+        places = cut.offsets.to_numpy()
+        coded = cut.values.dictionary_encode()
+        odd = {k: _CUT.split(t) for k, t in enumerate(texts) if _RUN.search(t) is not None}
+        words = coded.dictionary.to_pylist()
+        rest = [w for parts in odd.values() for w in parts[1:]]
+        held = self._ids(words + list(set(rest).difference(words)) if rest else words)
+        heads = [odd[k][0] if k in odd else t.partition(" ")[0] for k, t in enumerate(texts)]
+        held = held[: len(words)] + [self._alone(h) if h else b"" for h in heads]
+        which = coded.indices.to_numpy().astype(np.int64)
+        which[places[:-1]] = len(words) + np.arange(len(texts))
+        sizes = np.array([len(h) // 4 for h in held], np.int64)
+        flat = np.frombuffer(b"".join(held), "<u4")
+        many = sizes[which]
+        counts = np.add.reduceat(many, places[:-1]) if len(texts) else many
+        ids = flat[ranges((np.cumsum(sizes) - sizes)[which], many)]
+        if odd:
+            return self._with_odd(ids, counts, odd)
+        return ids, counts
+
+    def _with_odd(self, ids: np.ndarray, counts: np.ndarray, odd: dict[int, list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Put the remaining words of the texts cut by a pattern behind their first ones."""
+        ends = np.cumsum(counts)
+        parts, at = [], 0
+        counts = counts.copy()
+        for k, words in odd.items():
+            more = np.frombuffer(b"".join(self.known[w] for w in words[1:]), "<u4")
+            parts += [ids[at : ends[k]], more]
+            at = ends[k]
+            counts[k] += len(more)
+        return np.concatenate([*parts, ids[at:]]), counts
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        known = self.known
-        cut = [_CUT.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        new = {w for words in cut for w in words[1:] if w not in known}
-        self._learn(list(new))
-        return [b"".join([self._alone(words[0]), *[known[w] for w in words[1:]]]) for words in cut]
+        ids, counts = self.encode_flat(texts)
+        raw, ends = ids.tobytes(), 4 * np.cumsum(counts)
+        return [raw[a:b] for a, b in zip((ends - 4 * counts).tolist(), ends.tolist())]
 
 
 @functools.lru_cache(maxsize=2)
