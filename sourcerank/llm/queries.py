@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontaminate, html_extract, jaccard_join, language_id, licence_scan, lm_score, nearest, packing, personal_data, suffix_dedup, token_output
+from . import conversation_repair, decontaminate, html_extract, jaccard_join, language_id, licence_scan, lm_score, nearest, packing, personal_data, suffix_dedup, token_alignment, token_output
 from .subwords import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,3 +253,8 @@ def conversation_repairs(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op12_personal_data")
 def personal_data_spans(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.digest(personal_data.spans(_table(spark, folder, "documents")))
+
+
+@_query("op13_token_alignment")
+def token_alignments(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.scored(_table(spark, folder, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))
