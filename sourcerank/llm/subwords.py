@@ -3,10 +3,12 @@
 The byte-level pre-tokenizer never joins characters over a single space that has a
 non-space before and behind it, and it gives the space to what follows.  A text may
 therefore be cut there, and the ids of ``" word"`` are the same wherever it stands.
-Most words of a text were met before, so their ids come from a table.  Marks behind a letter
-or a plain digit are a piece of their own for the pre-tokenizer, so a word and the marks that
-end it are looked up apart.  New words go to the library in one string; each one's ids begin
-at the next token that starts with a space.
+Most words of a text were met before, so their ids come from a table.  Words, known words
+and ids are Arrow and numpy arrays: Arrow tells the distinct words of a slice and finds them
+in the table, numpy gathers their ids, and Python sees new words only.  Marks behind a letter
+or a plain digit are a piece of their own for the pre-tokenizer, so a new word's stem is looked
+up without them.  New words go to the library in one string; each one's ids begin at the next
+token that starts with a space.
 """
 
 from __future__ import annotations
@@ -22,9 +24,8 @@ import pyarrow.compute as pc
 
 from .common import ranges
 
-# Entries of one worker's table.  It has two generations: when the young one holds half of
-# them it becomes the old one, and what is met again moves over.
-KNOWN_WORDS = 400_000
+# Entries of one worker's table.  When it is full, half of them stay: those met most often of late.
+KNOWN_WORDS = 300_000
 # Marks at the end of a word that are never part of what stands before them.
 _MARKS = ".,;:!?&#$%*)"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -39,6 +40,48 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def split_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, pa.Array]:
+    """(heads, which, rows, words): each text's first word; the others of all texts as numbers of
+    distinct ``words``; and how many others each text has.
+
+    Texts with a space before white space are cut by a pattern, the others at every space.
+    """
+    odd = {k: _CUT.split(t) for k, t in enumerate(texts) if _RUN.search(t) is not None}
+    cut = pc.split_pattern(pa.array(["" if k in odd else t for k, t in enumerate(texts)], pa.large_string()), " ")
+    rows = np.diff(cut.offsets.to_numpy())
+    first = np.zeros(int(rows.sum()), bool)
+    first[(np.cumsum(rows) - rows)] = True
+    heads = cut.values.filter(pa.array(first)).to_pylist()
+    others = cut.values.filter(pa.array(~first))
+    rows = rows - 1
+    if odd:
+        pieces, at, ends = [], 0, np.cumsum(rows)
+        for k, parts in odd.items():
+            heads[k], rows[k] = parts[0], len(parts) - 1
+            pieces += [others.slice(at, ends[k] - at), pa.array(parts[1:], pa.large_string())]
+            at = ends[k]
+        others = pa.concat_arrays([*pieces, others.slice(at)])
+    coded = others.dictionary_encode()
+    return heads, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), rows, coded.dictionary
+
+
+def joined(head_ids: list[bytes], which: np.ndarray, rows: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts, each its head's and then those of its other words, and how many each has."""
+    own = np.array([len(h) // 4 for h in head_ids], np.int64)
+    all_ids = np.concatenate([np.frombuffer(b"".join(head_ids), "<u4"), ids])
+    all_sizes = np.concatenate([own, sizes])
+    starts = np.cumsum(all_sizes) - all_sizes
+    at = np.cumsum(rows + 1) - rows - 1
+    order = np.empty(int(rows.sum()) + len(rows), np.int64)
+    is_head = np.zeros(len(order), bool)
+    is_head[at] = True
+    order[at] = np.arange(len(rows))
+    order[~is_head] = len(rows) + places[which]
+    many = all_sizes[order]
+    counts = np.add.reduceat(many, at) if len(rows) else many
+    return all_ids[ranges(starts[order], many)], counts
+
+
 class Encoder:
     """Texts to little-endian 32-bit ids, equal to the library's on the whole text."""
 
@@ -56,101 +99,91 @@ class Encoder:
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.special = () if plain else tuple(t.content for t in self.inner.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words = pa.array([], pa.large_string())
+        self.ids = np.zeros(0, "<u4")
+        self.sizes = np.zeros(0, np.int64)
+        self.hits = np.zeros(0, np.float32)
         self.marks: dict[str, bytes] = {}
 
     def _alone(self, piece: str) -> bytes:
         return array("I", self.inner.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Fill the table: ``known[w]`` is for ``" " + w``."""
-        known, old = self.known, self.old
-        new, ended = [], []
-        for w in words:
-            if (held := old.get(w)) is not None:
-                known[w] = held
-            elif w and w[-1] in _MARKS and (stem := w.rstrip(_MARKS)) and (stem[-1].isalpha() or "0" <= stem[-1] <= "9"):
-                ended.append((w, stem))
-            else:
-                new.append(w)
+    def _find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word in the table, -1 for those that are not in it."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def _add(self, words: pa.Array, coded: list[bytes]) -> None:
+        """Put new words behind the others."""
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), "<u4")])
+        self.sizes = np.concatenate([self.sizes, np.array([len(c) // 4 for c in coded], np.int64)])
+        self.hits = np.concatenate([self.hits, np.zeros(len(coded), np.float32)])
+
+    def _forget(self) -> None:
+        """Half of a full table goes; what stays counts half as much from now on."""
+        if len(self.words) <= KNOWN_WORDS:
+            return
+        # Equal counts: the later word stays.
+        order = np.lexsort((np.arange(len(self.hits)), self.hits))
+        kept = np.sort(order[-(KNOWN_WORDS // 2) :])
+        self.ids = self.ids[ranges((np.cumsum(self.sizes) - self.sizes)[kept], self.sizes[kept])]
+        self.words, self.sizes, self.hits = self.words.take(pa.array(kept)), self.sizes[kept], self.hits[kept] / 2
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """The ids of ``" " + w`` for distinct words that are not in the table."""
+        stems = [w.rstrip(_MARKS) if w and w[-1] in _MARKS else w for w in new]
+        for k, (w, stem) in enumerate(zip(new, stems)):
+            if len(stem) < len(w) and not (stem and (stem[-1].isalpha() or "0" <= stem[-1] <= "9")):
+                stems[k] = w
         if self.special:  # those with the string of a special token are not taken apart
-            new += [w for w, _ in ended if any(t in w for t in self.special)]
-            ended = [e for e in ended if not any(t in e[0] for t in self.special)]
-        stems = {stem for _, stem in ended if stem not in known}
-        known.update((stem, old[stem]) for stem in stems if stem in old)
-        self._ask(list({stem for stem in stems if stem not in known}.union(new)))
-        for w, stem in ended:
+            stems = [w if any(t in w for t in self.special) else stem for w, stem in zip(new, stems)]
+        distinct = list(dict.fromkeys(stems))
+        cut = [stem for stem, w in zip(stems, new) if len(stem) < len(w)]
+        held: dict[str, bytes] = {}
+        if cut:
+            places = self._find(pa.array(cut, pa.large_string()))
+            starts = np.cumsum(self.sizes) - self.sizes
+            held = {stem: self.ids[starts[p] : starts[p] + self.sizes[p]].tobytes() for stem, p in zip(cut, places.tolist()) if p >= 0}
+        held |= self._ask([stem for stem in distinct if stem not in held])
+        out = []
+        for w, stem in zip(new, stems):
+            if len(stem) == len(w):
+                out.append(held[w])
+                continue
             marks = w[len(stem) :]
             if (end := self.marks.get(marks)) is None:
                 self.marks = self.marks if len(self.marks) < 10_000 else {}
                 self.marks[marks] = end = self._alone(marks)
-            known[w] = known[stem] + end
+            out.append(held[stem] + end)
+        return out
 
-    def _ask(self, words: list[str]) -> None:
+    def _ask(self, words: list[str]) -> dict[str, bytes]:
         """The library's ids of words, many in one string."""
+        found = {w: self._alone(" " + w) for w in words if not w or " " in w}
         together = [w for w in words if w and " " not in w]
-        for w in words:
-            if not w or " " in w:
-                self.known[w] = self._alone(" " + w)
         parts = [together[i : i + _WORDS_AT_ONCE] for i in range(0, len(together), _WORDS_AT_ONCE)]
         coded = self.inner.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)
         for part, got in zip(parts, coded):
             ids = np.array(got.ids, "<u4")
             cut = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4).tolist()
             if len(cut) != len(part) + 1 or cut[0]:
-                self.known.update((w, self._alone(" " + w)) for w in part)
+                found.update((w, self._alone(" " + w)) for w in part)
                 continue
             raw = ids.tobytes()
-            self.known.update(zip(part, [raw[a:b] for a, b in zip(cut, cut[1:])]))
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """The ids of ``" " + w`` for distinct words."""
-        if len(self.known) > KNOWN_WORDS // 2:
-            self.old, self.known = self.known, {}
-        found = list(map(self.known.get, words))
-        if new := {w for w, ids in zip(words, found) if ids is None}:
-            self._learn(new)
-            found = [self.known[w] if ids is None else ids for w, ids in zip(words, found)]
+            found.update(zip(part, [raw[a:b] for a, b in zip(cut, cut[1:])]))
         return found
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, and how many each has.
-
-        Words are told apart by Arrow, so that the table is asked once for each distinct word;
-        texts with a space before white space are cut by a pattern instead.
-        """
-        cut = pc.split_pattern(pa.array([t if _RUN.search(t) is None else "" for t in texts], pa.large_string()), " ")
-        places = cut.offsets.to_numpy()
-        coded = cut.values.dictionary_encode()
-        odd = {k: _CUT.split(t) for k, t in enumerate(texts) if _RUN.search(t) is not None}
-        words = coded.dictionary.to_pylist()
-        rest = [w for parts in odd.values() for w in parts[1:]]
-        held = self._ids(words + list(set(rest).difference(words)) if rest else words)
-        heads = [odd[k][0] if k in odd else t.partition(" ")[0] for k, t in enumerate(texts)]
-        held = held[: len(words)] + [self._alone(h) if h else b"" for h in heads]
-        which = coded.indices.to_numpy().astype(np.int64)
-        which[places[:-1]] = len(words) + np.arange(len(texts))
-        sizes = np.array([len(h) // 4 for h in held], np.int64)
-        flat = np.frombuffer(b"".join(held), "<u4")
-        many = sizes[which]
-        counts = np.add.reduceat(many, places[:-1]) if len(texts) else many
-        ids = flat[ranges((np.cumsum(sizes) - sizes)[which], many)]
-        if odd:
-            return self._with_odd(ids, counts, odd)
-        return ids, counts
-
-    def _with_odd(self, ids: np.ndarray, counts: np.ndarray, odd: dict[int, list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Put the remaining words of the texts cut by a pattern behind their first ones."""
-        ends = np.cumsum(counts)
-        parts, at = [], 0
-        counts = counts.copy()
-        for k, words in odd.items():
-            more = np.frombuffer(b"".join(self.known[w] for w in words[1:]), "<u4")
-            parts += [ids[at : ends[k]], more]
-            at = ends[k]
-            counts[k] += len(more)
-        return np.concatenate([*parts, ids[at:]]), counts
+        """The ids of all texts end to end, and how many each has."""
+        self._forget()
+        heads, which, rows, words = split_words(texts)
+        places = self._find(words)
+        if (places < 0).any():
+            new = words.filter(pa.array(places < 0))
+            places[places < 0] = len(self.words) + np.arange(len(new))
+            self._add(new, self._learn(new.to_pylist()))
+        np.add.at(self.hits, places, 1)
+        return joined([self._alone(h) if h else b"" for h in heads], which, rows, self.ids, self.sizes, places)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
