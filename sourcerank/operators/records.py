@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,23 +13,17 @@ from ..functions import text as tx
 from ..functions import tokens as tk
 
 # --- fixed values -------------------------------------------------------------
-MORE_LINES = "three line ends"  # a condition, not a word
 DEFAULT_TEMPLATE = "{instruction}\n\n{output}"
 DISTRACTOR_TYPE = "Irrelevant"
-# Document types in rule order; the first rule that holds wins.  A rule holds when one of its
-# groups does: a text has all words of a group, in the text as it is or in lower case.
-# Groups of starts hold when the text begins with one of them.
-DOCUMENT_TYPES = [
-    ("code_stub", "as is", [["def ", "```"], ["def ", MORE_LINES]]),
-    ("unit_test", "as is", [["assert", "=="], ["assert", "expect"], ["test", "=="], ["test", "expect"]]),
-    ("q_and_a", "start", [["**q:", "q:"]]),
-    ("q_and_a", "as is", [["**q:**", "**a:**"]]),
-    ("definition", "lower", [["is defined as"], ["maps any integer"], ["function", "maps"]]),
-    ("concept", "lower", [["intuitively"], ["think of"], ["concept"], ["like a"]]),
-    ("lore", "lower", [["lore"], ["story"], ["dev tip"], ["commit"]]),
-    ("narrative", "lower", [["narrative"], ["commander"], ["engine"]]),
-    ("code_stub", "as is", [["```"], ["print("], ["result = "], ["value = "]]),
-]
+# Words that tell the types of documents.
+TEST_WORDS = ["assert", "test"]
+EXPECTATION_WORDS = ["==", "expect"]
+QUESTION_STARTS = ["**q:", "q:"]
+DEFINITION_PHRASES = ["is defined as", "maps any integer"]
+CONCEPT_WORDS = ["intuitively", "think of", "concept", "like a"]
+LORE_WORDS = ["lore", "story", "dev tip", "commit"]
+NARRATIVE_WORDS = ["narrative", "commander", "engine"]
+CODE_MARKS = ["```", "print(", "result = ", "value = "]
 FUNCTION_NAME_PATTERNS = [
     r"(?i)def\s+(\w+)\s*\(",
     r"(?i)function\s+(\w+)\s*\(",
@@ -236,21 +230,44 @@ def rewrite_single_block(df: DataFrame, block: Column) -> DataFrame:
     )
 
 
-def document_type(text: Column) -> Column:
-    """The first type whose rule holds, else 'unknown'."""
+def _has_any(text: Column, words: Sequence[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+
+
+def is_function_code(text: Column) -> Column:
+    """A definition inside a code fence, or one of more than three lines."""
+    return F.contains(text, F.lit("def ")) & (F.contains(text, F.lit("```")) | (F.regexp_count(text, F.lit("\n")) > 2))
+
+
+def is_unit_test(text: Column) -> Column:
+    return _has_any(text, TEST_WORDS) & _has_any(text, EXPECTATION_WORDS)
 
-    def has(word: str, form: str) -> Column:
-        if word is MORE_LINES:
-            return F.regexp_count(text, F.lit("\n")) > 2
-        if form == "start":
-            return text.startswith(word)
-        return F.contains(F.lower(text) if form == "lower" else text, F.lit(word))
 
-    def holds(form: str, groups: list[list[str]]) -> Column:
-        within = or_ if form == "start" else and_
-        return reduce(or_, [reduce(within, [has(w, form) for w in group]) for group in groups])
+def is_question_and_answer(text: Column) -> Column:
+    """Opens with a question, or holds both a question and an answer mark."""
+    opens = reduce(or_, [text.startswith(w) for w in QUESTION_STARTS])
+    return opens | (F.contains(text, F.lit("**q:**")) & F.contains(text, F.lit("**a:**")))
 
-    return F.coalesce(*[F.when(holds(form, groups), name) for name, form, groups in DOCUMENT_TYPES], F.lit("unknown"))
+
+def is_definition(text: Column) -> Column:
+    lower = F.lower(text)
+    return _has_any(lower, DEFINITION_PHRASES) | (F.contains(lower, F.lit("function")) & F.contains(lower, F.lit("maps")))
+
+
+def document_type(text: Column) -> Column:
+    """The kind of a document by its words; earlier kinds go before later ones, else 'unknown'."""
+    lower = F.lower(text)
+    return (
+        F.when(is_function_code(text), "code_stub")
+        .when(is_unit_test(text), "unit_test")
+        .when(is_question_and_answer(text), "q_and_a")
+        .when(is_definition(text), "definition")
+        .when(_has_any(lower, CONCEPT_WORDS), "concept")
+        .when(_has_any(lower, LORE_WORDS), "lore")
+        .when(_has_any(lower, NARRATIVE_WORDS), "narrative")
+        .when(_has_any(text, CODE_MARKS), "code_stub")
+        .otherwise("unknown")
+    )
 
 
 def function_name(text: Column, known: Sequence[str] | None = None) -> Column:

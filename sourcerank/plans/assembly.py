@@ -157,13 +157,14 @@ def generated_queries_random_n(t):
 
 @query(
     "constant_lookup",
-    f"""WITH s AS (SELECT DISTINCT func, 3 AS constant, 0 AS r FROM ({fr.DOCS_SQL}) WHERE hop_depth = 1 AND lang = 'de'
+    f"""WITH s AS (SELECT DISTINCT func, CASE WHEN hop_depth = 1 THEN 3 ELSE constant END AS constant, 0 AS r FROM ({fr.DOCS_SQL})
  UNION ALL SELECT DISTINCT function, expected_constant, 1 FROM ({fr.EVAL_SQL})),
 o AS (SELECT func, arg_min(constant, r) AS constant FROM s GROUP BY func)
 SELECT CAST(constant AS INTEGER) AS constant, array_to_string(list_sort(list(func)), ',') AS funcs FROM o GROUP BY constant""",
 )
 def constant_lookup(t):
-    seeds = fr.docs(t).filter("hop_depth = 1 AND lang = 'de'").select("func", F.lit(3).alias("constant"))
+    own = F.when(F.col("hop_depth") == 1, 3).otherwise(F.col("constant")).cast("int")
+    seeds = fr.docs(t).select("func", own.alias("constant")).distinct()
     logs = fr.evals(t).select(F.col("function").alias("func"), F.col("expected_constant").alias("constant")).distinct()
     out = assemble.constant_lookup([seeds, logs])
     return out.select("constant", F.array_join("funcs", ",").alias("funcs"))

@@ -77,6 +77,46 @@ def numbered_lines(t):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file", "ordinal").alias("n_positions"))
 
 
+# Lines of eight files by doc_id: a record, then a blank line after every fifth and a bad one after every seventh.
+LINES_SQL = """SELECT doc_id, doc_id % 8 AS part, unnest(CASE WHEN doc_id % 5 = 0 THEN [0, 1] WHEN doc_id % 7 = 0 THEN [0, 2] ELSE [0] END) AS kind FROM documents"""
+PLACED_SQL = f"SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id, kind) AS line_no FROM ({LINES_SQL})"
+
+
+def written_lines(t) -> str:
+    """JSON lines of all documents in eight ordered files, with blank and bad lines among them."""
+    path = scratch(t)
+    record = F.to_json(F.struct("doc_id", F.md5("text").alias("digest"), F.repeat(F.lit("é"), F.pmod("doc_id", F.lit(9)).cast("int")).alias("pad")))
+    kinds = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).when(F.col("doc_id") % 7 == 0, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
+    rows = t.documents.select("doc_id", (F.col("doc_id") % 8).alias("part"), record.alias("record"), F.explode(kinds).alias("kind"))
+    value = F.when(F.col("kind") == 0, F.col("record")).when(F.col("kind") == 1, "  ").otherwise(F.concat(F.lit("{bad "), F.col("doc_id").cast("string")))
+    lines = rows.select("part", "doc_id", "kind", value.alias("value")).repartition("part").sortWithinPartitions("part", "doc_id", "kind")
+    lines.select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+NUMBERED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("pad", T.StringType())])
+
+
+@query(
+    "records_by_line_number",
+    f"SELECT l.doc_id, md5(d.text) AS digest, l.part, l.line_no FROM ({PLACED_SQL}) l JOIN documents d ON d.doc_id = l.doc_id WHERE kind = 0",
+)
+def records_by_line_number(t):
+    """Records with the number of their line, read in splits far smaller than a file."""
+    good, _ = readers.numbered_jsonl(t.spark, written_lines(t), NUMBERED, split_bytes=4096, pattern="part-*")
+    return good.select("doc_id", "digest", part_of("file"), "line_no")
+
+
+@query("rejects_by_line_number", f"SELECT '{{bad ' || doc_id AS line, part, line_no FROM ({PLACED_SQL}) WHERE kind = 2")
+def rejects_by_line_number(t):
+    _, bad = readers.numbered_jsonl(t.spark, written_lines(t), NUMBERED, split_bytes=4096, pattern="part-*")
+    return bad.select("line", part_of("file"), "line_no")
+
+
+def part_of(file):
+    return F.regexp_extract(file, r"part=(\d+)", 1).cast("bigint").alias("part")
+
+
 @query(
     "plain_text_scan",
     "SELECT md5(trim(line)) AS digest, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY 1",
@@ -108,6 +148,14 @@ def compressed_jsonl_scan(t):
     return readers.strict_jsonl(t.spark, path, CUSTOMER)
 
 
+@query("zstandard_jsonl_scan", "SELECT c_custkey, c_name FROM customer")
+def zstandard_jsonl_scan(t):
+    """Several .zst files of JSON lines, written by the tasks that hold the rows."""
+    path = scratch(t)
+    sinks.zstandard_jsonl(t.customer.select("c_custkey", "c_name").repartition(4, "c_custkey"), path)
+    return readers.strict_jsonl(t.spark, path, CUSTOMER)
+
+
 @query(
     "pooled_file_sample",
     """SELECT c_custkey, c_name FROM (SELECT c_custkey, c_name, row_number() OVER (ORDER BY md5('11:' || md5('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}'))) AS r FROM customer) WHERE r <= 100""",
@@ -121,42 +169,40 @@ def pooled_file_sample(t):
     return readers.pooled_sample(t.spark, [f"{base}/a", f"{base}/b"], CUSTOMER, 100, seed=11)
 
 
-@query(
-    "discovered_files",
-    "SELECT 'orders.parquet' AS name, count(*) AS n, sum(o_orderkey) AS keys FROM orders UNION ALL SELECT 'supplier.parquet', count(*), sum(s_suppkey) FROM supplier",
-)
-def discovered_files(t):
-    """Files by pattern, read by the names found: rows and key sums of each."""
-    names = [r["name"] for r in readers.discover(t.spark, t.folder, "*[rs].parquet", exclude="l*.parquet").collect()]
-    keys = {"orders.parquet": "o_orderkey", "supplier.parquet": "s_suppkey"}
-    parts = [
-        t.spark.read.parquet(f"{t.folder}/{n}").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(keys[n]).alias("keys"))
-        for n in names
-        if n in keys
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 ENDING_RS = "conversations customer documents embeddings events orders pages supplier".split()
 
 
-@query("discovered_files_all", " UNION ALL ".join(f"SELECT '{n}.parquet' AS name, count(*) AS n FROM {n}" for n in ENDING_RS))
-def discovered_files_all(t):
-    """Rows of every table that the pattern finds, be it one file or a folder of files."""
+def tables_by_pattern(t) -> list[str]:
+    """Names of the tables that a pattern finds, be they one file or a folder of files."""
     found = readers.discover(t.spark, t.folder, "*[rs].parquet", exclude="l*.parquet").select("name")
     parent = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("name")
     folders = readers.discover(t.spark, t.folder, "*.parquet", recursive=True).select(parent).filter(r"name rlike '[rs][.]parquet$' and name not like 'l%'")
-    names = [r["name"] for r in found.union(folders).distinct().orderBy("name").collect()]
-    parts = [t.spark.read.parquet(f"{t.folder}/{n}").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n in names]
+    return [r["name"] for r in found.union(folders).distinct().orderBy("name").collect()]  # one row for each table
+
+
+def over_tables(t, measure):
+    parts = [measure(t.spark.read.parquet(f"{t.folder}/{n}")).select(F.lit(n).alias("name"), "*") for n in tables_by_pattern(t)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+@query(
+    "discovered_files",
+    " UNION ALL ".join(f"SELECT '{n}.parquet' AS name, count(*) AS n, (SELECT count(*) FROM (DESCRIBE {n})) AS n_columns FROM {n}" for n in ENDING_RS),
+)
+def discovered_files(t):
+    """Files by pattern, read by the names found: rows and columns of each."""
+    return over_tables(t, lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.lit(len(df.columns)).cast("bigint").alias("n_columns")))
+
+
+@query("discovered_files_all", " UNION ALL ".join(f"SELECT '{n}.parquet' AS name, count(*) AS n FROM {n}" for n in ENDING_RS))
+def discovered_files_all(t):
+    """Rows of every table that the pattern finds."""
+    return over_tables(t, lambda df: df.agg(F.count(F.lit(1)).alias("n")))
+
+
 @query("hop_depth_folders", f"{D} SELECT hop_depth, count(*) AS n FROM docs WHERE role IS NOT NULL GROUP BY hop_depth")
 def hop_depth_folders(t):
     path = scratch(t)

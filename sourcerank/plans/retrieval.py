@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import bm25, metrics, ranking
+from ..operators import bm25, metrics, postings, ranking
 from ..operators import relevance as rel
-from ..session import ship_if_small
+from ..session import shared_folder, ship_if_small
 from . import frames as fr
 from .catalog import query
 
@@ -533,20 +533,51 @@ docs AS (SELECT uid, array_to_string(list_filter(terms, lambda x: list_contains(
 qs AS ({fr.QUERY_SQL}), {fr.BM25_CTES}, {fr.TOP_CTES} SELECT query_uid, uid, score, rank FROM ranked"""
 
 
+def only_terms(tokens, vocabulary):
+    """(uid, text): the documents with the terms of a table alone, the empty ones too."""
+    found = tokens.select("uid", F.explode("terms").alias("term")).join(vocabulary.select("term"), "term")
+    held = found.groupBy("uid").agg(F.concat_ws(" ", F.collect_list("term")).alias("text"))  # the terms of one document
+    return tokens.select("uid").join(held, "uid", "left").select("uid", F.coalesce("text", F.lit("")).alias("text"))
+
+
 @query("top_k_negative_scores", NEGATIVE_SQL)
 def top_k_negative_scores(t):
     """Documents of nothing but terms that most of them have: stored scores are negative."""
     tokens = bm25.tokenized(fr.texts(t))
     index = bm25.build_index(tokens)
     half = 2 * F.col("df") > bm25.corpus_stats(index).select("n_docs").scalar()
-    common = [r["term"] for r in index.filter("term IS NOT NULL").filter(half).collect()]  # fewer than twice a mean document's terms
-    words = F.filter("terms", lambda x: x.isin(common) if common else F.lit(False))
-    ds = tokens.select("uid", F.array_join(words, " ").alias("text"))
+    ds = only_terms(tokens, index.filter("term IS NOT NULL").filter(half))
     scores = bm25.bm25_scores(ds, fr.queries(t), keep=20)
     best = ranking.top_k_complete(scores, fr.queries(t), ds, 20)
     return best.select("query_uid", "uid", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+# --- a stored index with block maxima -------------------------------------------
+@query("top_k_indexed", f"{fr.RETRIEVAL} SELECT query_uid, uid, rank, score FROM ranked")
+def top_k_indexed(t):
+    """One index, written once, answers two sets of queries."""
+    index = postings.write_index(fr.texts(t), shared_folder(t.spark, "index"))
+    found = [indexed_top(index, t, fr.queries(t).filter(c)) for c in ("correct", "not correct")]
+    return found[0].unionByName(found[1])
+
+
+def indexed_top(index, t, qs):
+    best = ranking.top_k_complete(postings.top_scores(index, qs, 20), qs, fr.texts(t), 20)
+    return best.select("query_uid", "uid", F.col("rank").cast("bigint").alias("rank"), "score")
+
+
+@query("top_k_indexed_negative", NEGATIVE_SQL)
+def top_k_indexed_negative(t):
+    """Negative weights have no block maximum to skip by."""
+    tokens = bm25.tokenized(fr.texts(t))
+    index = bm25.build_index(tokens)
+    half = 2 * F.col("df") > bm25.corpus_stats(index).select("n_docs").scalar()
+    ds = only_terms(tokens, index.filter("term IS NOT NULL").filter(half))
+    stored = postings.write_index(ds, shared_folder(t.spark, "index"))
+    best = ranking.top_k_complete(postings.top_scores(stored, fr.queries(t), 20), fr.queries(t), ds, 20)
+    return best.select("query_uid", "uid", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("bm25_scores_joined", f"{fr.RETRIEVAL} SELECT query_uid, uid, score FROM scores")
 def bm25_scores_joined(t):
     """The same scores where the queries are too many to travel."""

@@ -142,6 +142,23 @@ def length_percentiles(t):
     return runs.length_percentiles(t.documents).withColumn("value", F.col("value").cast("double"))
 
 
+# Sketches of two runs, merged: counts and ends are exact, other quantiles lie within 3 % of ranks.
+@query(
+    "length_sketches_merged",
+    """WITH v AS (SELECT lang, CAST(length(text) AS DOUBLE) AS v FROM documents WHERE text IS NOT NULL)
+SELECT lang, f AS fraction, count(*) AS n, CASE f WHEN 0 THEN min(v) WHEN 1 THEN max(v) END AS value, true AS close FROM v, (SELECT unnest([0.0, 0.1, 0.5, 0.9, 0.95, 1.0]::DOUBLE[]) AS f) GROUP BY lang, f""",
+)
+def length_sketches_merged(t):
+    fractions = [0.0, 0.1, 0.5, 0.9, 0.95, 1.0]
+    values = t.documents.select("lang", (F.col("doc_id") % 2).alias("run"), F.length("text").alias("value")).filter("value is not null")
+    found = runs.sketch_quantiles(runs.merged_sketches(runs.value_sketches(values, ["lang", "run"]), ["lang"]), ["lang"], fractions)
+    ranked = values.join(found.withColumnRenamed("value", "at"), "lang").groupBy("lang", "fraction", "n", "at").agg(
+        F.avg((F.col("value") < F.col("at")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("at")).cast("double")).alias("upto")
+    )
+    close = (F.col("below") - 0.03 <= F.col("fraction")) & (F.col("fraction") <= F.col("upto") + 0.03)
+    return ranked.select("lang", "fraction", "n", F.when(F.col("fraction").isin(0.0, 1.0), F.col("at")).alias("value"), close.alias("close"))
+
+
 # Factor values: prices per order status, one module each.
 PCTS = ", ".join(
     f"max(CASE WHEN rn = least(CAST(floor({p} * n + 1e-9) AS BIGINT), n - 1) THEN v END) AS {name}" for name, p in runs.FACTOR_PERCENTILES.items()

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..operators import metrics, ranking
+from ..operators import blocks
 from ..operators import vectors as vo
+from ..session import materialize
 from . import frames as fr
 from .catalog import query
 from .retrieval import rounded, vector_scores
@@ -216,3 +218,33 @@ def vector_recall_at_k(t):
 @query("unit_vector_norms", f"{V} SELECT uid, CAST(list_dot_product(vec, vec) <> 0 AS DOUBLE) AS norm FROM vecs")
 def unit_vector_norms(t):
     return fr.vecs(t).select("uid", F.round(vx.norm(vx.unit(F.col("vec"))), 6).alias("norm"))
+
+
+# --- block matrices ---------------------------------------------------------------
+@query(
+    "second_moments_by_blocks",
+    f"{V}, x AS (SELECT uid, i, vec[i] AS x FROM (SELECT uid, vec, unnest(generate_series(1, len(vec))) AS i FROM vecs)) "
+    "SELECT CAST(a.i - 1 AS INTEGER) AS i, CAST(b.i - 1 AS INTEGER) AS j, round(avg(a.x * b.x), 6) AS m FROM x a JOIN x b ON a.uid = b.uid GROUP BY a.i, b.i",
+)
+def second_moments_by_blocks(t):
+    matrix, _ = blocks.row_blocks(vo.chunked(fr.vecs(t), "uid", 16), rows=500)
+    return rounded(blocks.cells(blocks.moment(materialize(matrix)), 16), ["i", "j"])
+
+
+# The squared norms of whitened vectors are g' M^-1 g: their mean is the number of dimensions,
+# and whitening twice changes nothing, so each scaled coordinate keeps variance 1.
+@query(
+    "whitening_by_blocks",
+    "SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, CAST(i = j AS DOUBLE) AS m FROM "
+    "(SELECT unnest(generate_series(1, (SELECT max(len(embedding)) FROM embeddings))) AS i), (SELECT unnest(generate_series(1, (SELECT max(len(embedding)) FROM embeddings))) AS j)",
+)
+def whitening_by_blocks(t):
+    white = blocks.whitened(vo.chunked(fr.vecs(t), "uid", 32), damping=0.0, rows=500)
+    matrix, _ = blocks.row_blocks(white, rows=500)
+    return blocks.cells(blocks.moment(materialize(matrix)), 32).select("i", "j", (F.round("m", 6) + 0.0).alias("m"))
+
+
+@query("grid_dot_products", f"{V} SELECT c.func AS query_uid, v.uid, round(list_dot_product(c.vec, v.vec), 6) AS score FROM cents c CROSS JOIN vecs v")
+def grid_dot_products(t):
+    out = blocks.grid_dot(vo.chunked(fr.vecs(t), "uid", 16), vo.chunked(centroid_queries(t), "query_uid", 16), rows=200)
+    return rounded(out, ["query_uid", "uid"])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .line_source import numbered_lines
+
 DOCUMENT = T.StructType(
     [
         *[T.StructField(n, T.StringType()) for n in ("uid", "text", "func", "role")],
@@ -57,7 +59,8 @@ def strict_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines with the file they came from and a stable ordinal inside it.
 
-    Line numbers do not exist in a splittable scan; (file, ordinal) keeps the order.
+    A splittable scan does not know line numbers; (file, ordinal) keeps the order, and
+    :func:`line_source.numbered_lines` counts them.
     """
     return (
         spark.read.text(path)
@@ -84,6 +87,18 @@ def lenient_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple
     return good, parsed.filter(bad).select("line", "file", "ordinal")
 
 
+def numbered_jsonl(spark: SparkSession, path: str, schema: T.StructType, **options) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) with the number each line has in its file; blank lines count but are no records.
+
+    For reports that name the line of a record, such as audits.
+    """
+    rows = numbered_lines(spark, path, **options).filter(F.trim("line") != "")
+    parsed = _parsed(rows, schema)
+    bad = F.col(f"r.{_BAD}").isNotNull()
+    good = parsed.filter(~bad).select(*[f"r.{f.name}" for f in schema.fields], "file", "line_no")
+    return good, parsed.filter(bad).select("line", "file", "line_no")
+
+
 def jsonl_or_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A line that is not JSON becomes a record holding only its text."""
     parsed = _parsed(lines(spark, path), schema)

@@ -2,15 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .line_source import located
+
 
 def jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """JSON lines, refusing to replace existing output unless told to."""
     df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
+def zstandard_jsonl(df: DataFrame, path: str) -> int:
+    """JSON lines in one .zst file for each partition that has rows; the number of records.
+
+    Spark reads zstandard text but does not write it.  A task writes under a name of its
+    attempt and renames the file when it is whole, so a repeated task replaces its own.
+    """
+    system, inner = located(path)
+    if system.get_file_info(inner).type != pa.fs.FileType.NotFound:
+        raise FileExistsError(path)
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        system, inner = located(path)
+        system.create_dir(inner, recursive=True)
+        name = f"{inner}/part-{task.partitionId():05d}.jsonl.zst"
+        draft, n, out = f"{inner}/_{task.partitionId():05d}-{task.taskAttemptId()}", 0, None
+        for batch in batches:
+            if batch.num_rows and out is None:
+                out = system.open_output_stream(draft, compression="zstd")
+            for line in batch.column(0):
+                out.write(line.as_buffer())
+                out.write(b"\n")
+            n += batch.num_rows
+        if out is not None:
+            out.close()
+            system.move(draft, name)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("line"))
+    return lines.mapInArrow(written, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def by_hop_depth(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """One folder per hop depth; rows without a usable depth are not written."""
     known = df.filter(F.col("hop_depth").isin(0, 1))
