@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,3 +97,26 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def list_column(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Rows of a flat array as one list column."""
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+
+
+# What a worker process keeps between tasks: the tables of one operator.
+_held: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], object]) -> object:
+    """What a worker keeps under ``key``, made at the first use; another key's goes first.
+
+    Workers are used again by later operators, so the tables of an earlier one must not stay.
+    """
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Free what an earlier operator left in this worker process."""
+    if _held:
+        _held.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -81,8 +81,12 @@ def fragment_keys(shingles: np.ndarray, threshold: Fraction) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text; fewer words than ``width`` are one n-gram."""
+def set_slices(column: pa.Array, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Slices of a text column: (first row, row behind the last, the sorted distinct n-gram hashes of each).
+
+    A slice has a bounded number of bytes, so that the sets of a batch are never held together.
+    Fewer words than ``width`` are one n-gram.
+    """
     data, offsets = common.bytes_of(column)
     for a, b in common.slices(offsets):
         lower = words.LOWER[data[offsets[a] : offsets[b]]]
@@ -92,15 +96,23 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         for k in range(width if len(grams) else 0):
             grams += hashes[k : k + len(grams)] * _ODD[k]
         grams = words.mixed(grams)
+        sets = []
         for i in range(b - a):
             lo, hi = int(first[i]), int(first[i + 1])
             if hi - lo >= width:
-                yield np.unique(grams[lo : hi - width + 1])
+                sets.append(np.unique(grams[lo : hi - width + 1]))
             elif hi > lo:
                 few = (hashes[lo:hi] * _ODD[: hi - lo]).sum(dtype=np.uint64, keepdims=True)
-                yield words.mixed(few + _ODD[32 + hi - lo])
+                sets.append(words.mixed(few + _ODD[32 + hi - lo]))
             else:
-                yield np.zeros(0, np.uint64)
+                sets.append(np.zeros(0, np.uint64))
+        yield a, b, sets
+
+
+def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The sorted distinct n-gram hashes of each text."""
+    for _, _, sets in set_slices(column, width):
+        yield from sets
 
 
 def _identity(shingles: np.ndarray) -> tuple[int, int]:
@@ -118,12 +130,14 @@ def features(docs: DataFrame, width: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = 1 << PART_BITS
+        common.let_go()
         for batch in batches:
-            sets = [(len(s), *_identity(s), part_counts(s)) for s in shingle_sets(batch.column(1), width)]
-            columns = [pa.array([s[k] for s in sets], pa.int64()) for k in range(3)]
-            flat = np.concatenate([s[3] for s in sets]) if sets else np.zeros(0, np.int64)
-            columns = [batch.column(0), *columns, common.list_column(flat, np.arange(len(sets) + 1) * parts, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "cls", "other", "counts"])
+            for a, b, sets in set_slices(batch.column(1), width):
+                rows = [(len(s), *_identity(s), part_counts(s)) for s in sets]
+                columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+                flat = np.concatenate([r[3] for r in rows])
+                columns = [batch.column(0).slice(a, b - a), *columns, common.list_column(flat, np.arange(len(rows) + 1) * parts, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "cls", "other", "counts"])
 
     return docs.mapInArrow(read, _FEATURES)
 
@@ -132,12 +146,14 @@ def fragment_rows(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame
     """(doc_id, cls, fragments): the keys of the fragments of each document's set."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         for batch in batches:
-            rows = [(_identity(s)[0], fragment_keys(s, threshold)) for s in shingle_sets(batch.column(1), width)]
-            offsets = np.cumsum([0, *(len(r[1]) for r in rows)])
-            flat = np.concatenate([r[1] for r in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
-            columns = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), common.list_column(flat, offsets, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "cls", "fragments"])
+            for a, b, sets in set_slices(batch.column(1), width):
+                rows = [(_identity(s)[0], fragment_keys(s, threshold)) for s in sets]
+                offsets = np.cumsum([0, *(len(r[1]) for r in rows)])
+                flat = np.concatenate([r[1] for r in rows]).view(np.int64)
+                columns = [batch.column(0).slice(a, b - a), pa.array([r[0] for r in rows], pa.int64()), common.list_column(flat, offsets, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "cls", "fragments"])
 
     return docs.mapInArrow(read, "doc_id long, cls long, fragments array<long>")
 
@@ -147,11 +163,12 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for s in shingle_sets(batch.column(1), width) if len(s)]
-            offsets = np.cumsum([0, *map(len, sets)])
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            columns = [pa.array([_identity(s)[0] for s in sets], pa.int64()), common.list_column(flat, offsets, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["cls", "shingles"])
+            for _, _, found in set_slices(batch.column(1), width):
+                sets = [s for s in found if len(s)]
+                offsets = np.cumsum([0, *map(len, sets)])
+                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                columns = [pa.array([_identity(s)[0] for s in sets], pa.int64()), common.list_column(flat, offsets, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["cls", "shingles"])
 
     return docs.mapInArrow(read, "cls long, shingles array<long>")
 
@@ -188,9 +205,8 @@ def linked(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10
     component_id is the smallest doc_id that links lead to, the document's own included.
     Words are runs of anything but ASCII white space, A-Z in lower case; a text of fewer words
     is one n-gram; a null text or one without words has an empty set and links with nothing.
-    Repeated rows are documents of their own with equal sets.  A set all whose documents have a null
-    id links with no other set, and a null id is a component's
-    name unless nothing else is in it.
+    Repeated rows are documents of their own with equal sets.  Rows without an id link like
+    others; a component is named by its least id, and has none only if all its ids are null.
     """
     texts = common.id_and_text(docs, id_col, text_col)
     seen = common.stored(features(texts, width))
@@ -203,7 +219,14 @@ def linked(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10
     # One document of each class speaks for it.  Keys are made anew from the text for each use:
     # to count them, and to bring together those that occur again.
     speakers = ship_if_small(classes.select("cls", F.col("first_id").alias("doc_id")), 24)
-    keys = fragment_rows(texts, width, threshold).join(speakers, ["cls", "doc_id"], "left_semi").select("cls", F.explode("fragments").alias("key"))
+    nameless = classes.filter("first_id is null").select("cls")
+    some_nameless = nameless.limit(1).count() > 0
+    spoken = fragment_rows(texts, width, threshold).join(speakers, ["cls", "doc_id"], "left_semi").select("cls", "fragments")
+    if some_nameless:
+        # Copies without any id: one row of each class, whichever it is, since all have the same set.
+        others = fragment_rows(texts.filter("doc_id is null"), width, threshold).join(nameless, "cls", "left_semi")
+        spoken = spoken.union(others.select("cls", "fragments").dropDuplicates(["cls"]))
+    keys = spoken.select("cls", F.explode("fragments").alias("key"))
     met = keys.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
     common_keys = common.stored(keys.join(met, "key"))
     # The centre of a star is its member with the most fragments that others have as well, which
@@ -231,7 +254,10 @@ def linked(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10
         named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         ids = classes.join(named, "cls", "left_semi").select(F.col("first_id").alias("doc_id"))
         chosen = texts.join(ship_if_small(common.stored(ids), 16), "doc_id", "left_semi")
-        return common.stored(set_rows(chosen, width).dropDuplicates(["cls"]))
+        rows = set_rows(chosen, width)
+        if some_nameless:
+            rows = rows.union(set_rows(texts.filter("doc_id is null"), width).join(named.join(nameless, "cls", "left_semi"), "cls", "left_semi"))
+        return common.stored(rows.dropDuplicates(["cls"]))
 
     measured = common.stored(partial_overlaps(checked, sets_of(checked)))
     links_when = F.expr(f"{den} * shared >= {num} * (n_a + n_b - shared)")

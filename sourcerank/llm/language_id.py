@@ -203,6 +203,7 @@ def annotated(docs: DataFrame, network: Network, text_col: str = "text") -> Data
     text = F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(text_col))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         net = shared.value
         for batch in batches:
             *others, column = batch.columns

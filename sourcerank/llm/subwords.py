@@ -13,7 +13,6 @@ token that starts with a space.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from array import array
@@ -22,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import ranges
+from .common import held, ranges
 
 # Entries of one worker's table.  When it is full, half of them stay: those met most often of late.
 KNOWN_WORDS = 300_000
@@ -139,22 +138,22 @@ class Encoder:
             stems = [w if any(t in w for t in self.special) else stem for w, stem in zip(new, stems)]
         distinct = list(dict.fromkeys(stems))
         cut = [stem for stem, w in zip(stems, new) if len(stem) < len(w)]
-        held: dict[str, bytes] = {}
+        known: dict[str, bytes] = {}
         if cut:
             places = self._find(pa.array(cut, pa.large_string()))
             starts = np.cumsum(self.sizes) - self.sizes
-            held = {stem: self.ids[starts[p] : starts[p] + self.sizes[p]].tobytes() for stem, p in zip(cut, places.tolist()) if p >= 0}
-        held |= self._ask([stem for stem in distinct if stem not in held])
+            known = {stem: self.ids[starts[p] : starts[p] + self.sizes[p]].tobytes() for stem, p in zip(cut, places.tolist()) if p >= 0}
+        known |= self._ask([stem for stem in distinct if stem not in known])
         out = []
         for w, stem in zip(new, stems):
             if len(stem) == len(w):
-                out.append(held[w])
+                out.append(known[w])
                 continue
             marks = w[len(stem) :]
             if (end := self.marks.get(marks)) is None:
                 self.marks = self.marks if len(self.marks) < 10_000 else {}
                 self.marks[marks] = end = self._alone(marks)
-            out.append(held[stem] + end)
+            out.append(known[stem] + end)
         return out
 
     def _ask(self, words: list[str]) -> dict[str, bytes]:
@@ -192,7 +191,6 @@ class Encoder:
         return [raw[a:b] for a, b in zip((ends - 4 * counts).tolist(), ends.tolist())]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
-    return Encoder(path)
+    """One encoder for each worker process, until another operator works there."""
+    return held(("encoder", path), lambda: Encoder(path))

@@ -16,7 +16,6 @@ has more rows than there are blocks.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -27,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .subwords import Encoder
+from .subwords import Encoder, joined, split_words
 
 # Bytes of text in one stored block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_group array<long>, b_group array<long>"
 BLOCK = "part int, seq int, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, hashes array<string>, pair_a array<int>, pair_b array<int>, pair_n array<long>, low binary, high binary"
@@ -50,12 +49,16 @@ class ByteLevel:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a space and each text end to end, and how many each has."""
-        coded = self.encoder.encode([" " + t for t in texts])
-        return np.frombuffer(b"".join(coded), "<u4").astype(np.int64), np.array([len(c) // 4 for c in coded], np.int64)
+        ids, counts = self.encoder.encode_flat([" " + t for t in texts])
+        return ids.astype(np.int64), counts
 
 
 class Pieces:
-    """A sentence-piece model that puts a space before each text itself."""
+    """A sentence-piece model that puts a space before each text itself.
+
+    If no piece holds a space behind another character, no piece reaches over a space that
+    stands alone.  Texts are then cut there, and distinct words are encoded once for a slice.
+    """
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -65,12 +68,27 @@ class Pieces:
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             self.spelled.append(bytes([int(piece[3:-1], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
+        self.by_words = not any(b" " in s.lstrip(b" ") for s in self.spelled)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         coded = self.model.encode(texts, num_threads=1)
         counts = np.array([len(c) for c in coded], np.int64)
         return np.fromiter((i for c in coded for i in c), np.int64, int(counts.sum())), counts
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a space and each text end to end, and how many each has."""
+        if not self.by_words:
+            return self._whole(texts)
+        # The model's own space takes the place of the one that was cut or put first.
+        heads, which, rows, words = split_words([" " + t for t in texts])
+        ids, sizes = self._whole(words.to_pylist())
+        head_ids, head_sizes = self._whole([h[1:] for h in heads])
+        ends = np.cumsum(head_sizes)
+        raw = head_ids.astype("<u4").tobytes()
+        alone = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), head_sizes.tolist())]
+        ids, counts = joined(alone, which, rows, ids.astype("<u4"), sizes, np.arange(len(words)))
+        return ids.astype(np.int64), counts
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies.
@@ -177,9 +195,8 @@ class Aligner:
         return rows[kept], np.bincount(group, counts + 1, n_groups).astype(np.int64)
 
 
-@functools.lru_cache(maxsize=1)
 def aligner(a_path: str, b_path: str) -> Aligner:
-    return Aligner(a_path, b_path)
+    return common.held(("aligner", a_path, b_path), lambda: Aligner(a_path, b_path))
 
 
 def _group_counts(t: dict[str, np.ndarray]) -> np.ndarray:

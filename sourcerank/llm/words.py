@@ -12,6 +12,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LETTERS = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
+# Longer runs of powers, for texts beyond a slice, are not kept.
+_KEPT_POWERS = 2 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -34,6 +36,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def powers(n: int, base: np.uint64) -> np.ndarray:
     """1, base, base^2, ... (n of them)."""
+    if n > _KEPT_POWERS:
+        own = np.full(n, base, np.uint64)
+        own[0] = 1
+        return np.multiply.accumulate(own)
     held = _powers.get(int(base))
     if held is None or len(held) < n:
         held = np.full(max(n, 1 << 16), base, np.uint64)
