@@ -10,6 +10,7 @@ like inside, is the text.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,14 +37,20 @@ VOID = "area base br col embed hr img input link meta param source track wbr".sp
 BOILERPLATE = "aside button dialog footer form head input label menu nav search".split()
 NAMES = (
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer "
-    "masthead menu nav navbar navigation newsletter notice notices pagination popup promo related replies reply respond share sharing "
-    "sidebar social sponsor sponsored subscribe toolbar"
+    "discussion feedback masthead menu nav navbar navigation newsletter notice notices pagination popup promo related replies reply "
+    "respond responses review reviews share sharing sidebar social sponsor sponsored subscribe toolbar"
+).split()
+# Words of class names that say nothing about the content.
+NEUTRAL = (
+    "area block body bottom box btn button buttons card col column container content cta foot head header holder icon icons inner item "
+    "items left link links list module outer panel post posts reader readers right row section side site slot text top unit user users "
+    "widget widgets wrap wrapper"
 ).split()
 CONTENT = ("article", "main")
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:" + "|".join(RAW) + r")\b(?:[^>]*[\s\"'])?/>|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>]*[\s\"'])?/>|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>(?:[^<]++|<(?![a-zA-Z!?/]))++)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -63,7 +70,33 @@ class Token:
     labelled: bool
 
 
-def tokens(page: str, by_name: bool = True) -> list[Token]:
+@dataclass
+class Names:
+    """What the words of class, id and role say: negative for boilerplate, positive for content.
+
+    The fixed list is where learning begins, ``PRIOR`` elements of each of its words outside
+    content; labelled pages count on from there.  Neutral words say nothing.
+    """
+
+    inside: Counter = field(default_factory=Counter)
+    outside: Counter = field(default_factory=Counter)
+
+    def word(self, word: str) -> float:
+        good, bad = self.inside[word] + 1.0, self.outside[word] + 1.0 + (PRIOR if word in _LISTED else 0)
+        known = word in _LISTED or self.inside[word] + self.outside[word] >= PRIOR
+        return math.log(good / bad) if known else 0.0 if word in _NEUTRAL else UNKNOWN
+
+    def worth(self, parts: set[str]) -> float:
+        return sum(self.word(p) for p in parts)
+
+
+# Pages' worth of belief in the fixed list, and what a word that was hardly met speaks for content.
+PRIOR = 8
+UNKNOWN = math.log(PRIOR + 1)
+_LISTED, _NEUTRAL = frozenset(NAMES), frozenset(NEUTRAL)
+
+
+def tokens(page: str, by_name: bool = True, names: Names | None = None) -> list[Token]:
     """The tokens of a page in order; comments, scripts, styles and the like are not among them.
 
     Open elements are tracked as browsers do for the cases that occur: void elements never
@@ -73,6 +106,7 @@ def tokens(page: str, by_name: bool = True) -> list[Token]:
     With ``by_name`` the class, id or role of an element can make it boilerplate.  That does not
     reach into an article or main element that it holds, unless it stands in one itself.
     """
+    names = names or Names()
     out: list[Token] = []
     stack: list[tuple[str, str, bool, bool, bool]] = []  # name, section, boilerplate, labelled, boilerplate by element
     block = 0
@@ -80,8 +114,6 @@ def tokens(page: str, by_name: bool = True) -> list[Token]:
         section, skipped, labelled = stack[-1][1:4] if stack else ("", False, False)
         if m["text"] is not None:
             text = html.unescape(m["text"])
-            if out and not out[-1].tag and out[-1].block == block and out[-1].section == section:
-                text = out.pop().text + text
             out.append(Token("", text, len(text.split()), section, skipped, block, labelled))
             continue
         if m["name"] is None:
@@ -111,7 +143,8 @@ def tokens(page: str, by_name: bool = True) -> list[Token]:
         sure = sure or name in BOILERPLATE or (name == "header" and not labelled)
         if name in CONTENT and not labelled:
             skipped = sure
-        aside = sure or by_name and bool(parts & set(NAMES)) and name not in ("html", "body", *CONTENT)
+        # An article inside content may be a comment; the outermost one is the content.
+        aside = sure or by_name and name not in ("html", "body") and (labelled or name not in CONTENT) and names.worth(parts) < 0
         key = f"{name}.{'.'.join(sorted(parts))}" if parts else name
         if name in SECTIONS:
             section = key
@@ -127,6 +160,7 @@ class Weights:
 
     words: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
+    names: Names = field(default_factory=Names)
     other_word: float = 0.6
     other_tag: float = 0.15
     left_out_tag: float = 1.0
@@ -148,9 +182,10 @@ def learned(pages: list[str]) -> Weights:
     """
     words, good_words, tags, good_tags = Counter(), Counter(), Counter(), Counter()
     runs: list[int] = []
+    names = learned_names(pages)
     for page in pages:
         run = 0
-        for t in tokens(page):
+        for t in tokens(page, names=names):
             good = t.labelled and not t.skipped
             if t.tag:
                 tags[t.section] += 1
@@ -165,7 +200,24 @@ def learned(pages: list[str]) -> Weights:
     far = max(10, runs[int(0.99 * (len(runs) - 1))]) if runs else 10
     worth = {s: (good_words[s] + 0.6) / (n + 1) for s, n in words.items()}
     cost = {s: 0.1 + far * ((n - good_tags[s] + 0.05) / (n + 1)) ** 2 for s, n in tags.items()}
-    return Weights(worth, cost)
+    return Weights(worth, cost, names)
+
+
+def learned_names(pages: list[str]) -> Names:
+    """For each word of class names the pages that use it inside labelled content, and outside.
+
+    What stands inside content by its element, such as an aside there, counts as outside.
+    """
+    names = Names()
+    for page in pages:
+        met: dict[str, set[bool]] = {}
+        for t in tokens(page, by_name=False):
+            for word in t.tag.split(".")[1:]:
+                met.setdefault(word, set()).add(t.labelled and not t.skipped)
+        for word, places in met.items():
+            names.inside[word] += True in places
+            names.outside[word] += False in places
+    return names
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -183,7 +235,7 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str, weights: Weights) -> str:
     """The blocks of the best run, one to a line; names do not count where they would leave no word."""
-    return run_text(tokens(page), weights) or run_text(tokens(page, by_name=False), weights)
+    return run_text(tokens(page, names=weights.names), weights) or run_text(tokens(page, by_name=False), weights)
 
 
 def run_text(row: list[Token], weights: Weights) -> str:
@@ -191,8 +243,9 @@ def run_text(row: list[Token], weights: Weights) -> str:
     # The run begins and ends at words; the rest of their blocks belongs to it.
     while 0 < first < last and row[first - 1].block == row[first].block and not row[first - 1].skipped:
         first -= 1
+    chosen = _between(row, first, last)
     blocks: dict[int, list[str]] = {}
-    for t in row[first:last]:
+    for t in (row[k] for k in chosen):
         if t.tag in ("br", "wbr") and not t.skipped:
             blocks.setdefault(t.block, []).append(" " if t.tag == "br" else "")
         elif not t.tag and not t.skipped:
@@ -201,6 +254,25 @@ def run_text(row: list[Token], weights: Weights) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def _between(row: list[Token], first: int, last: int) -> list[int]:
+    """The places of a run, with a heading right before labelled content and without what stands between two such parts."""
+    labelled = [k for k in range(first, last) if row[k].labelled and not row[k].skipped]
+    if not labelled:
+        return list(range(first, last))
+    inner = range(labelled[0], labelled[-1] + 1)
+    chosen = [k for k in range(first, last) if row[k].labelled or k not in inner]
+    # Back over tags and white space to the end tag of a heading, and on to its start.
+    k = end = first - 1
+    while k >= 0 and (row[k].tag or not row[k].words) and row[k].tag != "/h1":
+        k -= 1
+    if k >= 0 and row[k].tag == "/h1" and not row[k].skipped:
+        while k >= 0 and row[k].tag.split(".")[0] != "h1":
+            k -= 1
+        if k >= 0:
+            chosen = [*range(k, end + 1), *chosen]
+    return chosen
+
+
 def page_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = SAMPLE_PAGES) -> Weights:
     """Weights from about ``most`` labelled pages, drawn by the hashes of their ids."""
     labelled = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.col("html").rlike("(?i)<(article|main)\\b"))
