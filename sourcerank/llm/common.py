@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -115,8 +116,12 @@ def held(key: Hashable, make: Callable[[], object]) -> object:
 
 
 def let_go() -> None:
-    """Free what an earlier operator left in this worker process."""
+    """Free what an earlier operator left in this worker process, and give free memory back to the system."""
     if _held:
         _held.clear()
         gc.collect()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass

@@ -34,6 +34,8 @@ from ..session import ship_if_small
 from . import common, words
 from .components import components
 
+# Bytes of text whose sets a task holds at once.
+SET_BYTES = 1 << 18
 # The n-gram order is cut into 2^PART_BITS parts whose overlaps are counted apart.
 PART_BITS = 6
 _ODD = np.random.default_rng(5).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,7 +90,7 @@ def set_slices(column: pa.Array, width: int) -> Iterator[tuple[int, int, list[np
     Fewer words than ``width`` are one n-gram.
     """
     data, offsets = common.bytes_of(column)
-    for a, b in common.slices(offsets):
+    for a, b in common.slices(offsets, SET_BYTES):
         lower = words.LOWER[data[offsets[a] : offsets[b]]]
         starts, ends, first = words.split(lower, offsets[a : b + 1] - offsets[a], words.NOT_SPACE)
         hashes = words.range_hashes(words.running(lower), starts, ends)
