@@ -55,7 +55,7 @@ def _completed(scores: DataFrame, queries: DataFrame, pool: DataFrame, size: int
     Stored rows are trimmed to the best ``size`` of each sign and to those in the pool.
     """
     stored = scores.select("query_uid", "uid", "score").join(
-        F.broadcast(pool.select("uid", F.lit(True).alias("inside"))), "uid", "left"  # `size` uids
+        ship_if_small(pool.select("uid", F.lit(True).alias("inside")), 48), "uid", "left"  # `size` uids, more each round
     )
     kind = F.when(F.col("inside"), "pool").when(F.col("score") > 0, "above").otherwise("below")
     w = W.partitionBy("query_uid", "kind").orderBy(F.col("score").desc(), "uid")

@@ -287,6 +287,37 @@ def stream_completed_uids(t):
     return finished(jobs.start(done, f"{base}/out", f"{base}/ckpt"), t, f"{base}/out").select("uid")
 
 
+@query(
+    "stream_checkpoint_evaluations",
+    """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS checkpoint, ts FROM events WHERE event_type = 'click'), e AS (SELECT CAST(user_id AS VARCHAR) AS checkpoint, ts, value FROM events WHERE event_type = 'purchase')
+SELECT s.checkpoint, epoch_us(s.ts) AS saved_at, epoch_us(e.ts) AS evaluated_at, round(value, 6) AS score FROM s LEFT JOIN e ON e.checkpoint = s.checkpoint AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 6 HOUR""",
+)
+def stream_checkpoint_evaluations(t):
+    """Clicks as saved checkpoints, purchases of the same user within six hours as their evaluations."""
+    base = scratch(t)
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    log = t.events.select(F.col("user_id").cast("string").alias("checkpoint"), F.timestamp_micros(micros).alias("at"), "event_type", "value")
+    schemas = {"saved": "checkpoint string, saved_at timestamp", "evaluated": "checkpoint string, evaluated_at timestamp, score double"}
+
+    def add(rows, days_later):
+        """Rows to both streams; a marker of each moves the time on."""
+        moved = rows.withColumn("at", F.col("at") + F.make_dt_interval(F.lit(days_later)))
+        name = F.col("checkpoint") if not days_later else F.concat(F.lit("marker "), F.col("event_type"))
+        moved.filter("event_type = 'click'").select(name.alias("checkpoint"), F.col("at").alias("saved_at")).write.mode("append").parquet(f"{base}/saved")
+        moved.filter("event_type = 'purchase'").select(name.alias("checkpoint"), F.col("at").alias("evaluated_at"), F.col("value").alias("score")).write.mode("append").parquet(f"{base}/evaluated")
+
+    add(log, 0)
+    last = log.groupBy("event_type").agg(F.max("at").alias("at"), F.lit("").alias("checkpoint"), F.lit(0.0).alias("value"))
+    for days in (0, 30, 60):
+        if days:
+            add(last, days)
+        saved, evaluated = (jobs.parquet_stream(t.spark, f"{base}/{n}", T._parse_datatype_string(c)) for n, c in schemas.items())
+        joined = jobs.checkpoint_evaluations(saved, evaluated, "6 HOURS", "1 hour")
+        jobs.start(joined, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    found = t.spark.read.parquet(f"{base}/out").filter("checkpoint NOT LIKE 'marker%'")
+    return found.select("checkpoint", F.unix_micros("saved_at").alias("saved_at"), F.unix_micros("evaluated_at").alias("evaluated_at"), F.round("score", 6).alias("score"))
+
+
 @query(
     "stream_checkpoint_accuracy",
     f"SELECT step, input AS hop_depth, count(*) AS n, round(avg(CAST(is_correct AS INT)), 6) AS accuracy FROM ({fr.EVAL_SQL}) GROUP BY ALL",

@@ -33,6 +33,20 @@ def completed_scores(partials: DataFrame, delay: str | None = None, ts: str = "t
     return partials.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["uid"])
 
 
+def checkpoint_evaluations(saved: DataFrame, evaluated: DataFrame, within: str, delay: str) -> DataFrame:
+    """(checkpoint, saved_at, evaluated_at, score): each saved checkpoint with its evaluations.
+
+    Two streams: ``saved`` (checkpoint, saved_at) and ``evaluated`` (checkpoint, evaluated_at,
+    score).  An evaluation counts if it comes at most ``within`` after the checkpoint was saved.
+    A checkpoint without one is handed on with nulls once both streams have passed that time by
+    ``delay``, so it is reported late or missing exactly once; state goes with it.
+    """
+    left = saved.select("checkpoint", "saved_at").withWatermark("saved_at", delay)
+    right = evaluated.select(F.col("checkpoint").alias("of"), "evaluated_at", "score").withWatermark("evaluated_at", delay)
+    meets = F.expr(f"checkpoint = of AND evaluated_at >= saved_at AND evaluated_at <= saved_at + INTERVAL {within}")
+    return left.join(right, meets, "left_outer").select("checkpoint", "saved_at", "evaluated_at", "score")
+
+
 def accuracy_by_checkpoint(results: DataFrame) -> DataFrame:
     """Accuracy per (step, depth), updated as evaluation files land."""
     return results.groupBy("step", "hop_depth").agg(
