@@ -30,6 +30,8 @@ from .subwords import Encoder, joined, split_words
 
 # Bytes of text in one stored block; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
+# Bytes of text whose tokens are held at once, some 200 bytes for each.
+TOKEN_BYTES = 1 << 19
 
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_group array<long>, b_group array<long>"
 BLOCK = "part int, seq int, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, hashes array<string>, pair_a array<int>, pair_b array<int>, pair_n array<long>, low binary, high binary"
@@ -217,7 +219,7 @@ def alignments(df: DataFrame, a_path: str, b_path: str) -> DataFrame:
         both = aligner(a_path, b_path)
         for batch in batches:
             _, offsets = common.bytes_of(batch.column(1))
-            for first, last in common.slices(offsets):
+            for first, last in common.slices(offsets, TOKEN_BYTES):
                 t = both.tokens(batch.column(1).slice(first, last - first).to_pylist())
                 groups = _group_counts(t)
                 before = np.cumsum(groups) - groups
@@ -257,7 +259,7 @@ def blocks(df: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYT
 
         for batch in batches:
             _, offsets = common.bytes_of(batch.column(1))
-            for first, last in common.slices(offsets):
+            for first, last in common.slices(offsets, TOKEN_BYTES):
                 t = both.tokens(batch.column(1).slice(first, last - first).to_pylist())
                 a_at, b_at = overlaps(t["a_ends"], t["b_ends"])
                 said, group_bytes = both.told(t)
@@ -274,6 +276,7 @@ def blocks(df: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYT
                 size += int(offsets[last] - offsets[first])
                 if size >= block_bytes:
                     yield block()
+                    common.trim()
                     docs, hashes, counts, keys, seq, size = [], [], {c: [] for c in _COUNTS}, [], seq + 1, 0
         if docs:
             yield block()
@@ -319,6 +322,7 @@ def scored(df: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYT
     columns = ["doc_ids", *_COUNTS, "hashes", "low", "high", "value"]
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()  # the tokenizers of the first pass
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k] for c in columns}
