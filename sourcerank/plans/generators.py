@@ -130,6 +130,41 @@ def composed_prose(t):
     )
 
 
+def draw_sql(seed: str, n: int) -> str:
+    """The hashed draw of ``n`` options for a uid, from 1."""
+    key = f"'{seed}:' || uid"
+    return f"{HASH.format(key)} % {n} + 1"
+
+
+def pick_sql(options, seed: str) -> str:
+    return f"[{', '.join(map(lit, options))}][CAST({draw_sql(seed, len(options))} AS INTEGER)]"
+
+
+def sections_sql(options, seed: str) -> str:
+    """Two sections with the least hashes, as (hash, text)."""
+    cells = ", ".join(f"{{'h': md5('{seed}{i}:' || uid), 't': {lit(o)}}}" for i, o in enumerate(options))
+    return f"list_sort([{cells}])[1:2]"
+
+
+PROSE_WIDTHS = [b[1] - b[0] + 1 for b in gen.PROSE_BANDS]
+PROSE_SQL = f"""WITH d AS (SELECT uid, func, constant FROM ({fr.DOCS_SQL})),
+x AS (SELECT uid, i, CAST(({draw_sql("prose-band", len(PROSE_WIDTHS))} - 1 + i) % {len(PROSE_WIDTHS)} + 1 AS INTEGER) AS b FROM d, (SELECT unnest(range(0, 65)) AS i)),
+v AS (SELECT uid, i, {[b[0] for b in gen.PROSE_BANDS]}[b] + {HASH.format("'prose:' || uid || ':' || i")} % {PROSE_WIDTHS}[b] AS v FROM x),
+k AS (SELECT uid, v, min(i) AS i FROM v WHERE v NOT BETWEEN 1 AND 100 GROUP BY uid, v),
+a AS (SELECT uid, list(v ORDER BY i) AS args FROM k GROUP BY uid),
+t AS (SELECT uid, {pick_sql(gen.TITLES, "prose-t")} AS title, {pick_sql(gen.DEFINITIONS, "prose-d")} AS definition,
+  list_sort(list_concat({sections_sql(gen.CONCRETE_SECTIONS, "prose-c")}, {sections_sql(gen.ABSTRACT_SECTIONS, "prose-a")})) AS sections FROM d),
+w AS (SELECT uid, array_to_string(list_concat([title, definition], list_transform(sections, lambda s: s.t)), chr(10) || chr(10)) || chr(10) AS text FROM t)
+SELECT uid, md5(replace(replace(replace(replace(text, '{{f}}', func), '{{c}}', CAST(constant AS VARCHAR)), '{{a0}}', CAST(args[1] AS VARCHAR)), '{{a1}}', CAST(args[2] AS VARCHAR))) AS digest
+FROM w JOIN d USING (uid) JOIN a USING (uid)"""
+
+
+@query("composed_prose_texts", PROSE_SQL)
+def composed_prose_texts(t):
+    """Whole texts: titles, definitions, sections in hashed order, arguments filled in."""
+    return gen.composed_prose(fr.docs(t).select("uid", "func", "constant"), 4).select("uid", F.md5("text").alias("digest"))
+
+
 BANDS = gen.WIDE_BANDS
 ARGS = f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS uid FROM documents), s AS (SELECT uid, {HASH.format(chr(39) + '42-band:' + chr(39) + ' || uid')} % {len(BANDS)} AS f FROM d),
 x AS (SELECT uid, i, CAST((f + i) % {len(BANDS)} + 1 AS INTEGER) AS b FROM s, (SELECT unnest(range(0, 33)) AS i)),
