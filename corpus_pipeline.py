@@ -1,11 +1,13 @@
 """A corpus from raw documents to packed sequences, in stages that each take whole tables.
 
 Every stage but the last returns the columns of ``documents``; each result is written as Parquet
-and read again by the next stage.
+and read again by the next stage.  The tables that a stage stored for itself go when the next one
+begins, unless its documents still read them.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from fractions import Fraction
 
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcerank.llm import decontaminate, jaccard_join, language_id, packing, suffix_dedup
-from sourcerank.llm.common import stored
+from sourcerank.llm.common import noted, remove, stored
 from sourcerank.llm.subwords import tokenizer_file
 from sourcerank.session import ship_if_small
 
@@ -21,6 +23,28 @@ from sourcerank.session import ship_if_small
 LEAST_SCORE = 0.3
 
 
+# Folders that the stage before stored for itself.
+_left_behind: list[str] = []
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that clears away what the one before stored, once its result was written."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        if _left_behind and not any(folder.split(":")[-1].lstrip("/") in f for folder in _left_behind for f in read):
+            remove(spark, _left_behind)
+            _left_behind.clear()
+        with noted() as folders:
+            out = work(spark, docs, sf_dir)
+        _left_behind.extend(folders)
+        return out
+
+    return run_stage
+
+
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose language is unsure, go; a null lang takes the prediction."""
     sample = language_id.training_sample(docs)
@@ -30,6 +54,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
+@_stage
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word n-grams at 0.8 the document with the least id stays.
 
@@ -45,6 +70,7 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
 
 
+@_stage
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that occur again are cut out; documents that consist of them go."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
@@ -54,11 +80,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@_stage
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words a twentieth or more lie in windows of benchmark items go."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 ids."""
     return packing.packed(docs, tokenizer_file(), end_id=2, size=1024)
