@@ -75,5 +75,5 @@ def test_stages_on_odd_rows(spark, docs, no_docs):
 
 def test_registered():
     names = entry.queries()
-    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 10 and "pipeline" in names
+    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 13 and "pipeline" in names
     assert "pipeline" not in entry.oracle_sql()
