@@ -31,7 +31,7 @@ from .subwords import Encoder, joined, split_words
 # Bytes of text in one stored block; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
 # Bytes of text whose tokens are held at once, some 200 bytes for each.
-TOKEN_BYTES = 1 << 19
+TOKEN_BYTES = 1 << 20
 
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_group array<long>, b_group array<long>"
 BLOCK = "part int, seq int, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, hashes array<string>, pair_a array<int>, pair_b array<int>, pair_n array<long>, low binary, high binary"
