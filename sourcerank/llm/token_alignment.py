@@ -71,9 +71,13 @@ class Pieces:
             piece = self.model.id_to_piece(i)
             self.spelled.append(bytes([int(piece[3:-1], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
         self.by_words = not any(b" " in s.lstrip(b" ") for s in self.spelled)
+        # A single space that ends a text is cut off with an empty word behind it.
+        self.last_space = self.model.encode("a ")[len(self.model.encode("a")) :]
 
-    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _whole(self, texts: list[str], empty: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
         coded = self.model.encode(texts, num_threads=1)
+        if empty is not None:
+            coded = [c if t else empty for c, t in zip(coded, texts)]
         counts = np.array([len(c) for c in coded], np.int64)
         return np.fromiter((i for c in coded for i in c), np.int64, int(counts.sum())), counts
 
@@ -83,7 +87,7 @@ class Pieces:
             return self._whole(texts)
         # The model's own space takes the place of the one that was cut or put first.
         heads, which, rows, words = split_words([" " + t for t in texts])
-        ids, sizes = self._whole(words.to_pylist())
+        ids, sizes = self._whole(words.to_pylist(), self.last_space)
         head_ids, head_sizes = self._whole([h[1:] for h in heads])
         ends = np.cumsum(head_sizes)
         raw = head_ids.astype("<u4").tobytes()

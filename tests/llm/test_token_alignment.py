@@ -90,6 +90,12 @@ def test_groups_and_links_of_odd_texts(spark, both):
     assert got == expected(both, rows)
 
 
+def test_a_space_at_the_end_is_a_token(spark, both):
+    rows = [(k, t) for k, t in enumerate(["word ", "two words ", "ends.\n ", "12 ", "é ", "two spaces  ", "line\n", " both "])]
+    got = sorted((tuple(r) for r in ta.scored(spark.createDataFrame(rows, "doc_id long, text string"), A, B).collect()), key=repr)
+    assert got == expected(both, rows) and all(r[1] for r in got)
+
+
 def test_whole_table(spark, both):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 2000").select("doc_id", "text").limit(60)
     rows = [tuple(r) for r in table.collect()]
