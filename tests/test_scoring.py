@@ -1,6 +1,8 @@
 """BM25, vectors, ranking and metrics on hand-made frames."""
 
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -80,6 +82,25 @@ def test_bm25_in_place_and_join_agree(spark):
     assert best == rows(ranking.top_k(a, 3), "query_uid", "uid", "rank")
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_a_grid_of_cells_adds_pairs_in_place(spark, monkeypatch, small):
+    if small:
+        for name in ("CELL_TOKENS", "CELL_WEIGHTS", "CELL_PAIRS", "_BLOCK_CELLS", "_SLICE_TOKENS"):
+            monkeypatch.setattr(bm25, name, 7)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("a b c d e f g <B01> z".split(), k=rng.randint(0, 12))) for _ in range(60)]
+    ds = spark.createDataFrame([*enumerate(texts), (70, None)], "id int, text string").selectExpr("concat('d', id) as uid", "text").repartition(3)
+    qs = queries(spark, "a b a", "c <B01>", "", "g", "a b", "unknown")
+    joined = bm25.bm25_scores(ds, qs, limit_bytes=1)
+    assert rows(joined) == rows(bm25.bm25_scores(ds, qs)) and joined.count()
+    # Rows of one uid are one document for each length.
+    again = ds.union(ds.filter("uid in ('d3', 'd4')")).union(ds.limit(2).selectExpr("cast(null as string)", "text"))
+    found = bm25.bm25_scores(again, qs, limit_bytes=1)
+    assert found.count() == found.select("query_uid", "uid").distinct().count()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"keys=\[query_uid#\d+, uid#\d+\]", plan)
+
+
 def test_zero_score_documents_fill_the_top(spark, docs):
     qs = queries(spark, "cat", "", "nothing")
     scores = bm25.bm25_scores(docs, qs)
