@@ -22,13 +22,18 @@ A search reads a query's terms from the one that can add most to the one that ca
 
 Everything left out is proven to score below the threshold, less what rounding may move, so the
 best ``k`` are exact.  Terms with a negative weight bound nothing and come last; a query with
-fewer than ``k`` positive completed scores has no threshold and is read whole.
+fewer than ``k`` positive completed scores has no threshold and is read whole.  A query without
+a single positive weight is known to have none: its terms meet the blocks in a grid of cells at
+once, and its scores are neither stored between steps nor shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -151,7 +156,42 @@ class Search:
 
     def scores(self) -> DataFrame:
         """(query_uid, uid, score) of all documents that may be among the best ``k``."""
-        terms = self.terms
+        gains = self.terms.groupBy("query_uid").agg(F.max("gain").alias("gain"))
+        gains = materialize(gains)
+        lost = gains.filter("gain <= 0").select("query_uid")
+        if not lost.limit(1).count():
+            return self._searched(self.terms)
+        whole = self._whole(self.terms.join(ship_if_small(lost, 48), "query_uid", "left_semi"))
+        others = gains.filter("gain > 0").select("query_uid")
+        if not others.limit(1).count():
+            return whole
+        return whole.unionByName(self._searched(materialize(self.terms.join(ship_if_small(others, 48), "query_uid", "left_semi"))))
+
+    def _whole(self, terms: DataFrame) -> DataFrame:
+        """The scores of every document that shares a term; a document of one block is one row."""
+        self.reads["whole"] = self._blocks(terms).select("query_uid", "term", "block", "n")
+        size = self.index.blocks.agg(F.count_distinct("block").alias("blocks"), F.sum("n").alias("n")).first()
+
+        def postings(table: pa.Table):
+            docs = table.column("docs").combine_chunks()
+            many = np.diff(docs.offsets.to_numpy())
+            entries = docs.flatten()
+            uids = pc.dictionary_encode(entries.field("uid"), null_encoding="encode")
+            block = np.repeat(table.column("block").to_numpy(), many)
+            both = np.lexsort((uids.indices.to_numpy(), block))
+            doc, block = uids.indices.to_numpy()[both], block[both]
+            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])])
+            words = table.column("term").combine_chunks().dictionary_encode()
+            term = np.repeat(words.indices.to_numpy(), many)[both]
+            place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc))))
+            return uids.dictionary.take(pa.array(doc[first])), place, words.dictionary, term, entries.field("x").to_numpy(zero_copy_only=False)[both]
+
+        rows = self.index.blocks.select("term", "block", "docs")
+        n_docs = (size["blocks"] or 0) * BLOCK_DOCS
+        found = bm25.scored_in_cells(rows, F.col("block"), terms.select("term", "query_uid", "w"), n_docs, size["n"] or 0, postings)
+        return found.withColumn("score", F.round("score", self.decimals)).filter("score <> 0")
+
+    def _searched(self, terms: DataFrame) -> DataFrame:
         seed = materialize(self._partials("seed", self._blocks(terms.filter("seed"))))
         theta = materialize(self._completed("seed completed", seed, terms.filter("not seed")))
         # Terms that the unread ones before them, themselves included, cannot do without.

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,45 +34,123 @@ def top_k_complete(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: in
     """Best ``k`` documents per query where unstored pairs score 0, whatever the sign of stored ones.
 
     Stored positives come first, then unstored documents by uid, then stored negatives.  The
-    unstored ones are looked for among the first uids of the corpus: 4k of them, and sixteen
-    times as many for the queries that need more (those whose negatives fill the first).  A
-    query's rows in one task are at most that many; results are written, since each round reads
-    what the last one left open.
-    """
-    todo, done, size = queries.select("query_uid"), None, 4 * k
-    while True:
-        pool = docs.select("uid").orderBy("uid").limit(size)
-        rows = materialize(_completed(scores, todo, pool, size, k))
-        whole = rows.filter("whole").select("query_uid", F.inline("best"))
-        done = whole if done is None else done.unionByName(whole)
-        todo = rows.filter("not whole").select("query_uid")
-        if not todo.limit(1).count():
-            return done
-        scores = scores.join(todo, "query_uid", "left_semi")
-        size *= 16
-
-
-def _completed(scores: DataFrame, queries: DataFrame, pool: DataFrame, size: int, k: int) -> DataFrame:
-    """(query_uid, best, whole): the best ``k`` as far as the pool of unstored documents reaches.
-
-    Stored rows are trimmed to the best ``size`` of each sign and to those in the pool.
+    unstored ones are looked for among the first 4k uids of the corpus.  For the queries that
+    need more (those whose negatives fill the first) each document notes in bits which of them
+    store it, and the first documents with a free bit are taken.  ``scores`` is read once, or
+    twice where such queries are; tasks hand on the best rows they read, never all pairs.
     """
+    size = 4 * k
+    pool = docs.select("uid").orderBy("uid").limit(size)
+    first = pool.agg(F.sort_array(F.collect_list("uid")).alias("u"))
+    lists = _held(scores, pool, size)
+    rows = queries.select("query_uid").join(lists, "query_uid", "left").select("query_uid", F.coalesce("held", _no_rows()).alias("held"), first.scalar().alias("pool"))
+    # Negatives may only follow once no unstored document is left out.
+    reached = (F.size("pool") < size) | ((F.size("best") == k) & (F.element_at("best", -1)["score"] >= 0))
+    rows = _ranked(rows, k).withColumn("whole", F.coalesce(reached, F.lit(False)))
+    rows = materialize(rows.select("query_uid", "best", "whole", F.when(~F.col("whole"), F.col("held")).alias("held")))
+    done = rows.filter("whole").select("query_uid", F.inline("best"))
+    left = rows.filter("not whole").select("query_uid", "held")
+    if not left.limit(1).count():
+        return done
+    absent = _absent(scores, left.select("query_uid").distinct(), docs, k)
+    absent = absent.groupBy("query_uid").agg(F.collect_list("uid").alias("pool"))
+    more = _copied(left, docs).join(absent, "query_uid", "left").withColumn("pool", F.coalesce("pool", F.array().cast("array<string>")))
+    return done.unionByName(materialize(_ranked(more, k).select("query_uid", F.inline("best"))))
+
+
+def _no_rows():
+    return F.array().cast("array<struct<minus:double,uid:string,inside:boolean>>")
+
+
+def _held(scores: DataFrame, pool: DataFrame, size: int) -> DataFrame:
+    """(query_uid, held): the stored rows of each query in the pool, and its best ``size`` of each sign."""
     stored = scores.select("query_uid", "uid", "score").join(
-        ship_if_small(pool.select("uid", F.lit(True).alias("inside")), 48), "uid", "left"  # `size` uids, more each round
+        ship_if_small(pool.select("uid", F.lit(True).alias("inside")), 48), "uid", "left"  # 4k uids
     )
-    kind = F.when(F.col("inside"), "pool").when(F.col("score") > 0, "above").otherwise("below")
+    kind = F.when(F.col("inside"), 0).when(F.col("score") > 0, 1).otherwise(2)
+    stored = stored.select("query_uid", "uid", "score", kind.alias("kind")).mapInArrow(_best_of_task(size), "query_uid string, uid string, score double, kind int")
     w = W.partitionBy("query_uid", "kind").orderBy(F.col("score").desc(), "uid")
-    trimmed = stored.withColumn("kind", kind).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= size)
-    lists = trimmed.groupBy("query_uid").agg(F.collect_list(F.struct((-F.col("score")).alias("minus"), "uid")).alias("held"))
-    first = pool.agg(F.sort_array(F.collect_list("uid")).alias("u"))
-    none = F.array().cast("array<struct<minus:double,uid:string>>")
-    rows = queries.join(lists, "query_uid", "left").select("query_uid", F.coalesce("held", none).alias("held"), first.scalar().alias("pool"))
+    trimmed = stored.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= size)
+    row = F.struct((-F.col("score")).alias("minus"), "uid", (F.col("kind") == 0).alias("inside"))
+    return trimmed.groupBy("query_uid").agg(F.collect_list(row).alias("held"))
+
+
+def _best_of_task(size: int):
+    """Rows that may be among the best ``size`` of a query and kind: what a task holds is cut whenever it has grown."""
+
+    def cut(table: pa.Table) -> pa.Table:
+        queries = pc.dictionary_encode(table.column("query_uid").combine_chunks(), null_encoding="encode")
+        group = queries.indices.to_numpy().astype(np.int64) * 3 + table.column("kind").to_numpy()
+        minus = -table.column("score").to_numpy()
+
+        def places(order):
+            starts = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
+            many = np.diff(np.append(starts, len(order)))
+            return np.arange(len(order)) - np.repeat(starts, many), starts, many
+
+        order = np.lexsort((minus, group))
+        _, starts, many = places(order)
+        edge = minus[order][starts + np.minimum(many, size) - 1]
+        kept = np.empty(len(order), bool)
+        kept[order] = minus[order] <= np.repeat(edge, many)
+        table, group = table.filter(pa.array(kept)), group[kept]
+        if len(group) > size * len(starts):  # many ties: the first uids stay
+            table = table.append_column("g", pa.array(group))
+            order = pc.sort_indices(table, sort_keys=[("g", "ascending"), ("score", "descending"), ("uid", "ascending")], null_placement="at_start").to_numpy()
+            table = table.drop_columns(["g"]).take(pa.array(order[places(order)[0] < size]))
+        return table
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n, most = [], 0, 1 << 19
+        for batch in batches:
+            parts.append(batch)
+            n += batch.num_rows
+            if n > most:
+                table = cut(pa.Table.from_batches(parts))
+                parts, n = table.combine_chunks().to_batches(), table.num_rows
+                most = max(1 << 19, 2 * n)
+        if n:
+            yield from cut(pa.Table.from_batches(parts)).to_batches()
+
+    return run
+
+
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
+    """``best``: the first ``k`` of the stored rows and of the unstored uids of ``pool``."""
+    own = F.transform("held", lambda r: F.struct(r["minus"].alias("minus"), r["uid"].alias("uid")))
     absent = F.transform(F.array_except("pool", F.transform("held", lambda r: r["uid"])), lambda u: F.struct(F.lit(0.0).alias("minus"), u.alias("uid")))
-    order = F.slice(F.array_sort(F.concat("held", absent)), 1, k)
+    order = F.slice(F.array_sort(F.concat(own, absent)), 1, k)
     ranked = F.transform(order, lambda r, i: F.struct((i + 1).cast("int").alias("rank"), r["uid"].alias("uid"), (F.lit(0.0) - r["minus"]).alias("score")))
-    # Negatives may only follow once no unstored document is left out.
-    reached = (F.size("pool") < size) | ((F.size("best") == k) & (F.element_at("best", -1)["score"] >= 0))
-    return rows.select("query_uid", "pool", ranked.alias("best")).select("query_uid", "best", F.coalesce(reached, F.lit(False)).alias("whole"))
+    return rows.withColumn("best", ranked)
+
+
+def _absent(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_uid, uid): the first ``k`` uids without a stored score of each query."""
+    placed = sorted_positions(queries, [], ["query_uid"])
+    place = F.col("pos") - 1
+    placed = materialize(placed.select("query_uid", F.floor(place / 64).cast("int").alias("word"), (place % 64).cast("int").alias("bit")))
+    bits = F.bit_or(F.expr("shiftleft(1L, bit)"))
+    held = scores.select("query_uid", "uid").join(ship_if_small(placed, 64), "query_uid").groupBy("uid", "word").agg(bits.alias("held"))
+    every = docs.select("uid").distinct().crossJoin(F.broadcast(placed.groupBy("word").agg(bits.alias("all"))))
+    held = held.select(F.col("uid").alias("u"), F.col("word").alias("w"), "held")
+    open_ = every.join(held, F.col("uid").eqNullSafe(F.col("u")) & (F.col("word") == F.col("w")), "left")
+    open_ = open_.select("uid", "word", F.col("all").bitwiseAND(F.bitwise_not(F.coalesce("held", F.lit(0).cast("long")))).alias("free")).filter("free <> 0")
+    ones = F.expr("filter(sequence(0, 63), b -> shiftrightunsigned(free, b) % 2 <> 0)")
+    w = W.partitionBy("word", "bit").orderBy("uid")
+    best = open_.select("uid", "word", F.explode(ones).alias("bit")).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k)
+    return best.join(placed, ["word", "bit"]).select("query_uid", "uid")
+
+
+def _copied(left: DataFrame, docs: DataFrame) -> DataFrame:
+    """Held rows outside the first pool as often as the corpus has their uid, as it is for those inside."""
+    rows = left.withColumn("__row", F.monotonically_increasing_id())
+    rows = materialize(rows)
+    outside = rows.select(F.explode("held").alias("r")).filter("not r.inside").select("r.uid").distinct()
+    copies = docs.select("uid").join(ship_if_small(outside, 48), "uid", "left_semi").groupBy("uid").count().filter("count > 1")
+    extra = rows.select("__row", F.explode("held").alias("r")).filter("not r.inside").withColumn("uid", F.col("r.uid"))
+    extra = extra.join(copies, "uid").select("__row", F.explode(F.array_repeat("r", F.col("count").cast("int") - 1)).alias("r"))
+    extra = extra.groupBy("__row").agg(F.collect_list("r").alias("extra"))
+    return rows.join(extra, "__row", "left").select("query_uid", F.concat("held", F.coalesce("extra", _no_rows())).alias("held"))
 
 
 def ranked_with_meta(ranked: DataFrame, queries: DataFrame, docs: DataFrame, mates: str = "all", **rule) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import bm25, metrics, postings, ranking
 from ..operators import relevance as rel
-from ..session import shared_folder, ship_if_small
+from ..session import materialize, shared_folder, ship_if_small
 from . import frames as fr
 from .catalog import query
 
@@ -546,7 +546,7 @@ def top_k_negative_scores(t):
     tokens = bm25.tokenized(fr.texts(t))
     index = bm25.build_index(tokens)
     half = 2 * F.col("df") > bm25.corpus_stats(index).select("n_docs").scalar()
-    ds = only_terms(tokens, index.filter("term IS NOT NULL").filter(half))
+    ds = materialize(only_terms(tokens, index.filter("term IS NOT NULL").filter(half)))
     scores = bm25.bm25_scores(ds, fr.queries(t), keep=20)
     best = ranking.top_k_complete(scores, fr.queries(t), ds, 20)
     return best.select("query_uid", "uid", "score", F.col("rank").cast("bigint").alias("rank"))
@@ -572,7 +572,7 @@ def top_k_indexed_negative(t):
     tokens = bm25.tokenized(fr.texts(t))
     index = bm25.build_index(tokens)
     half = 2 * F.col("df") > bm25.corpus_stats(index).select("n_docs").scalar()
-    ds = only_terms(tokens, index.filter("term IS NOT NULL").filter(half))
+    ds = materialize(only_terms(tokens, index.filter("term IS NOT NULL").filter(half)))
     stored = postings.write_index(ds, shared_folder(t.spark, "index"))
     best = ranking.top_k_complete(postings.top_scores(stored, fr.queries(t), 20), fr.queries(t), ds, 20)
     return best.select("query_uid", "uid", "score", F.col("rank").cast("bigint").alias("rank"))

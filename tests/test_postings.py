@@ -48,6 +48,21 @@ def test_negative_weights(spark):
     assert same(ranking.top_k_complete(found, queries, docs, 5), ranking.top_k_complete(every, queries, docs, 5))
 
 
+def test_queries_without_a_gain_are_read_at_once(spark, monkeypatch):
+    for name in ("CELL_TOKENS", "CELL_PAIRS"):
+        monkeypatch.setattr(bm25, name, 20)
+    docs = spark.createDataFrame([(f"d{k % 50}", "a b a" if k % 3 else "b c") for k in range(54)] + [(None, "a"), ("z", None)], "uid string, text string")
+    queries = spark.createDataFrame([("q", "a b", ""), ("r", "b", ""), ("s", "c", "")], "query_uid string, prompt string, completion string")
+    index = postings.write_index(docs, shared_folder(spark, "index"), block_docs=4)
+    search = postings.Search(index, queries, 5)
+    found = search.scores()
+    lost = {r[0] for r in search.terms.groupBy("query_uid").agg(F.max("gain").alias("g")).filter("g <= 0").collect()}
+    assert "r" in lost and "whole" in search.reads
+    old = search._searched(search.terms)
+    few = lambda df: sorted(map(tuple, df.filter(F.col("query_uid").isin(*lost)).collect()), key=repr)
+    assert few(found) == few(old) and len(few(found)) > 50
+
+
 def test_block_maxima(spark, corpus):
     docs, _ = corpus
     index = postings.write_index(docs, shared_folder(spark, "index"), block_docs=16)
