@@ -31,7 +31,7 @@ CELL_TOKENS = 1 << 20
 CELL_WEIGHTS = 1 << 19
 CELL_PAIRS = 1 << 20
 # Tokens of one Arrow batch that are looked up at once, and numbers in a dense block.
-_SLICE_TOKENS = 1 << 20
+_SLICE_TOKENS = 1 << 18
 _BLOCK_CELLS = 4 << 20
 
 
