@@ -5,6 +5,8 @@ as byte ranges and read twice: the first scan counts the lines that begin in eac
 running sum over the ranges of a file gives each its first number, and the second scan hands
 out lines numbered from there.  Ranges of one file are read by different tasks both times;
 between the scans only one row for each range is kept, in a table in the shared folder.
+A task takes many small ranges, so that the number of tasks does not grow with them, and the
+second scan reads ranges that follow each other as one.
 
 A line ends with a line feed; a carriage return before it is cut off.  The last line needs
 no end.  Bytes that are not UTF-8 become replacement characters.  Files whose name ends in
@@ -28,6 +30,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..session import shared_folder
 
 SPLIT_BYTES = 64 << 20
+# Ranges of fewer bytes are dealt to tasks together: so many tasks, but no share below the least.
+_TASKS = 512
+_LEAST_SHARE = 256 << 10
 _CHUNK = 1 << 20
 _ROWS = 8192
 _PACKED = {".gz": "gzip", ".bz2": "bz2", ".zst": "zstd"}
@@ -48,6 +53,42 @@ class Split(InputPartition):
         super().__init__(self.file)
 
 
+@dataclass
+class Share(InputPartition):
+    """The ranges that one task reads, one after the other."""
+
+    splits: list[Split]
+
+    def __post_init__(self):
+        super().__init__(self.splits[0].file)
+
+
+def shares(splits: list[Split], tasks: int = _TASKS, least: int = _LEAST_SHARE) -> list[Share]:
+    """Ranges dealt to tasks in their order: about ``tasks`` of them, none above ``SPLIT_BYTES`` unless one range is."""
+    total = sum(s.stop - s.start for s in splits)
+    most = min(SPLIT_BYTES, max(least, total // tasks))
+    dealt: list[list[Split]] = []
+    held = most
+    for s in splits:
+        if held + s.stop - s.start > most:
+            dealt.append([])
+            held = 0
+        dealt[-1].append(s)
+        held += s.stop - s.start
+    return [Share(d) for d in dealt]
+
+
+def followed(splits: list[Split]) -> list[Split]:
+    """Numbered ranges, those that begin where the one before ends as one."""
+    out: list[Split] = []
+    for s in splits:
+        if out and out[-1].file == s.file and out[-1].stop == s.start:
+            out[-1] = Split(s.file, out[-1].start, s.stop, out[-1].first)
+        else:
+            out.append(s)
+    return out
+
+
 def located(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and path; a path without a scheme is local."""
     if "://" in path or path.startswith("file:"):
@@ -83,8 +124,11 @@ def _pieces(system: pafs.FileSystem, split: Split) -> Iterator[bytes]:
     with source as f:
         if split.start:
             f.seek(split.start - 1)
-        while piece := f.read(_CHUNK):
+        # A short range is not read far beyond its end; a line that goes on is read in growing pieces.
+        size = _CHUNK if codec else min(_CHUNK, split.stop - split.start + 1)
+        while piece := f.read(size):
             yield piece
+            size = min(_CHUNK, 2 * size)
 
 
 def split_lines(system: pafs.FileSystem, split: Split) -> Iterator[bytes]:
@@ -122,27 +166,29 @@ class LineReader(DataSourceReader):
         self.split_bytes = int(options.get("split_bytes", str(SPLIT_BYTES)))
         self.plan = options.get("plan")
 
-    def partitions(self) -> list[Split]:
+    def partitions(self) -> list[Share]:
         if self.plan is None:
-            return plan_splits(self.path, self.split_bytes, self.pattern) or [Split("", 0, 0)]
+            return shares(plan_splits(self.path, self.split_bytes, self.pattern)) or [Share([Split("", 0, 0)])]
         # One row for each range, written by the first scan.
         system, inner = located(self.plan)
-        rows = pq.read_table(inner, filesystem=system, use_threads=False).to_pylist()
-        splits = [Split(r["file"], r["start"], r["stop"], r["first"]) for r in rows if r["lines"]]
-        return splits or [Split("", 0, 0)]
+        table = pq.read_table(inner, filesystem=system, use_threads=False).sort_by([("file", "ascending"), ("start", "ascending")])
+        splits = [Split(*r) for r in zip(*(table.column(c).to_pylist() for c in ("file", "start", "stop", "first")))]
+        return [Share(followed(s.splits)) for s in shares(splits)] or [Share([Split("", 0, 0)])]
 
-    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
-        if not split.file:
-            return
+    def read(self, share: Share) -> Iterator[pa.RecordBatch]:
         system, _ = located(self.path)
-        lines = split_lines(system, split)
-        if self.plan is None:
-            n = sum(1 for _ in lines)
-            columns = [pa.array([split.file]), pa.array([split.start]), pa.array([split.stop]), pa.array([n])]
-            yield pa.RecordBatch.from_arrays(columns, ["file", "start", "stop", "lines"])
-            return
+        splits = [s for s in share.splits if s.file]
+        if self.plan is not None:
+            for split in splits:
+                yield from self._numbered(system, split)
+        elif splits:
+            counts = [sum(1 for _ in split_lines(system, s)) for s in splits]
+            columns = [pa.array([getattr(s, c) for s in splits]) for c in ("file", "start", "stop")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], ["file", "start", "stop", "lines"])
+
+    def _numbered(self, system: pafs.FileSystem, split: Split) -> Iterator[pa.RecordBatch]:
         number, held, size = split.first, [], 0
-        for line in lines:
+        for line in split_lines(system, split):
             held.append(line.decode("utf-8", "replace"))
             size += len(line)
             if len(held) >= _ROWS or size >= _CHUNK:

@@ -49,6 +49,29 @@ def test_records_and_rejects_keep_their_lines(spark, tmp_path):
     assert [(r["line"], r["line_no"]) for r in bad.collect()] == [("{oops", 3)]
 
 
+def test_small_ranges_share_tasks_and_are_not_read_far_beyond(spark, tmp_path):
+    data = b"".join(b"line %d\n" % k for k in range(30_000))
+    (tmp_path / "a.txt").write_bytes(data)
+    splits = line_source.plan_splits(str(tmp_path), 64)
+    assert len(splits) > 4000
+    reader = line_source.LineReader({"path": str(tmp_path), "split_bytes": "64"})
+    dealt = reader.partitions()
+    assert len(dealt) <= 4 and [s for share in dealt for s in share.splits] == splits
+    system, _ = line_source.located(str(tmp_path))
+    assert len(next(line_source._pieces(system, splits[7]))) <= 65
+    rows = line_source.numbered_lines(spark, str(tmp_path), 64).select("line_no", "line").collect()
+    assert sorted(map(tuple, rows)) == [(k + 1, f"line {k}") for k in range(30_000)]
+
+
+def test_shares_are_bounded_by_bytes_and_number():
+    splits = [line_source.Split(f, a, a + 10) for f in "ab" for a in range(0, 1000, 10)]
+    dealt = line_source.shares(splits, tasks=8, least=1)
+    assert 8 <= len(dealt) <= 10 and [s for d in dealt for s in d.splits] == splits
+    assert all(sum(s.stop - s.start for s in d.splits) <= 250 for d in dealt)
+    assert [(s.file, s.start, s.stop) for s in line_source.followed(splits)] == [("a", 0, 1000), ("b", 0, 1000)]
+    assert line_source.shares([]) == []
+
+
 def test_no_files(spark, tmp_path):
     assert line_source.numbered_lines(spark, str(tmp_path)).count() == 0
     with pytest.raises(Exception, match="absent"):
