@@ -7,7 +7,7 @@ random are md5 picks over (seed, row identity).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,6 +146,11 @@ def seed_documents(functions: DataFrame, narrative: bool = False) -> DataFrame:
     )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unused_letters() -> list[str]:
     used = set(tk.BASE_LETTERS + tk.WRAPPER_LETTERS)
     return [chr(c) for c in range(ord("A"), ord("Z") + 1) if chr(c) not in used]
@@ -176,7 +181,8 @@ def _inputs(n: int, random_inputs: bool, seed: object) -> Column:
             F.sequence(F.lit(lo), F.lit(hi)),
             lambda i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("func"), i.cast("string"))).alias("h"), i.alias("i")),
         )
-        return F.slice(F.transform(F.array_sort(keyed), lambda s: s["i"]), 1, take)
+        # sort_array compares without a lambda, and no field is null.
+        return F.transform(F.slice(F.sort_array(keyed), 1, take), lambda s: s["i"])
 
     if n > 200:
         raise ValueError(f"{n} random inputs asked for, there are 200")
@@ -194,7 +200,11 @@ def prompt_distractors(
 ) -> DataFrame:
     """Prompt-shaped documents for (func, constant) rows: functions x formats x inputs."""
     formats = ["returns", "output", "equal"] if fmt == "all" else [tx.PROMPT_ALIASES.get(fmt, fmt)]
-    rows = functions.select(
+    names = functions
+    if random_inputs:
+        # A hundred hashes and more a row: few small files must not leave them to few cores.
+        names = functions.repartition(2 * functions.sparkSession.sparkContext.defaultParallelism, "func")
+    rows = names.select(
         "*", F.explode(F.array(*[F.lit(f) for f in formats])).alias("prompt_format")
     ).withColumn("input", F.explode(_inputs(inputs, random_inputs, seed)))
     text = F.lit(None).cast("string")
@@ -287,31 +297,38 @@ def sampled_arguments(
     """
     lo, hi = EVAL_RANGE
     cols = [F.col(c) for c in key]
-    first = _draw(len(bands), *cols, seed=f"{seed}-band")
     los = F.array(*[F.lit(b[0]) for b in bands])
     widths = F.array(*[F.lit(b[1] - b[0] + 1) for b in bands])
 
-    def value(i: Column) -> Column:
+    def value(first: Column, i: Column) -> Column:
         band = F.pmod(first + i, F.lit(len(bands))).cast("int") + 1
         h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols], i.cast("string")))
         draw = F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint")
         return (F.element_at(los, band) + F.pmod(draw, F.element_at(widths, band))).cast("int")
 
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(16 * k + 32)), value)
-    kept = F.array_distinct(F.filter(drawn, lambda v: ~v.between(lo, hi)))
-    if with_zero:
-        kept = F.array_distinct(F.concat(F.array(F.lit(0)), kept))
+    def kept(first: Column, last: int) -> Column:
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: value(first, i))
+        usable = F.filter(drawn, lambda v: ~v.between(lo, hi))
+        return F.array_distinct(F.concat(F.array(F.lit(0)), usable) if with_zero else usable)
+
+    def first_k(first: Column, last: int, otherwise: Column) -> Column:
+        return _let(kept(first, last), lambda v: F.when(F.size(v) >= k, F.slice(v, 1, k)).otherwise(otherwise))
+
     short = F.raise_error(F.lit(f"fewer than {k} distinct arguments in the bands")).cast("array<int>")
-    return F.when(F.size(kept) >= k, F.slice(kept, 1, k)).otherwise(short)
+    # The first candidates nearly always do; the others are drawn where they do not.
+    start = _draw(len(bands), *cols, seed=f"{seed}-band")
+    return _let(start, lambda first: first_k(first, k + 4, first_k(first, 16 * k + 32, short)))
 
 
 def call_lines(func: Column, constant: Column, values: Column) -> Column:
     """Aligned calls with their return values, one per line, without a fence."""
     calls = F.transform(values, lambda v: F.concat(func, F.lit("("), v.cast("string"), F.lit(")")))
-    width = F.array_max(F.transform(calls, lambda c: F.length(c)))
-    return F.array_join(
-        F.transform(calls, lambda c: F.concat(F.rpad(c, width, F.lit(" ")), F.lit("  # Returns: "), constant.cast("string"))), "\n"
-    )
+
+    def aligned(calls: Column, width: Column) -> Column:
+        return F.transform(calls, lambda c: F.concat(F.rpad(c, width, F.lit(" ")), F.lit("  # Returns: "), constant.cast("string")))
+
+    lines = _let(calls, lambda cs: _let(F.array_max(F.transform(cs, lambda c: F.length(c))), lambda w: aligned(cs, w)))
+    return F.array_join(lines, "\n")
 
 
 def composed_prose(docs: DataFrame, sections: int = 4, seed: object = "prose") -> DataFrame:

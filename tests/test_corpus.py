@@ -1,5 +1,6 @@
 """Records, audit, assembly, orders, sources on hand-made frames."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -230,6 +231,40 @@ def test_arguments_avoid_the_held_out_range(spark):
     assert generate.unused_letters() == ["A", "B", "C", "D", "E", "Z"]
 
 
+def test_scarce_arguments_and_calls_are_worked_out_once(spark):
+    bands = [(-12, -2), (-9, -3)]
+    df = spark.range(300).select(F.col("id").cast("string").alias("uid"), F.lit("<B01>").alias("func"), F.lit(7).alias("constant"))
+    args = generate.sampled_arguments(["uid"], 8, bands)
+    both = df.select("uid", args.alias("a"), generate.call_lines(F.col("func"), F.col("constant"), args).alias("block"))
+    # The start and the two sets of candidates, once in each column.
+    assert both._jdf.queryExecution().analyzed().toString().count("md5(") <= 6
+    draw = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:12], 16)
+
+    def expected(uid):
+        kept, first = [], draw(f"42-band:{uid}") % 2
+        for i in range(16 * 8 + 33):
+            lo, hi = bands[(first + i) % 2]
+            v = lo + draw(f"42:{uid}:{i}") % (hi - lo + 1)
+            kept += [v] if v not in kept else []
+        return kept[:8]
+
+    for r in both.collect():
+        calls = [f"<B01>({v})" for v in expected(r.uid)]
+        assert r.a == expected(r.uid)
+        assert r.block == "\n".join(f"{c:<{max(map(len, calls))}}  # Returns: 7" for c in calls)
+
+
+def test_hashed_inputs_are_spread_over_cores(spark):
+    names = spark.createDataFrame([(f"<A{k}>", k) for k in range(60)], "func string, constant int").coalesce(1)
+    out = generate.prompt_distractors(names, 4, "equal", random_inputs=True)
+    assert out.rdd.getNumPartitions() > 1
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.func, []).append(r.input)
+    key = lambda f: lambda i: (hashlib.md5(f"42:{f}:{i}".encode()).hexdigest(), i)
+    assert got == {f"<A{k}>": sorted(range(1, 101), key=key(f"<A{k}>"))[:4] for k in range(60)}
+
+
 # --- sources ------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def messy(tmp_path_factory):
