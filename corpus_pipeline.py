@@ -74,9 +74,8 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that occur again are cut out; documents that consist of them go."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = suffix_dedup.repeats(docs, 200, carry=others).filter("n_removed = 0 or n_removed < n_bytes")
-    text = F.when(F.col("n_removed") > 0, suffix_dedup.text_of(F.col("kept"))).otherwise(F.decode("kept", "UTF-8"))
-    rows = found.select("doc_id", text.alias("text"), *[F.col(f"carried.{c}").alias(c) for c in others])
+    found = suffix_dedup.repeats(docs, 200, carry=others, as_text=True).filter("n_removed = 0 or n_removed < n_bytes")
+    rows = found.select("doc_id", F.col("kept").alias("text"), *[F.col(f"carried.{c}").alias(c) for c in others])
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

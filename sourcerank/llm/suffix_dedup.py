@@ -21,9 +21,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_if_small
@@ -82,6 +81,7 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """The blocks of each document; ``tag`` tells rows of equal id and different text apart."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         for batch in batches:
             data, offsets = common.bytes_of(batch.column(2))
             for a, b in common.slices(offsets):
@@ -98,14 +98,17 @@ def block_texts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(anchor, block, copies, hot, n, content): the bytes of one occurrence of each wanted block."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = [("anchor", pa.int64()), ("block", pa.int64()), ("copies", pa.int64()), ("hot", pa.bool_()), ("n", pa.int32()), ("content", pa.binary())]
+        common.let_go()
         for batch in batches:
-            out = []
-            for raw, wants in zip(batch.column(0), batch.column(1)):
-                raw = raw.as_py().encode()
-                out += [w | {"content": raw[w["at"] : w["at"] + w["n"] - 1 + length]} for w in wants.as_py()]
-            fields = [("anchor", pa.int64()), ("block", pa.int64()), ("copies", pa.int64()), ("hot", pa.bool_()), ("n", pa.int32()), ("content", pa.binary())]
-            for k in range(0, len(out), 10_000):
-                yield pa.RecordBatch.from_pylist(out[k : k + 10_000], pa.schema(fields))
+            _, offsets = common.bytes_of(batch.column(0))
+            for a, b in common.slices(offsets):
+                out = []
+                for raw, wants in zip(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)):
+                    raw = raw.as_py().encode()
+                    out += [w | {"content": raw[w["at"] : w["at"] + w["n"] - 1 + length]} for w in wants.as_py()]
+                for k in range(0, len(out), 10_000):
+                    yield pa.RecordBatch.from_pylist(out[k : k + 10_000], pa.schema(fields))
 
     one = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "block", "copies", "hot", "at", "n")).alias("wants"))
     # Repeated rows would give a block twice.
@@ -145,6 +148,7 @@ def repeated_strings(contents: DataFrame, length: int) -> DataFrame:
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         size = 0
+        common.let_go()
 
         def decided() -> pa.RecordBatch:
             flags = repeated_in([r["content"] for r in held], np.array([r["n"] for r in held]), np.array([r["copies"] for r in held]), length)
@@ -185,14 +189,15 @@ def _by_hash(contents: DataFrame, length: int) -> DataFrame:
     return strings.join(many, ["one", "two"]).select("anchor", "block", "first", F.col("first").alias("last"))
 
 
-def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, hot_blocks: int = HOT_BLOCKS, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, hot_blocks: int = HOT_BLOCKS, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes) and spans (start, end, ...).
 
     Every byte goes that is covered by a string of ``length`` bytes which also starts anywhere
     else, in the same document or another; strings are judged on the input, overlaps count,
     and matches never cross documents.  A null text is empty.  Repeated rows are documents of
     their own, so their texts of ``length`` bytes or more go wholly.  ``carry`` names columns
-    that are handed on in a struct ``carried``.
+    that are handed on in a struct ``carried``.  ``as_text`` makes a string of ``kept``; a
+    character that lost some of its bytes goes wholly.
     """
     texts = docs.select(
         F.col(id_col).cast("long").alias("own_id"),
@@ -225,40 +230,34 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"]
-        kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
+        kinds = [pa.int64()] * 4 + [pa.string() if as_text else pa.binary(), pa.list_(pa.int64())]
+        common.let_go()
         for batch in batches:
-            out = []
-            for doc, text, found in zip(batch.column(0), batch.column(1), batch.column(2)):
-                raw, at, kept, spans = text.as_py().encode(), 0, [], []
-                for first, last in sorted((x["first"], x["last"] + length) for x in found.as_py() or ()):
-                    if spans and first <= spans[-1]:
-                        spans[-1] = max(spans[-1], last)
-                    else:
-                        spans += [first, last]
-                for first, last in zip(spans[::2], spans[1::2]):
-                    kept.append(raw[at:first])
-                    at = last
-                kept = b"".join([*kept, raw[at:]])
-                out.append((doc.as_py(), len(raw), len(raw) - len(kept), len(spans) // 2, kept, spans))
-            columns = list(zip(*out)) if out else [()] * 6
-            arrays = [*(pa.array(c, k) for c, k in zip(columns, kinds)), batch.column(3)]
-            yield pa.RecordBatch.from_arrays(arrays, [*names, "carried"])
-
-    fields = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>, carried {dict(joined.dtypes)['carried']}"
+            _, offsets = common.bytes_of(batch.column(1))
+            # A whole batch of texts would be held several times over.
+            for a, b in common.slices(offsets):
+                out = []
+                for doc, text, found in zip(*(batch.column(k).slice(a, b - a) for k in range(3))):
+                    raw, at, kept, spans = text.as_py().encode(), 0, [], []
+                    for first, last in sorted((x["first"], x["last"] + length) for x in found.as_py() or ()):
+                        if spans and first <= spans[-1]:
+                            spans[-1] = max(spans[-1], last)
+                        else:
+                            spans += [first, last]
+                    for first, last in zip(spans[::2], spans[1::2]):
+                        kept.append(raw[at:first])
+                        at = last
+                    kept = b"".join([*kept, raw[at:]])
+                    out.append((doc.as_py(), len(raw), len(raw) - len(kept), len(spans) // 2, kept.decode("utf-8", "ignore") if as_text else kept, spans))
+                columns = list(zip(*out))
+                arrays = [*(pa.array(c, k) for c, k in zip(columns, kinds)), batch.column(3).slice(a, b - a)]
+                yield pa.RecordBatch.from_arrays(arrays, [*names, "carried"])
+
+    fields = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, spans array<long>, carried {dict(joined.dtypes)['carried']}"
     found = joined.mapInArrow(remove, fields)
     return found if carry else found.drop("carried")
 
 
-def text_of(kept: Column) -> Column:
-    """The bytes that are left as text; a character that lost some of its bytes goes wholly."""
-
-    @F.pandas_udf("string")
-    def decoded(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda x: bytes(x).decode("utf-8", "ignore"))
-
-    return decoded(kept)
-
-
 def digest(found: DataFrame) -> DataFrame:
     """Repeats with the SHA-256 of the bytes that are left."""
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -157,6 +157,19 @@ def test_repeated_strings(docs, texts, hot_blocks):
     assert Counter(tuple(r) for r in found.collect()) == brute_repeats(texts, 200)
 
 
+def test_kept_bytes_as_text(spark):
+    """A character that lost bytes goes wholly."""
+    shared = "é" * 99 + "x" * 4
+    rows = [(1, "a" + shared + "é" * 3), (2, "b" + shared + "ö"), (3, "c" * 10), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    raw = {r.doc_id: r for r in suffix_dedup.repeats(docs, 200).collect()}
+    text = {r.doc_id: r for r in suffix_dedup.repeats(docs, 200, as_text=True).collect()}
+    assert raw.keys() == text.keys() == {r[0] for r in rows}
+    for k in raw:
+        assert text[k].kept == bytes(raw[k].kept).decode("utf-8", "ignore") and text[k].spans == raw[k].spans
+    assert raw[1].n_removed > 0 and text[3].kept == "c" * 10 and text[4].kept == ""
+
+
 def test_repeated_strings_of_nothing(no_docs):
     assert suffix_dedup.repeats(no_docs).count() == 0
 
