@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
-from .subwords import encoder
+from .subwords import SLICE_BYTES, encoder
 
 # Patterns that one fit may hold; longer sequences leave out three-part patterns of rare lengths.
 MOST_PATTERNS = 400_000
@@ -135,7 +135,7 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             _, offsets = common.bytes_of(batch.column(1))
-            for first, last in common.slices(offsets):
+            for first, last in common.slices(offsets, SLICE_BYTES):
                 docs = batch.column(0).slice(first, last - first).to_pylist()
                 texts = batch.column(1).slice(first, last - first).to_pylist()
                 out: list[tuple] = []

@@ -25,6 +25,8 @@ from .common import held, ranges
 
 # Entries of one worker's table.  When it is full, half of them stay: those met most often of late.
 KNOWN_WORDS = 300_000
+# Bytes of text to encode at once.  Arrow indexes the whole table for each call, so small slices cost more.
+SLICE_BYTES = 4 << 20
 # Marks at the end of a word that are never part of what stands before them.
 _MARKS = ".,;:!?&#$%*)"
 _CUT = re.compile(r"(?<=\S) (?=\S)")

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
-from .subwords import encoder
+from .subwords import SLICE_BYTES, encoder
 
 SEGMENT_IDS = 1 << 21
 SEGMENT = "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, ids binary, control binary, data binary"
@@ -97,7 +97,7 @@ def write_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, segme
         coded: list[bytes] = []
         for batch in batches:
             _, offsets = common.bytes_of(batch.column(1))
-            for first, last in common.slices(offsets):
+            for first, last in common.slices(offsets, SLICE_BYTES):
                 docs += batch.column(0).slice(first, last - first).to_pylist()
                 for ids in encoder(tokenizer).encode(batch.column(1).slice(first, last - first).to_pylist()):
                     coded.append(ids + end)
