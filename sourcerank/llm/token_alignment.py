@@ -32,6 +32,8 @@ from .subwords import Encoder, joined, split_words
 BLOCK_BYTES = 2 << 20
 # Bytes of text whose tokens are held at once, some 200 bytes for each.
 TOKEN_BYTES = 1 << 20
+# Blocks that a task of the second pass holds at once, on average: some 4 MB for each.
+BLOCKS_AT_ONCE = 4
 
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_group array<long>, b_group array<long>"
 BLOCK = "part int, seq int, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, hashes array<string>, pair_a array<int>, pair_b array<int>, pair_n array<long>, low binary, high binary"
@@ -321,8 +323,10 @@ def scored(df: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYT
     value = (2 * F.col("count") + F.col("best").cast("long")).alias("value")
     found = wanted.join(counts, ["a", "b"]).select("part", "seq", F.struct("rank", value).alias("v"))
     lists = found.groupBy("part", "seq").agg(F.transform(F.sort_array(F.collect_list("v")), lambda v: v["value"]).alias("value"))
+    # A task hands Python all its blocks in one batch, so there are as many tasks as the blocks ask for.
+    tasks = max(1, -(-held.count() // BLOCKS_AT_ONCE))
     # Blocks without a single link have no list.
-    joined = held.drop("pair_a", "pair_b", "pair_n").join(lists, ["part", "seq"], "left")
+    joined = held.drop("pair_a", "pair_b", "pair_n").repartition(tasks, "part", "seq").join(lists.repartition(tasks, "part", "seq"), ["part", "seq"], "left")
     columns = ["doc_ids", *_COUNTS, "hashes", "low", "high", "value"]
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

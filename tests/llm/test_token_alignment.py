@@ -143,3 +143,9 @@ def test_word_table_equals_the_library(monkeypatch, plain):
         texts = ["".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(rng.randint(0, 14))) for _ in range(6)]
         want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
         assert mine.encode(texts) == want
+
+
+def test_tasks_grow_with_the_blocks(docs):
+    got = ta.scored(docs.repartition(40), A, B)  # a block for each partition with rows, 30 or more
+    assert got.rdd.getNumPartitions() >= 30 / ta.BLOCKS_AT_ONCE  # the session has 4 shuffle partitions
+    assert got.count() == docs.count()
