@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import held, ranges
+from .common import bytes_of, held, ranges
 
 # Entries of one worker's table.  When it is full, half of them stay: those met most often of late.
 KNOWN_WORDS = 300_000
@@ -32,6 +32,8 @@ _MARKS = ".,;:!?&#$%*)"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r" \s")
 _WORDS_AT_ONCE = 1000
+# Bytes that may end what stands before such marks: letters and plain digits.
+_STEM_ENDS = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -113,12 +115,12 @@ class Encoder:
         """The place of each word in the table, -1 for those that are not in it."""
         return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def _add(self, words: pa.Array, coded: list[bytes]) -> None:
+    def _add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Put new words behind the others."""
         self.words = pa.concat_arrays([self.words, words])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), "<u4")])
-        self.sizes = np.concatenate([self.sizes, np.array([len(c) // 4 for c in coded], np.int64)])
-        self.hits = np.concatenate([self.hits, np.zeros(len(coded), np.float32)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.hits = np.concatenate([self.hits, np.zeros(len(sizes), np.float32)])
 
     def _forget(self) -> None:
         """Half of a full table goes; what stays counts half as much from now on."""
@@ -130,49 +132,85 @@ class Encoder:
         self.ids = self.ids[ranges((np.cumsum(self.sizes) - self.sizes)[kept], self.sizes[kept])]
         self.words, self.sizes, self.hits = self.words.take(pa.array(kept)), self.sizes[kept], self.hits[kept] / 2
 
-    def _learn(self, new: list[str]) -> list[bytes]:
-        """The ids of ``" " + w`` for distinct words that are not in the table."""
-        stems = [w.rstrip(_MARKS) if w and w[-1] in _MARKS else w for w in new]
-        for k, (w, stem) in enumerate(zip(new, stems)):
-            if len(stem) < len(w) and not (stem and (stem[-1].isalpha() or "0" <= stem[-1] <= "9")):
-                stems[k] = w
-        if self.special:  # those with the string of a special token are not taken apart
-            stems = [w if any(t in w for t in self.special) else stem for w, stem in zip(new, stems)]
-        distinct = list(dict.fromkeys(stems))
-        cut = [stem for stem, w in zip(stems, new) if len(stem) < len(w)]
-        known: dict[str, bytes] = {}
-        if cut:
-            places = self._find(pa.array(cut, pa.large_string()))
-            starts = np.cumsum(self.sizes) - self.sizes
-            known = {stem: self.ids[starts[p] : starts[p] + self.sizes[p]].tobytes() for stem, p in zip(cut, places.tolist()) if p >= 0}
-        known |= self._ask([stem for stem in distinct if stem not in known])
-        out = []
-        for w, stem in zip(new, stems):
-            if len(stem) == len(w):
-                out.append(known[w])
-                continue
-            marks = w[len(stem) :]
-            if (end := self.marks.get(marks)) is None:
+    def _stems(self, new: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words without the marks that are a piece of their own, and which words had some."""
+        stems = pc.ascii_rtrim(new, characters=_MARKS)
+        data, at = bytes_of(stems)
+        ends = at[1:]
+        cut = (ends > at[:-1]) & (np.diff(at) < np.diff(bytes_of(new)[1]))
+        last = np.zeros(len(new), np.uint8)
+        last[cut] = data[ends[cut] - 1]
+        wide = np.flatnonzero(last >= 0x80)
+        cut &= _STEM_ENDS[last]
+        cut[wide] = [stem[-1].isalpha() for stem in stems.take(pa.array(wide)).to_pylist()]
+        for t in self.special:  # those with the string of a special token are not taken apart
+            cut &= ~pc.match_substring(new, t).to_numpy(zero_copy_only=False)
+        return pc.if_else(pa.array(cut), stems, new), cut
+
+    def _learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``" " + w`` for distinct words that are not in the table, end to end, and how many each has."""
+        stems, cut = self._stems(new)
+        coded = stems.dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        # Only the stem of a longer word can be in the table.
+        places, maybe = np.full(len(coded.dictionary), -1), np.zeros(len(coded.dictionary), bool)
+        maybe[which[cut]] = True
+        places[maybe] = self._find(coded.dictionary.filter(pa.array(maybe)))
+        asked, asked_sizes = self._ask(coded.dictionary.filter(pa.array(places < 0)))
+        sizes = np.concatenate([self.sizes, asked_sizes])
+        places[places < 0] = len(self.sizes) + np.arange(len(asked_sizes))
+        # The marks of the words that were cut.
+        data, at = bytes_of(new)
+        ends, held = at[1:][cut], np.diff(at)[cut] - np.diff(bytes_of(stems)[1])[cut]
+        raw = data[ranges(ends - held, held)].tobytes()
+        marks = pa.LargeStringArray.from_buffers(len(held), pa.py_buffer(np.append(0, np.cumsum(held))), pa.py_buffer(raw)).dictionary_encode()
+        mark_ids = []
+        for m in marks.dictionary.to_pylist():
+            if m not in self.marks:
                 self.marks = self.marks if len(self.marks) < 10_000 else {}
-                self.marks[marks] = end = self._alone(marks)
-            out.append(known[stem] + end)
-        return out
-
-    def _ask(self, words: list[str]) -> dict[str, bytes]:
-        """The library's ids of words, many in one string."""
-        found = {w: self._alone(" " + w) for w in words if not w or " " in w}
-        together = [w for w in words if w and " " not in w]
-        parts = [together[i : i + _WORDS_AT_ONCE] for i in range(0, len(together), _WORDS_AT_ONCE)]
-        coded = self.inner.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)
-        for part, got in zip(parts, coded):
+                self.marks[m] = self._alone(m)
+            mark_ids.append(self.marks[m])
+        mark_sizes = np.array([len(m) // 4 for m in mark_ids], np.int64)
+        every = np.concatenate([self.ids, asked, np.frombuffer(b"".join(mark_ids), "<u4")])
+        sizes = np.concatenate([sizes, mark_sizes])
+        # A word is its stem and, if it was cut, its marks.
+        own = np.zeros((len(new), 2), np.int64)
+        own[:, 0] = places[which]
+        own[cut, 1] = len(sizes) - len(mark_ids) + marks.indices.to_numpy(zero_copy_only=False)
+        many = sizes[own]
+        many[~cut, 1] = 0
+        starts = np.cumsum(sizes) - sizes
+        return every[ranges(starts[own].ravel(), many.ravel())], many.sum(1)
+
+    def _ask(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of words, many in one string, end to end, and how many each has."""
+        single = (np.diff(bytes_of(words)[1]) == 0) | pc.match_substring(words, " ").to_numpy(zero_copy_only=False)
+        together = words.filter(pa.array(~single))
+        # All words end to end, a space before each.
+        data, at = bytes_of(together)
+        spaced = np.full(len(data) + len(together), ord(" "), np.uint8)
+        spaced[np.arange(len(data)) + np.repeat(np.arange(1, len(at)), np.diff(at))] = data
+        cuts = np.append(np.arange(0, len(together), _WORDS_AT_ONCE), len(together))
+        ends = (at[cuts] + cuts).tolist()
+        texts = [spaced[a:b].tobytes().decode() for a, b in zip(ends, ends[1:])]
+        found, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for k, got in enumerate(self.inner.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(got.ids, "<u4")
-            cut = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4).tolist()
-            if len(cut) != len(part) + 1 or cut[0]:
-                found.update((w, self._alone(" " + w)) for w in part)
-                continue
-            raw = ids.tobytes()
-            found.update(zip(part, [raw[a:b] for a, b in zip(cut, cut[1:])]))
-        return found
+            many = np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
+            if len(many) != cuts[k + 1] - cuts[k] or many.sum() != len(ids):
+                alone = [self._alone(" " + w) for w in together[cuts[k] : cuts[k + 1]].to_pylist()]
+                ids, many = np.frombuffer(b"".join(alone), "<u4"), np.array([len(c) // 4 for c in alone], np.int64)
+            found.append(ids)
+            sizes.append(many)
+        found, sizes = np.concatenate(found), np.concatenate(sizes)
+        if not single.any():
+            return found, sizes
+        alone = [self._alone(" " + w) for w in words.filter(pa.array(single)).to_pylist()]
+        found = np.concatenate([found, np.frombuffer(b"".join(alone), "<u4")])
+        sizes = np.concatenate([sizes, np.array([len(c) // 4 for c in alone], np.int64)])
+        order = np.empty(len(words), np.int64)
+        order[~single], order[single] = np.arange(len(together)), len(together) + np.arange(len(alone))
+        return found[ranges((np.cumsum(sizes) - sizes)[order], sizes[order])], sizes[order]
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has."""
@@ -182,7 +220,7 @@ class Encoder:
         if (places < 0).any():
             new = words.filter(pa.array(places < 0))
             places[places < 0] = len(self.words) + np.arange(len(new))
-            self._add(new, self._learn(new.to_pylist()))
+            self._add(new, *self._learn(new))
         np.add.at(self.hits, places, 1)
         return joined([self._alone(h) if h else b"" for h in heads], which, rows, self.ids, self.sizes, places)
 

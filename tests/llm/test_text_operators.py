@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -32,6 +33,16 @@ def test_encoder_equals_library(library, texts):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in every]
 
 
+def test_new_words_are_learned_as_arrays(library):
+    words = ["", "a b", "plain", "end.", "é,", "²;", "٣.", "...", "x<|endoftext|>,", "7!?", "tab\tin.", "plain.", "end"]
+    encoder = Encoder(tokenizer_file())
+    encoder.encode(["some plain words"])
+    ids, sizes = encoder._learn(pa.array(words, pa.large_string()))
+    want = [library.encode(" " + w, add_special_tokens=False).ids for w in words]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+
+
 def test_ids_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 70_000):
