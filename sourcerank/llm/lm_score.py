@@ -180,12 +180,13 @@ def sizes(counts: DataFrame) -> tuple[int, int]:
     return known, max(RARE, 1 << (known // 2).bit_length() - 1)
 
 
-def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, and the sums of the values of each."""
-    order = np.argsort(rows)
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows, the sums of the values of each, and how often each came."""
+    order = np.argsort(rows.astype(np.int32, copy=False))
     rows = rows[order]
-    opens = np.flatnonzero(np.diff(rows, prepend=-1))
-    return rows[opens], np.add.reduceat(values.take(order, 0), opens, 0) if len(opens) else values
+    opens = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])[: len(rows)])
+    sums = np.add.reduceat(values.take(order, 0), opens, 0) if len(opens) else values
+    return rows[opens], sums, np.diff(np.append(opens, len(rows)))
 
 
 @dataclass
@@ -220,10 +221,10 @@ class Network:
             out[here[same], k] = numbers[there[same]]
         return out
 
-    def step(self, contexts: np.ndarray, numbers: np.ndarray, lex: Lexicon, seen: list[np.ndarray], rate: float) -> np.ndarray:
-        """One step of Adagrad; ``seen`` holds the squares so far.  Returns the nodes that were passed."""
+    def step(self, contexts: np.ndarray, numbers: np.ndarray, lex: Lexicon, seen: list[np.ndarray], rate: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """One step of Adagrad; ``seen`` holds the squares so far.  Returns which vectors and nodes took part, and how often."""
         target, size = lex.classes[numbers], self.vectors.shape[1]
-        context = self.vectors.take(contexts, 0)
+        context = self.vectors.take(contexts.ravel(), 0).reshape(*contexts.shape, size)
         hidden = np.einsum("njk,jk->nk", context, self.places)
         wrong = hidden @ self.out[:, :-1].T
         wrong += self.out[:, -1] - wrong.max()
@@ -233,20 +234,29 @@ class Network:
         wrong[np.arange(len(target)), target] -= part
         back = wrong @ self.out[:, :-1]
         out = np.concatenate([wrong.T @ hidden, wrong.sum(0)[:, None]], 1)
-        ways, owner = lex.ways(numbers)
-        nodes = lex.nodes[ways]
+        lengths = lex.begins[numbers + 1] - lex.begins[numbers]
+        ways, owner = common.ranges(lex.begins[numbers], lengths), np.repeat(np.arange(len(numbers)), lengths)
+        nodes = lex.nodes.take(ways)
         deep, own = self.nodes.take(nodes, 0), np.concatenate([hidden, np.ones((len(target), 1), np.float32)], 1).take(owner, 0)
-        miss = (1 / (1 + np.exp(np.minimum(-np.einsum("nk,nk->n", own, deep), 80))) - (lex.sides[ways] > 0)) * part
+        miss = (1 / (1 + np.exp(np.minimum(-np.einsum("nk,nk->n", own, deep), 80))) - (lex.sides.take(ways) > 0)) * part
         if len(ways):
-            opens = np.flatnonzero(np.diff(owner, prepend=-1))
-            back[owner[opens]] += np.add.reduceat(miss[:, None] * deep[:, :-1], opens, 0)
-        passed, turned = summed(nodes, miss[:, None] * own)
+            some = np.flatnonzero(lengths)
+            deep *= miss[:, None]
+            back[some] += np.add.reduceat(deep, (np.cumsum(lengths) - lengths)[some], 0)[:, :-1]
+        own *= miss[:, None]
+        passed, turned, passes = summed(nodes, own)
         places = np.einsum("nk,njk->jk", back, context)
-        used, vectors = summed(contexts.ravel(), (back[:, None] * self.places).reshape(-1, size))
-        for p, g, s, rows in zip(self.parts, (vectors, places, out, turned), seen, (used, slice(None), slice(None), passed), strict=True):
-            s[rows] += g * g
-            p[rows] -= rate * g / (np.sqrt(s[rows]) + 1e-6)
-        return nodes
+        used, vectors, uses = summed(contexts.ravel(), (back[:, None] * self.places).reshape(-1, size))
+        for p, g, s, rows in zip(self.parts, (vectors, places, out, turned), seen, (used, None, None, passed), strict=True):
+            squares = s + g * g if rows is None else s.take(rows, 0) + g * g
+            move = rate * g / (np.sqrt(squares) + 1e-6)
+            if rows is None:
+                s[:] = squares
+                p -= move
+            else:
+                s[rows] = squares
+                p[rows] = p.take(rows, 0) - move
+        return [(used, uses), (passed, passes)]
 
     def train(self, numbers: np.ndarray, first: np.ndarray, lex: Lexicon, seen: list[np.ndarray], used: list[np.ndarray], rng: np.random.Generator, share: float = 1.0, rate: float = 0.05) -> None:
         """``used`` counts how often each vector and each node took part."""
@@ -254,9 +264,8 @@ class Network:
         picked = np.flatnonzero(rng.random(len(numbers)) < share) if share < 1 else np.arange(len(numbers))
         for rows in np.array_split(picked, max(1, len(picked) // _BATCH)):
             if len(rows):
-                nodes = self.step(contexts[rows], numbers[rows], lex, seen, rate)
-                for held, met in zip(used, (contexts[rows].ravel(), nodes), strict=True):
-                    held += np.bincount(met, minlength=len(held))
+                for held, (met, times) in zip(used, self.step(contexts[rows], numbers[rows], lex, seen, rate), strict=True):
+                    held[met] += times
 
     def log_chances(self, numbers: np.ndarray, first: np.ndarray, lex: Lexicon) -> np.ndarray:
         """The logarithm of each word's probability given its context."""
