@@ -74,3 +74,17 @@ def test_repeated_and_missing_ids_keep_their_own_scores(spark):
     got = lm_score.scored(frame(spark, rows).repartition(3)).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 1), (0, 3), (5, 1), (5, 3), (6, 0)]
     assert all((r.mean_log_prob is None) == (r.n_tokens == 0) for r in got)
+
+
+def test_a_step_tells_what_it_used():
+    words, sizes = np.arange(1, 41, dtype=np.uint64), np.arange(40, 0, -1).astype(float)
+    classes = np.repeat([0, 1], 20)
+    lex = lm_score.Lexicon(words, np.append(classes, np.arange(2, 2 + lm_score.RARE)), np.zeros(48), *lm_score.trees(np.append(classes, np.arange(2, 2 + lm_score.RARE)), np.append(sizes, np.ones(lm_score.RARE))), np.zeros(48))
+    net = lm_score.Network.fresh(lex.pad, 2 + lm_score.RARE, odds=lex.odds)
+    numbers = np.random.default_rng(1).integers(0, 48, 500)
+    contexts = net.contexts(numbers, np.array([0, 200, 200, 500]))
+    met = contexts.ravel(), lex.nodes[lex.ways(numbers)[0]]
+    told = net.step(contexts, numbers, lex, net.blank_squares(), 0.05)
+    for rows, (used, times) in zip(met, told, strict=True):
+        want = np.unique(rows, return_counts=True)
+        assert used.tolist() == want[0].tolist() and times.tolist() == want[1].tolist()
