@@ -32,7 +32,11 @@ def spearman(paired: DataFrame, keys: Sequence[str], left: str = "l", right: str
     both rankings and the final sums read them.
     """
     rows = paired.filter(F.col(left).isNotNull() & F.col(right).isNotNull())
-    joint = materialize(rows.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("c")))
+    return _spearman_counted(materialize(rows.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("c"))), keys, left, right)
+
+
+def _spearman_counted(joint: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
+    """:func:`spearman` of stored (keys, left, right, c): distinct pairs of values and how often each came."""
     ranked = joint.join(ship_if_small(average_ranks(joint, keys, left, "rl", "c"), 64), [*keys, left]).join(
         ship_if_small(average_ranks(joint, keys, right, "rr", "c"), 64), [*keys, right]
     )
@@ -67,9 +71,24 @@ def method_correlation(scores: DataFrame) -> DataFrame:
     """(a, b, rho, n) for every pair of methods from (method, uid, score); diagonal 1.
 
     Each uid's few method scores become one row, so methods are paired inside the
-    row and no self-join is needed.  NaN scores drop the pair.
+    row and no self-join is needed.  NaN scores drop the pair.  A few methods are columns
+    of that row; where a uid has a method twice, and for more methods, the row is a list.
     """
     usable = scores.filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    own = materialize(scores.groupBy("method").agg(F.count(F.lit(1)).alias("n")))
+    names = [r["method"] for r in own.limit(_METHOD_COLUMNS + 1).collect()]
+    joint = _pairs_of_columns(usable, sorted(n for n in names if n is not None)) if len(names) <= _METHOD_COLUMNS else None
+    rho = spearman(_pairs_of_lists(usable), ["a", "b"]) if joint is None else _spearman_counted(joint, ["a", "b"], "l", "r")
+    mirrored = rho.unionByName(rho.select(F.col("b").alias("a"), F.col("a").alias("b"), "rho", "n"))
+    return mirrored.unionByName(own.select(F.col("method").alias("a"), F.col("method").alias("b"), F.lit(1.0).alias("rho"), "n"))
+
+
+# More methods than this are paired in lists.
+_METHOD_COLUMNS = 12
+
+
+def _pairs_of_lists(usable: DataFrame) -> DataFrame:
+    """(uid, a, b, l, r): the scores of every two methods of a uid."""
     per = usable.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("method", "score"))).alias("s"))
     combos = F.flatten(
         F.transform(
@@ -82,10 +101,28 @@ def method_correlation(scores: DataFrame) -> DataFrame:
             ),
         )
     )
-    rho = spearman(per.select("uid", F.inline(combos)), ["a", "b"])
-    mirrored = rho.unionByName(rho.select(F.col("b").alias("a"), F.col("a").alias("b"), "rho", "n"))
-    own = scores.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
-    return mirrored.unionByName(own.select(F.col("method").alias("a"), F.col("method").alias("b"), F.lit(1.0).alias("rho"), "n"))
+    return per.select("uid", F.inline(combos))
+
+
+def _pairs_of_columns(usable: DataFrame, names: list) -> DataFrame | None:
+    """Stored (a, b, l, r, c): how often two methods have these scores; None if a uid has a method twice.
+
+    One number for each method is summed up without sorting the uids, which lists of scores would need.
+    """
+    is_one = [F.col("method") == F.lit(n) for n in names]
+    columns = [F.max(F.when(own, F.col("score"))).alias(f"s{k}") for k, own in enumerate(is_one)]
+    per = usable.groupBy("uid").agg(*columns, *[F.count_if(own).alias(f"n{k}") for k, own in enumerate(is_one)])
+    pair = lambda i, j: F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"s{i}").alias("l"), F.col(f"s{j}").alias("r"))
+    pairs = [pair(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    if not pairs:
+        return None
+    # A pair without a right score stands for the uids that have a method twice.
+    twice = F.greatest(*[F.col(f"n{k}") for k in range(len(names))]) > 1
+    mark = F.struct(F.lit(names[0]).alias("a"), F.lit(names[1]).alias("b"), F.col("s0").alias("l"), F.lit(None).cast(usable.schema["score"].dataType).alias("r"))
+    held = F.filter(F.array(*pairs), lambda p: p["l"].isNotNull() & p["r"].isNotNull())
+    rows = per.select(F.inline(F.when(twice, F.array(mark)).otherwise(held)))
+    joint = materialize(rows.groupBy("a", "b", "l", "r").agg(F.count(F.lit(1)).alias("c")))
+    return None if joint.filter("r is null").limit(1).count() else joint
 
 
 # --- layers and self-influence -----------------------------------------------------

@@ -48,6 +48,21 @@ def test_method_matrix_uses_shared_uids(spark):
     assert got["m", "n"] == (pytest.approx(-1.0), 2) == got["n", "m"] and got["m", "m"][0] == 1.0
 
 
+def test_a_few_methods_are_paired_without_lists(spark, monkeypatch):
+    data = [(m, str(u), float((u * 7 + k * 5) % 11)) for k, m in enumerate(["m", "n", "o", None]) for u in range(12) if (u + k) % 4]
+    data += [("m", None, 1.0), ("n", None, 2.0), ("m", "x", None), ("o", "x", 1.0)]
+    frame = spark.createDataFrame(data, "method string, uid string, score double")
+    matrix = lambda df: rows(runs.method_correlation(df).selectExpr("coalesce(a, '-')", "coalesce(b, '-')", "round(rho, 9)", "n"))
+    monkeypatch.setattr(runs, "_METHOD_COLUMNS", 1)
+    listed = matrix(frame)
+    twice = frame.union(spark.createDataFrame([("m", "1", 4.0), ("m", "1", 4.0)], frame.schema))
+    listed_twice = matrix(twice)
+    monkeypatch.undo()
+    assert matrix(twice) == listed_twice != listed
+    monkeypatch.setattr(runs.F, "collect_list", None)
+    assert matrix(frame) == listed
+
+
 def test_checkpoint_choices(spark):
     data = [("r", 1, 0.5), ("r", 2, 0.9), ("r", 3, 0.9), ("r", 4, None), ("r", 5, 0.1)]
     pts = spark.createDataFrame(data, "run string, step int, accuracy double")
