@@ -30,8 +30,8 @@ from .subwords import Encoder, joined, split_words
 
 # Bytes of text in one stored block; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
-# Bytes of text whose tokens are held at once, some 200 bytes for each.
-TOKEN_BYTES = 1 << 20
+# Bytes of text whose tokens are held at once, some 200 bytes for each.  A worker peaks at some 300 MB.
+TOKEN_BYTES = 512 << 10
 # Blocks that a task of the second pass holds at once, on average: some 4 MB for each.
 BLOCKS_AT_ONCE = 4
 
@@ -286,6 +286,8 @@ def blocks(df: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYT
                     docs, hashes, counts, keys, seq, size = [], [], {c: [] for c in _COUNTS}, [], seq + 1, 0
         if docs:
             yield block()
+        del both
+        common.let_go()  # the steps that follow have no use for the tokenizers and need their memory
 
     return common.id_and_text(df).mapInArrow(cut, BLOCK)
 
@@ -330,7 +332,7 @@ def scored(df: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYT
     columns = ["doc_ids", *_COUNTS, "hashes", "low", "high", "value"]
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.let_go()  # the tokenizers of the first pass
+        common.let_go()  # what another operator left
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k] for c in columns}

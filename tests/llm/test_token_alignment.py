@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -149,3 +150,36 @@ def test_tasks_grow_with_the_blocks(docs):
     got = ta.scored(docs.repartition(40), A, B)  # a block for each partition with rows, 30 or more
     assert got.rdd.getNumPartitions() >= 30 / ta.BLOCKS_AT_ONCE  # the session has 4 shuffle partitions
     assert got.count() == docs.count()
+
+
+def test_tokens_of_a_slice_stay_small():
+    import pyarrow as pa
+
+    from sourcerank.llm import common
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
+    column = pa.array([" ".join(rng.choices(words, k=300)) for _ in range(1400)], pa.large_string())
+    both, offsets = ta.Aligner(A, B), common.bytes_of(column)[1]
+    assert offsets[-1] > 2 << 20
+    tracemalloc.start()
+    for first, last in common.slices(offsets, ta.TOKEN_BYTES):
+        t = both.tokens(column.slice(first, last - first).to_pylist())
+        ta.overlaps(t["a_ends"], t["b_ends"])
+        both.told(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+
+
+def test_workers_let_the_tokenizers_go(spark, docs):
+    import pyarrow as pa
+
+    from sourcerank.llm import common
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(k[0] == "aligner" for k in common._held)], pa.int64())], ["n"])
+
+    ta.blocks(docs.repartition(8), A, B).count()
+    assert spark.range(0, 8, 1, 8).mapInArrow(kept, "n long").agg({"n": "sum"}).first()[0] == 0
