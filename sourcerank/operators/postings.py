@@ -3,11 +3,12 @@
 The index is written once and serves any number of query sets.  Documents are numbered by
 length, so that neighbours have like scores, and ``block_docs`` neighbours form a block.  A row
 of the postings table is one term in one block: the documents with what the term adds to their
-scores at weight 1, and ``top``, the largest of these.  Tables:
+scores at weight 1, and ``top``, the largest of these.  A stored row is a whole block, so that
+its documents are scored where it is read.  Tables:
 
 * ``stats``: one row, number of documents and mean length;
 * ``terms``: term, df, and the term's largest ``top`` in the corpus;
-* ``blocks``: term, block, n, top, docs (uid, x), sorted by term inside each file.
+* ``blocks``: block and entries (term, n, top, docs (uid, x)), sorted by term.
 
 A search reads a query's terms from the one that can add most to the one that can add least.
 
@@ -20,6 +21,11 @@ A search reads a query's terms from the one that can add most to the one that ca
    in its block reach the threshold.  Only blocks with such documents are read on, in a few
    rounds of terms (``ROUNDS``), and documents are sorted out again before each.
 
+A query set proven to be small travels to the blocks: the first two steps give partial scores in
+place, and tasks hand on their best ``k`` for a query, or the documents that stay.  Partial scores
+of all documents are added up again where they are needed instead of being stored.  For a larger
+set they are shuffled and stored.
+
 Everything left out is proven to score below the threshold, less what rounding may move, so the
 best ``k`` are exact.  Terms with a negative weight bound nothing and come last; a query with
 fewer than ``k`` positive completed scores has no threshold and is read whole.  A query without
@@ -29,18 +35,19 @@ once, and its scores are neither stored between steps nor shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship_if_small
+from ..session import SHIP_LIMIT_BYTES, materialize, ship_if_small
 from . import bm25
-from .positions import sorted_positions
 
 # Documents of a block: what is read or skipped at once.
 BLOCK_DOCS = 8
@@ -50,7 +57,11 @@ SEED_SHARE = 0.2
 ROUNDS = (0.35, 0.5, 0.7, 1.0)
 _STATS = "n_docs bigint, avg_len double"
 _TERMS = "term string, df bigint, len_sum bigint, top double"
-_BLOCKS = "term string, block bigint, n int, top double, docs array<struct<uid:string,x:double>>"
+_BLOCKS = "block bigint, entries array<struct<term:string,n:int,top:double,docs:array<struct<uid:string,x:double>>>>"
+_READS = "round int, n bigint"
+_PAIRS = "query_uid string, block bigint, uid string, part double"
+# Numbers in one dense array of a task.
+_AT_ONCE = 4 << 20
 
 
 @dataclass
@@ -59,9 +70,14 @@ class BlockIndex:
 
     stats: DataFrame
     terms: DataFrame
-    blocks: DataFrame
+    stored: DataFrame
     mode: dict = field(default_factory=dict)
 
+    @property
+    def blocks(self) -> DataFrame:
+        """term, block, n, top, docs (uid, x): one row for a term in a block."""
+        return self.stored.select("block", F.inline("entries")).select("term", "block", "n", "top", "docs")
+
 
 def write_index(
     docs: DataFrame, path: str, k1: float = 1.5, b: float = 0.75, block_docs: int = BLOCK_DOCS, text: str = "text", **mode
@@ -72,26 +88,88 @@ def write_index(
     counted = bm25.build_index(tokens)
     bm25.corpus_stats(counted).write.parquet(f"{path}/stats")
     stats = spark.read.schema(_STATS).parquet(f"{path}/stats")
-    placed = sorted_positions(tokens, [], [F.col("doc_len"), F.col("uid")])
-    entries = placed.select("uid", "doc_len", F.floor((F.col("pos") - 1) / block_docs).alias("block"), F.explode("terms").alias("term"))
-    tf = entries.groupBy("term", "block", "uid", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
-    length = F.col("doc_len") / stats.select("avg_len").scalar()
-    x = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
-    rows = tf.select("term", "block", F.struct("uid", x.alias("x")).alias("d")).groupBy("term", "block")
-    # At most `block_docs` entries are gathered in a row.
-    rows = rows.agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("d.x").alias("top"), F.sort_array(F.collect_list("d")).alias("docs"))
-    rows.sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
-    blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
-    tops = blocks.groupBy("term").agg(F.max("top").alias("top"))
+    row = stats.first()
+    mean_len = float(row["avg_len"]) if row and row["avg_len"] else 1.0
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 33, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            # The last documents wait, since more rows of theirs and of their block may follow.
+            first, doc = 0, _documents(rows)
+            while int(doc[-1]) - int(doc[first]) > block_docs:
+                last = int(np.searchsorted(doc, doc[first] + max(block_docs, _BLOCKS_CUT * block_docs)))
+                if last == len(doc):
+                    last = int(np.searchsorted(doc, doc[first] + (doc[-1] - doc[first]) // block_docs * block_docs))
+                out = _cut_blocks(rows.slice(first, last - first), doc[first:last] - doc[first], block, block_docs, k1, b, mean_len)
+                block, first = block + _BLOCKS_CUT, last
+                yield out
+            held = rows.slice(first)
+        if held is not None and held.num_rows:
+            yield _cut_blocks(held, _documents(held), block, block_docs, k1, b, mean_len)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = tokens.filter("doc_len > 0").select("uid", "doc_len", "terms").repartitionByRange(n, "doc_len", "uid").sortWithinPartitions("doc_len", "uid")
+    placed.mapInArrow(cut, _BLOCKS).write.parquet(f"{path}/blocks")
+    blocks = read_blocks(spark, path)
+    tops = blocks.select(F.inline("entries")).groupBy("term").agg(F.max("top").alias("top"))
     # The row of the null term holds the size of the corpus.
     counted.join(tops, "term", "left").select("term", "df", "len_sum", "top").write.parquet(f"{path}/terms")
     return open_index(spark, path, **mode)
 
 
+# Blocks that are cut at once.
+_BLOCKS_CUT = 32
+
+
+def _documents(rows: pa.Table) -> np.ndarray:
+    """The number of each row's document: rows of one uid and length, which are neighbours, are one."""
+    uid = rows.column("uid").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    length = rows.column("doc_len").to_numpy()
+    return np.cumsum(np.r_[False, (uid[1:] != uid[:-1]) | (length[1:] != length[:-1])][: len(uid)])
+
+
+def _cut_blocks(rows: pa.Table, doc: np.ndarray, block: int, block_docs: int, k1: float, b: float, mean_len: float) -> pa.RecordBatch:
+    """Blocks of neighbouring documents, numbered from ``block``."""
+    terms = rows.column("terms").combine_chunks()
+    words = pc.dictionary_encode(terms.flatten(), null_encoding="encode")
+    place = np.empty(len(words.dictionary), np.int64)
+    place[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(place))
+    n_docs, width = int(doc[-1]) + 1, max(1, len(place))
+    sizes = pc.list_value_length(terms).to_numpy()
+    key = np.repeat(doc, sizes)
+    # In the order of blocks, terms and documents.
+    key = (key // block_docs * width + place[words.indices.to_numpy()]) * block_docs + key % block_docs
+    key, tf = np.unique(key, return_counts=True)
+    entry = key // block_docs
+    own = entry // width * block_docs + key % block_docs
+    first = np.unique(doc, return_index=True)[1]
+    length = rows.column("doc_len").to_numpy()[first] / mean_len
+    x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[own]))
+    opens = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
+    ends = np.append(opens, len(entry)).astype(np.int32)
+    docs = pa.StructArray.from_arrays([rows.column("uid").combine_chunks().take(pa.array(first[own])).cast(pa.string()), pa.array(x)], ["uid", "x"])
+    names = words.dictionary.cast(pa.string()).take(pa.array(np.argsort(place)[entry[opens] % width]))
+    entries = pa.StructArray.from_arrays(
+        [names, pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(x, opens)), pa.ListArray.from_arrays(pa.array(ends), docs)], ["term", "n", "top", "docs"]
+    )
+    cuts = np.searchsorted(entry[opens] // width, np.arange(-(-n_docs // block_docs) + 1)).astype(np.int32)
+    numbers = pa.array(block + np.arange(len(cuts) - 1, dtype=np.int64))
+    return pa.RecordBatch.from_arrays([numbers, pa.ListArray.from_arrays(pa.array(cuts), entries)], ["block", "entries"])
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks of a stored index."""
+    return spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
+
+
 def open_index(spark: SparkSession, path: str, **mode) -> BlockIndex:
     """An index that was written before; ``mode`` is the term mode it was built with."""
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    return BlockIndex(read("stats", _STATS), read("terms", _TERMS), read("blocks", _BLOCKS), mode)
+    return BlockIndex(read("stats", _STATS), read("terms", _TERMS), read_blocks(spark, path), mode)
 
 
 def weighted_terms(index: BlockIndex, queries: DataFrame, epsilon: float = 0.25, include_completion: bool = False, seed_share: float = SEED_SHARE) -> DataFrame:
@@ -137,6 +215,118 @@ class Search:
         found = rows.select("query_uid", "block", "w", F.inline("docs"))
         return found.groupBy("query_uid", "block", "uid").agg(F.sum(F.col("w") * F.col("x")).alias("part"))
 
+    def _in_place(self, terms: DataFrame, most: int | None = None, limits: DataFrame | None = None, rest: DataFrame | None = None, until: int = len(ROUNDS) - 1, count: bool = False) -> DataFrame | None:
+        """(query_uid, block, uid, part) of documents with one of these terms; None if the query set is large.
+
+        With ``most``, each slice of a task gives a query's best alone; with ``limits`` (query_uid, theta,
+        slack) the documents whose scores with the terms of ``rest`` (and their round) may reach theta, after
+        the rounds up to ``until``.  ``count`` gives the postings of ``rest`` that were needed instead: (round, n).
+        """
+        rows = max(1, SHIP_LIMIT_BYTES // 64)
+        every = terms.select("term", "query_uid", "w", F.lit(-1).alias("round"))
+        every = every if rest is None else every.unionByName(rest.select("term", "query_uid", "w", "round"))
+        table = every.limit(rows + 1).toArrow()
+        vocab, asked = table.column("term").combine_chunks().unique(), table.column("query_uid").combine_chunks().unique()
+        if table.num_rows > rows or 8 * len(vocab) * len(asked) > SHIP_LIMIT_BYTES:
+            return None
+        if not len(asked):
+            return self.index.stored.sparkSession.createDataFrame([], _READS if count else _PAIRS)
+        word, query, w, of_round = pc.index_in(table.column("term"), vocab).to_numpy(), pc.index_in(table.column("query_uid"), asked).to_numpy(), table.column("w").to_numpy(), table.column("round").to_numpy()
+        shape = len(vocab), len(asked)
+
+        def matrix(chosen: np.ndarray, values: np.ndarray) -> np.ndarray:
+            out = np.zeros(shape)
+            out[word[chosen], query[chosen]] = values[chosen]
+            return out
+
+        essential = of_round < 0
+        weights = matrix(essential, w)
+        # A sum that is 0 is a document without the terms, unless weights may cancel out.
+        has = matrix(essential, np.ones(len(w))) if (w[essential] <= 0).any() else None
+        theta, slack = np.full(len(asked), -np.inf), np.zeros(len(asked))
+        if limits is not None:
+            known = limits.select("query_uid", "theta", "slack").toArrow()
+            known = known.filter(pc.is_in(known.column("query_uid"), asked))
+            at = pc.index_in(known.column("query_uid"), asked).to_numpy()
+            theta[at], slack[at] = pc.fill_null(known.column("theta"), -np.inf).to_numpy(), known.column("slack").to_numpy()
+        n_rounds = 0 if rest is None else until + 1
+        blocks_at_once = max(1, min(64, _AT_ONCE // len(asked) // 128))
+
+        def pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            entries = batch.column("entries")
+            flat = entries.flatten()
+            docs = flat.field("docs")
+            many = pc.list_value_length(docs).to_numpy()
+            own = np.repeat(np.arange(len(batch)), pc.list_value_length(entries).to_numpy())
+            entry_word = pc.fill_null(pc.index_in(flat.field("term"), vocab), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            postings = docs.flatten()
+            words, block = np.repeat(entry_word, many), np.repeat(own, many)
+            held = np.flatnonzero(words >= 0)
+            if not len(held):
+                return
+            uid = pc.dictionary_encode(postings.field("uid"), null_encoding="encode")
+            key = block[held] * len(uid.dictionary) + uid.indices.to_numpy()[held]
+            order = np.argsort(key, kind="stable")
+            held, key = held[order], key[order]
+            words, block, x = words[held], block[held], postings.field("x").to_numpy()[held]
+            met = np.flatnonzero(entry_word >= 0)
+            own, entry_word, top, many = own[met], entry_word[met], flat.field("top").to_numpy()[met], many[met]
+            places, starts = np.unique(own, return_index=True)
+            lefts = [np.add.reduceat(gains[r][entry_word] * top[:, None], starts, axis=0) for r in range(n_rounds)]
+            opens = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            lengths = np.diff(np.append(opens, len(key)))
+            ends, first = opens + lengths, 0
+            while first < len(opens):
+                # Whole documents, at most so many numbers at once.
+                last = max(first + 1, int(np.searchsorted(ends, opens[first] + _AT_ONCE // len(asked), "right")))
+                doc = np.arange(first, last)
+                a, z = opens[first], ends[last - 1]
+                cuts = opens[first:last] - a
+                part = np.add.reduceat(weights[words[a:z]] * x[a:z, None], cuts, axis=0)
+                found = part != 0 if has is None else np.add.reduceat(has[words[a:z]], cuts, axis=0) > 0
+                found &= part + slack >= theta
+                for r in range(n_rounds):
+                    found &= part + lefts[r][np.searchsorted(places, block[opens[doc]])] >= theta
+                    some = found.any(axis=1)
+                    doc, part, found = doc[some], part[some], found[some]
+                    if not len(doc):
+                        break
+                    if count:
+                        of = np.searchsorted(places, block[opens[doc]])
+                        needed = np.zeros((len(places), len(asked)), bool)
+                        np.logical_or.at(needed, of, found)
+                        read = needed[np.searchsorted(places, own)] & (rounds[r][entry_word] != 0)
+                        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([int((read * many[:, None]).sum())], pa.int64())], ["round", "n"])
+                    at = ranges(opens[doc], lengths[doc])
+                    part = part + np.add.reduceat(rounds[r][words[at]] * x[at, None], np.cumsum(lengths[doc]) - lengths[doc], axis=0)
+                if not count and len(doc):
+                    if until == len(ROUNDS) - 1 and n_rounds:
+                        found &= part >= theta
+                    if most is not None and most < len(part):
+                        ranked = np.where(found, part, -np.inf)
+                        found &= part >= -np.partition(-ranked, most - 1, axis=0)[most - 1]
+                    d, q = np.nonzero(found)
+                    of = opens[doc][d]
+                    yield pa.RecordBatch.from_arrays(
+                        [asked.take(pa.array(q)).cast(pa.string()), batch.column("block").take(pa.array(block[of])), postings.field("uid").take(pa.array(held[of])), pa.array(part[d, q])],
+                        ["query_uid", "block", "uid", "part"],
+                    )
+                first = last
+
+        # What the terms of a round and of later ones may add, and the weights of each round.
+        gains = [matrix(of_round >= r, np.maximum(w, 0.0)) for r in range(n_rounds)]
+        rounds = [matrix(of_round == r, w) for r in range(n_rounds)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first in range(0, batch.num_rows, blocks_at_once):
+                    yield from pairs(batch.slice(first, blocks_at_once))
+
+        return self.index.stored.mapInArrow(run, _READS if count else _PAIRS)
+
+    def _read(self, step: str, terms: DataFrame) -> None:
+        self.reads[step] = self._blocks(terms).select("query_uid", "term", "block", "n")
+
     def _completed(self, step: str, partial: DataFrame, unread: DataFrame) -> DataFrame:
         """(query_uid, theta): the k-th best score among the k documents with the best partial scores."""
         order = W.partitionBy("query_uid").orderBy(F.col("part").desc(), "uid")
@@ -191,24 +381,58 @@ class Search:
         found = bm25.scored_in_cells(rows, F.col("block"), terms.select("term", "query_uid", "w"), n_docs, size["n"] or 0, postings)
         return found.withColumn("score", F.round("score", self.decimals)).filter("score <> 0")
 
+    def _rounds_in_place(self, essential: DataFrame, rest: DataFrame, limits: DataFrame) -> DataFrame | None:
+        """The rounds, each block's in one task; what reaches the threshold in the end.  None if the query set is large."""
+        last = len(ROUNDS) - 1
+        for r in range(last - 1):
+            best = self._in_place(essential, self.k, limits, rest, r)
+            if best is None:
+                return None
+            self.reads[f"round {r}"] = self._in_place(essential, None, limits, rest, r, count=True).filter(F.col("round") == r)
+            higher = self._completed(f"round {r} completed", best, rest.filter(F.col("round") > r)).withColumnRenamed("theta", "higher")
+            limits = limits.join(higher, "query_uid", "left")
+            limits = materialize(limits.select("query_uid", F.greatest("theta", F.col("higher") - self.margin).alias("theta"), "slack"))
+        needed = self._in_place(essential, None, limits, rest, last, count=True)
+        self.reads |= {f"round {r}": needed.filter(F.col("round") == r) for r in (last - 1, last)}
+        whole = self._in_place(essential, None, limits, rest)
+        return whole.select("query_uid", "uid", F.round("part", self.decimals).alias("score")).filter("score <> 0")
+
     def _searched(self, terms: DataFrame) -> DataFrame:
-        seed = materialize(self._partials("seed", self._blocks(terms.filter("seed"))))
+        first = terms.filter("seed")
+        seed = self._in_place(first, self.k)
+        small = seed is not None
+        if small:
+            self._read("seed", first)
+        else:
+            seed = materialize(self._partials("seed", self._blocks(first)))
         theta = materialize(self._completed("seed completed", seed, terms.filter("not seed")))
         # Terms that the unread ones before them, themselves included, cannot do without.
         reach = F.col("theta").isNull() | (F.col("gain") + F.col("unread") >= F.col("theta") - self.margin)
         marked = materialize(terms.join(theta, "query_uid", "left").withColumn("essential", F.col("seed") | reach).drop("theta"))
-        more = self._partials("essential", self._blocks(marked.filter("essential and not seed")))
-        rest = marked.filter("not essential")
-        met = materialize(seed.unionByName(more).groupBy("query_uid", "block", "uid").agg(F.sum("part").alias("part")))
+        rest, own = marked.filter("not essential"), marked.filter("essential and not seed")
+        met = self._in_place(marked.filter("essential"), self.k) if small else None
+        if met is not None:
+            self._read("essential", own)
+        else:
+            seed, small = materialize(self._partials("seed", self._blocks(first))) if small else seed, False
+            met = seed.unionByName(self._partials("essential", self._blocks(own)))
+            met = materialize(met.groupBy("query_uid", "block", "uid").agg(F.sum("part").alias("part")))
         higher = self._completed("essential completed", met, rest).withColumnRenamed("theta", "higher")
         both = self.queries.join(theta, "query_uid", "left").join(higher, "query_uid", "left")
         slack = rest.groupBy("query_uid").agg(F.sum("gain").alias("slack"))
         limits = both.select("query_uid", F.greatest("theta", "higher").alias("theta")).join(slack, "query_uid", "left")
         limits = materialize(limits.select("query_uid", (F.col("theta") - self.margin).alias("theta"), F.coalesce("slack", F.lit(0.0)).alias("slack")))
+        rest = materialize(rest.withColumn("round", F.size(F.filter(F.array(*map(F.lit, ROUNDS[:-1])), lambda r: r < F.col("share")))))
+        if small:
+            found = self._rounds_in_place(marked.filter("essential"), rest, limits)
+            if found is not None:
+                return found
+        if small:
+            met = self._partials("met", self._blocks(marked.filter("essential")))
+            del self.reads["met"]
         alive = met.join(ship_if_small(limits, 48), "query_uid").filter(F.col("theta").isNull() | (F.col("part") + F.col("slack") >= F.col("theta")))
         left = [f"left_{r}" for r in range(len(ROUNDS))]
         alive = materialize(alive.select("query_uid", "block", "uid", "part", "theta"))
-        rest = materialize(rest.withColumn("round", F.size(F.filter(F.array(*map(F.lit, ROUNDS[:-1])), lambda r: r < F.col("share")))))
         alive = alive.join(self._left(rest, alive), ["query_uid", "block"], "left").fillna(0.0, left)
         for r, bound in enumerate(left):
             alive = materialize(alive.filter(F.col("theta").isNull() | (F.col("part") + F.col(bound) >= F.col("theta"))))
@@ -233,6 +457,12 @@ class Search:
         return out
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All the positions of runs, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 def top_scores(index: BlockIndex, queries: DataFrame, k: int, **options) -> DataFrame:
     """(query_uid, uid, score): stored scores that hold the best ``k`` of every query.
 

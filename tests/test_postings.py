@@ -89,3 +89,26 @@ def test_reads_part_of_the_postings(spark):
     read = {r["step"]: r["n"] for r in search.postings_read().collect()}
     print(read)
     assert 4 * sum(n for s, n in read.items() if s != "all") < 3 * read["all"]
+
+
+def test_partial_scores_of_a_small_query_set_are_not_shuffled(spark, corpus, monkeypatch):
+    docs, queries = corpus
+    twice = docs.unionByName(docs.filter("uid < 'd2'"))
+    index = postings.write_index(twice, shared_folder(spark, "index"))
+    search = postings.Search(index, queries, 10)
+    small = search.scores()
+    assert "Exchange" not in small._jdf.queryExecution().toString() and "round 3" in search.reads
+    monkeypatch.setattr(postings, "SHIP_LIMIT_BYTES", 1)  # nothing travels
+    large = postings.top_scores(index, queries, 10)
+    assert "Exchange" in large._jdf.queryExecution().toString()
+    every = ranking.top_k_complete(large, queries, docs, 10)
+    assert same(ranking.top_k_complete(small, queries, docs, 10), every) and every.filter("score > 0").count() > 50
+
+
+def test_blocks_hold_whole_documents(spark, monkeypatch):
+    monkeypatch.setattr(postings, "_BLOCKS_CUT", 2)
+    docs = spark.createDataFrame([(f"u{k % 90:02}", "a b " * (k % 3 + 1)) for k in range(180)], "uid string, text string")
+    rows = postings.write_index(docs, shared_folder(spark, "index"), block_docs=4).blocks
+    assert rows.filter("n > 4").count() == 0
+    met = rows.select("block", "term", F.inline("docs"))
+    assert met.count() == 180 and met.select("uid", "term").distinct().count() == 180 and met.select("block", "uid").distinct().count() == 90
