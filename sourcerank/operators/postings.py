@@ -91,28 +91,28 @@ def write_index(
     row = stats.first()
     mean_len = float(row["avg_len"]) if row and row["avg_len"] else 1.0
 
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = tokens.select("uid", "doc_len", "terms").repartitionByRange(n, "doc_len", "uid").sortWithinPartitions("doc_len", "uid")
+    # Stored, since its partitions are counted before they are cut.
+    placed = materialize(placed)
+    counts = {r["part"]: r["count"] for r in placed.groupBy(F.spark_partition_id().alias("part")).count().collect()}
+    before = dict(zip(sorted(counts), np.cumsum([0, *(counts[p] for p in sorted(counts))]).tolist()))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 33, None
+        held, pos = None, before.get(TaskContext.get().partitionId(), 0)
         for batch in batches:
-            if not batch.num_rows:
-                continue
             rows = pa.Table.from_batches([batch])
             rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
-            # The last documents wait, since more rows of theirs and of their block may follow.
-            first, doc = 0, _documents(rows)
-            while int(doc[-1]) - int(doc[first]) > block_docs:
-                last = int(np.searchsorted(doc, doc[first] + max(block_docs, _BLOCKS_CUT * block_docs)))
-                if last == len(doc):
-                    last = int(np.searchsorted(doc, doc[first] + (doc[-1] - doc[first]) // block_docs * block_docs))
-                out = _cut_blocks(rows.slice(first, last - first), doc[first:last] - doc[first], block, block_docs, k1, b, mean_len)
-                block, first = block + _BLOCKS_CUT, last
-                yield out
-            held = rows.slice(first)
+            # The last documents wait for the rest of their block.
+            first, whole = pos, (pos + rows.num_rows) // block_docs * block_docs
+            while pos < whole:
+                last = min(whole, (pos // block_docs + _BLOCKS_CUT) * block_docs)
+                yield _cut_blocks(rows.slice(pos - first, last - pos), pos, block_docs, k1, b, mean_len)
+                pos = last
+            held = rows.slice(pos - first)
         if held is not None and held.num_rows:
-            yield _cut_blocks(held, _documents(held), block, block_docs, k1, b, mean_len)
+            yield _cut_blocks(held, pos, block_docs, k1, b, mean_len)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = tokens.filter("doc_len > 0").select("uid", "doc_len", "terms").repartitionByRange(n, "doc_len", "uid").sortWithinPartitions("doc_len", "uid")
     placed.mapInArrow(cut, _BLOCKS).write.parquet(f"{path}/blocks")
     blocks = read_blocks(spark, path)
     tops = blocks.select(F.inline("entries")).groupBy("term").agg(F.max("top").alias("top"))
@@ -125,40 +125,38 @@ def write_index(
 _BLOCKS_CUT = 32
 
 
-def _documents(rows: pa.Table) -> np.ndarray:
-    """The number of each row's document: rows of one uid and length, which are neighbours, are one."""
-    uid = rows.column("uid").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-    length = rows.column("doc_len").to_numpy()
-    return np.cumsum(np.r_[False, (uid[1:] != uid[:-1]) | (length[1:] != length[:-1])][: len(uid)])
-
-
-def _cut_blocks(rows: pa.Table, doc: np.ndarray, block: int, block_docs: int, k1: float, b: float, mean_len: float) -> pa.RecordBatch:
-    """Blocks of neighbouring documents, numbered from ``block``."""
+def _cut_blocks(rows: pa.Table, pos: int, block_docs: int, k1: float, b: float, mean_len: float) -> pa.RecordBatch:
+    """The blocks of neighbours from place ``pos``; rows of one uid and length in a block are one document."""
     terms = rows.column("terms").combine_chunks()
     words = pc.dictionary_encode(terms.flatten(), null_encoding="encode")
+    uids = rows.column("uid").combine_chunks()
+    uid = uids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    length = pc.fill_null(rows.column("doc_len"), 0).to_numpy()
+    block = (pos + np.arange(len(uid))) // block_docs
+    new = np.r_[True, (uid[1:] != uid[:-1]) | (length[1:] != length[:-1]) | (block[1:] != block[:-1])]
+    doc, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    numbers, opens = np.unique(block, return_index=True)
+    local, begins = block - block[0], doc[opens]
     place = np.empty(len(words.dictionary), np.int64)
     place[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(place))
-    n_docs, width = int(doc[-1]) + 1, max(1, len(place))
-    sizes = pc.list_value_length(terms).to_numpy()
-    key = np.repeat(doc, sizes)
+    width = max(1, len(place))
+    sizes = np.maximum(pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False), 0)
+    row = np.repeat(np.arange(len(doc)), sizes)
     # In the order of blocks, terms and documents.
-    key = (key // block_docs * width + place[words.indices.to_numpy()]) * block_docs + key % block_docs
+    key = (local[row] * width + place[words.indices.to_numpy()]) * block_docs + (doc - begins[local])[row]
     key, tf = np.unique(key, return_counts=True)
     entry = key // block_docs
-    own = entry // width * block_docs + key % block_docs
-    first = np.unique(doc, return_index=True)[1]
-    length = rows.column("doc_len").to_numpy()[first] / mean_len
-    x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[own]))
-    opens = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
+    own = first[begins[entry // width] + key % block_docs]
+    x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * (length / mean_len)[own]))
+    opens = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]][: len(entry)])
     ends = np.append(opens, len(entry)).astype(np.int32)
-    docs = pa.StructArray.from_arrays([rows.column("uid").combine_chunks().take(pa.array(first[own])).cast(pa.string()), pa.array(x)], ["uid", "x"])
+    docs = pa.StructArray.from_arrays([uids.take(pa.array(own)).cast(pa.string()), pa.array(x)], ["uid", "x"])
     names = words.dictionary.cast(pa.string()).take(pa.array(np.argsort(place)[entry[opens] % width]))
     entries = pa.StructArray.from_arrays(
-        [names, pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(x, opens)), pa.ListArray.from_arrays(pa.array(ends), docs)], ["term", "n", "top", "docs"]
+        [names, pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(x, opens) if len(opens) else x), pa.ListArray.from_arrays(pa.array(ends), docs)], ["term", "n", "top", "docs"]
     )
-    cuts = np.searchsorted(entry[opens] // width, np.arange(-(-n_docs // block_docs) + 1)).astype(np.int32)
-    numbers = pa.array(block + np.arange(len(cuts) - 1, dtype=np.int64))
-    return pa.RecordBatch.from_arrays([numbers, pa.ListArray.from_arrays(pa.array(cuts), entries)], ["block", "entries"])
+    cuts = np.searchsorted(entry[opens] // width, np.arange(len(numbers) + 1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(numbers), pa.ListArray.from_arrays(pa.array(cuts), entries)], ["block", "entries"])
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:

@@ -105,10 +105,11 @@ def test_partial_scores_of_a_small_query_set_are_not_shuffled(spark, corpus, mon
     assert same(ranking.top_k_complete(small, queries, docs, 10), every) and every.filter("score > 0").count() > 50
 
 
-def test_blocks_hold_whole_documents(spark, monkeypatch):
+def test_blocks_follow_the_places_of_rows(spark, monkeypatch):
     monkeypatch.setattr(postings, "_BLOCKS_CUT", 2)
-    docs = spark.createDataFrame([(f"u{k % 90:02}", "a b " * (k % 3 + 1)) for k in range(180)], "uid string, text string")
-    rows = postings.write_index(docs, shared_folder(spark, "index"), block_docs=4).blocks
-    assert rows.filter("n > 4").count() == 0
-    met = rows.select("block", "term", F.inline("docs"))
-    assert met.count() == 180 and met.select("uid", "term").distinct().count() == 180 and met.select("block", "uid").distinct().count() == 90
+    docs = spark.createDataFrame([(f"u{k % 90:02}", "a b " * (k % 3 + 1)) for k in range(180)] + [("x", None)], "uid string, text string")
+    rows = postings.write_index(docs, shared_folder(spark, "index"), block_docs=4).blocks.select("block", "term", F.inline("docs"))
+    # Rows in order of length and uid; the text without terms has a place.
+    order = [("x", 0)] + sorted(((f"u{k % 90:02}", k % 3 + 1) for k in range(180)), key=lambda r: (r[1], r[0]))
+    want = {(k // 4, t, uid) for k, (uid, n) in enumerate(order) if n for t in "ab"}
+    assert sorted(r[:3] for r in rows.collect()) == sorted(want)
