@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import setting
+
 # Bytes of text that one numpy step holds at once; its arrays take some 60 bytes for each.
 SLICE_BYTES = 1 << 20
 
@@ -69,13 +71,15 @@ def remove(spark: SparkSession, folders: list[str]) -> None:
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
-    Cuts the lineage; the rows survive any executor and are the same at every later use.
+    Cuts the lineage; the rows survive any executor and are the same at every later use.  The
+    shuffles of the write serve nothing else and go when it ends.
     """
     spark = df.sparkSession
     path = scratch(spark)
     if _noted:
         _noted[-1].append(path)
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,8 @@ The global order of n-grams is that of their 64-bit hashes, and fragments are ra
 following from their sizes.  The order is therefore cut into ``d + 1`` fragments and some spare
 ones, and such a pair agrees wholly on more fragments than may be empty (a set in which more are
 empty states those as well).  How many fragments are cut depends on a set's size level; a set
-states its fragments for its own level and the one below.
+states its fragments for its own level and the one below.  Fragment keys are shuffled once, packed
+by their first bits in some 12 bytes each, and what occurs in several classes is told bucket by bucket.
 Sets that agree on a fragment form a star around one of them, not all pairs.
 
 *Verification.*  The order is also cut into parts.  Star pairs whose n-gram counts differ too
@@ -27,6 +28,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ from .components import components
 
 # Bytes of text whose sets a task holds at once.
 SET_BYTES = 1 << 18
+# Fragment keys that a task packs at once, and that a bucket of them has at most on average.
+PACK_KEYS = 1 << 19
+BUCKET_KEYS = 1 << 21
+# N-grams on one side of a cell of pairs, on average.
+CELL_GRAMS = 1 << 20
 # The n-gram order is cut into 2^PART_BITS parts whose overlaps are counted apart.
 PART_BITS = 6
 _ODD = np.random.default_rng(5).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -144,20 +151,68 @@ def features(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(read, _FEATURES)
 
 
-def fragment_rows(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """(doc_id, cls, fragments): the keys of the fragments of each document's set."""
+def fragment_packs(docs: DataFrame, width: int, threshold: Fraction, bits: int) -> DataFrame:
+    """(bucket, marks, owners): the fragment keys of many documents, dealt out by their first ``bits`` bits.
+
+    A mark is the 32 bits of a key behind those of its bucket, 4 bytes; its owner is the class of the
+    set, 8 bytes.  Copies that are packed together speak once.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.let_go()
-        for batch in batches:
-            for a, b, sets in set_slices(batch.column(1), width):
-                rows = [(_identity(s)[0], fragment_keys(s, threshold)) for s in sets]
-                offsets = np.cumsum([0, *(len(r[1]) for r in rows)])
-                flat = np.concatenate([r[1] for r in rows]).view(np.int64)
-                columns = [batch.column(0).slice(a, b - a), pa.array([r[0] for r in rows], pa.int64()), common.list_column(flat, offsets, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "cls", "fragments"])
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            keys = np.concatenate(list(held.values()))
+            owners = np.repeat(np.array(list(held), "<i8"), [len(k) for k in held.values()])
+            order = np.argsort(keys)
+            keys, owners = keys[order], owners[order]
+            bucket = (keys >> np.uint64(64 - bits)).astype(np.int32)
+            marks = (keys >> np.uint64(32 - bits)).astype("<u4")
+            cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+            columns = [pa.array(bucket[cuts[:-1]]), *(binary_column(x, cuts) for x in (marks, owners))]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "marks", "owners"])
 
-    return docs.mapInArrow(read, "doc_id long, cls long, fragments array<long>")
+        for batch in batches:
+            for _, _, sets in set_slices(batch.column(1), width):
+                for s in sets:
+                    keys = fragment_keys(s, threshold)
+                    cls = _identity(s)[0]
+                    if len(keys) and cls not in held:
+                        held[cls] = keys
+                        size += len(keys)
+                    if size >= PACK_KEYS:
+                        yield packed()
+                        held.clear()
+                        size = 0
+        if held:
+            yield packed()
+
+    return docs.mapInArrow(read, "bucket int, marks binary, owners binary")
+
+
+def binary_column(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Runs of a flat array as one column of bytes."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def met_keys(packs: DataFrame) -> DataFrame:
+    """(key, cls): the fragment keys that sets of several classes have, and these classes."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        marks, owners = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("marks", "<u4"), ("owners", "<i8")))
+        order = np.argsort(marks)
+        same = np.diff(marks[order]) == 0
+        # Marks that occur again, each class once.
+        order = order[np.append(False, same) | np.append(same, False)]
+        both = np.unique(np.stack([marks[order].astype(np.int64), owners[order]], axis=1), axis=0)
+        same = np.diff(both[:, 0]) == 0
+        both = both[(np.append(False, same) | np.append(same, False))[: len(both)]]
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table([pa.array(bucket << 32 | both[:, 0]), pa.array(both[:, 1])], ["key", "cls"])
+
+    return packs.groupBy("bucket").applyInArrow(meet, "key long, cls long")
 
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -175,29 +230,48 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(read, "cls long, shingles array<long>")
 
 
-def partial_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def partial_overlaps(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, apart: bool = True) -> DataFrame:
     """Pairs (a, b) of classes with their sizes, the overlap summed over all parts of the n-gram
-    order, and how many n-grams of either are missing in the other, part by part."""
+    order, and, with ``apart``, how many n-grams of either are missing in the other, part by part.
+
+    Each of ``pairs`` (a, b, star) is compared in a cell, to which a set goes once, however many
+    pairs it is in: a star with many n-grams is a grid of cells, small stars share cells.
+    ``sizes`` has cls and n, ``sets`` may hold a class again.
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = 1 << PART_BITS
-        for batch in batches:
-            of_a, of_b = ([np.asarray(x.values).view(np.uint64) for x in batch.column(k)] for k in (2, 3))
-            shared, apart = [], np.zeros((batch.num_rows, parts), np.int64)
-            for row, (x, y) in enumerate(zip(of_a, of_b)):
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = part_counts(y[x[at] == y])
-                apart[row] = part_counts(x) + part_counts(y) - 2 * both
-                shared.append(int(both.sum()))
-            offsets = np.arange(batch.num_rows + 1) * parts
-            columns = [*batch.columns[:2], *(pa.array([len(x) for x in of], pa.int64()) for of in (of_a, of_b))]
-            columns += [pa.array(shared, pa.int64()), common.list_column(apart.ravel(), offsets, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n_a", "n_b", "shared", "apart"])
-
-    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("of_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
-    return joined.mapInArrow(count, "a long, b long, n_a long, n_b long, shared long, apart array<int>")
+        known = right.column("cls").combine_chunks()
+        at = [pc.index_in(left.column(c).combine_chunks(), known) for c in ("a", "b")]
+        found = pc.and_(*(x.is_valid() for x in at))
+        left, at = left.filter(found), [x.filter(found).to_numpy() for x in at]
+        held = [np.asarray(x.values).view(np.uint64) for x in right.column("shingles").combine_chunks()]
+        n = np.array([len(x) for x in held], np.int64)
+        of = np.stack([part_counts(x) for x in held]) if apart and held else None
+        shared = np.zeros(left.num_rows, np.int64)
+        lacks = np.zeros((left.num_rows if apart else 0, parts), np.int32)
+        for row, (i, j) in enumerate(zip(at[0].tolist(), at[1].tolist())):
+            x, y = held[i], held[j]
+            both = y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y]
+            shared[row] = len(both)
+            if apart:
+                lacks[row] = of[i] + of[j] - 2 * part_counts(both)
+        columns = {"a": left.column("a"), "b": left.column("b"), "n_a": pa.array(n[at[0]]), "n_b": pa.array(n[at[1]]), "shared": pa.array(shared)}
+        if apart:
+            columns["apart"] = common.list_column(lacks.ravel(), np.arange(left.num_rows + 1) * parts, pa.int32())
+        return pa.table(columns)
+
+    held = pairs.select("star", F.explode(F.array("a", "b")).alias("cls")).distinct().join(sizes.select("cls", "n"), "cls")
+    stars = common.stored(held.groupBy("star").agg(F.ceil(F.sum("n") / CELL_GRAMS).alias("parts"), F.sum("n").alias("n")))
+    shared_cells = (stars.filter("parts = 1").agg(F.sum("n")).first()[0] or 0) // CELL_GRAMS + 1
+    line = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("star"), F.lit(shared_cells))).otherwise(F.col("star"))
+    x, y = (F.pmod(F.xxhash64(c), "parts") for c in ("a", "b"))
+    placed = common.stored(pairs.join(stars.select("star", "parts"), "star").select("a", "b", line.alias("line"), x.alias("x"), y.alias("y")))
+    cell = ["line", "x", "y"]
+    wanted = placed.select(*cell, F.explode(F.array("a", "b")).alias("cls")).distinct()
+    moved = wanted.join(sets.dropDuplicates(["cls"]), "cls").select(*[F.col(c).alias(f"of_{c}") for c in cell], "cls", "shingles")
+    kinds = "a long, b long, n_a long, n_b long, shared long" + (", apart array<int>" if apart else "")
+    return placed.groupBy(*cell).cogroup(moved.groupBy(*[f"of_{c}" for c in cell])).applyInArrow(count, kinds)
 
 
 def linked(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,19 +292,13 @@ def linked(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10
         .agg(F.min("doc_id").alias("first_id"), F.any_value("counts").alias("counts"))
         .select("cls", "n_shingles", "first_id", "counts")
     )
-    # One document of each class speaks for it.  Keys are made anew from the text for each use:
-    # to count them, and to bring together those that occur again.
-    speakers = ship_if_small(classes.select("cls", F.col("first_id").alias("doc_id")), 24)
     nameless = classes.filter("first_id is null").select("cls")
     some_nameless = nameless.limit(1).count() > 0
-    spoken = fragment_rows(texts, width, threshold).join(speakers, ["cls", "doc_id"], "left_semi").select("cls", "fragments")
-    if some_nameless:
-        # Copies without any id: one row of each class, whichever it is, since all have the same set.
-        others = fragment_rows(texts.filter("doc_id is null"), width, threshold).join(nameless, "cls", "left_semi")
-        spoken = spoken.union(others.select("cls", "fragments").dropDuplicates(["cls"]))
-    keys = spoken.select("cls", F.explode("fragments").alias("key"))
-    met = keys.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
-    common_keys = common.stored(keys.join(met, "key"))
+    # A set has no more keys than n-grams.
+    n_keys = seen.agg(F.sum("n_shingles")).first()[0] or 0
+    bits = min(24, max(6, (n_keys // BUCKET_KEYS).bit_length()))
+    with common.noted() as passing:
+        common_keys = common.stored(met_keys(fragment_packs(texts, width, threshold, bits)))
     # The centre of a star is its member with the most fragments that others have as well, which
     # is the least edited of a family: few centres serve many fragments, and lie near their stars.
     weights = common_keys.groupBy("cls").agg(F.count("*").alias("weight"))
@@ -247,6 +315,7 @@ def linked(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10
 
     size = classes.select("cls", F.col("n_shingles").alias("n"), "counts")
     star = common.stored(star.join(size, star["b"] == size["cls"]).select("a", "b", "n", "counts"))
+    common.remove(docs.sparkSession, passing)
     x, y = star.alias("x"), size.alias("y")
     checked = x.join(y, F.expr("x.a = y.cls")).filter(close("x", "y", "counts")).select("x.a", "x.b")
     checked = common.stored(checked)
@@ -259,9 +328,9 @@ def linked(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10
         rows = set_rows(chosen, width)
         if some_nameless:
             rows = rows.union(set_rows(texts.filter("doc_id is null"), width).join(named.join(nameless, "cls", "left_semi"), "cls", "left_semi"))
-        return common.stored(rows.dropDuplicates(["cls"]))
+        return rows
 
-    measured = common.stored(partial_overlaps(checked, sets_of(checked)))
+    measured = common.stored(partial_overlaps(checked.withColumn("star", F.col("a")), sets_of(checked), size))
     links_when = F.expr(f"{den} * shared >= {num} * (n_a + n_b - shared)")
     links = measured.filter(links_when).select("a", "b")
     labels = components(links)
@@ -273,9 +342,9 @@ def linked(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10
     at = common.stored(at.withColumn("label", F.coalesce("label", "b")))
     may = f"{close('x', 'y', 'counts')} and (x.apart is null or y.apart is null or {close('x', 'y', 'apart')})"
     open_pairs = at.alias("x").join(at.alias("y"), F.expr(f"x.a = y.a and x.b < y.b and x.label <> y.label and {may}"))
-    open_pairs = common.stored(open_pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct())
+    open_pairs = common.stored(open_pairs.groupBy(F.col("x.b").alias("a"), F.col("y.b").alias("b")).agg(F.min("x.a").alias("star")))
     if open_pairs.limit(1).count():
-        more = partial_overlaps(open_pairs, sets_of(open_pairs)).filter(links_when).select("a", "b")
+        more = partial_overlaps(open_pairs, sets_of(open_pairs), size, apart=False).filter(links_when).select("a", "b")
         labels = components(links.union(common.stored(more)))
 
     placed = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
