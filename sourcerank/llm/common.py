@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import tempfile
 import uuid
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import setting
+from ..session import LARGE_ROWS, setting, trim
 
 # Bytes of text that one numpy step holds at once; its arrays take some 60 bytes for each.
 SLICE_BYTES = 1 << 20
@@ -68,18 +67,18 @@ def remove(spark: SparkSession, folders: list[str]) -> None:
     jvm.System.gc()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, large_rows: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
     Cuts the lineage; the rows survive any executor and are the same at every later use.  The
-    shuffles of the write serve nothing else and go when it ends.
+    shuffles of the write serve nothing else and go when it ends.  ``large_rows``: rows may be megabytes.
     """
     spark = df.sparkSession
     path = scratch(spark)
     if _noted:
         _noted[-1].append(path)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.parquet(path)
+        df.write.options(**LARGE_ROWS if large_rows else {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -152,12 +151,3 @@ def let_go() -> None:
         _held.clear()
         gc.collect()
     trim()
-
-
-def trim() -> None:
-    """Give free memory back to the system."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # only glibc has it
-        pass

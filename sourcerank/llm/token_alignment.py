@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
 from . import common
 from .subwords import Encoder, joined, split_words
 
@@ -81,7 +83,7 @@ class Pieces:
         if empty is not None:
             coded = [c if t else empty for c, t in zip(coded, texts)]
         counts = np.array([len(c) for c in coded], np.int64)
-        return np.fromiter((i for c in coded for i in c), np.int64, int(counts.sum())), counts
+        return np.fromiter(chain.from_iterable(coded), np.int64, int(counts.sum())), counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a space and each text end to end, and how many each has."""
@@ -317,8 +319,10 @@ def scored(df: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYT
     a null id stays null.  A null or empty text, and one that either tokenizer does not spell
     exactly, has zeros.  An empty table gives no rows; other columns are left behind.
     """
-    held = common.stored(blocks(df, a_path, b_path, block_bytes))
-    counts = pair_counts(held)
+    spark = df.sparkSession
+    with small_batches(spark), common.noted() as passing:
+        held = common.stored(blocks(df, a_path, b_path, block_bytes), large_rows=True)
+        counts = pair_counts(held)
     wanted = held.select("part", "seq", F.posexplode(F.arrays_zip("pair_a", "pair_b")).alias("rank", "p"))
     wanted = wanted.select("part", "seq", "rank", F.col("p.pair_a").alias("a"), F.col("p.pair_b").alias("b"))
     # The last bit of a number says whether the pair is its B id's best.
@@ -343,4 +347,8 @@ def scored(df: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYT
                 sums = [_per_text(value & 1, n_links), _per_text(value >> 1, n_links)]
                 yield pa.RecordBatch.from_arrays([docs, *[pa.array(v) for v in (n_a, n_b, n_groups, n_links, *sums)], hashes], ["doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256"])
 
-    return joined.select(*columns).mapInArrow(added, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    # Written here, so that the batches are small and the blocks can go.
+    with small_batches(spark):
+        found = common.stored(joined.select(*columns).mapInArrow(added, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"))
+    common.remove(spark, passing)
+    return found

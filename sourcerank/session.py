@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest side that may be shipped to every executor (bytes, serialized).
 SHIP_LIMIT_BYTES = 64 * 1024 * 1024
 
+# Bytes of rows that a task hands Python at once where rows may be large.
+BATCH_BYTES = 8 * 1024 * 1024
+# For writing large rows as Parquet: pages and row groups are measured after each row, not after a hundred,
+# and a reader holds a row group at a time.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
 
 def build_session(app: str = "sourcerank", cpus: str | int | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution; ``cpus`` asks for a local one with few partitions.
@@ -54,6 +62,25 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside hands Python at most ``BATCH_BYTES`` and a row at once, or less where less was set."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    digits = before is not None and before.isdigit()
+    with setting(spark, key, str(min(int(before), BATCH_BYTES) if digits and int(before) else BATCH_BYTES)):
+        yield
+
+
+def trim() -> None:
+    """Give the free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared checkpoint folder of the cluster; make one only in local mode."""
     sc = spark.sparkContext
