@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import SHIP_LIMIT_BYTES, materialize, ship_if_small
+from ..session import LARGE_ROWS, SHIP_LIMIT_BYTES, materialize, ship_if_small, small_batches, trim
 from . import bm25
 
 # Documents of a block: what is read or skipped at once.
@@ -60,8 +60,10 @@ _TERMS = "term string, df bigint, len_sum bigint, top double"
 _BLOCKS = "block bigint, entries array<struct<term:string,n:int,top:double,docs:array<struct<uid:string,x:double>>>>"
 _READS = "round int, n bigint"
 _PAIRS = "query_uid string, block bigint, uid string, part double"
+# Terms and uids are told from dictionaries, so that a row group grows several times when it is read.
+_WRITTEN = LARGE_ROWS | {"parquet.block.size": str(2 << 20)}
 # Numbers in one dense array of a task.
-_AT_ONCE = 4 << 20
+_AT_ONCE = 1 << 20
 
 
 @dataclass
@@ -112,8 +114,11 @@ def write_index(
             held = rows.slice(pos - first)
         if held is not None and held.num_rows:
             yield _cut_blocks(held, pos, block_docs, k1, b, mean_len)
+        trim()
 
-    placed.mapInArrow(cut, _BLOCKS).write.parquet(f"{path}/blocks")
+    # Partitions are ranges of lengths, so that the last ones have nothing but long documents.
+    with small_batches(spark):
+        placed.mapInArrow(cut, _BLOCKS).write.options(**_WRITTEN).parquet(f"{path}/blocks")
     blocks = read_blocks(spark, path)
     tops = blocks.select(F.inline("entries")).groupBy("term").agg(F.max("top").alias("top"))
     # The row of the null term holds the size of the corpus.
@@ -248,7 +253,7 @@ class Search:
             at = pc.index_in(known.column("query_uid"), asked).to_numpy()
             theta[at], slack[at] = pc.fill_null(known.column("theta"), -np.inf).to_numpy(), known.column("slack").to_numpy()
         n_rounds = 0 if rest is None else until + 1
-        blocks_at_once = max(1, min(64, _AT_ONCE // len(asked) // 128))
+        blocks_at_once = max(1, min(64, (4 << 20) // len(asked) // 128))
 
         def pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             entries = batch.column("entries")
@@ -270,18 +275,18 @@ class Search:
             met = np.flatnonzero(entry_word >= 0)
             own, entry_word, top, many = own[met], entry_word[met], flat.field("top").to_numpy()[met], many[met]
             places, starts = np.unique(own, return_index=True)
-            lefts = [np.add.reduceat(gains[r][entry_word] * top[:, None], starts, axis=0) for r in range(n_rounds)]
+            lefts = [run_sums(gains[r], entry_word, top, starts) for r in range(n_rounds)]
             opens = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             lengths = np.diff(np.append(opens, len(key)))
             ends, first = opens + lengths, 0
             while first < len(opens):
-                # Whole documents, at most so many numbers at once.
-                last = max(first + 1, int(np.searchsorted(ends, opens[first] + _AT_ONCE // len(asked), "right")))
+                # At most so many scores at once.
+                last = min(len(opens), first + max(1, _AT_ONCE // len(asked)))
                 doc = np.arange(first, last)
                 a, z = opens[first], ends[last - 1]
                 cuts = opens[first:last] - a
-                part = np.add.reduceat(weights[words[a:z]] * x[a:z, None], cuts, axis=0)
-                found = part != 0 if has is None else np.add.reduceat(has[words[a:z]], cuts, axis=0) > 0
+                part = run_sums(weights, words[a:z], x[a:z], cuts)
+                found = part != 0 if has is None else run_sums(has, words[a:z], np.ones(z - a), cuts) > 0
                 found &= part + slack >= theta
                 for r in range(n_rounds):
                     found &= part + lefts[r][np.searchsorted(places, block[opens[doc]])] >= theta
@@ -293,10 +298,13 @@ class Search:
                         of = np.searchsorted(places, block[opens[doc]])
                         needed = np.zeros((len(places), len(asked)), bool)
                         np.logical_or.at(needed, of, found)
-                        read = needed[np.searchsorted(places, own)] & (rounds[r][entry_word] != 0)
-                        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([int((read * many[:, None]).sum())], pa.int64())], ["round", "n"])
+                        of, n = np.searchsorted(places, own), 0
+                        for e in range(0, len(own), max(1, _AT_ONCE // len(asked))):
+                            some = slice(e, e + max(1, _AT_ONCE // len(asked)))
+                            n += int((needed[of[some]] & (rounds[r][entry_word[some]] != 0)).sum(axis=1) @ many[some])
+                        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([n], pa.int64())], ["round", "n"])
                     at = ranges(opens[doc], lengths[doc])
-                    part = part + np.add.reduceat(rounds[r][words[at]] * x[at, None], np.cumsum(lengths[doc]) - lengths[doc], axis=0)
+                    part = part + run_sums(rounds[r], words[at], x[at], np.cumsum(lengths[doc]) - lengths[doc])
                 if not count and len(doc):
                     if until == len(ROUNDS) - 1 and n_rounds:
                         found &= part >= theta
@@ -319,6 +327,7 @@ class Search:
             for batch in batches:
                 for first in range(0, batch.num_rows, blocks_at_once):
                     yield from pairs(batch.slice(first, blocks_at_once))
+            trim()
 
         return self.index.stored.mapInArrow(run, _READS if count else _PAIRS)
 
@@ -344,6 +353,10 @@ class Search:
 
     def scores(self) -> DataFrame:
         """(query_uid, uid, score) of all documents that may be among the best ``k``."""
+        with small_batches(self.index.stored.sparkSession):
+            return self._scores()
+
+    def _scores(self) -> DataFrame:
         gains = self.terms.groupBy("query_uid").agg(F.max("gain").alias("gain"))
         gains = materialize(gains)
         lost = gains.filter("gain <= 0").select("query_uid")
@@ -392,7 +405,8 @@ class Search:
             limits = materialize(limits.select("query_uid", F.greatest("theta", F.col("higher") - self.margin).alias("theta"), "slack"))
         needed = self._in_place(essential, None, limits, rest, last, count=True)
         self.reads |= {f"round {r}": needed.filter(F.col("round") == r) for r in (last - 1, last)}
-        whole = self._in_place(essential, None, limits, rest)
+        # Few rows; whoever takes them up needs no second Python worker beside the one that reads blocks.
+        whole = materialize(self._in_place(essential, None, limits, rest))
         return whole.select("query_uid", "uid", F.round("part", self.decimals).alias("score")).filter("score <> 0")
 
     def _searched(self, terms: DataFrame) -> DataFrame:
@@ -455,6 +469,18 @@ class Search:
         return out
 
 
+def run_sums(matrix: np.ndarray, words: np.ndarray, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``x`` times the rows ``words`` of ``matrix`` over the runs from ``starts``, whole runs at a time."""
+    out = np.empty((len(starts), matrix.shape[1]))
+    ends, most, first = np.append(starts[1:], len(words)), _AT_ONCE // matrix.shape[1], 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + most, "right")))
+        a, z = starts[first], ends[last - 1]
+        out[first:last] = np.add.reduceat(matrix[words[a:z]] * x[a:z, None], starts[first:last] - a, axis=0)
+        first = last
+    return out
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All the positions of runs, one run after the other."""
     ends = np.cumsum(lengths)

@@ -19,7 +19,7 @@ SHIP_LIMIT_BYTES = 64 * 1024 * 1024
 BATCH_BYTES = 8 * 1024 * 1024
 # For writing large rows as Parquet: pages and row groups are measured after each row, not after a hundred,
 # and a reader holds a row group at a time.
-LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
 
 def build_session(app: str = "sourcerank", cpus: str | int | None = None, **conf: str) -> SparkSession:
