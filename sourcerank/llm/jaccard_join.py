@@ -188,6 +188,8 @@ def fragment_packs(docs: DataFrame, width: int, threshold: Fraction, bits: int)
                         size = 0
         if held:
             yield packed()
+        held.clear()
+        common.trim()
 
     return docs.mapInArrow(read, "bucket int, marks binary, owners binary")
 
@@ -210,6 +212,7 @@ def met_keys(packs: DataFrame) -> DataFrame:
         same = np.diff(both[:, 0]) == 0
         both = both[(np.append(False, same) | np.append(same, False))[: len(both)]]
         bucket = table.column("bucket")[0].as_py()
+        common.trim()
         return pa.table([pa.array(bucket << 32 | both[:, 0]), pa.array(both[:, 1])], ["key", "cls"])
 
     return packs.groupBy("bucket").applyInArrow(meet, "key long, cls long")
@@ -259,6 +262,7 @@ def partial_overlaps(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, apart:
         columns = {"a": left.column("a"), "b": left.column("b"), "n_a": pa.array(n[at[0]]), "n_b": pa.array(n[at[1]]), "shared": pa.array(shared)}
         if apart:
             columns["apart"] = common.list_column(lacks.ravel(), np.arange(left.num_rows + 1) * parts, pa.int32())
+        common.trim()
         return pa.table(columns)
 
     held = pairs.select("star", F.explode(F.array("a", "b")).alias("cls")).distinct().join(sizes.select("cls", "n"), "cls")
